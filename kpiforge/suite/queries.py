@@ -315,3 +315,208 @@ def q_recalc_total(spark, sf_dir):
 def q_chart_group(spark, sf_dir):
     g = M.chart_group(ST.typed(spark, sf_dir), "payment_method", "total_spent", "sum")
     return g.select("payment_method", F.round("value", 2).alias("value"))
+
+
+# =========================================================== semantic typing & relationships
+from kpiforge.operators import detect as D  # noqa: E402
+from kpiforge.operators import semantic as SEM  # noqa: E402
+
+
+@register("sem_pattern")
+def q_sem_pattern(spark, sf_dir):
+    return SEM.semantic_types(ST.raw(spark, sf_dir))
+
+
+def _proto_spark(spark, sf_dir):
+    emb = table(spark, sf_dir, "embeddings")
+    pe = emb.select("label", F.posexplode("embedding").alias("pos", "x"))
+    means = pe.groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    protos = means.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("s")) \
+        .select("label", F.transform("s", lambda e: e["m"]).alias("embedding"))
+    vecs = emb.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    return SEM.nearest_prototype(vecs, "embedding", protos)
+
+
+@register("sem_prototype", """
+WITH pe AS (SELECT label, unnest(range(len(embedding))) AS pos, unnest(embedding) AS x FROM embeddings),
+m AS (SELECT label, pos, avg(CAST(x AS DOUBLE)) AS m FROM pe GROUP BY label, pos),
+p AS (SELECT CAST(label AS VARCHAR) AS label, list(m ORDER BY pos) AS v FROM m GROUP BY label),
+s AS (SELECT e.vec_id, p.label, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), p.v) AS cos
+      FROM embeddings e, p),
+b AS (SELECT vec_id, arg_max(label, cos) AS best, max(cos) AS cos FROM s GROUP BY vec_id)
+SELECT vec_id, CASE WHEN cos > 0.5 THEN best ELSE 'Unknown' END AS nearest, round(cos, 6) AS similarity FROM b
+""")
+def q_sem_prototype(spark, sf_dir):
+    out = _proto_spark(spark, sf_dir)
+    return out.select("vec_id", "nearest", F.round("similarity", 6).alias("similarity"))
+
+
+def _mult_cols():
+    return ["quantity", "price_per_unit", "total_spent"]
+
+
+@register("rel_multiply", ST.sql_typed() + """ SELECT 'multiplication' AS kind,
+ 'total_spent = quantity x price_per_unit' AS formula, ['quantity', 'price_per_unit', 'total_spent'] AS columns,
+ round(CASE WHEN avg(total_spent) <> 0 THEN greatest(0.0, least(1.0, 1 - avg(abs(quantity * price_per_unit - total_spent)) / avg(total_spent))) ELSE 0.0 END, 6) AS confidence,
+ round(avg(abs(quantity * price_per_unit - total_spent)), 6) AS mean_error,
+ round(max(abs(quantity * price_per_unit - total_spent)), 6) AS max_error,
+ CAST(count_if(abs(quantity * price_per_unit - total_spent) > 0.01) AS BIGINT) AS mismatches FROM ty""")
+def q_rel_multiply(spark, sf_dir):
+    ty = ST.typed(spark, sf_dir)
+    smap = SEM.semantic_map(ST.raw(spark, sf_dir))
+    cols = SEM.multiplication_columns(ty, smap)
+    out = SEM.multiplication_check(ty, cols)
+    return out.select("kind", "formula", "columns", F.round("confidence", 6).alias("confidence"),
+                      F.round("mean_error", 6).alias("mean_error"), F.round("max_error", 6).alias("max_error"),
+                      "mismatches")
+
+
+def _corr_sql():
+    cols = NUMERIC_TYPED
+    parts = []
+    for i, a in enumerate(cols):
+        for b in cols[i + 1:]:
+            parts.append(f"SELECT '{a}' AS col1, '{b}' AS col2, corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS r FROM ty")
+    return (ST.sql_typed() + ", c AS (" + " UNION ALL ".join(parts) + ") SELECT col1, col2, round(r, 6) AS correlation "
+            "FROM c WHERE abs(r) > 0.7")
+
+
+@register("rel_correlation", _corr_sql())
+def q_rel_correlation(spark, sf_dir):
+    out = SEM.correlations(ST.typed(spark, sf_dir), NUMERIC_TYPED)
+    return out.select("col1", "col2", F.round("correlation", 6).alias("correlation"))
+
+
+# =========================================================== detection
+def _sql_long(items, src_agg: str) -> str:
+    """items: (category, column, issue, count_expr, severity_sql) -> long rows with count > 0."""
+    sel = " UNION ALL ".join(
+        f"SELECT '{cat}' AS category, '{c}' AS column_name, '{iss}' AS issue, CAST({cnt} AS BIGINT) AS count, "
+        f"{sql_pct2(cnt, 'n')} AS pct, {sev} AS severity FROM a"
+        for cat, c, iss, cnt, sev in items)
+    return f", a AS ({src_agg}) SELECT * FROM ({sel}) WHERE count > 0"
+
+
+def _sev_sql(cnt: str) -> str:
+    p = sql_pct2(cnt, "n")
+    return f"CASE WHEN {p} > 50 THEN 'CRITICAL' WHEN {p} > 20 THEN 'HIGH' WHEN {p} > 5 THEN 'MEDIUM' ELSE 'LOW' END"
+
+
+NULLABLE_RAW = {"category", "discount_applied"}
+
+
+def _det_missing_sql():
+    aggs = ["count(*) AS n"] + [
+        f"count_if({c} IS NULL OR {Q.is_null_word(c)}) AS m_{c}" if c in TEXT else f"count_if({c} IS NULL) AS m_{c}"
+        for c in DS]
+    items = [("missing_values", c, "nullable" if c in NULLABLE_RAW else "required", f"m_{c}", _sev_sql(f"m_{c}"))
+             for c in DS]
+    return ST.sql_raw() + _sql_long(items, "SELECT " + ", ".join(aggs) + " FROM ds")
+
+
+@register("det_missing", _det_missing_sql())
+def q_det_missing(spark, sf_dir):
+    raw_df = ST.raw(spark, sf_dir)
+    return D.det_missing(raw_df, SEM.semantic_map(raw_df))
+
+
+@register("det_dup_rows", ST.sql_raw() + ", g AS (SELECT count(*) AS g FROM ds GROUP BY " + ", ".join(DS) + ")" +
+          _sql_long([("duplicates", "*", "exact_duplicates", "d", "'HIGH'")],
+                    "SELECT sum(g) AS n, coalesce(sum(CASE WHEN g > 1 THEN g END), 0) AS d FROM g"))
+def q_det_dup_rows(spark, sf_dir):
+    return D.det_dup_rows(ST.raw(spark, sf_dir))
+
+
+ID_COLS = ["transaction_id", "customer_id", "customer_rating"]
+
+
+@register("det_dup_ids", ST.sql_raw() + _sql_long(
+    [("duplicates", c, "duplicate_ids", f"d_{c}", "'MEDIUM'") for c in ID_COLS],
+    "SELECT count(*) AS n, " + ", ".join(
+        f"count(*) - count(DISTINCT {c}) - max(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS d_{c}" for c in ID_COLS)
+    + " FROM ds"))
+def q_det_dup_ids(spark, sf_dir):
+    raw_df = ST.raw(spark, sf_dir)
+    smap = SEM.semantic_map(raw_df)
+    ids = [c for c, v in smap.items() if v["semantic_type"] in K.ID_SEMANTIC_TYPES]
+    return D.det_dup_ids(raw_df, ids)
+
+
+NEG_COLS = ["quantity", "price_per_unit", "total_spent"]
+
+
+def _det_invalid_sql():
+    aggs = ["count(*) AS n"] + [f"count_if({c} < 0) AS neg_{c}" for c in NEG_COLS] + \
+        [f"count_if(transaction_date > DATE '{ST.AS_OF.isoformat()}') AS fut", "count_if(quantity = 0) AS zero"]
+    items = [("invalid_values", c, "negative_values", f"neg_{c}", "'HIGH'") for c in NEG_COLS] + \
+        [("invalid_values", "transaction_date", "future_dates", "fut", "'MEDIUM'"),
+         ("invalid_values", "quantity", "zero_quantity", "zero", "'MEDIUM'")]
+    return ST.sql_typed() + _sql_long(items, "SELECT " + ", ".join(aggs) + " FROM ty")
+
+
+@register("det_invalid", _det_invalid_sql())
+def q_det_invalid(spark, sf_dir):
+    return D.det_invalid(ST.typed(spark, sf_dir), NEG_COLS, ["quantity"], ["transaction_date"], ST.AS_OF)
+
+
+CAT_TEXT = ["transaction_id", "customer_id", "item", "category", "payment_method"]
+
+
+def _det_incons_sql():
+    aggs = ["count(*) AS n"]
+    items = []
+    for c in CAT_TEXT:
+        aggs.append(f"count(DISTINCT {c}) - count(DISTINCT lower({Q.strip(c)})) AS v_{c}")
+        aggs.append(f"count_if(regexp_matches({c}, '^\\s+|\\s+$')) AS w_{c}")
+        items.append(("inconsistencies", c, "case_inconsistency", f"v_{c}", "'LOW'"))
+        items.append(("inconsistencies", c, "whitespace", f"w_{c}", "'LOW'"))
+    return ST.sql_nulled() + _sql_long(items, "SELECT " + ", ".join(aggs) + " FROM nl")
+
+
+@register("det_inconsistent", _det_incons_sql())
+def q_det_inconsistent(spark, sf_dir):
+    return D.det_inconsistent(ST.nulled(spark, sf_dir), CAT_TEXT)
+
+
+@register("det_formula", ST.sql_typed() + _sql_long(
+    [("business_violations", "total_spent", "formula", "v", "'HIGH'")],
+    "SELECT count(*) AS n, count_if(abs(quantity * price_per_unit - total_spent) > 0.01) AS v FROM ty"))
+def q_det_formula(spark, sf_dir):
+    return D.det_formula(ST.typed(spark, sf_dir), ["quantity", "price_per_unit", "total_spent"])
+
+
+def _outlier_sql():
+    parts = []
+    for c in NUMERIC_TYPED:
+        x = f"CAST({c} AS DOUBLE)"
+        parts.append(f"""SELECT '{c}' AS column_name, n, q1, q3, q1 - 1.5 * (q3 - q1) AS lower, q3 + 1.5 * (q3 - q1) AS upper,
+ (SELECT CAST(count_if({x} < s.q1 - 1.5 * (s.q3 - s.q1) OR {x} > s.q3 + 1.5 * (s.q3 - s.q1)) AS BIGINT) FROM ty) AS iqr_count,
+ (SELECT CAST(count_if(abs(({x} - s.mu) / s.sd) > 3) AS BIGINT) FROM ty) AS z_count, sd
+ FROM (SELECT count({x}) AS n, quantile_cont({x}, 0.25) AS q1, quantile_cont({x}, 0.75) AS q3,
+       avg({x}) AS mu, stddev_pop({x}) AS sd FROM ty) s""")
+    return (ST.sql_typed() + ", o AS (" + " UNION ALL ".join(parts) + ") SELECT column_name, n, q1, q3, lower, upper, "
+            "iqr_count, z_count FROM o WHERE n >= 10 AND sd > 0 AND q3 - q1 <> 0")
+
+
+@register("det_outlier_iqr", _outlier_sql())
+def q_det_outlier_iqr(spark, sf_dir):
+    return D.outlier_counts(ST.typed(spark, sf_dir), NUMERIC_TYPED)
+
+
+def _issue_totals_sql():
+    # the union of the detector oracles above, grouped by category
+    names = ("det_missing", "det_dup_rows", "det_dup_ids", "det_invalid", "det_inconsistent", "det_formula")
+    u = " UNION ALL ".join(f"SELECT * FROM ({ORACLE[n]})" for n in names)
+    return (f"SELECT category, CAST(sum(count) AS BIGINT) AS total, count(*) AS issues FROM ({u}) "
+            "GROUP BY category")
+
+
+@register("issue_totals", _issue_totals_sql())
+def q_issue_totals(spark, sf_dir):
+    raw_df, ty, nl = ST.raw(spark, sf_dir), ST.typed(spark, sf_dir), ST.nulled(spark, sf_dir)
+    smap = SEM.semantic_map(raw_df)
+    parts = [D.det_missing(raw_df, smap), D.det_dup_rows(raw_df),
+             D.det_dup_ids(raw_df, ["transaction_id", "customer_id", "customer_rating"]),
+             D.det_invalid(ty, NEG_COLS, ["quantity"], ["transaction_date"], ST.AS_OF),
+             D.det_inconsistent(nl, CAT_TEXT), D.det_formula(ty, ["quantity", "price_per_unit", "total_spent"])]
+    return D.issue_totals(D.problems_union(parts))
