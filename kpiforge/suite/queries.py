@@ -520,3 +520,321 @@ def q_issue_totals(spark, sf_dir):
              D.det_invalid(ty, NEG_COLS, ["quantity"], ["transaction_date"], ST.AS_OF),
              D.det_inconsistent(nl, CAT_TEXT), D.det_formula(ty, ["quantity", "price_per_unit", "total_spent"])]
     return D.issue_totals(D.problems_union(parts))
+
+
+# =========================================================== KPIs, measures, charts (driver tables)
+LI_KPIS = [M.Kpi("Total Quantity", "l_quantity", "sum", "number"),
+           M.Kpi("Avg Price", "l_extendedprice", "mean", "currency"),
+           M.Kpi("Orders", "l_orderkey", "nunique", "number"),
+           M.Kpi("Max Discount", "l_discount", "max", "percentage"),
+           M.Kpi("Min Tax", "l_tax", "min", "percentage"),
+           M.Kpi("Rows", "index", "count", "number"),
+           M.Kpi("Discount per Tax", "l_discount", "ratio", "number", ["l_discount", "l_tax"]),
+           M.Kpi("Unknown agg", "l_quantity", "median", "number"),
+           M.Kpi("Missing column", "no_such_column", "sum", "number")]
+
+
+def _kpi_sql(src: str, where: str = "") -> str:
+    vals = [("Total Quantity", "coalesce(sum(l_quantity), 0)", "number"),
+            ("Avg Price", "coalesce(avg(l_extendedprice), 0)", "currency"),
+            ("Orders", "CAST(count(DISTINCT l_orderkey) AS DOUBLE)", "number"),
+            ("Max Discount", "coalesce(max(l_discount), 0)", "percentage"),
+            ("Min Tax", "coalesce(min(l_tax), 0)", "percentage"),
+            ("Rows", "CAST(count(*) AS DOUBLE)", "number"),
+            ("Discount per Tax", "CASE WHEN sum(l_tax) <> 0 THEN sum(l_discount) / sum(l_tax) ELSE 0 END", "number"),
+            ("Unknown agg", "coalesce(sum(l_quantity), 0)", "number")]
+    parts = [f"SELECT {i} AS position, '{lab}' AS label, round(CAST({e} AS DOUBLE), 4) AS value, '{fmt}' AS fmt "
+             f"FROM {src} {where}" for i, (lab, e, fmt) in enumerate(vals)]
+    return " UNION ALL ".join(parts)
+
+
+def _round_value(df, digits=4):
+    return df.select(*[F.round("value", digits).alias("value") if c == "value" else F.col(c) for c in df.columns])
+
+
+@register("kpi_eval", _kpi_sql("lineitem"))
+def q_kpi_eval(spark, sf_dir):
+    return _round_value(M.kpi_eval(table(spark, sf_dir, "lineitem"), LI_KPIS))
+
+
+FILTERS = {"L_RETURNFLAG": ["R", "A"], "l_linestatus": ["F"], "l_shipmode": [], "no_such": ["x"]}
+
+
+@register("kpi_filtered", _kpi_sql("lineitem", "WHERE CAST(l_returnflag AS VARCHAR) IN ('R', 'A') "
+                                               "AND CAST(l_linestatus AS VARCHAR) IN ('F')"))
+def q_kpi_filtered(spark, sf_dir):
+    return _round_value(M.kpi_filtered(table(spark, sf_dir, "lineitem"), FILTERS, LI_KPIS))
+
+
+@register("filter_in", "SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus FROM lineitem "
+          "WHERE l_returnflag IN ('R', 'A') AND l_linestatus IN ('F')")
+def q_filter_in(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return M.filter_in(li, FILTERS).select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
+
+
+@register("kpi_default", "SELECT 0 AS position, 'L Orderkey' AS label, round(CAST(sum(l_orderkey) AS DOUBLE), 4) AS value, "
+          "'number' AS fmt FROM lineitem UNION ALL SELECT 1, 'L Partkey', round(CAST(sum(l_partkey) AS DOUBLE), 4), "
+          "'number' FROM lineitem UNION ALL SELECT 2, 'L Suppkey', round(CAST(sum(l_suppkey) AS DOUBLE), 4), 'number' "
+          "FROM lineitem UNION ALL SELECT 3, 'L Linenumber', round(CAST(sum(l_linenumber) AS DOUBLE), 4), 'number' FROM lineitem")
+def q_kpi_default(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return _round_value(M.kpi_eval(li, M.default_kpis(li)))
+
+
+@register("slicer_values", "SELECT DISTINCT 'o_orderstatus' AS column_name, o_orderstatus AS value FROM orders "
+          "UNION SELECT DISTINCT 'o_orderpriority', o_orderpriority FROM orders")
+def q_slicer_values(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return M.slicer_values(o, M.default_slicers(o))
+
+
+def _measure_pack_sql():
+    tot = Q.num_parse("regexp_replace(total_spent, '[₹$£€,]', '', 'g')")
+    tot_sum = f"CAST(sum(CAST({tot} AS DECIMAL(38,6))) AS DOUBLE)"
+    qty_sum = "CAST(sum(CAST(" + Q.num_parse("regexp_replace(quantity, '[₹$£€,]', '', 'g')") + " AS DECIMAL(38,6))) AS DOUBLE)"
+    qty = Q.num_parse("regexp_replace(quantity, '[₹$£€,]', '', 'g')")
+    pri = Q.num_parse("regexp_replace(price_per_unit, '[₹$£€,]', '', 'g')")
+    rows = [("Total_Revenue", tot_sum), ("Avg_Order_Value", f"round(avg({tot}), 2)"),
+            ("Total_Units_Sold", qty_sum), ("Avg_Units_Per_Order", f"round(avg({qty}), 2)"),
+            ("Avg_Selling_Price", f"round(avg({pri}), 2)"),
+            ("Unique_Customers", "CAST(count(DISTINCT customer_id) AS DOUBLE)"),
+            ("Revenue_Per_Customer", f"round(sum({tot}) / count(DISTINCT customer_id), 2)"),
+            ("Avg_Review_Score", "round(avg(CAST(customer_rating AS DOUBLE)), 2)"),
+            ("Discount_Rate_%", f"round(avg(CASE WHEN {Q.bool_word('discount_applied')} THEN 1.0 ELSE 0.0 END) * 100, 2)")]
+    return ST.sql_raw() + " " + " UNION ALL ".join(
+        f"SELECT '{n}' AS name, round(CAST({e} AS DOUBLE), 2) AS value FROM ds" for n, e in rows)
+
+
+@register("measure_pack", _measure_pack_sql())
+def q_measure_pack(spark, sf_dir):
+    out = M.measure_pack(ST.raw(spark, sf_dir))
+    return out.select("name", F.round("value", 2).alias("value"))
+
+
+def _li_fin(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    rev = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    return li.select("l_orderkey", "l_partkey", "l_quantity", "l_returnflag", "l_linestatus",
+                     F.round(rev, 2).alias("total_revenue"),
+                     F.round(rev - F.col("l_extendedprice") * F.col("l_tax"), 2).alias("profit"),
+                     F.round(F.col("l_extendedprice") * F.col("l_tax"), 2).alias("cost"),
+                     (F.col("l_discount") > 0.05).alias("discount_applied"))
+
+
+LI_FIN_SQL = ("WITH lf AS (SELECT l_orderkey, l_partkey, l_quantity, l_returnflag, l_linestatus, "
+              "round(l_extendedprice * (1 - l_discount), 2) AS total_revenue, "
+              "round(l_extendedprice * (1 - l_discount) - l_extendedprice * l_tax, 2) AS profit, "
+              "round(l_extendedprice * l_tax, 2) AS cost, l_discount > 0.05 AS discount_applied FROM lineitem)")
+
+MEASURES = {
+    "measure_sum": (M.Measure("Total_Revenue", "sum", ["total_revenue"]),
+                    "round(CAST(sum(CAST(total_revenue AS DECIMAL(38,6))) AS DOUBLE), 2)"),
+    "measure_mean": (M.Measure("Avg_Order_Value", "mean", ["total_revenue"]), "round(avg(total_revenue), 2)"),
+    "measure_nunique": (M.Measure("Unique_Customers", "nunique", ["l_orderkey"]),
+                        "CAST(count(DISTINCT l_orderkey) AS DOUBLE)"),
+    "measure_profit_margin": (M.Measure("Profit_Margin_%", "profit_margin", ["profit", "total_revenue"]),
+                              "CASE WHEN sum(total_revenue) <> 0 THEN round(sum(profit) / sum(total_revenue) * 100, 2) ELSE 0 END"),
+    "measure_ratio": (M.Measure("Cost_to_Revenue", "ratio", ["cost", "total_revenue"]),
+                      "CASE WHEN sum(total_revenue) <> 0 THEN round(sum(cost) / sum(total_revenue), 4) ELSE 0 END"),
+    "measure_rev_per_customer": (M.Measure("Revenue_Per_Customer", "rev_per_cust", ["total_revenue", "l_orderkey"]),
+                                 "round(sum(total_revenue) / count(DISTINCT l_orderkey), 2)"),
+    "measure_discount_rate": (M.Measure("Discount_Rate_%", "discount_rate", ["discount_applied"]),
+                              "round(avg(CASE WHEN discount_applied THEN 1.0 ELSE 0.0 END) * 100, 2)"),
+}
+
+
+def _measure_query(m):
+    def run(spark, sf_dir):
+        out = M.evaluate_measures(_li_fin(spark, sf_dir), [m])
+        return out.select("name", F.round("value", 2).alias("value"))
+    return run
+
+
+for _name, (_m, _sql) in MEASURES.items():
+    register(_name, LI_FIN_SQL + f" SELECT '{_m.name}' AS name, round(CAST({_sql} AS DOUBLE), 2) AS value FROM lf")(
+        _measure_query(_m))
+
+
+@register("attach_scalars", LI_FIN_SQL + " SELECT l_orderkey, l_partkey, total_revenue, "
+          "round(CAST(sum(CAST(total_revenue AS DECIMAL(38,6))) OVER () AS DOUBLE), 2) AS revenue_all FROM lf WHERE l_returnflag = 'R'")
+def q_attach_scalars(spark, sf_dir):
+    lf = _li_fin(spark, sf_dir).where(F.col("l_returnflag") == "R").select("l_orderkey", "l_partkey", "total_revenue")
+    out = M.attach_measures(lf, [M.Measure("revenue_all", "sum", ["total_revenue"])])
+    return out.withColumn("revenue_all", F.round("revenue_all", 2))
+
+
+@register("chart_pie_axes", "SELECT o_orderpriority, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY o_orderpriority")
+def q_chart_pie_axes(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    g = M.chart_pie(o, "o_totalprice", "o_orderpriority", "sum")   # numeric x, text y -> swapped
+    return g.select("o_orderpriority", F.round("value", 2).alias("value"))
+
+
+@register("chart_share", "SELECT event_type, round(sum(value), 4) AS value, round(sum(value) / sum(sum(value)) OVER (), 6) "
+          "AS share FROM events WHERE event_type IS NOT NULL GROUP BY event_type")
+def q_chart_share(spark, sf_dir):
+    out = M.chart_share(table(spark, sf_dir, "events"), "event_type", "value")
+    return out.select("event_type", F.round("value", 4).alias("value"), F.round("share", 6).alias("share"))
+
+
+@register("chart_time", "SELECT date_trunc('month', ts) AS period, round(coalesce(sum(value), 0), 4) AS value FROM events "
+          "WHERE ts IS NOT NULL GROUP BY 1")
+def q_chart_time(spark, sf_dir):
+    out = M.chart_time(table(spark, sf_dir, "events"), "ts", "value", "sum")
+    return out.select("period", F.round("value", 4).alias("value"))
+
+
+@register("chart_hist", """WITH mm AS (SELECT min(value) AS lo, max(value) AS hi FROM events),
+b AS (SELECT least(CAST(floor((value - lo) / ((hi - lo) / 10)) AS INTEGER), 9) AS bin FROM events, mm WHERE value IS NOT NULL)
+SELECT bin, round(lo + bin * ((hi - lo) / 10), 6) AS bin_start, round(lo + (bin + 1) * ((hi - lo) / 10), 6) AS bin_end,
+       count(*) AS n FROM b, mm GROUP BY bin, lo, hi""")
+def q_chart_hist(spark, sf_dir):
+    out = M.chart_hist(table(spark, sf_dir, "events"), "value", 10)
+    return out.select("bin", F.round("bin_start", 6).alias("bin_start"), F.round("bin_end", 6).alias("bin_end"), "n")
+
+
+@register("chart_scatter", "SELECT CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y, "
+          "round(corr(l_quantity, l_extendedprice) OVER (), 6) AS r FROM lineitem")
+def q_chart_scatter(spark, sf_dir):
+    out = M.chart_scatter(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice")
+    return out.select("x", "y", F.round("r", 6).alias("r"))
+
+
+@register("chart_group_mean", "SELECT o_orderstatus, round(coalesce(avg(o_totalprice), 0), 4) AS value FROM orders "
+          "GROUP BY o_orderstatus")
+def q_chart_group_mean(spark, sf_dir):
+    g = M.chart_group(table(spark, sf_dir, "orders"), "o_orderstatus", "o_totalprice", "mean")
+    return g.select("o_orderstatus", F.round("value", 4).alias("value"))
+
+
+@register("pivot_filter", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS value FROM lineitem "
+          "GROUP BY l_returnflag, l_linestatus")
+def q_pivot_filter(spark, sf_dir):
+    out = M.pivot_filter(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity", "sum", page="l_linestatus")
+    return out.select("l_returnflag", "l_linestatus", F.round("value", 2).alias("value"))
+
+
+@register("top_sellers", "SELECT l_partkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS total FROM lineitem "
+          "GROUP BY l_partkey ORDER BY sum(l_extendedprice * (1 - l_discount)) DESC, l_partkey LIMIT 10")
+def q_top_sellers(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").withColumn(
+        "revenue", F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    out = M.top_sellers(li, "l_partkey", "revenue", 10)
+    return out.select("l_partkey", F.round("total", 2).alias("total"))
+
+
+@register("result_head", "SELECT o_orderkey, o_custkey, o_orderstatus, count(*) OVER () AS total_rows FROM orders "
+          "ORDER BY o_orderkey LIMIT 5")
+def q_result_head(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return M.result_head(o, ["o_orderkey"], 5)
+
+
+@register("limit_pairs", "SELECT l_quantity, l_extendedprice FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, "
+          "l_suppkey, l_quantity, l_extendedprice LIMIT 100")
+def q_limit_pairs(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return M.limit_pairs(li, "l_quantity", "l_extendedprice",
+                         ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"], 100)
+
+
+@register("kpi_format")
+def q_kpi_format(spark, sf_dir):
+    k = M.kpi_eval(table(spark, sf_dir, "lineitem"), LI_KPIS)
+    return k.select("label", M.kpi_format(F.col("value"), F.col("fmt")).alias("display"))
+
+
+@register("project_keep", ST.sql_raw() + " SELECT transaction_id, category, total_spent FROM ds")
+def q_project_keep(spark, sf_dir):
+    return M.project_keep(ST.raw(spark, sf_dir), ["transaction_id", "category", "total_spent"])
+
+
+@register("filter_not_null", ST.sql_nulled() + " SELECT category, total_spent FROM nl WHERE category IS NOT NULL "
+          "AND total_spent IS NOT NULL")
+def q_filter_not_null(spark, sf_dir):
+    return M.filter_not_null(ST.nulled(spark, sf_dir).select("category", "total_spent"), ["category", "total_spent"])
+
+
+@register("union_parts", ST.sql_nulled() + " SELECT item, count(*) AS n FROM (SELECT * FROM nl WHERE item IS NOT NULL "
+          "UNION ALL SELECT * FROM nl WHERE item IS NULL) GROUP BY item")
+def q_union_parts(spark, sf_dir):
+    u = R.union_parts(ST.nulled(spark, sf_dir), "item")
+    return u.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("mode_value", ST.sql_nulled() + " " + " UNION ALL ".join(
+    f"SELECT * FROM (SELECT '{c}' AS column_name, {c} AS mode_value, count(*) AS mode_count FROM nl WHERE {c} IS NOT NULL "
+    f"GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)" for c in ["item", "category", "payment_method", "customer_id"]))
+def q_mode_value(spark, sf_dir):
+    from kpiforge.functions.stats import modes_frame
+    return modes_frame(ST.nulled(spark, sf_dir), ["item", "category", "payment_method", "customer_id"])
+
+
+# =========================================================== dates and casts
+def _vote_sql():
+    parts = []
+    for i, (py, sp) in enumerate(K.DATE_FORMATS):
+        parts.append(f"SELECT {i} AS format_order, '{py}' AS format, '{sp}' AS spark_format, "
+                     f"count(try_strptime({Q.strip('transaction_date')}, '{py}')) AS parsed FROM nl")
+    return ST.sql_nulled() + " " + " UNION ALL ".join(parts)
+
+
+@register("date_format_vote", _vote_sql())
+def q_date_format_vote(spark, sf_dir):
+    return R.date_format_vote(ST.nulled(spark, sf_dir), "transaction_date")
+
+
+@register("date_parse", ST.sql_typed() + f" SELECT transaction_id, CASE WHEN year(transaction_date) BETWEEN 1990 AND "
+          f"{ST.AS_OF.year + 1} THEN transaction_date END AS transaction_date FROM ty")
+def q_date_parse(spark, sf_dir):
+    df = R.date_parse(ST.nulled(spark, sf_dir), "transaction_date", ST.AS_OF)
+    return df.select("transaction_id", "transaction_date")
+
+
+@register("date_epoch", "SELECT event_id, CAST(ts AS DATE) AS d_seconds, CAST(ts AS DATE) AS d_millis FROM events")
+def q_date_epoch(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").select("event_id", F.unix_timestamp("ts").alias("d_seconds"),
+                                               (F.unix_timestamp("ts") * 1000).alias("d_millis"))
+    assert R.looks_like_epoch(ev, "d_seconds") and R.looks_like_epoch(ev, "d_millis")
+    return R.date_epoch(R.date_epoch(ev, "d_seconds", ST.AS_OF), "d_millis", ST.AS_OF)
+
+
+@register("fix_future", ST.sql_typed() + f" SELECT transaction_id, CASE WHEN transaction_date > DATE '{ST.AS_OF}' "
+          f"THEN DATE '{ST.AS_OF}' ELSE transaction_date END AS transaction_date FROM ty")
+def q_fix_future(spark, sf_dir):
+    return R.fix_future(ST.typed(spark, sf_dir).select("transaction_id", "transaction_date"), "transaction_date", ST.AS_OF)
+
+
+@register("date_parts", ST.sql_typed() + " SELECT transaction_id, transaction_date, year(transaction_date) AS transaction_date_Year, "
+          "month(transaction_date) AS transaction_date_Month, quarter(transaction_date) AS transaction_date_Quarter FROM ty")
+def q_date_parts(spark, sf_dir):
+    return M.date_parts(ST.typed(spark, sf_dir).select("transaction_id", "transaction_date"), ["transaction_date"])
+
+
+@register("derive_month_name", "SELECT DISTINCT o_orderdate, monthname(o_orderdate) AS month_name FROM orders")
+def q_derive_month_name(spark, sf_dir):
+    return M.month_name(table(spark, sf_dir, "orders").select("o_orderdate"), "o_orderdate").distinct()
+
+
+@register("cast_integer", ST.sql_nulled() + f", p AS (SELECT transaction_id, {Q.num_locale('quantity')} AS quantity FROM nl) "
+          "SELECT transaction_id, CAST(trunc(coalesce(quantity, (SELECT quantile_cont(quantity, 0.5) FROM p))) AS BIGINT) "
+          "AS quantity FROM p")
+def q_cast_integer(spark, sf_dir):
+    return R.cast_integer(ST.nulled(spark, sf_dir).select("transaction_id", "quantity"), ["quantity"])
+
+
+@register("cast_float", ST.sql_nulled() + f" SELECT transaction_id, round({Q.num_locale('price_per_unit')}, 2) AS price_per_unit FROM nl")
+def q_cast_float(spark, sf_dir):
+    return R.cast_float(ST.nulled(spark, sf_dir).select("transaction_id", "price_per_unit"), ["price_per_unit"])
+
+
+@register("map_values", """WITH memory AS (SELECT n.n_name AS from_value, r.r_name AS to_value FROM nation n JOIN region r
+ ON n.n_regionkey = r.r_regionkey), c AS (SELECT c.c_custkey, n.n_name AS place FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey)
+SELECT c_custkey, coalesce(m.to_value, c.place) AS place FROM c LEFT JOIN memory m ON c.place = m.from_value""")
+def q_map_values(spark, sf_dir):
+    nation, region, cust = (table(spark, sf_dir, t) for t in ("nation", "region", "customer"))
+    memory = nation.join(region, nation.n_regionkey == region.r_regionkey).select(
+        F.col("n_name").alias("from_value"), F.col("r_name").alias("to_value"))
+    c = cust.join(nation, cust.c_nationkey == nation.n_nationkey).select("c_custkey", F.col("n_name").alias("place"))
+    return R.map_values(c, "place", memory)
