@@ -615,17 +615,24 @@ def q_measure_pack(spark, sf_dir):
 def _li_fin(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     rev = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    # money rounded through DECIMAL so every engine rounds the same value half-up
+    def r2(x):
+        return F.round(x.cast("decimal(38,10)"), 2).cast("double")
     return li.select("l_orderkey", "l_partkey", "l_quantity", "l_returnflag", "l_linestatus",
-                     F.round(rev, 2).alias("total_revenue"),
-                     F.round(rev - F.col("l_extendedprice") * F.col("l_tax"), 2).alias("profit"),
-                     F.round(F.col("l_extendedprice") * F.col("l_tax"), 2).alias("cost"),
+                     r2(rev).alias("total_revenue"),
+                     r2(rev - F.col("l_extendedprice") * F.col("l_tax")).alias("profit"),
+                     r2(F.col("l_extendedprice") * F.col("l_tax")).alias("cost"),
                      (F.col("l_discount") > 0.05).alias("discount_applied"))
 
 
+def _r2sql(e):
+    return f"CAST(round(CAST({e} AS DECIMAL(38,10)), 2) AS DOUBLE)"
+
+
 LI_FIN_SQL = ("WITH lf AS (SELECT l_orderkey, l_partkey, l_quantity, l_returnflag, l_linestatus, "
-              "round(l_extendedprice * (1 - l_discount), 2) AS total_revenue, "
-              "round(l_extendedprice * (1 - l_discount) - l_extendedprice * l_tax, 2) AS profit, "
-              "round(l_extendedprice * l_tax, 2) AS cost, l_discount > 0.05 AS discount_applied FROM lineitem)")
+              f"{_r2sql('l_extendedprice * (1 - l_discount)')} AS total_revenue, "
+              f"{_r2sql('l_extendedprice * (1 - l_discount) - l_extendedprice * l_tax')} AS profit, "
+              f"{_r2sql('l_extendedprice * l_tax')} AS cost, l_discount > 0.05 AS discount_applied FROM lineitem)")
 
 MEASURES = {
     "measure_sum": (M.Measure("Total_Revenue", "sum", ["total_revenue"]),
@@ -838,3 +845,211 @@ def q_map_values(spark, sf_dir):
         F.col("n_name").alias("from_value"), F.col("r_name").alias("to_value"))
     c = cust.join(nation, cust.c_nationkey == nation.n_nationkey).select("c_custkey", F.col("n_name").alias("place"))
     return R.map_values(c, "place", memory)
+
+
+# =========================================================== sources, sinks, catalog
+from kpiforge.operators import select as SEL  # noqa: E402
+from kpiforge.operators import sqlbatch as SB  # noqa: E402
+from kpiforge.session import scratch_path  # noqa: E402
+from kpiforge.sources import files as FS  # noqa: E402
+
+
+@register("src_csv", ST.sql_raw() + " SELECT * FROM ds")
+def q_src_csv(spark, sf_dir):
+    """dirty_sales written to CSV in the shared folder, read back typed (first 10,000 rows infer)."""
+    path = FS.write_csv(ST.raw(spark, sf_dir), scratch_path(spark, "src_csv"))
+    return FS.read_csv_typed(spark, path)
+
+
+@register("src_csv_string", ST.sql_raw() + " SELECT " + ", ".join(TEXT) +
+          ", CAST(customer_rating AS VARCHAR) AS customer_rating FROM ds")
+def q_src_csv_string(spark, sf_dir):
+    path = FS.write_csv(ST.raw(spark, sf_dir), scratch_path(spark, "src_csv_string"))
+    return FS.read_csv_strings(spark, path)
+
+
+@register("src_csv_encoding")
+def q_src_csv_encoding(spark, sf_dir):
+    """documents written as ISO-8859-1 CSV; the UTF-8 probe finds bad bytes and re-reads as Latin-1."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    path = scratch_path(spark, "src_csv_latin1")
+    docs.write.mode("overwrite").options(**FS.CSV_EXACT).option("encoding", "ISO-8859-1").csv(path)
+    return FS.read_csv_any_encoding(spark, path)
+
+
+@register("src_json")
+def q_src_json(spark, sf_dir):
+    path = scratch_path(spark, "src_json")
+    table(spark, sf_dir, "orders").write.mode("overwrite").json(path)
+    return FS.read_json(spark, path)
+
+
+@register("cat_tables")
+def q_cat_tables(spark, sf_dir):
+    from kpiforge.sources.tables import register_tables
+    register_tables(spark, sf_dir)
+    return FS.list_tables(spark)
+
+
+@register("cat_describe")
+def q_cat_describe(spark, sf_dir):
+    names = ("orders", "lineitem", "customer")
+    return FS.describe_tables(spark, {n: table(spark, sf_dir, n) for n in names})
+
+
+@register("preview", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority, "
+          "count(*) OVER () AS n_rows, 6 AS n_columns FROM orders ORDER BY o_orderkey LIMIT 10")
+def q_preview(spark, sf_dir):
+    return FS.preview(table(spark, sf_dir, "orders"), ["o_orderkey"], 10)
+
+
+MESSY = {"transaction_id": " Transaction ID ", "price_per_unit": "Price Per Unit ($)", "total_spent": "Total-Spent",
+         "category": "__Category__"}
+
+
+@register("norm_names", ST.sql_raw() + " SELECT transaction_id, price_per_unit, total_spent, category FROM ds")
+def q_norm_names(spark, sf_dir):
+    df = ST.raw(spark, sf_dir).select(*[F.col(k).alias(v) for k, v in MESSY.items()])
+    out = FS.normalise_names(df)
+    return out.withColumnRenamed("price_per_unit", "price_per_unit")
+
+
+@register("sink_csv")
+def q_sink_csv(spark, sf_dir):
+    df = R.dedup_key(ST.typed(spark, sf_dir), "transaction_id")
+    path = FS.write_csv(df, scratch_path(spark, "sink_csv"))
+    return FS.read_csv_strings(spark, path)
+
+
+@register("sink_report")
+def q_sink_report(spark, sf_dir):
+    raw_df = ST.raw(spark, sf_dir)
+    parts = {"profile": P.column_profile(raw_df), "semantic": SEM.semantic_types(raw_df),
+             "problems": D.det_missing(raw_df)}
+    paths = FS.write_report(spark, parts, scratch_path(spark, "report"))
+    return spark.read.json(paths["profile"])
+
+
+@register("sink_bundle")
+def q_sink_bundle(spark, sf_dir):
+    raw_df = ST.raw(spark, sf_dir)
+    parts = {"raw copy": raw_df, "cleaned copy": R.dedup_key(ST.typed(spark, sf_dir), "transaction_id"),
+             "revenue by category": M.chart_group(ST.typed(spark, sf_dir), "category", "total_spent")}
+    paths = FS.write_bundle(parts, scratch_path(spark, "bundle"))
+    return spark.read.parquet(paths["revenue by category"])
+
+
+# =========================================================== SQL batch and declarative plans
+BATCH = [
+    {"question": "Best sellers by revenue",
+     "sql": "SELECT l_partkey, sum(l_extendedprice * (1 - l_discount)) AS revenue FROM lineitem "
+            "GROUP BY l_partkey ORDER BY revenue DESC LIMIT 5"},
+    {"question": "Orders per status", "sql": "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus"},
+    {"question": "Broken query", "sql": "SELECT no_such_column FROM orders"},
+]
+
+
+@register("sql_batch")
+def q_sql_batch(spark, sf_dir):
+    from kpiforge.sources.tables import register_tables
+    register_tables(spark, sf_dir, ("lineitem", "orders"))
+    return SB.sql_batch(spark, BATCH)
+
+
+PLAN = SB.AnalysisPlan(type_updates={"quantity": "double", "total_spent": "double"},
+                       derivations={"order_month": "month(to_date(transaction_date))",
+                                    "big_order": "CAST(quantity AS DOUBLE) >= 25"},
+                       chart_x="big_order", chart_y="total_spent", chart_agg="count")
+
+
+@register("plan_apply", ST.sql_nulled() + " SELECT TRY_CAST(quantity AS DOUBLE) >= 25 AS big_order, "
+          "CAST(count(TRY_CAST(total_spent AS DOUBLE)) AS DOUBLE) AS value FROM nl GROUP BY 1")
+def q_plan_apply(spark, sf_dir):
+    return SB.plan_apply(ST.nulled(spark, sf_dir), PLAN)
+
+
+# =========================================================== feature selection (lineitem-derived table)
+def _fs_table(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    r2 = lambda x: F.round(x.cast("decimal(38,10)"), 2).cast("double")
+    return li.select("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
+                     r2(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("total_revenue"))
+
+
+FS_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "total_revenue"]
+FS_SQL = ("WITH ft AS (SELECT l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, "
+          f"{_r2sql('l_extendedprice * (1 - l_discount)')} AS total_revenue FROM lineitem)")
+
+
+def _fs_variance_sql():
+    parts = [f"SELECT '{c}' AS column_name, CASE WHEN max({c}) - min({c}) > 0 THEN var_samp({c}) / pow(max({c}) - min({c}), 2) "
+             f"ELSE var_samp({c}) END AS v FROM ft" for c in FS_NUM]
+    return FS_SQL + ", s AS (" + " UNION ALL ".join(parts) + ") SELECT column_name, CASE WHEN v < 0.01 THEN 0.0 " \
+        "ELSE round(v / (SELECT CASE WHEN max(v) > 0 THEN max(v) ELSE 1 END FROM s), 3) END AS variance_score FROM s"
+
+
+@register("fs_variance", _fs_variance_sql())
+def q_fs_variance(spark, sf_dir):
+    return SEL.variance_scores(_fs_table(spark, sf_dir), FS_NUM)
+
+
+@register("fs_pearson", FS_SQL + " " + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, round(abs(corr({c}, total_revenue)), 6) AS pearson FROM ft" for c in FS_NUM[:-1]))
+def q_fs_pearson(spark, sf_dir):
+    out = SEL.pearson_scores(_fs_table(spark, sf_dir), FS_NUM, "total_revenue")
+    return out.select("column_name", F.round("pearson", 6).alias("pearson"))
+
+
+def _fs_mi_sql():
+    qs = ", ".join(f"quantile_cont({c}, [0.25, 0.5, 0.75]) AS q_{c}" for c in FS_NUM)
+    binx = {c: (f"CASE WHEN {c} <= q_{c}[1] THEN '0' WHEN {c} <= q_{c}[2] THEN '1' WHEN {c} <= q_{c}[3] THEN '2' ELSE '3' END")
+            for c in FS_NUM}
+    ybin = binx["total_revenue"].replace("'", "")
+    parts = [f"SELECT '{c}' AS column_name, {binx[c]} AS bx, {ybin} AS yb FROM ft, q" for c in FS_NUM[:-1]]
+    parts += [f"SELECT '{c}' AS column_name, coalesce(CAST({c} AS VARCHAR), '__missing__') AS bx, {ybin} AS yb FROM ft, q"
+              for c in ("l_returnflag", "l_linestatus")]
+    return (FS_SQL + f", q AS (SELECT {qs} FROM ft), l AS (" + " UNION ALL ".join(parts) + "), "
+            "j AS (SELECT column_name, bx, yb, count(*) AS nxy FROM l GROUP BY ALL), "
+            "nx AS (SELECT column_name, bx, sum(nxy) AS nx FROM j GROUP BY ALL), "
+            "ny AS (SELECT column_name, yb, sum(nxy) AS ny FROM j GROUP BY ALL), "
+            "n AS (SELECT column_name, sum(nxy) AS n FROM j GROUP BY ALL), "
+            "mi AS (SELECT j.column_name, greatest(sum(nxy / n * ln(nxy * n / (nx * ny))), 0) AS mi FROM j "
+            "JOIN nx USING (column_name, bx) JOIN ny USING (column_name, yb) JOIN n USING (column_name) GROUP BY j.column_name), "
+            "f AS (SELECT *, CASE WHEN column_name IN ('l_returnflag', 'l_linestatus') THEN 'categorical' ELSE 'numeric' END "
+            "AS family FROM mi) SELECT column_name, family, round(mi, 6) AS mi, round(CASE WHEN max(mi) OVER (PARTITION BY family) > 0 "
+            "THEN least(1.0, mi / max(mi) OVER (PARTITION BY family)) ELSE 0 END, 6) AS mi_score FROM f")
+
+
+@register("fs_mutual_info", _fs_mi_sql())
+def q_fs_mutual_info(spark, sf_dir):
+    out = SEL.mutual_info(_fs_table(spark, sf_dir), FS_NUM + ["l_returnflag", "l_linestatus"], "total_revenue",
+                          FS_NUM)
+    return out.select("column_name", "family", F.round("mi", 6).alias("mi"), F.round("mi_score", 6).alias("mi_score"))
+
+
+@register("fs_collinear")
+def q_fs_collinear(spark, sf_dir):
+    drop = SEL.collinear_drop(_fs_table(spark, sf_dir), FS_NUM)
+    return spark.createDataFrame([(c,) for c in drop], "dropped_column string")
+
+
+@register("fs_forest")
+def q_fs_forest(spark, sf_dir):
+    return SEL.forest_importance(_fs_table(spark, sf_dir), FS_NUM + ["l_returnflag", "l_linestatus"],
+                                 "total_revenue", FS_NUM, trees=20)
+
+
+@register("fs_select")
+def q_fs_select(spark, sf_dir):
+    return SEL.select_columns(_fs_table(spark, sf_dir), requirements="revenue by return flag", use_forest=True)
+
+
+@register("fs_fuse")
+def q_fs_fuse(spark, sf_dir):
+    """Fused score per numeric column from the variance and univariate scores (no forest)."""
+    t = _fs_table(spark, sf_dir)
+    var = {r[0]: r[1] for r in SEL.variance_scores(t, FS_NUM).collect()}
+    pear = {r[0]: r[1] for r in SEL.pearson_scores(t, FS_NUM, "total_revenue").collect()}
+    rows = [(c, round(SEL.fuse(SEL.domain_score(c, "float", 100), var.get(c, 0.5), pear.get(c, 0.0), 0.0, False), 4))
+            for c in FS_NUM[:-1]]
+    return spark.createDataFrame(rows, "column_name string, fused double")
