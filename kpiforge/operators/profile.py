@@ -278,3 +278,81 @@ def null_gate(df: DataFrame) -> DataFrame:
     """Total nulls in the table -> warning / success."""
     tot = df.agg(sum(F.count_if(F.col(c).isNull()) for c in df.columns).cast("bigint").alias("total_nulls"))
     return tot.select("total_nulls", F.when(F.col("total_nulls") > 0, "warning").otherwise("success").alias("status"))
+
+
+# --- fixed values: the five date formats and the boolean words of the second probe
+PROBE_DATE_FORMATS = (("%Y-%m-%d", "yyyy-M-d"), ("%d-%m-%Y", "d-M-yyyy"), ("%d/%m/%Y", "d/M/yyyy"),
+                      ("%Y/%m/%d", "yyyy/M/d"), ("%d %b %Y", "d MMM yyyy"))
+
+
+def type_probe(df: DataFrame, cols: Optional[Sequence[str]] = None) -> DataFrame:
+    """Second type probe on text: currency/comma/space stripped > 85 % numeric ->
+    integer/float; one of five date formats > 80 % -> datetime; boolean words ->
+    boolean; else categorical (empty when no value)."""
+    cols = list(cols or df.columns)
+    aggs = []
+    for i, c in enumerate(cols):
+        s = S.as_text(c)
+        num = S.num_parse(F.regexp_replace(s, r"[₹$£€,\s]", ""))
+        aggs += [F.count(c).alias(f"nn{i}"), F.count(num).alias(f"num{i}"),
+                 F.count_if(num.isNotNull() & (num != F.floor(num))).alias(f"frac{i}"),
+                 F.count_if(F.col(c).isNotNull() & ~F.lower(s).isin(list(K.BOOL_WORDS))).alias(f"nb{i}")]
+        for j, (_, sp) in enumerate(PROBE_DATE_FORMATS):
+            aggs.append(F.count(S.parse_date_formats(s, [sp])).alias(f"d{i}_{j}"))
+    row = df.agg(*aggs)
+    out = []
+    for i, c in enumerate(cols):
+        nn = F.col(f"nn{i}")
+        date_ok = None
+        for j in range(len(PROBE_DATE_FORMATS)):
+            t = F.col(f"d{i}_{j}") / nn > 0.8
+            date_ok = t if date_ok is None else (date_ok | t)
+        kind = (F.when(nn == 0, "empty")
+                .when(F.col(f"num{i}") / nn > 0.85, F.when(F.col(f"frac{i}") == 0, "integer").otherwise("float"))
+                .when(date_ok, "datetime").when(F.col(f"nb{i}") == 0, "boolean").otherwise("categorical"))
+        out.append(F.struct(F.lit(c).alias("column_name"), kind.alias("probe_type")))
+    return row.select(F.inline(F.array(*out)))
+
+
+TYPE_CONVERT_NUMBER = r"^[\$€£\s]*[\d,]+(\.\d+)?\s*$"
+TYPE_CONVERT_DATE = r"(\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}|\d{4}-\d{2}-\d{2})"
+TYPE_CONVERT_DATE_WORDS = ("date", "time", "day", "year", "month")
+TYPE_CONVERT_NONE_WORDS = ("None", "none", "null", "NULL", "NONE")
+
+
+def type_convert(df: DataFrame) -> DataFrame:
+    """convert_smart_types: per text column pick number / ISO date / day-first date
+    by success rates (> 70 %) from one aggregate, then one ``select`` of casts.
+    Text columns left as text get no-data words and NULL as ''."""
+    text = [c for c, t in df.dtypes if t == "string"]
+    aggs = []
+    for i, c in enumerate(text):
+        s = F.col(c)
+        num = S.num_parse(F.regexp_replace(s, r"[^\d.\-]", ""))
+        iso = F.to_date(F.try_to_timestamp(s, F.lit("yyyy-MM-dd")))
+        norm = F.regexp_replace(s, r"[/.]", "-")
+        mixed = S.parse_date_formats(norm, ["d-M-yyyy", "yyyy-M-d", "d-M-yy"])
+        aggs += [F.count(s).alias(f"nn{i}"), F.count_if(F.lower(s).isin("none", "null", "nan", "")).alias(f"none{i}"),
+                 F.count_if(s.rlike(TYPE_CONVERT_NUMBER)).alias(f"pat{i}"), F.count(num).alias(f"num{i}"),
+                 F.count_if(s.rlike(TYPE_CONVERT_DATE)).alias(f"dpat{i}"), F.count(iso).alias(f"iso{i}"),
+                 F.count(mixed).alias(f"mix{i}")]
+    r = df.agg(*aggs).first() if text else None
+    new = {}
+    for i, c in enumerate(text):
+        nn = r[f"nn{i}"]
+        s = F.col(c)
+        if nn == 0 or r[f"none{i}"] > nn * 0.7:
+            continue
+        if r[f"pat{i}"] / nn > 0.7 and r[f"num{i}"] / nn > 0.7:
+            new[c] = S.num_parse(F.regexp_replace(s, r"[^\d.\-]", ""))
+            continue
+        if any(w in c.lower() for w in TYPE_CONVERT_DATE_WORDS) or r[f"dpat{i}"] / nn > 0.5:
+            if r[f"iso{i}"] / nn > 0.7:
+                new[c] = F.try_to_timestamp(s, F.lit("yyyy-MM-dd"))
+                continue
+            if r[f"mix{i}"] / nn > 0.7:
+                new[c] = F.to_timestamp(S.parse_date_formats(F.regexp_replace(s, r"[/.]", "-"),
+                                                             ["d-M-yyyy", "yyyy-M-d", "d-M-yy"]))
+                continue
+        new[c] = F.when(s.isNull() | s.isin(*TYPE_CONVERT_NONE_WORDS), F.lit("")).otherwise(s)
+    return df.select(*[new[c].alias(c) if c in new else F.col(c) for c in df.columns])

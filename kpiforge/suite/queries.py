@@ -1053,3 +1053,232 @@ def q_fs_fuse(spark, sf_dir):
     rows = [(c, round(SEL.fuse(SEL.domain_score(c, "float", 100), var.get(c, 0.5), pear.get(c, 0.0), 0.0, False), 4))
             for c in FS_NUM[:-1]]
     return spark.createDataFrame(rows, "column_name string, fused double")
+
+
+# =========================================================== type probes
+def _probe_sql():
+    parts = []
+    for c in DS:
+        s = f"CAST({c} AS VARCHAR)"
+        num = Q.num_parse(f"regexp_replace({s}, '[₹$£€,\\s]', '', 'g')")
+        dates = " OR ".join(f"count(try_strptime({Q.strip(s)}, '{py}')) / count({c}) > 0.8" for py, _ in P.PROBE_DATE_FORMATS)
+        parts.append(f"SELECT '{c}' AS column_name, CASE WHEN count({c}) = 0 THEN 'empty' "
+                     f"WHEN count({num}) / count({c}) > 0.85 THEN CASE WHEN count_if({num} <> floor({num})) = 0 "
+                     f"THEN 'integer' ELSE 'float' END WHEN {dates} THEN 'datetime' "
+                     f"WHEN count_if({c} IS NOT NULL AND lower({s}) NOT IN ({', '.join(Q.q(w) for w in K.BOOL_WORDS)})) = 0 "
+                     f"THEN 'boolean' ELSE 'categorical' END AS probe_type FROM nl")
+    return ST.sql_nulled() + " " + " UNION ALL ".join(parts)
+
+
+@register("type_probe", _probe_sql())
+def q_type_probe(spark, sf_dir):
+    return P.type_probe(ST.nulled(spark, sf_dir))
+
+
+@register("type_convert", ST.sql_raw() + " SELECT "
+          f"{Q.num_parse(chr(114) + 'egexp_replace(quantity, ' + chr(39) + '[^0-9.-]' + chr(39) + ', ' + chr(39) + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} AS quantity, "
+          f"{Q.num_parse('regexp_replace(price_per_unit, ' + chr(39) + '[^0-9.-]' + chr(39) + ', ' + chr(39) + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} AS price_per_unit, "
+          f"{Q.num_parse('regexp_replace(total_spent, ' + chr(39) + '[^0-9.-]' + chr(39) + ', ' + chr(39) + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} AS total_spent, "
+          "try_strptime(transaction_date, '%Y-%m-%d') AS transaction_date, "
+          + ", ".join(f"CASE WHEN {c} IS NULL OR {c} IN ('None','none','null','NULL','NONE') THEN '' ELSE {c} END AS {c}"
+                      for c in ["transaction_id", "customer_id", "item", "category", "discount_applied", "payment_method"])
+          + ", customer_rating FROM ds")
+def q_type_convert(spark, sf_dir):
+    return P.type_convert(ST.raw(spark, sf_dir))
+
+
+def _light_sql():
+    cols = [("o_orderkey", "bigint", True), ("o_custkey", "bigint", True), ("o_orderstatus", "string", False),
+            ("o_totalprice", "double", True), ("o_orderdate", "timestamp_ntz", False), ("o_orderpriority", "string", False)]
+    parts = []
+    for c, t, num in cols:
+        mm = (f"min(CAST({c} AS DOUBLE)), max(CAST({c} AS DOUBLE)), avg(CAST({c} AS DOUBLE))" if num
+              else "CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)")
+        parts.append(f"SELECT '{c}' AS column_name, '{t}' AS dtype, count(DISTINCT {c}) AS unique, "
+                     f"count_if({c} IS NULL) AS missing, {mm} FROM orders")
+    return ("WITH p(column_name, dtype, \"unique\", missing, mn, mx, av) AS (" + " UNION ALL ".join(parts) + ") "
+            "SELECT column_name, dtype, \"unique\", missing, round(mn, 4) AS min, round(mx, 4) AS max, "
+            "round(av, 4) AS mean FROM p")
+
+
+@register("prof_light", _light_sql())
+def q_prof_light(spark, sf_dir):
+    out = P.light_profile(table(spark, sf_dir, "orders"))
+    return out.select("column_name", "dtype", "unique", "missing", F.round("min", 4).alias("min"),
+                      F.round("max", 4).alias("max"), F.round("mean", 4).alias("mean"))
+
+
+_DASH_LABEL = ("CASE WHEN (lower(column_name) LIKE '%date%' OR lower(column_name) LIKE '%time%' OR lower(column_name) LIKE '%day%' "
+               "OR lower(column_name) LIKE '%month%' OR lower(column_name) LIKE '%year%' OR lower(column_name) LIKE '%period%' "
+               "OR lower(column_name) LIKE '%created%' OR lower(column_name) LIKE '%updated%') "
+               "AND date_count / (n_rows - null_count) > 0.8 THEN 'datetime' WHEN dtype <> 'string' THEN dtype "
+               "WHEN num_count / (n_rows - null_count) > 0.8 THEN CASE WHEN whole_count = num_count THEN 'int64' ELSE 'float64' END "
+               "ELSE 'string' END")
+
+
+@register("prof_dashboard", ST.sql_raw() + f", w AS ({_wide_sql('ds', RAW_TYPES)}) SELECT column_name, {_DASH_LABEL} AS label, "
+          "distinct_nonnull AS unique, null_count AS missing, CASE WHEN num_count / (n_rows - null_count) > 0.8 "
+          "THEN round(num_mean, 4) END AS mean FROM w")
+def q_prof_dashboard(spark, sf_dir):
+    return P.dashboard_profile(ST.raw(spark, sf_dir))
+
+
+# =========================================================== repairs (SQL-checked)
+def _med(c, src="ty"):
+    return f"(SELECT quantile_cont(CAST({c} AS DOUBLE), 0.5) FROM {src})"
+
+
+@register("impute_median", ST.sql_typed() + f" SELECT transaction_id, coalesce(quantity, {_med('quantity')}) AS quantity, "
+          f"coalesce(price_per_unit, {_med('price_per_unit')}) AS price_per_unit FROM ty")
+def q_impute_median(spark, sf_dir):
+    df = ST.typed(spark, sf_dir).select("transaction_id", "quantity", "price_per_unit")
+    return R.impute_median(df, ["quantity", "price_per_unit"])
+
+
+def _mode(c, src="nl"):
+    return f"(SELECT {c} FROM {src} WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)"
+
+
+@register("impute_mode", ST.sql_nulled() + f" SELECT transaction_id, coalesce(item, {_mode('item')}) AS item, "
+          f"coalesce(category, {_mode('category')}) AS category FROM nl")
+def q_impute_mode(spark, sf_dir):
+    return R.impute_mode(ST.nulled(spark, sf_dir).select("transaction_id", "item", "category"), ["item", "category"])
+
+
+@register("impute_business", ST.sql_typed() + " SELECT transaction_id, coalesce(discount_applied, false) AS discount_applied FROM ty")
+def q_impute_business(spark, sf_dir):
+    return R.impute_business(ST.typed(spark, sf_dir).select("transaction_id", "discount_applied"), ["discount_applied"])
+
+
+@register("impute_identifier", ST.sql_nulled() + " SELECT coalesce(item, 'unknown') AS item, count(*) AS n FROM nl GROUP BY 1")
+def q_impute_identifier(spark, sf_dir):
+    out = R.impute_identifier(ST.nulled(spark, sf_dir).select("item"), ["item"])
+    return out.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _strategy_sql():
+    sem = {"transaction_id": "TransactionID", "customer_id": "CustomerID", "item": "ProductName", "category": "Category",
+           "quantity": "Quantity", "price_per_unit": "Price", "total_spent": "Unknown", "discount_applied": "Discount",
+           "transaction_date": "Unknown", "payment_method": "PaymentMethod", "customer_rating": "CustomerID"}
+    numeric = {"quantity", "price_per_unit", "total_spent", "customer_rating"}
+    parts = []
+    for c in TYPED_COLS:
+        pct = f"count_if({c} IS NULL) * 100.0 / count(*)"
+        ident = "true" if R.is_identity_name(c) else "false"
+        parts.append(
+            f"SELECT '{c}' AS column_name, CASE WHEN {pct} = 0 THEN 'none' WHEN {pct} > 80 THEN 'skip' "
+            f"WHEN '{c}' = 'total_spent' THEN 'calculate' WHEN '{sem[c]}' = 'Discount' THEN 'business_false' "
+            f"WHEN {ident} OR '{sem[c]}' IN ('CustomerID', 'ProductID', 'TransactionID') THEN 'identifier' "
+            f"WHEN {'true' if c in numeric else 'false'} THEN 'median' ELSE 'mode' END AS strategy FROM ty")
+    return ST.sql_typed() + " " + " UNION ALL ".join(parts)
+
+
+@register("impute_select", _strategy_sql())
+def q_impute_select(spark, sf_dir):
+    from kpiforge.plans.cleaning import select_strategy
+    ty = ST.typed(spark, sf_dir)
+    smap = SEM.semantic_map(ST.raw(spark, sf_dir))
+    rel = SEM.multiplication_columns(ty, smap)
+    row = ty.agg(F.count(F.lit(1)).alias("__n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in ty.columns]).first()
+    types = dict(ty.dtypes)
+    rows = []
+    for c in ty.columns:
+        pct = row[c] * 100.0 / row["__n"]
+        s, _ = select_strategy(c, pct, P.is_numeric_dtype(types[c]), smap[c]["semantic_type"],
+                               bool(rel) and c == rel[2], R.is_identity_name(c))
+        rows.append((c, s))
+    return spark.createDataFrame(rows, "column_name string, strategy string")
+
+
+@register("fix_negative", ST.sql_typed() + " SELECT transaction_id, abs(quantity) AS quantity, "
+          "CASE WHEN price_per_unit < 0 THEN (SELECT quantile_cont(price_per_unit, 0.5) FROM ty WHERE price_per_unit >= 0) "
+          "ELSE price_per_unit END AS price_per_unit, CASE WHEN total_spent < 0 THEN (SELECT quantile_cont(total_spent, 0.5) "
+          "FROM ty WHERE total_spent >= 0) ELSE total_spent END AS total_spent FROM ty")
+def q_fix_negative(spark, sf_dir):
+    df = ST.typed(spark, sf_dir).select("transaction_id", "quantity", "price_per_unit", "total_spent")
+    return R.fix_negative(df, ["quantity"], ["price_per_unit", "total_spent"])
+
+
+@register("fix_zero_qty", ST.sql_typed() + " SELECT transaction_id, CASE WHEN quantity = 0 THEN 1.0 ELSE quantity END AS quantity FROM ty")
+def q_fix_zero_qty(spark, sf_dir):
+    return R.fix_zero_qty(ST.typed(spark, sf_dir).select("transaction_id", "quantity"), ["quantity"])
+
+
+@register("clip_nonneg", ST.sql_typed() + " SELECT transaction_id, " + ", ".join(
+    f"CASE WHEN {c} < 0 THEN 0.0 ELSE {c} END AS {c}" for c in NEG_COLS) + " FROM ty")
+def q_clip_nonneg(spark, sf_dir):
+    return R.clip_nonneg(ST.typed(spark, sf_dir).select("transaction_id", *NEG_COLS), NEG_COLS)
+
+
+@register("clamp_rating", ST.sql_raw() + " SELECT transaction_id, CASE WHEN customer_rating > 5 THEN "
+          "(SELECT quantile_cont(CAST(customer_rating AS DOUBLE), 0.5) FROM ds WHERE customer_rating <= 5) "
+          "ELSE CAST(customer_rating AS DOUBLE) END AS customer_rating FROM ds")
+def q_clamp_rating(spark, sf_dir):
+    return R.clamp_rating(ST.raw(spark, sf_dir).select("transaction_id", "customer_rating"))
+
+
+def _cap_sql():
+    c = "price_per_unit"
+    q = f"(SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM ty)"
+    lo = "greatest(q1 - 1.5 * (q3 - q1), 0.0)"
+    hi = "q3 + 1.5 * (q3 - q1)"
+    return (ST.sql_typed() + f" SELECT transaction_id, CASE WHEN {c} < {lo} THEN {lo} WHEN {c} > {hi} THEN {hi} "
+            f"ELSE {c} END AS {c} FROM ty, {q} b")
+
+
+@register("cap_outliers", _cap_sql())
+def q_cap_outliers(spark, sf_dir):
+    df = ST.typed(spark, sf_dir).select("transaction_id", "price_per_unit")
+    return R.cap_outliers(df, R.iqr_bounds(df, ["price_per_unit"]))
+
+
+@register("recalc_profit", LI_FIN_SQL + " SELECT l_orderkey, l_partkey, round(coalesce(total_revenue, 0) - "
+          "coalesce(l_quantity, 1) * coalesce(cost, 0), 2) AS profit FROM lf")
+def q_recalc_profit(spark, sf_dir):
+    df = _li_fin(spark, sf_dir).select("l_orderkey", "l_partkey", "total_revenue", "cost", "l_quantity", "profit")
+    out = R.recalc_profit(df, "total_revenue", "cost", "l_quantity", "profit")
+    return out.select("l_orderkey", "l_partkey", "profit")
+
+
+@register("dedup_rows", "SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag FROM lineitem")
+def q_dedup_rows(spark, sf_dir):
+    return R.dedup_rows(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"))
+
+
+@register("canon_case", ST.sql_nulled() + """, c AS (SELECT category, count(*) AS n FROM nl WHERE category IS NOT NULL GROUP BY category),
+k AS (SELECT category, n, lower(""" + Q.strip("category") + """) AS key FROM c),
+b AS (SELECT key, arg_min(category, (-n, category)) AS best FROM k GROUP BY key),
+m AS (SELECT k.category AS from_value, b.best AS to_value FROM k JOIN b USING (key))
+SELECT coalesce(m.to_value, nl.category) AS category, count(*) AS n FROM nl LEFT JOIN m ON nl.category = m.from_value GROUP BY 1""")
+def q_canon_case(spark, sf_dir):
+    out = R.canon_case(ST.nulled(spark, sf_dir).select("category"), ["category"])
+    return out.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("trim_text", ST.sql_nulled() + f" SELECT {Q.strip('category')} AS category, count(*) AS n FROM nl GROUP BY 1")
+def q_trim_text(spark, sf_dir):
+    out = R.trim_text(ST.nulled(spark, sf_dir).select("category"), ["category"])
+    return out.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _det_view(name: str, issue_filter: str):
+    base_q, base_sql = QUERIES[name], ORACLE[name]
+
+    def run(spark, sf_dir):
+        return base_q(spark, sf_dir).where(F.col("issue").isin(*issue_filter.split(",")))
+    cond = " OR ".join(f"issue = '{i}'" for i in issue_filter.split(","))
+    return run, f"SELECT * FROM ({base_sql}) WHERE {cond}"
+
+
+for _new, (_base, _issues) in {"det_negative": ("det_invalid", "negative_values"),
+                               "det_zero_qty": ("det_invalid", "zero_quantity"),
+                               "det_future": ("det_invalid", "future_dates"),
+                               "det_case_variants": ("det_inconsistent", "case_inconsistency"),
+                               "det_whitespace": ("det_inconsistent", "whitespace")}.items():
+    _fn, _sql = _det_view(_base, _issues)
+    register(_new, _sql)(_fn)
+
+
+@register("det_outlier_z", "SELECT column_name, z_count FROM (" + ORACLE["det_outlier_iqr"] + ")")
+def q_det_outlier_z(spark, sf_dir):
+    return D.outlier_counts(ST.typed(spark, sf_dir), NUMERIC_TYPED).select("column_name", "z_count")
