@@ -1282,3 +1282,142 @@ for _new, (_base, _issues) in {"det_negative": ("det_invalid", "negative_values"
 @register("det_outlier_z", "SELECT column_name, z_count FROM (" + ORACLE["det_outlier_iqr"] + ")")
 def q_det_outlier_z(spark, sf_dir):
     return D.outlier_counts(ST.typed(spark, sf_dir), NUMERIC_TYPED).select("column_name", "z_count")
+
+
+# =========================================================== validation (SQL-checked, on the typed stage)
+from kpiforge.operators import validate as V  # noqa: E402
+
+SCHEMA_RULES_SQL = [("transaction_id", "not_null"), ("customer_id", "not_null"), ("item", "not_null"),
+                    ("category", "not_null"), ("quantity", "not_null"), ("quantity", "gt0"),
+                    ("price_per_unit", "not_null"), ("price_per_unit", "gt0"), ("total_spent", "not_null"),
+                    ("transaction_date", "not_null"), ("payment_method", "not_null"),
+                    ("customer_rating", "not_null"), ("customer_rating", "range_0_5")]
+
+
+def _rule_sql(c, check):
+    x = f"CAST({c} AS DOUBLE)"
+    return {"not_null": f"{c} IS NULL", "gt0": f"{x} <= 0", "ge0": f"{x} < 0",
+            "range_0_5": f"NOT ({x} BETWEEN 0 AND 5)"}[check]
+
+
+def _schema_sql(only_failing=False):
+    parts = [f"SELECT '{c}' AS column_name, '{k}' AS check, CAST(count_if({_rule_sql(c, k)}) AS BIGINT) AS failures FROM ty"
+             for c, k in SCHEMA_RULES_SQL]
+    return ST.sql_typed() + " SELECT * FROM (" + " UNION ALL ".join(parts) + ")"
+
+
+def _typed_rules(spark, sf_dir):
+    ty = ST.typed(spark, sf_dir)
+    smap = SEM.semantic_map(ST.raw(spark, sf_dir))
+    return ty, smap, V.schema_rules(ty, smap)
+
+
+@register("val_schema", _schema_sql())
+def q_val_schema(spark, sf_dir):
+    ty, _, rules = _typed_rules(spark, sf_dir)
+    return V.val_schema(ty, rules)
+
+
+@register("val_basic", ST.sql_typed() + " SELECT * FROM (" + " UNION ALL ".join(
+    [f"SELECT '{c}' AS column_name, 'nulls_remain' AS check, CAST(count_if({c} IS NULL) AS BIGINT) AS failures FROM ty"
+     for c in TYPED_COLS if c != "discount_applied"] +
+    [f"SELECT '{c}' AS column_name, 'negative_values' AS check, CAST(count_if({c} < 0) AS BIGINT) AS failures FROM ty"
+     for c in ("quantity", "price_per_unit")]) + ") WHERE failures > 0")
+def q_val_basic(spark, sf_dir):
+    ty, smap, _ = _typed_rules(spark, sf_dir)
+    return V.val_basic(ty, smap)
+
+
+_VF = ("abs(coalesce(total_spent, 0) - round(coalesce(quantity, 0) * coalesce(price_per_unit, 0), 2)) > "
+       "0.02 + 1e-5 * abs(round(coalesce(quantity, 0) * coalesce(price_per_unit, 0), 2))")
+
+
+@register("val_formula", ST.sql_typed() + f" SELECT CAST(count_if({_VF}) AS BIGINT) AS mismatches, "
+          f"CASE WHEN count_if({_VF}) > 0 THEN 'VIOLATIONS_FOUND' ELSE 'PASS' END AS status FROM ty")
+def q_val_formula(spark, sf_dir):
+    return V.val_formula(ST.typed(spark, sf_dir), ["quantity", "price_per_unit", "total_spent"])
+
+
+@register("val_accuracy", ST.sql_typed() + " SELECT round(avg(CASE WHEN abs(total_spent - quantity * price_per_unit) <= "
+          "0.01 + 1e-5 * abs(quantity * price_per_unit) THEN 1.0 ELSE 0.0 END), 3) AS accuracy FROM ty")
+def q_val_accuracy(spark, sf_dir):
+    return V.val_accuracy(ST.typed(spark, sf_dir), "quantity", "price_per_unit", "total_spent")
+
+
+def _compl_sql(src):
+    return f"(1 - (" + " + ".join(f"count_if({c} IS NULL)" for c in DS) + f") / (count(*) * {len(DS)})) * 100"
+
+
+@register("val_completeness", ST.sql_nulled() + ", fl AS (SELECT " + ", ".join(
+    [f"coalesce({c}, 'Unknown') AS {c}" for c in TEXT] + ["customer_rating"]) + " FROM nl), "
+    f"a AS (SELECT {_compl_sql('nl')} AS o FROM nl), b AS (SELECT {_compl_sql('fl')} AS c FROM fl) "
+    "SELECT round(o, 2) AS original, round(c, 2) AS cleaned, round(c - o, 2) AS improvement, "
+    "CASE WHEN c > o THEN 'IMPROVED' ELSE 'UNCHANGED' END AS status FROM a, b")
+def q_val_completeness(spark, sf_dir):
+    nl = ST.nulled(spark, sf_dir)
+    return V.val_completeness(nl, R.fill_constant(nl, "Unknown"))
+
+
+def _score_sql():
+    schema_fail = "(SELECT sum(failures) FROM (" + " UNION ALL ".join(
+        f"SELECT count_if({_rule_sql(c, k)}) AS failures FROM ty" for c, k in SCHEMA_RULES_SQL) + "))"
+    comp = "(1 - (" + " + ".join(f"count_if({c} IS NULL)" for c in TYPED_COLS) + f") / (count(*) * {len(TYPED_COLS)})) * 100"
+    score = (f"round(({comp}) / 100 * 0.4 + CASE WHEN {schema_fail} = 0 THEN 1.0 ELSE 0.7 END * 0.3 + "
+             f"CASE WHEN count_if({_VF}) = 0 THEN 1.0 ELSE 0.6 END * 0.3, 3)")
+    return (ST.sql_typed() + f", s AS (SELECT {score} AS quality_score FROM ty) SELECT quality_score, CASE WHEN quality_score >= 0.9 "
+            "THEN 'EXCELLENT' WHEN quality_score >= 0.8 THEN 'GOOD' WHEN quality_score >= 0.7 THEN 'ACCEPTABLE' "
+            "ELSE 'NEEDS REVIEW' END AS assessment FROM s")
+
+
+@register("val_score", _score_sql())
+def q_val_score(spark, sf_dir):
+    ty, smap, rules = _typed_rules(spark, sf_dir)
+    integrity = V.val_schema(ty, rules).agg(F.sum("failures").alias("f")).first()["f"] == 0
+    formula_ok = V.val_formula(ty, ["quantity", "price_per_unit", "total_spent"]).first()["status"] == "PASS"
+    comp = V.completeness_pct(ty)
+    s = V.quality_score(F.col("completeness"), F.lit(integrity), F.lit(formula_ok))
+    return comp.select(s.alias("quality_score")).select("quality_score",
+                                                         V.score_label(F.col("quality_score")).alias("assessment"))
+
+
+# =========================================================== end-to-end cleaning (rows-only checks)
+from kpiforge.plans import cleaning as CL  # noqa: E402
+
+
+@register("clean_table")
+def q_clean_table(spark, sf_dir):
+    out, _ = CL.fit_and_clean(ST.raw(spark, sf_dir), ST.AS_OF)
+    return out
+
+
+@register("report_summary")
+def q_report_summary(spark, sf_dir):
+    """Rows before/after, problems found, repairs made, cells filled, rows removed."""
+    raw_df = ST.raw(spark, sf_dir)
+    out, plan = CL.fit_and_clean(raw_df, ST.AS_OF)
+    smap = SEM.semantic_map(raw_df)
+    problems = D.det_missing(raw_df, smap).unionByName(D.det_dup_ids(raw_df, ["transaction_id"]))
+    n_before, n_after = raw_df.count(), out.count()
+    filled = CL.R.null_sentinels(raw_df).agg(*[F.count_if(F.col(c).isNull()) for c in plan.fills]).first() \
+        if plan.fills else [0]
+    rows = [("rows_before", float(n_before)), ("rows_after", float(n_after)),
+            ("rows_removed", float(n_before - n_after)), ("problems", float(problems.count())),
+            ("actions", float(CL.plan_table(spark, plan).count())), ("cells_filled", float(sum(filled))),
+            ("columns_capped", float(len(plan.cap_bounds)))]
+    return spark.createDataFrame(rows, "metric string, value double")
+
+
+@register("run_log")
+def q_run_log(spark, sf_dir):
+    """Step log with row counts gathered by ``observe`` while the cleaned table is written once."""
+    from pyspark.sql import Observation
+    out, plan = CL.fit_and_clean(ST.raw(spark, sf_dir), ST.AS_OF)
+    obs = Observation("clean_run")
+    observed = out.observe(obs, F.count(F.lit(1)).alias("rows_written"),
+                           F.count_if(F.col("total_spent") == 0).alias("zero_totals"))
+    observed.write.mode("overwrite").parquet(scratch_path(spark, "clean_run"))
+    metrics = obs.get
+    steps = CL.plan_table(spark, plan)
+    extra = spark.createDataFrame([("run", k, "observed", str(v)) for k, v in sorted(metrics.items())],
+                                  "step string, column_name string, method string, value string")
+    return steps.unionByName(extra)
