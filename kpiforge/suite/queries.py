@@ -1421,3 +1421,63 @@ def q_run_log(spark, sf_dir):
     extra = spark.createDataFrame([("run", k, "observed", str(v)) for k, v in sorted(metrics.items())],
                                   "step string, column_name string, method string, value string")
     return steps.unionByName(extra)
+
+
+# =========================================================== model-backed operators (rows-only checks)
+from kpiforge.operators import canon as CN  # noqa: E402
+from kpiforge.operators import ml as ML  # noqa: E402
+
+
+@register("det_outlier_iforest")
+def q_det_outlier_iforest(spark, sf_dir):
+    return ML.iforest_outliers(ST.typed(spark, sf_dir), NUMERIC_TYPED)
+
+
+@register("det_outlier_consensus")
+def q_det_outlier_consensus(spark, sf_dir):
+    ty = ST.typed(spark, sf_dir)
+    return ML.outlier_consensus(D.outlier_counts(ty, NUMERIC_TYPED), ML.iforest_outliers(ty, NUMERIC_TYPED))
+
+
+@register("impute_forest")
+def q_impute_forest(spark, sf_dir):
+    nl = ST.nulled(spark, sf_dir).select("transaction_id", "item", "category", "payment_method", "customer_id")
+    return ML.impute_forest(nl, "item", ["category", "payment_method"], trees=50, depth=10)
+
+
+@register("impute_knn")
+def q_impute_knn(spark, sf_dir):
+    ty = ST.typed(spark, sf_dir).select("transaction_id", "quantity", "price_per_unit", "total_spent")
+    return ML.impute_knn(ty, "quantity", ["total_spent", "price_per_unit"], k=5)
+
+
+@register("canon_pick")
+def q_canon_pick(spark, sf_dir):
+    nl = ST.nulled(spark, sf_dir)
+    cols = CN.canon_pick(nl, SEM.semantic_map(ST.raw(spark, sf_dir)))
+    return spark.createDataFrame([(c,) for c in cols], "column_name string")
+
+
+@register("canon_initials")
+def q_canon_initials(spark, sf_dir):
+    return CN.abbreviation_mapping(ST.nulled(spark, sf_dir), "payment_method")
+
+
+@register("canon_prefix")
+def q_canon_prefix(spark, sf_dir):
+    nl = ST.nulled(spark, sf_dir)
+    out = CN.canon_abbreviations(nl.select("payment_method"), ["payment_method"])
+    return out.groupBy("payment_method").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("fuzzy_pairs")
+def q_fuzzy_pairs(spark, sf_dir):
+    nl = R.trim_text(ST.nulled(spark, sf_dir), ["category", "payment_method"])
+    return CN.fuzzy_pairs(nl, ["category", "payment_method"]).select(
+        "column_name", "a", "b", "overlap", F.round("similarity", 4).alias("similarity"))
+
+
+@register("canon_fuzzy")
+def q_canon_fuzzy(spark, sf_dir):
+    nl = R.trim_text(ST.nulled(spark, sf_dir), ["category", "payment_method"])
+    return CN.fuzzy_mapping(nl, ["category", "payment_method"])
