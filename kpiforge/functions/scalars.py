@@ -20,9 +20,13 @@ def col_(c: ColLike) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# whitespace characters stripped from both ends (tab, newline, vertical tab, form feed, CR, space, NBSP)
+WHITESPACE = " \t\n\x0b\f\r\xa0"
+
+
 def strip_ws(c: ColLike) -> Column:
-    """Strip leading/trailing whitespace of any kind (not only spaces)."""
-    return F.regexp_replace(col_(c), r"^\s+|\s+$", "")
+    """Strip leading/trailing whitespace of any kind (not only spaces); native ``btrim``."""
+    return F.btrim(col_(c), F.lit(WHITESPACE))
 
 
 def as_text(c: ColLike) -> Column:
@@ -59,7 +63,15 @@ def remove_thousands_commas(c: Column) -> Column:
 
 
 def num_currency(c: ColLike) -> Column:
-    """Strip currency marks, Rs/INR, thousands commas and a trailing % then parse."""
+    """Strip currency marks, Rs/INR, thousands commas and a trailing % then parse.
+
+    Plain numbers take the short path (one regex test) instead of the rewrite chain.
+    """
+    t = as_text(c)
+    return F.when(t.rlike(K.NUMBER_REGEX), strip_ws(t).try_cast("double")).otherwise(_num_currency_chain(t))
+
+
+def _num_currency_chain(c: ColLike) -> Column:
     s = as_text(c)
     s = F.regexp_replace(s, "[" + K.CURRENCY_PROBE_CHARS + "]", "")
     s = F.regexp_replace(s, r"(?i)\bRs\.?\b", "")
@@ -124,8 +136,15 @@ def parse_date_formats(c: ColLike, spark_formats: Iterable[str], stripped: bool
     projection to keep the generated code small.
     """
     t = col_(c) if stripped else strip_ws(as_text(c))
-    return F.coalesce(*[F.when(t.rlike(format_shape(f)), F.to_date(F.try_to_timestamp(t, F.lit(f))))
-                        for f in spark_formats])
+    fmts = list(spark_formats)
+    parsed = F.coalesce(*[F.when(t.rlike(format_shape(f)), F.to_date(F.try_to_timestamp(t, F.lit(f))))
+                          for f in fmts])
+    # one cheap test first: three parts split by - / or space, the last of 2-4 digits
+    return F.when(t.rlike(DATE_LIKE), parsed)
+
+
+# every supported format has three parts separated by '-', '/' or ' ' and ends in a 2-4 digit year
+DATE_LIKE = r"^[0-9A-Za-z]{1,9}[-/ ][0-9A-Za-z]{1,9}[-/ ][0-9]{2,4}$"
 
 
 def ordered_formats(best: str | None) -> list:

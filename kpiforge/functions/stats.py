@@ -20,6 +20,7 @@ import math
 from typing import Dict, Iterable, List, Sequence
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,10 +81,12 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     ensure_checkpoint_dir(spark)
     freq = to_long(df, cols).groupBy("k", "x").agg(F.count(F.lit(1)).alias("n"))
     nparts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Persisted, not checkpointed: a lost partition is recomputed identically (the
+    # range bounds are fixed for the execution and (k, x) rows are unique and sorted).
     ranked = (freq.repartitionByRange(nparts, "k", "x")
               .sortWithinPartitions("k", "x")
               .mapInPandas(_running_counts, _FREQ_SCHEMA)
-              .checkpoint(eager=True))
+              .persist(StorageLevel.MEMORY_AND_DISK))
     totals = (ranked.groupBy("k", "pid").agg(F.max("cum").alias("t")).collect())
     per_col: Dict[str, List] = {}
     for r in totals:
@@ -113,6 +116,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                 .select("k", "pid", "r", "x").collect())
         for h in hits:
             values[(h["k"], h["pid"], h["r"])] = h["x"]
+    ranked.unpersist()
     out: Dict[str, List[float]] = {}
     for c in cols:
         if c not in plan:

@@ -103,6 +103,13 @@ def wide_profile(df: DataFrame, cols: Optional[Sequence[str]] = None, approx_dis
     return g
 
 
+def distinct_counts(df: DataFrame, cols: Sequence[str]) -> Dict[str, tuple]:
+    """{column: (rows, distinct non-null values)} from one unpivot + groupBy (no parsing)."""
+    long = long_values(df, cols)
+    r = long.groupBy("column_name").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("s").alias("d")).collect()
+    return {x["column_name"]: (x["n"], x["d"]) for x in r}
+
+
 def logical_type_expr() -> Column:
     """Logical type ladder over a wide-profile row."""
     n_clean = F.col("n_clean")

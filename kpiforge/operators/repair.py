@@ -75,7 +75,7 @@ def is_identity_name(name: str) -> bool:
 def date_format_vote(df: DataFrame, c: str) -> DataFrame:
     """Parse count per candidate format; the best (first on ties) has rank 1."""
     t = S.strip_ws(S.as_text(c))
-    row = df.agg(*[F.count(F.try_to_timestamp(t, F.lit(sp))).alias(f"f{i}")
+    row = df.agg(*[F.count(S.parse_date_formats(t, [sp], stripped=True)).alias(f"f{i}")
                    for i, (_, sp) in enumerate(K.DATE_FORMATS)])
     long = row.select(F.inline(F.array(*[
         F.struct(F.lit(i).alias("format_order"), F.lit(py).alias("format"), F.lit(sp).alias("spark_format"),

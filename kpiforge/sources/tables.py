@@ -58,7 +58,29 @@ def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
         table(spark, sf_dir, n).createOrReplaceTempView(n)
 
 
-def dirty_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The faulty all-string sales table; a lazy join plan over three tables."""
+def dirty_sales_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The faulty all-string sales table as a lazy join plan over three tables."""
     register_tables(spark, sf_dir, ("lineitem", "orders", "part"))
     return spark.sql(DIRTY_SALES_SQL)
+
+
+_WRITTEN: dict = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """``build()`` written once per session and input folder to the shared folder, then
+    read back as parquet: a lineage cut, so every later job starts from a plain scan."""
+    from kpiforge.session import scratch_path
+
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name)
+    path = _WRITTEN.get(key)
+    if path is None:
+        path = scratch_path(spark, name)
+        build().write.mode("overwrite").parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(path)
+
+
+def dirty_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The faulty sales table, stored once - the way a cleaning job meets its input."""
+    return stored(spark, sf_dir, "dirty_sales", lambda: dirty_sales_plan(spark, sf_dir))

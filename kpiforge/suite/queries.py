@@ -1481,3 +1481,18 @@ def q_fuzzy_pairs(spark, sf_dir):
 def q_canon_fuzzy(spark, sf_dir):
     nl = R.trim_text(ST.nulled(spark, sf_dir), ["category", "payment_method"])
     return CN.fuzzy_mapping(nl, ["category", "payment_method"])
+
+
+# =========================================================== streaming by-product (rows-only)
+@register("stream_clean")
+def q_stream_clean(spark, sf_dir):
+    """Fit the plan on the table, then clean the same rows arriving as a parquet stream."""
+    from kpiforge.streaming.apply import clean_stream, run_once
+    raw_df = ST.raw(spark, sf_dir)
+    _, plan = CL.fit_and_clean(raw_df, ST.AS_OF, use_fuzzy=False)
+    src = scratch_path(spark, "stream_src")
+    raw_df.write.mode("overwrite").parquet(src)
+    stream = spark.readStream.schema(raw_df.schema).parquet(src)
+    out_path, ckpt = scratch_path(spark, "stream_out"), scratch_path(spark, "stream_ckpt")
+    run_once(clean_stream(stream, plan), out_path, ckpt)
+    return spark.read.parquet(out_path)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from kpiforge.functions import scalars as S
 from kpiforge.operators import repair as R
-from kpiforge.sources.tables import dirty_sales
+from kpiforge.sources.tables import dirty_sales, stored
 from kpiforge.suite import sqlparts as Q
 
 AS_OF = dt.date(2025, 1, 1)
@@ -33,6 +33,11 @@ def nulled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed stage, stored once per session (every query over it starts from a scan)."""
+    return stored(spark, sf_dir, "dirty_sales_typed", lambda: _typed_plan(spark, sf_dir))
+
+
+def _typed_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = nulled(spark, sf_dir)
     best = R.best_date_format(df, "transaction_date")
     return df.select(
