@@ -68,7 +68,8 @@ def num_currency(c: ColLike) -> Column:
     Plain numbers take the short path (one regex test) instead of the rewrite chain.
     """
     t = as_text(c)
-    return F.when(t.rlike(K.NUMBER_REGEX), strip_ws(t).try_cast("double")).otherwise(_num_currency_chain(t))
+    return (F.when(t.rlike(K.NUMBER_REGEX), strip_ws(t).try_cast("double"))
+            .when(t.rlike("[0-9]"), _num_currency_chain(t)))   # no digit: not a number, skip the chain
 
 
 def _num_currency_chain(c: ColLike) -> Column:

@@ -15,6 +15,7 @@ except the key de-duplication, which needs the whole table.
 from __future__ import annotations
 
 import datetime as _dt
+import time
 from dataclasses import dataclass, field
 from typing import Dict, List, Optional, Tuple
 
@@ -78,7 +79,15 @@ def select_strategy(col: str, null_pct: float, numeric: bool, sem: str, formula_
 
 def fit_and_clean(df: DataFrame, as_of: _dt.date, use_fuzzy: bool = True) -> Tuple[DataFrame, CleaningPlan]:
     plan = CleaningPlan(as_of=as_of)
+    clock = [time.time()]
+
+    def step(name: str) -> None:
+        now = time.time()
+        plan.log.append((name, "*", "seconds", round(now - clock[0], 3)))
+        clock[0] = now
+
     smap = SEM.semantic_map(df)
+    step("semantic_types")
     types = dict(df.dtypes)
     text = [c for c in df.columns if types[c] == "string"]
 
@@ -86,13 +95,12 @@ def fit_and_clean(df: DataFrame, as_of: _dt.date, use_fuzzy: bool = True) -> Tup
     s1 = R.null_sentinels(df, text)
 
     # 2. parse: numeric-looking text (expected numeric, or > 60 % parse with currency marks), flags, date
-    probe = s1.agg(*[F.count(c).alias(f"nn_{i}") for i, c in enumerate(text)],
-                   *[F.count(S.num_currency(c)).alias(f"num_{i}") for i, c in enumerate(text)],
-                   *[F.count(S.bool_word(c)).alias(f"b_{i}") for i, c in enumerate(text)],
+    probe_cols = [c for c in text if not R.is_identity_name(c)]      # identity columns stay text
+    probe = s1.agg(*[F.count(c).alias(f"nn_{i}") for i, c in enumerate(probe_cols)],
+                   *[F.count(S.num_currency(c)).alias(f"num_{i}") for i, c in enumerate(probe_cols)],
+                   *[F.count(S.bool_word(c)).alias(f"b_{i}") for i, c in enumerate(probe_cols)],
                    F.count(F.lit(1)).alias("__n")).first()
-    for i, c in enumerate(text):
-        if R.is_identity_name(c):
-            continue
+    for i, c in enumerate(probe_cols):
         expected = smap.get(c, {}).get("expected_dtype")
         nn = probe[f"nn_{i}"]
         if S.name_has_any(c, K.BOOL_NAME_KEYWORDS) and probe[f"b_{i}"] > probe["__n"] * 0.5:
@@ -111,6 +119,7 @@ def fit_and_clean(df: DataFrame, as_of: _dt.date, use_fuzzy: bool = True) -> Tup
     # lineage cut: every fitted statistic below reads this parsed table, not the source
     s2 = cut_lineage(R.replace_columns(s1, new))
 
+    step("parse")
     rel = SEM.multiplication_columns(s2, smap)
     if rel:
         plan.qty, plan.price, plan.total = rel[:3]
@@ -140,6 +149,7 @@ def fit_and_clean(df: DataFrame, as_of: _dt.date, use_fuzzy: bool = True) -> Tup
             plan.fills[c] = "unknown"
     s3 = R.replace_columns(s2, {c: F.coalesce(F.col(c), F.lit(v).cast(s2_types[c])) for c, v in plan.fills.items()})
 
+    step("impute")
     # 4. invalid values
     new = {}
     if plan.qty:
@@ -157,12 +167,14 @@ def fit_and_clean(df: DataFrame, as_of: _dt.date, use_fuzzy: bool = True) -> Tup
         new[plan.date_col] = F.when(d > F.lit(as_of), F.lit(as_of)).otherwise(d)
     s4 = R.replace_columns(s3, new)
 
+    step("invalid_values")
     # 5. duplicates: exact rows, then keep-first per transaction id
     s5 = R.dedup_rows(s4)
     if plan.key_col:
         s5 = R.dedup_key(s5, plan.key_col)
     s5 = cut_lineage(s5)
 
+    step("duplicates")
     # 6. case / space variants on categorical text columns
     plan.case_cols = [c for c in C.canon_pick(s5, smap) if c != plan.key_col and c not in plan.bool_cols
                       and c != plan.date_col and c not in plan.numeric_cols]
@@ -173,6 +185,7 @@ def fit_and_clean(df: DataFrame, as_of: _dt.date, use_fuzzy: bool = True) -> Tup
         plan.case_maps[c] = mp
     s6 = _apply_maps(s6, plan.case_maps)
 
+    step("case")
     # 7. fuzzy groups (<= 50 spellings), then abbreviations (initials / leading words) not yet mapped
     if use_fuzzy and plan.case_cols:
         fm = C.fuzzy_mapping(s6, plan.case_cols).collect()
@@ -183,6 +196,7 @@ def fit_and_clean(df: DataFrame, as_of: _dt.date, use_fuzzy: bool = True) -> Tup
         plan.abbrev_maps[c] = [(r["from_value"], r["to_value"]) for r in C.abbreviation_mapping(s6b, c).collect()]
     s7 = _apply_maps(s6b, plan.abbrev_maps)
 
+    step("fuzzy_abbreviations")
     # 8. ratings above 5 -> median of the valid ratings
     rating = [c for c in s7.columns if S.name_has_any(c, K.RATING_NAME_KEYWORDS)
               and is_numeric_dtype(dict(s7.dtypes)[c])]
@@ -192,6 +206,7 @@ def fit_and_clean(df: DataFrame, as_of: _dt.date, use_fuzzy: bool = True) -> Tup
     s8 = R.replace_columns(s7, {c: F.when(F.col(c) > 5, F.lit(v)).otherwise(F.col(c).cast("double"))
                                 for c, v in plan.rating_medians.items()})
 
+    step("rating")
     # 9. cap the formula inputs to IQR bounds (lower bound >= 0), only where outliers exist
     inputs = [c for c in (plan.qty, plan.price) if c]
     if inputs:
@@ -200,6 +215,7 @@ def fit_and_clean(df: DataFrame, as_of: _dt.date, use_fuzzy: bool = True) -> Tup
         plan.cap_bounds = {c: (max(b[c][0], 0.0), b[c][1]) for c in inputs if out[c] > 0}
     s9 = R.cap_outliers(s8, plan.cap_bounds)
 
+    step("caps")
     # 10. recalculate the total from the (capped) inputs
     s10 = R.recalc_total(s9, plan.qty, plan.price, plan.total) if plan.total else s9
 
