@@ -239,11 +239,17 @@ def impute_knn(df: DataFrame, target: str, features: Sequence[str], k: int = 5,
         final = agg.where(done).select("__rid", value.alias("__v"))
         final = cut_lineage(final)
         answers = final if answers is None else answers.unionByName(final)
-        queries = cut_lineage(queries.join(final, "__rid", "left_anti"))
+        done_ids = final.select(F.col("__rid").alias("__did"))
+        queries = cut_lineage(queries.join(done_ids, queries["__rid"] == done_ids["__did"], "left_anti"))
         if last:
             break
         r = min(r * 2, extent)
     med = exact_quantiles(df.select(F.col(target).cast("double").alias(target)), [target], [0.5])[target][0]
-    out = base.join(answers, "__rid", "left") if answers is not None else base.withColumn("__v", F.lit(None))
+    if answers is not None:
+        # fresh column names on the answer side: both sides descend from checkpointed plans
+        ans = answers.select(F.col("__rid").alias("__arid"), F.col("__v").alias("__av"))
+        out = base.join(ans, base["__rid"] == ans["__arid"], "left").withColumnRenamed("__av", "__v")
+    else:
+        out = base.withColumn("__v", F.lit(None).cast("double"))
     fill = F.coalesce(F.col(target).cast("double"), F.col("__v"), F.lit(med))
     return out.select(*[fill.alias(c) if c == target else F.col(c) for c in df.columns])
