@@ -746,7 +746,18 @@ def q_limit_pairs(spark, sf_dir):
                          ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"], 100)
 
 
-@register("kpi_format")
+def _kpi_format_sql():
+    v = "(value + 0.0)"   # -0.0 + 0.0 = 0.0: no negative zero in the display
+    cur = (f"CASE WHEN abs({v}) >= 1e6 THEN '$' || format('{{:,.1f}}', {v} / 1e6) || 'M' "
+           f"WHEN abs({v}) >= 1e3 THEN '$' || format('{{:,.1f}}', {v} / 1e3) || 'K' "
+           f"ELSE '$' || format('{{:,.2f}}', {v}) END")
+    disp = (f"CASE WHEN fmt = 'currency' THEN {cur} WHEN fmt = 'percentage' THEN format('{{:,.1f}}', {v}) || '%' "
+            f"ELSE format('{{:,.0f}}', {v}) END")
+    body = _kpi_sql("lineitem").replace("round(CAST(", "(CAST(").replace("AS DOUBLE), 4) AS value", "AS DOUBLE)) AS value")
+    return f"SELECT label, {disp} AS display FROM ({body})"
+
+
+@register("kpi_format", _kpi_format_sql())
 def q_kpi_format(spark, sf_dir):
     k = M.kpi_eval(table(spark, sf_dir, "lineitem"), LI_KPIS)
     return k.select("label", M.kpi_format(F.col("value"), F.col("fmt")).alias("display"))
@@ -1044,7 +1055,20 @@ def q_fs_select(spark, sf_dir):
     return SEL.select_columns(_fs_table(spark, sf_dir), requirements="revenue by return flag", use_forest=True)
 
 
-@register("fs_fuse")
+def _fs_fuse_sql():
+    # expected name scores: quantity/discount read as volume words (0.9), price/tax as money words (1.0)
+    dom = {"l_quantity": 0.9, "l_extendedprice": 1.0, "l_discount": 0.9, "l_tax": 1.0}
+    w_var = K.FUSE_WEIGHTS["variance"] + K.FUSE_WEIGHTS["forest"] * 0.4
+    w_uni = K.FUSE_WEIGHTS["univariate"] + K.FUSE_WEIGHTS["forest"] * 0.6
+    var_sql = _fs_variance_sql()[len(FS_SQL):]
+    parts = " UNION ALL ".join(f"SELECT '{c}' AS column_name, {dom[c]} AS dom, abs(corr({c}, total_revenue)) AS pr "
+                               f"FROM ft" for c in FS_NUM[:-1])
+    return (FS_SQL + f", vs AS (SELECT * FROM (WITH {var_sql.lstrip(', ')})), p AS ({parts}) "
+            f"SELECT p.column_name, round(dom * {K.FUSE_WEIGHTS['domain']} + coalesce(vs.variance_score, 0.5) * {w_var} "
+            f"+ coalesce(pr, 0) * {w_uni}, 4) AS fused FROM p LEFT JOIN vs USING (column_name)")
+
+
+@register("fs_fuse", _fs_fuse_sql())
 def q_fs_fuse(spark, sf_dir):
     """Fused score per numeric column from the variance and univariate scores (no forest)."""
     t = _fs_table(spark, sf_dir)
