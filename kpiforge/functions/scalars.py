@@ -68,8 +68,10 @@ def num_currency(c: ColLike) -> Column:
     Plain numbers take the short path (one regex test) instead of the rewrite chain.
     """
     t = as_text(c)
+    # the rewrite chain can only help a value with a digit and a currency/percent/comma mark
+    marked = t.rlike("[0-9]") & t.rlike("[" + K.CURRENCY_PROBE_CHARS + ",%]|(?i)rs|(?i)inr")
     return (F.when(t.rlike(K.NUMBER_REGEX), strip_ws(t).try_cast("double"))
-            .when(t.rlike("[0-9]"), _num_currency_chain(t)))   # no digit: not a number, skip the chain
+            .when(marked, _num_currency_chain(t)))
 
 
 def _num_currency_chain(c: ColLike) -> Column:

@@ -96,10 +96,14 @@ def fit_and_clean(df: DataFrame, as_of: _dt.date, use_fuzzy: bool = True) -> Tup
 
     # 2. parse: numeric-looking text (expected numeric, or > 60 % parse with currency marks), flags, date
     probe_cols = [c for c in text if not R.is_identity_name(c)]      # identity columns stay text
+    date_named = [c for c in probe_cols if any(w in c.lower() for w in ("date", "time"))]
+    # one scan: parse rates for every candidate column and the date-format vote of date-named ones
+    vote = [F.count(S.parse_date_formats(S.strip_ws(c), [sp], stripped=True)).alias(f"v_{j}_{k}")
+            for j, c in enumerate(date_named) for k, (_, sp) in enumerate(K.DATE_FORMATS)]
     probe = s1.agg(*[F.count(c).alias(f"nn_{i}") for i, c in enumerate(probe_cols)],
                    *[F.count(S.num_currency(c)).alias(f"num_{i}") for i, c in enumerate(probe_cols)],
                    *[F.count(S.bool_word(c)).alias(f"b_{i}") for i, c in enumerate(probe_cols)],
-                   F.count(F.lit(1)).alias("__n")).first()
+                   *vote, F.count(F.lit(1)).alias("__n")).first()
     for i, c in enumerate(probe_cols):
         expected = smap.get(c, {}).get("expected_dtype")
         nn = probe[f"nn_{i}"]
@@ -107,11 +111,15 @@ def fit_and_clean(df: DataFrame, as_of: _dt.date, use_fuzzy: bool = True) -> Tup
             plan.bool_cols.append(c)
         elif expected in ("integer", "float") or (nn and probe[f"num_{i}"] / nn > 0.6):
             plan.numeric_cols.append(c)
-    date_like = [c for c in text if c not in plan.numeric_cols and c not in plan.bool_cols
-                 and any(w in c.lower() for w in ("date", "time"))]
+    date_like = [c for c in date_named if c not in plan.numeric_cols and c not in plan.bool_cols]
     if date_like:
         plan.date_col = date_like[0]
-        plan.date_format = R.best_date_format(s1, plan.date_col)
+        j = date_named.index(plan.date_col)
+        best, best_n = None, 0
+        for k, (_, sp) in enumerate(K.DATE_FORMATS):      # most parsed wins, first format on ties
+            if probe[f"v_{j}_{k}"] > best_n:
+                best, best_n = sp, probe[f"v_{j}_{k}"]
+        plan.date_format = best
     new = {c: S.num_currency(c) for c in plan.numeric_cols}
     new.update({c: S.bool_word(c) for c in plan.bool_cols})
     if plan.date_col:
@@ -186,14 +194,22 @@ def fit_and_clean(df: DataFrame, as_of: _dt.date, use_fuzzy: bool = True) -> Tup
     s6 = _apply_maps(s6, plan.case_maps)
 
     step("case")
-    # 7. fuzzy groups (<= 50 spellings), then abbreviations (initials / leading words) not yet mapped
-    if use_fuzzy and plan.case_cols:
-        fm = C.fuzzy_mapping(s6, plan.case_cols).collect()
+    # 7. fuzzy groups (<= 50 spellings), then abbreviations (initials / leading words) not yet mapped.
+    #    Both work on one small value table (column, spelling, count) built in a single scan.
+    if plan.case_cols:
+        vt = cut_lineage(C.value_tables(s6, plan.case_cols))
+        if use_fuzzy:
+            fm = C.fuzzy_mapping_vt(vt).collect()
+            for c in plan.case_cols:
+                plan.fuzzy_maps[c] = [(r["from_value"], r["to_value"]) for r in fm if r["column_name"] == c]
+            fmap = s6.sparkSession.createDataFrame(
+                [(c, a, b) for c, pairs in plan.fuzzy_maps.items() for a, b in pairs],
+                "column_name string, from_value string, to_value string")
+            vt = C.remap_values(vt, fmap)
         for c in plan.case_cols:
-            plan.fuzzy_maps[c] = [(r["from_value"], r["to_value"]) for r in fm if r["column_name"] == c]
+            one = vt.where(F.col("column_name") == c).select("orig", "n", "base")
+            plan.abbrev_maps[c] = [(r["from_value"], r["to_value"]) for r in C.abbreviation_mapping_vt(one).collect()]
     s6b = _apply_maps(s6, plan.fuzzy_maps)
-    for c in plan.case_cols:
-        plan.abbrev_maps[c] = [(r["from_value"], r["to_value"]) for r in C.abbreviation_mapping(s6b, c).collect()]
     s7 = _apply_maps(s6b, plan.abbrev_maps)
 
     step("fuzzy_abbreviations")

@@ -63,6 +63,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Reliable checkpoint (written to the shared folder); survives executor loss."""
+    """Reliable checkpoint (written to the shared folder); survives executor loss.
+
+    The plan is persisted first: an eager checkpoint runs one job to count and a
+    second to write the files, and without the cache the second job would
+    recompute the whole plan.
+    """
+    from pyspark import StorageLevel
+
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
