@@ -29,7 +29,7 @@ from kpiforge.operators import canon as C
 from kpiforge.operators import repair as R
 from kpiforge.operators import semantic as SEM
 from kpiforge.operators.profile import is_numeric_dtype
-from kpiforge.session import cut_lineage
+from kpiforge.session import cut_lineage, scratch_path
 
 
 @dataclass
@@ -50,6 +50,7 @@ class CleaningPlan:
     case_maps: Dict[str, List[Tuple[str, str]]] = field(default_factory=dict)
     fuzzy_maps: Dict[str, List[Tuple[str, str]]] = field(default_factory=dict)
     abbrev_maps: Dict[str, List[Tuple[str, str]]] = field(default_factory=dict)
+    map_paths: Dict[str, str] = field(default_factory=dict)    # column -> stored (from, to) table when large
     rating_medians: Dict[str, float] = field(default_factory=dict)
     cap_bounds: Dict[str, Tuple[float, float]] = field(default_factory=dict)
     log: List[Tuple[str, str, str, int]] = field(default_factory=list)         # step, column, method, rows
@@ -188,10 +189,16 @@ def fit_and_clean(df: DataFrame, as_of: _dt.date, use_fuzzy: bool = True) -> Tup
                       and c != plan.date_col and c not in plan.numeric_cols]
     s6 = R.trim_text(s5, plan.case_cols)
     for c in plan.case_cols:
-        mp = [(r["from_value"], r["to_value"]) for r in R.canon_case_mapping(s6, c).collect()
-              if r["from_value"] != r["to_value"]]
-        plan.case_maps[c] = mp
-    s6 = _apply_maps(s6, plan.case_maps)
+        m = R.canon_case_mapping(s6, c).where(F.col("from_value") != F.col("to_value"))
+        if m.count() > MAX_LITERAL_MAP:
+            # too many spellings to carry in the plan: store the mapping, apply it by join
+            path = scratch_path(s6.sparkSession, f"case_map_{c}")
+            m.write.mode("overwrite").parquet(path)
+            plan.map_paths[c] = path
+            plan.case_maps[c] = []
+        else:
+            plan.case_maps[c] = [(r["from_value"], r["to_value"]) for r in m.collect()]
+    s6 = _apply_stored_maps(_apply_maps(s6, plan.case_maps), plan)
 
     step("case")
     # 7. fuzzy groups (<= 50 spellings), then abbreviations (initials / leading words) not yet mapped.
@@ -208,9 +215,16 @@ def fit_and_clean(df: DataFrame, as_of: _dt.date, use_fuzzy: bool = True) -> Tup
             vt = C.remap_values(vt, fmap)
         for c in plan.case_cols:
             one = vt.where(F.col("column_name") == c).select("orig", "n", "base")
-            plan.abbrev_maps[c] = [(r["from_value"], r["to_value"]) for r in C.abbreviation_mapping_vt(one).collect()]
+            am = C.abbreviation_mapping_vt(one)
+            # bounded collect: a mapping this large is left out rather than carried through the driver
+            rows = am.limit(MAX_LITERAL_MAP + 1).collect()
+            plan.abbrev_maps[c] = [] if len(rows) > MAX_LITERAL_MAP else [(r["from_value"], r["to_value"]) for r in rows]
+            if len(rows) > MAX_LITERAL_MAP:
+                path = scratch_path(s6.sparkSession, f"abbrev_map_{c}")
+                am.write.mode("overwrite").parquet(path)
+                plan.map_paths[c + "\u0000abbrev"] = path
     s6b = _apply_maps(s6, plan.fuzzy_maps)
-    s7 = _apply_maps(s6b, plan.abbrev_maps)
+    s7 = _apply_stored_maps(_apply_maps(s6b, plan.abbrev_maps), plan, "abbrev")
 
     step("fuzzy_abbreviations")
     # 8. ratings above 5 -> median of the valid ratings
@@ -240,6 +254,17 @@ def fit_and_clean(df: DataFrame, as_of: _dt.date, use_fuzzy: bool = True) -> Tup
     return s11, plan
 
 
+MAX_LITERAL_MAP = 100_000
+
+
+def _apply_stored_maps(df: DataFrame, plan: CleaningPlan, kind: str = "case") -> DataFrame:
+    for key, path in plan.map_paths.items():
+        c, _, k = key.partition("\u0000")
+        if (k or "case") == kind:
+            df = R.map_values(df, c, df.sparkSession.read.parquet(path))
+    return df
+
+
 def _apply_maps(df: DataFrame, maps: Dict[str, List[Tuple[str, str]]]) -> DataFrame:
     """Small (from, to) maps become a literal map expression (no join at all)."""
     new = {}
@@ -289,7 +314,9 @@ def apply_plan(df: DataFrame, plan: CleaningPlan, dedup: bool = True) -> DataFra
         if plan.key_col:
             out = R.dedup_key(out, plan.key_col)
     out = R.trim_text(out, plan.case_cols)
-    out = _apply_maps(_apply_maps(_apply_maps(out, plan.case_maps), plan.fuzzy_maps), plan.abbrev_maps)
+    out = _apply_stored_maps(_apply_maps(out, plan.case_maps), plan)
+    out = _apply_maps(_apply_maps(out, plan.fuzzy_maps), plan.abbrev_maps)
+    out = _apply_stored_maps(out, plan, "abbrev")
     out = R.replace_columns(out, {c: F.when(F.col(c) > 5, F.lit(v)).otherwise(F.col(c).cast("double"))
                                   for c, v in plan.rating_medians.items()})
     out = R.cap_outliers(out, plan.cap_bounds)
