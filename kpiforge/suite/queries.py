@@ -1520,3 +1520,27 @@ def q_stream_clean(spark, sf_dir):
     out_path, ckpt = scratch_path(spark, "stream_out"), scratch_path(spark, "stream_ckpt")
     run_once(clean_stream(stream, plan), out_path, ckpt)
     return spark.read.parquet(out_path)
+
+
+# =========================================================== late additions with oracle SQL
+@register("date_sanity", ST.sql_typed() + f" SELECT transaction_id, CASE WHEN year(transaction_date) BETWEEN 1990 AND "
+          f"{ST.AS_OF.year + 1} THEN transaction_date END AS transaction_date FROM ty")
+def q_date_sanity(spark, sf_dir):
+    ty = ST.typed(spark, sf_dir).select("transaction_id", "transaction_date")
+    return ty.select("transaction_id", S.date_in_range(F.col("transaction_date"), ST.AS_OF.year).alias("transaction_date"))
+
+
+def _collinear_sql():
+    pairs = [(a, b) for i, a in enumerate(FS_NUM) for b in FS_NUM[i + 1:]]
+    body = " UNION ALL ".join(f"SELECT '{b}' AS dropped_column, abs(corr({a}, {b})) AS r FROM ft" for a, b in pairs)
+    # a later column is dropped when any earlier column is collinear with it
+    return FS_SQL + f" SELECT DISTINCT dropped_column FROM ({body}) WHERE r >= {K.SELECT_COLLINEAR}"
+
+
+ORACLE["fs_collinear"] = _collinear_sql()
+
+ORACLE["cat_describe"] = (
+    "SELECT table_name, column_name, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' "
+    "WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' "
+    "ELSE lower(data_type) END AS data_type FROM information_schema.columns "
+    "WHERE table_name IN ('orders', 'lineitem', 'customer')")
