@@ -36,10 +36,6 @@ def _clean_value(df: DataFrame, c: str) -> Column:
     return F.col(c)
 
 
-def _date_any(c: Column) -> Column:
-    return S.parse_date_formats(c, [sp for _, sp in K.DATE_FORMATS])
-
-
 def long_values(df: DataFrame, cols: Optional[Sequence[str]] = None) -> DataFrame:
     """Unpivot to ``(column_name, dtype, s)`` with the value as text.
 

@@ -9,7 +9,7 @@ literal or a broadcast join of a size-checked mapping.
 from __future__ import annotations
 
 import datetime as _dt
-from typing import Dict, Iterable, Optional, Sequence
+from typing import Dict, Optional, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F

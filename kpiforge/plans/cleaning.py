@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from kpiforge import constants as K
 from kpiforge.functions import scalars as S
-from kpiforge.functions.stats import exact_quantiles, medians, modes
+from kpiforge.functions.stats import medians, modes
 from kpiforge.operators import canon as C
 from kpiforge.operators import repair as R
 from kpiforge.operators import semantic as SEM
@@ -56,10 +56,6 @@ class CleaningPlan:
     log: List[Tuple[str, str, str, int]] = field(default_factory=list)         # step, column, method, rows
 
 
-def _rows(df: DataFrame, cond) -> int:
-    return int(df.agg(F.count_if(cond)).first()[0])
-
-
 def select_strategy(col: str, null_pct: float, numeric: bool, sem: str, formula_output: bool,
                     identity: bool) -> Tuple[str, str]:
     """impute_select ladder (models are not used by the fitted plan; they are separate operators)."""

@@ -921,8 +921,7 @@ MESSY = {"transaction_id": " Transaction ID ", "price_per_unit": "Price Per Unit
 @register("norm_names", ST.sql_raw() + " SELECT transaction_id, price_per_unit, total_spent, category FROM ds")
 def q_norm_names(spark, sf_dir):
     df = ST.raw(spark, sf_dir).select(*[F.col(k).alias(v) for k, v in MESSY.items()])
-    out = FS.normalise_names(df)
-    return out.withColumnRenamed("price_per_unit", "price_per_unit")
+    return FS.normalise_names(df)
 
 
 @register("sink_csv")
