@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from kpiforge.session import ensure_checkpoint_dir
+from kpiforge.session import ensure_checkpoint_dir, ship_package
 
 
 def _modules():
@@ -16,6 +16,7 @@ def _wrap(fn):
     @functools.wraps(fn)
     def run(spark, sf_dir):
         ensure_checkpoint_dir(spark)
+        ship_package(spark)
         return fn(spark, sf_dir)
     return run
 
