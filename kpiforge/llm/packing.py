@@ -52,7 +52,7 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     split = [t.split(" ") for t in texts]
     if len(known) > CACHE_LIMIT:
         known.clear()
-    new = list({p for parts in split for p in parts[1:]} - known.keys())
+    new = list({p for parts in split for p in parts[1:] if p not in known})
     for i in range(0, len(new), 20_000):
         some = new[i:i + 20_000]
         for part, enc in zip(some, tok.encode_batch_fast([" " + p for p in some], add_special_tokens=False)):

@@ -73,7 +73,7 @@ def count_matrix(texts: list[str], split) -> tuple[list[str], bytes]:
         if len(cut) > 1 and (cut[0][-1:].isspace()
                              or any(not p or p[0].isspace() or p[-1].isspace() for p in set(cut[1:]))):
             keys = [text]  # a blank next to other white space is no boundary
-        for k in set(keys) - parts.keys():
+        for k in [k for k in dict.fromkeys(keys) if k not in parts]:
             parts[k] = of(k)
             number[k] = len(expand)
             expand.append(parts[k])
