@@ -136,12 +136,13 @@ def score_documents(docs: DataFrame, stratum_col: str = "lang", text_col: str =
 
 def thresholds(scored: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Cut-offs per stratum from the labelled rows of ``scored`` (columns only, no text).
-    Labels with several rows for one doc_id count as clean if any row says so."""
+    Labels with several rows for one doc_id count as clean if any row says so. The result is
+    stored, so Spark knows its size when it plans the join that applies it."""
     lab = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         (F.max("quality") == 1).alias("clean"))
     held = scored.where(~F.col(_P + "base_failed")).select(
         "doc_id", F.col(_P + "stratum").alias("stratum"), F.col(_P + "hit").alias("hit"))
-    return certify(held.join(lab, "doc_id").select("stratum", "hit", "clean"), **options)
+    return stored(certify(held.join(lab, "doc_id").select("stratum", "hit", "clean"), **options), "quality-cutoffs")
 
 
 def verdicts(scored: DataFrame, cutoffs: DataFrame) -> DataFrame:

@@ -61,6 +61,14 @@ class PieceTable:
     def frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.rows, "id int, piece string, score double")
 
+    def starts_frame(self, spark: SparkSession) -> DataFrame:
+        """First three characters of the longer pieces -> the longest such piece."""
+        longest: dict[str, int] = {}
+        for _, p, _ in self.rows:
+            if len(p) > 2:
+                longest[p[:3]] = max(longest.get(p[:3], 0), len(p))
+        return spark.createDataFrame(list(longest.items()), "start string, longest int")
+
     def decode_frame(self, spark: SparkSession) -> DataFrame:
         rows = [(i, p.encode().hex()) for i, p, _ in self.rows]
         rows += [(i, f"{b:02x}") for b, i in enumerate(self.byte_ids)]
@@ -71,8 +79,13 @@ def lattice_edges(words: DataFrame, pieces: PieceTable) -> DataFrame:
     """Steps 1 and 2: ``words(word)`` -> (word, e, s, score, id): id null for unknown."""
     n = F.length("word")
     spans = words.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
-    spans = spans.select("word", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + pieces.longest, n))).alias("e"))
-    spans = spans.withColumn("piece", F.substr("word", F.col("s") + 1, F.col("e") - F.col("s")))
+    spans = spans.select("word", "s", F.substr("word", F.col("s") + 1, F.lit(pieces.longest)).alias("rest"))
+    # no piece starts with these three characters: only one and two can be pieces here
+    starts = F.broadcast(pieces.starts_frame(words.sparkSession))
+    spans = spans.join(starts, F.substr("rest", F.lit(1), F.lit(3)) == F.col("start"), "left").drop("start")
+    spans = spans.select("word", "s", "rest", F.explode(F.sequence(F.lit(1), F.least(
+        F.coalesce("longest", F.lit(2)), F.length("rest")))).alias("size"))
+    spans = spans.select("word", "s", (F.col("s") + F.col("size")).alias("e"), F.left("rest", "size").alias("piece"))
     table = F.broadcast(pieces.frame(words.sparkSession))  # bounded by the vocabulary file
     edges = spans.join(table, "piece", "left").where(F.col("id").isNotNull() | (F.col("e") - F.col("s") == 1))
     return edges.select("word", "e", "s", F.coalesce("score", F.lit(pieces.unknown_score)).alias("score"), "id")
@@ -126,16 +139,18 @@ def viterbi_long(edges: pd.Series) -> pd.Series:
 
 def encode_words(words: DataFrame, pieces: PieceTable) -> DataFrame:
     """``words(word)``, distinct -> (word, ids)."""
-    edges = lattice_edges(words, pieces)
     byte_ids = F.array(*[F.lit(i) for i in pieces.byte_ids])
-    grouped = edges.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("e", "s", "score", "id"))).alias("x"))
-    ids = F.transform("x", lambda x: F.struct(
-        x["e"].alias("e"), x["s"].alias("s"), x["score"].alias("score"),
-        F.when(x["id"].isNotNull(), F.array(x["id"])).otherwise(byte_pieces(F.col("word"), x["s"], byte_ids)).alias("ids")))
-    grouped = grouped.select("word", ids.alias("x"))
-    short = grouped.where(F.length("word") <= LONG_WORD).select("word", viterbi(F.col("x")).alias("ids"))
-    long = grouped.where(F.length("word") > LONG_WORD).select("word", viterbi_long("x").alias("ids"))
-    return short.unionByName(long)
+
+    def folded(some: DataFrame, fold) -> DataFrame:
+        grouped = lattice_edges(some, pieces).groupBy("word").agg(
+            F.array_sort(F.collect_list(F.struct("e", "s", "score", "id"))).alias("x"))
+        edges = F.transform("x", lambda x: F.struct(
+            x["e"].alias("e"), x["s"].alias("s"), x["score"].alias("score"),
+            F.when(x["id"].isNotNull(), F.array(x["id"])).otherwise(byte_pieces(F.col("word"), x["s"], byte_ids)).alias("ids")))
+        return grouped.select("word", edges.alias("x")).select("word", fold(F.col("x")).alias("ids"))
+
+    short = folded(words.where(F.length("word") <= LONG_WORD), viterbi)
+    return short.unionByName(folded(words.where(F.length("word") > LONG_WORD), viterbi_long))
 
 
 def decode_words(encoded: DataFrame, pieces: PieceTable) -> DataFrame:
@@ -170,8 +185,6 @@ def encode_documents(docs: DataFrame, model: str = "piece_bpe_32k.model") -> Dat
 def encode_texts(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
     """General form: ``docs(doc_id, text)`` -> (doc_id, ids) with the ids in text order.
     Every word occurrence is a row; doc_id must be unique and non-null here."""
-    import re  # noqa: F401
-
     pieces = PieceTable(tokenizer_file(model))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     blank = F.when(F.length(text) > 0, F.replace(F.concat(F.lit(" "), text), F.lit(" "), F.lit(BLANK))).otherwise("")

@@ -61,24 +61,28 @@ def count_matrix(texts: list[str], split) -> tuple[list[str], bytes]:
     ``split`` gives a text's units. It is called once per distinct blank-delimited part: a
     single blank between two non-blank characters is a boundary of every splitter here."""
     units: dict[str, int] = {}
-    parts: dict[str, np.ndarray] = {}
+    which, expand, number = [], [], {}
 
-    def of(part: str) -> np.ndarray:
-        return np.array([units.setdefault(u, len(units)) for u in split(part)], dtype=np.int64)
+    def add(key: str, part: str) -> None:
+        number[key] = len(expand)
+        expand.append(np.array([units.setdefault(u, len(units)) for u in split(part)], dtype=np.int64))
 
-    which, sizes, expand, number = [], [], [], {}
     for text in texts:
         cut = text.split(" ")
         keys = [cut[0], *[" " + p for p in cut[1:]]]
-        if len(cut) > 1 and (cut[0][-1:].isspace()
-                             or any(not p or p[0].isspace() or p[-1].isspace() for p in set(cut[1:]))):
-            keys = [text]  # a blank next to other white space is no boundary
-        for k in [k for k in dict.fromkeys(keys) if k not in parts]:
-            parts[k] = of(k)
-            number[k] = len(expand)
-            expand.append(parts[k])
-        which.append(np.fromiter(map(number.__getitem__, keys), dtype=np.int64, count=len(keys)))
-        sizes.append(len(keys))
+        for k in dict.fromkeys(keys):
+            if k not in number:
+                if k[:1] == " " and (k == " " or k[1].isspace() or k[-1].isspace()):
+                    number[k] = -1  # a blank next to other white space is no boundary
+                else:
+                    add(k, k)
+        at = np.fromiter(map(number.__getitem__, keys), dtype=np.int64, count=len(keys))
+        if len(keys) > 1 and (keys[0][-1:].isspace() or at.min() < 0):
+            key = "\0" + text  # holds a blank, so it is no other part's key
+            if key not in number:
+                add(key, text)
+            at = np.array([number[key]])
+        which.append(at)
     lengths = np.array([len(e) for e in expand], dtype=np.int64)
     starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
     flat = np.concatenate(expand) if expand else np.zeros(0, np.int64)
