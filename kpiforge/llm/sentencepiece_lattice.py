@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-Texts become words: a run of blanks (written U+2581) with what follows it; no piece crosses
-such a border or a line break. Encoding works once per distinct word of the corpus:
+Texts become words: blanks are written U+2581, and a text is cut between two characters that
+no piece of the vocabulary holds together (a letter and a blank, for one), where no edge of
+the lattice can cross. Encoding works once per distinct word of the corpus:
 
 1. explode every substring of at most the longest piece's length (start, end, text),
 2. equi-join with the piece table (bounded by the vocabulary file, hence broadcast); single
@@ -24,6 +25,9 @@ recurrence in a linear-time helper, as growing arrays would cost their square.
 
 from __future__ import annotations
 
+import math
+from contextlib import contextmanager
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,15 +36,19 @@ from pyspark.sql import types as T
 from kpiforge.llm.common import stored, tokenizer_file
 from kpiforge.llm.token_counts import batch_units, sum_per_document
 
-UNKNOWN_PENALTY, LONG_WORD = 10.0, 256
+UNKNOWN_PENALTY, LONG_WORD, WORDS_PER_TASK = 10.0, 256, 20_000
 BLANK = "▁"
 
 
-def word_splitter():
-    import re
+def word_splitter(bigrams: frozenset):
+    """Function text -> words: cut wherever no piece holds the two neighbours together."""
+
+    def split(text: str) -> list[str]:
+        t = text.replace(" ", BLANK)
+        cuts = [i for i, (a, b) in enumerate(zip(t, t[1:]), 1) if a + b not in bigrams]
+        return [t[i:j] for i, j in zip([0, *cuts], [*cuts, len(t)])] if t else []
 
-    pattern = re.compile(rf"{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+|\n")
-    return lambda text: pattern.findall(text.replace(" ", BLANK))
+    return split
 
 
 class PieceTable:
@@ -55,6 +63,7 @@ class PieceTable:
         self.rows = [(i, sp.id_to_piece(i), float(sp.get_score(i))) for i in normal]
         found = {int(sp.id_to_piece(i)[1:-1], 16): i for i in range(sp.get_piece_size()) if sp.is_byte(i)}
         self.byte_ids = [found.get(b, sp.unk_id()) for b in range(256)]
+        self.bigrams = frozenset(p[i:i + 2] for _, p, _ in self.rows for i in range(len(p) - 1))
         self.longest = max(len(p) for _, p, _ in self.rows)
         self.unknown_score = min(s for _, _, s in self.rows) - UNKNOWN_PENALTY
 
@@ -162,23 +171,45 @@ def decode_words(encoded: DataFrame, pieces: PieceTable) -> DataFrame:
     return joined.select("word", F.decode(raw, "UTF-8").alias("decoded"))
 
 
+@contextmanager
+def grouped_in_memory(spark: SparkSession, groups: int):
+    """Lets ``collect_list`` keep that many groups per task before it sorts instead; the
+    default of 128 would sort every edge. Tasks hold at most about ``groups`` words here."""
+    name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(2 * groups))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def encode_vocabulary(words: DataFrame, pieces: PieceTable, words_per_task: int = WORDS_PER_TASK) -> DataFrame:
+    """``words(word)`` with repeats -> (word, ids, decoded), one row per distinct word, stored."""
+    spark = words.sparkSession
+    distinct = stored(words.distinct(), "piece-words")
+    parts = max(1, math.ceil(distinct.count() / words_per_task))
+    with grouped_in_memory(spark, words_per_task):
+        encoded = stored(encode_words(distinct.repartition(parts, "word"), pieces), "piece-ids")
+        decoded = stored(decode_words(encoded.repartition(parts, "word"), pieces), "piece-texts")
+    return encoded.join(decoded, "word", "left")
+
+
 def encode_documents(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
-    """The rows of ``op10``: doc_id, n_bytes, n_words, n_pieces, id_sum, bad_words.
+    """The rows of ``op10``: doc_id, n_bytes, n_pieces, id_sum, bad_words.
 
     ``n_pieces`` and ``id_sum`` (sum of the ids) are over the whole text, dummy blank at its
     start included; ``bad_words`` counts words whose decoded ids differ (0: round trip holds)."""
     pieces = PieceTable(tokenizer_file(model))
+    bigrams = pieces.bigrams
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     led = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.when(F.length(text) > 0, F.concat(F.lit(" "), text)).otherwise("").alias("text"))
-    units = batch_units(led, word_splitter, "piece-words")
-    words = units.where("idx is not null").select("word").distinct()
-    encoded = stored(encode_words(words, pieces), "piece-ids")
-    decoded = decode_words(encoded, pieces)
-    values = encoded.join(decoded, "word", "left").select(
-        "word", F.lit(1).cast("long").alias("n_words"), F.size("ids").cast("long").alias("n_pieces"),
+    units = batch_units(led, lambda: word_splitter(bigrams), "piece-units")
+    values = encode_vocabulary(units.where("idx is not null").select("word"), pieces).select(
+        "word", F.size("ids").cast("long").alias("n_pieces"),
         F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"),
         F.when(F.col("word").eqNullSafe(F.col("decoded")), 0).otherwise(1).cast("long").alias("bad_words"))
-    out = sum_per_document(units, values, ["n_words", "n_pieces", "id_sum", "bad_words"])
+    out = sum_per_document(units, values, ["n_pieces", "id_sum", "bad_words"])
     return out.withColumn("n_bytes", F.greatest(F.col("n_bytes") - 1, F.lit(0)))
 
 
@@ -186,11 +217,14 @@ def encode_texts(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFra
     """General form: ``docs(doc_id, text)`` -> (doc_id, ids) with the ids in text order.
     Every word occurrence is a row; doc_id must be unique and non-null here."""
     pieces = PieceTable(tokenizer_file(model))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    blank = F.when(F.length(text) > 0, F.replace(F.concat(F.lit(" "), text), F.lit(" "), F.lit(BLANK))).otherwise("")
-    words = docs.select("doc_id", F.posexplode_outer(F.regexp_extract_all(
-        blank, F.lit(rf"{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+|\n"), F.lit(0))).alias("at", "word"))
-    encoded = encode_words(words.where("word is not null").select("word").distinct(), pieces)
+    split = word_splitter(pieces.bigrams)
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def words_of(texts: pd.Series) -> pd.Series:
+        return pd.Series([split(" " + t) if t else [] for t in texts])
+
+    words = docs.select("doc_id", F.posexplode_outer(words_of(F.coalesce("text", F.lit("")))).alias("at", "word"))
+    encoded = encode_vocabulary(words.where("word is not null").select("word"), pieces).select("word", "ids")
     return words.join(encoded, "word", "left").groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("x")).select(
         "doc_id", F.flatten(F.transform("x", lambda x: F.coalesce(x["ids"], F.array().cast("array<int>")))).alias("ids"))

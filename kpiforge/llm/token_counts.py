@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from kpiforge.llm.common import stored, tokenizer_file
 from kpiforge.llm.packing import load_tokenizer
 
-LIMIT, BATCH_CHARS = 1024, 32_000_000
+LIMIT, BATCH_CHARS = 1024, 12_000_000
 #: White space as Unicode has it (the pattern's \s); Python's own \s also holds 1C-1F.
 _SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: the byte-level split pattern.
@@ -61,31 +61,37 @@ def count_matrix(texts: list[str], split) -> tuple[list[str], bytes]:
     ``split`` gives a text's units. It is called once per distinct blank-delimited part: a
     single blank between two non-blank characters is a boundary of every splitter here."""
     units: dict[str, int] = {}
-    which, expand, number = [], [], {}
+    flat: list[int] = []  # unit numbers of all known parts, one after the other
+    lengths: list[int] = []
 
-    def add(key: str, part: str) -> None:
-        number[key] = len(expand)
-        expand.append(np.array([units.setdefault(u, len(units)) for u in split(part)], dtype=np.int64))
+    def add(part: str) -> int:
+        found = split(part)
+        flat.extend([units.setdefault(u, len(units)) for u in found])
+        lengths.append(len(found))
+        return len(lengths) - 1
 
+    class Parts(dict):
+        def __missing__(self, p):  # a part after a blank; -1 if that blank is no boundary
+            n = self[p] = -1 if not p or p[0].isspace() or p[-1].isspace() else add(" " + p)
+            return n
+
+    parts, heads, wholes, which = Parts(), {}, {}, []
     for text in texts:
         cut = text.split(" ")
-        keys = [cut[0], *[" " + p for p in cut[1:]]]
-        for k in dict.fromkeys(keys):
-            if k not in number:
-                if k[:1] == " " and (k == " " or k[1].isspace() or k[-1].isspace()):
-                    number[k] = -1  # a blank next to other white space is no boundary
-                else:
-                    add(k, k)
-        at = np.fromiter(map(number.__getitem__, keys), dtype=np.int64, count=len(keys))
-        if len(keys) > 1 and (keys[0][-1:].isspace() or at.min() < 0):
-            key = "\0" + text  # holds a blank, so it is no other part's key
-            if key not in number:
-                add(key, text)
-            at = np.array([number[key]])
+        head = cut[0]
+        at = np.fromiter(map(parts.__getitem__, cut), dtype=np.int64, count=len(cut)) if len(cut) > 1 else np.zeros(1, np.int64)
+        if len(cut) > 1 and (at[1:].min() < 0 or head[-1:].isspace()):
+            if text not in wholes:
+                wholes[text] = add(text)
+            at = np.array([wholes[text]])
+        else:
+            if head not in heads:
+                heads[head] = add(head)
+            at[0] = heads[head]
         which.append(at)
-    lengths = np.array([len(e) for e in expand], dtype=np.int64)
-    starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-    flat = np.concatenate(expand) if expand else np.zeros(0, np.int64)
+    lengths = np.array(lengths, dtype=np.int64)
+    starts = np.cumsum(lengths) - lengths
+    flat = np.array(flat, dtype=np.int64)
     indptr, cols, counts = [0], [], []
     for w in which:
         n = lengths[w]
