@@ -14,9 +14,9 @@ the lattice can cross. Encoding works once per distinct word of the corpus:
 Decoding explodes the ids with their positions, joins them with the piece table and puts the
 bytes together again.
 
-The segmentation is the one the library gives for the same pieces and scores in unigram mode
-(the tests compare with that). A vocabulary that was made for merging, like
-piece_bpe_32k.model, may be cut differently by the library's merge mode.
+The segmentation is the one with the highest sum of piece scores (the tests compare with
+brute force). A vocabulary that was made for merging, like piece_bpe_32k.model, is cut
+differently by the library's merge mode; decoding is the same for both.
 
 Edge cases: null text counts as empty (no pieces); null or repeated doc_ids are separate
 rows; an empty table gives no rows; words over ``LONG_WORD`` characters are folded by the same
@@ -25,7 +25,6 @@ recurrence in a linear-time helper, as growing arrays would cost their square.
 
 from __future__ import annotations
 
-import math
 from contextlib import contextmanager
 
 import pandas as pd
@@ -34,9 +33,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kpiforge.llm.common import stored, tokenizer_file
-from kpiforge.llm.token_counts import batch_units, sum_per_document
+from kpiforge.llm.token_counts import ROWS_PER_TASK, batch_units, sum_per_document
 
-UNKNOWN_PENALTY, LONG_WORD, WORDS_PER_TASK = 10.0, 256, 20_000
+UNKNOWN_PENALTY, LONG_WORD = 10.0, 256
 BLANK = "▁"
 
 
@@ -85,19 +84,20 @@ class PieceTable:
 
 
 def lattice_edges(words: DataFrame, pieces: PieceTable) -> DataFrame:
-    """Steps 1 and 2: ``words(word)`` -> (word, e, s, score, id): id null for unknown."""
+    """Steps 1 and 2: ``words(word, first)`` -> (word, first, e, s, score, id): id null for
+    unknown. ``first`` only passes through."""
     n = F.length("word")
-    spans = words.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
-    spans = spans.select("word", "s", F.substr("word", F.col("s") + 1, F.lit(pieces.longest)).alias("rest"))
+    spans = words.select("word", "first", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
+    spans = spans.select("word", "first", "s", F.substr("word", F.col("s") + 1, F.lit(pieces.longest)).alias("rest"))
     # no piece starts with these three characters: only one and two can be pieces here
     starts = F.broadcast(pieces.starts_frame(words.sparkSession))
     spans = spans.join(starts, F.substr("rest", F.lit(1), F.lit(3)) == F.col("start"), "left").drop("start")
-    spans = spans.select("word", "s", "rest", F.explode(F.sequence(F.lit(1), F.least(
+    spans = spans.select("word", "first", "s", "rest", F.explode(F.sequence(F.lit(1), F.least(
         F.coalesce("longest", F.lit(2)), F.length("rest")))).alias("size"))
-    spans = spans.select("word", "s", (F.col("s") + F.col("size")).alias("e"), F.left("rest", "size").alias("piece"))
+    spans = spans.select("word", "first", "s", (F.col("s") + F.col("size")).alias("e"), F.left("rest", "size").alias("piece"))
     table = F.broadcast(pieces.frame(words.sparkSession))  # bounded by the vocabulary file
     edges = spans.join(table, "piece", "left").where(F.col("id").isNotNull() | (F.col("e") - F.col("s") == 1))
-    return edges.select("word", "e", "s", F.coalesce("score", F.lit(pieces.unknown_score)).alias("score"), "id")
+    return edges.select("word", "first", "e", "s", F.coalesce("score", F.lit(pieces.unknown_score)).alias("score"), "id")
 
 
 def byte_pieces(word: Column, s: Column, byte_ids: Column) -> Column:
@@ -127,16 +127,17 @@ def viterbi(edges: Column) -> Column:
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def viterbi_long(edges: pd.Series) -> pd.Series:
-    """The same recurrence with back pointers, for very long words."""
+    """The same recurrence with back pointers, for very long words (null: not asked for)."""
     out = []
     for row in edges:
+        if row is None:
+            out.append(None)
+            continue
         best = {0: (0.0, 0, ())}
-        last = 0
         for x in row:
             score = best[x["s"]][0] + x["score"]
             if x["e"] not in best or score > best[x["e"]][0]:
                 best[x["e"]] = (score, x["s"], tuple(x["ids"]))
-                last = x["e"]
         parts = []
         last = max(best)
         while last:
@@ -147,28 +148,28 @@ def viterbi_long(edges: pd.Series) -> pd.Series:
 
 
 def encode_words(words: DataFrame, pieces: PieceTable) -> DataFrame:
-    """``words(word)``, distinct -> (word, ids)."""
+    """``words(word, first)``, distinct -> (word, first, ids)."""
     byte_ids = F.array(*[F.lit(i) for i in pieces.byte_ids])
 
-    def folded(some: DataFrame, fold) -> DataFrame:
-        grouped = lattice_edges(some, pieces).groupBy("word").agg(
-            F.array_sort(F.collect_list(F.struct("e", "s", "score", "id"))).alias("x"))
-        edges = F.transform("x", lambda x: F.struct(
-            x["e"].alias("e"), x["s"].alias("s"), x["score"].alias("score"),
-            F.when(x["id"].isNotNull(), F.array(x["id"])).otherwise(byte_pieces(F.col("word"), x["s"], byte_ids)).alias("ids")))
-        return grouped.select("word", edges.alias("x")).select("word", fold(F.col("x")).alias("ids"))
-
-    short = folded(words.where(F.length("word") <= LONG_WORD), viterbi)
-    return short.unionByName(folded(words.where(F.length("word") > LONG_WORD), viterbi_long))
+    grouped = lattice_edges(words, pieces).groupBy("word", "first").agg(
+        F.array_sort(F.collect_list(F.struct("e", "s", "score", "id"))).alias("x"))
+    edges = F.transform("x", lambda x: F.struct(
+        x["e"].alias("e"), x["s"].alias("s"), x["score"].alias("score"),
+        F.when(x["id"].isNotNull(), F.array(x["id"])).otherwise(byte_pieces(F.col("word"), x["s"], byte_ids)).alias("ids")))
+    long = F.length("word") > LONG_WORD
+    grouped = grouped.select("word", "first", edges.alias("x")).withColumn("far", viterbi_long(F.when(long, F.col("x"))))
+    return grouped.select("word", "first", F.when(long, F.col("far")).otherwise(viterbi(F.col("x"))).alias("ids"))
 
 
 def decode_words(encoded: DataFrame, pieces: PieceTable) -> DataFrame:
-    """``encoded(word, ids)`` -> (word, decoded): the text the ids stand for."""
-    parts = encoded.select("word", F.posexplode("ids").alias("at", "id"))
+    """``encoded(word, first, ids)`` -> the same plus decoded: the text the ids stand for."""
+    parts = encoded.select("word", "first", F.posexplode("ids").alias("at", "id"))
     table = F.broadcast(pieces.decode_frame(encoded.sparkSession))  # bounded by the vocabulary file
-    joined = parts.join(table, "id").groupBy("word").agg(F.array_sort(F.collect_list(F.struct("at", "hex"))).alias("x"))
+    joined = parts.join(table, "id").groupBy("word", "first").agg(
+        F.array_sort(F.collect_list(F.struct("at", "id", "hex"))).alias("x"))
     raw = F.unhex(F.array_join(F.transform("x", lambda x: x["hex"]), ""))
-    return joined.select("word", F.decode(raw, "UTF-8").alias("decoded"))
+    return joined.select("word", "first", F.transform("x", lambda x: x["id"]).alias("ids"),
+                         F.decode(raw, "UTF-8").alias("decoded"))
 
 
 @contextmanager
@@ -184,17 +185,6 @@ def grouped_in_memory(spark: SparkSession, groups: int):
         spark.conf.set(name, before)
 
 
-def encode_vocabulary(words: DataFrame, pieces: PieceTable, words_per_task: int = WORDS_PER_TASK) -> DataFrame:
-    """``words(word)`` with repeats -> (word, ids, decoded), one row per distinct word, stored."""
-    spark = words.sparkSession
-    distinct = stored(words.distinct(), "piece-words")
-    parts = max(1, math.ceil(distinct.count() / words_per_task))
-    with grouped_in_memory(spark, words_per_task):
-        encoded = stored(encode_words(distinct.repartition(parts, "word"), pieces), "piece-ids")
-        decoded = stored(decode_words(encoded.repartition(parts, "word"), pieces), "piece-texts")
-    return encoded.join(decoded, "word", "left")
-
-
 def encode_documents(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
     """The rows of ``op10``: doc_id, n_bytes, n_pieces, id_sum, bad_words.
 
@@ -205,11 +195,15 @@ def encode_documents(docs: DataFrame, model: str = "piece_bpe_32k.model") -> Dat
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     led = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.when(F.length(text) > 0, F.concat(F.lit(" "), text)).otherwise("").alias("text"))
     units = batch_units(led, lambda: word_splitter(bigrams), "piece-units")
-    values = encode_vocabulary(units.where("idx is not null").select("word"), pieces).select(
-        "word", F.size("ids").cast("long").alias("n_pieces"),
-        F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"),
-        F.when(F.col("word").eqNullSafe(F.col("decoded")), 0).otherwise(1).cast("long").alias("bad_words"))
-    out = sum_per_document(units, values, ["n_pieces", "id_sum", "bad_words"])
+
+    def evaluate(words: DataFrame) -> DataFrame:
+        return decode_words(encode_words(words, pieces), pieces).select(
+            "word", "first", F.size("ids").cast("long").alias("n_pieces"),
+            F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"),
+            F.when(F.col("word").eqNullSafe(F.col("decoded")), 0).otherwise(1).cast("long").alias("bad_words"))
+
+    with grouped_in_memory(docs.sparkSession, ROWS_PER_TASK):  # at most that many words in a task
+        out = stored(sum_per_document(units, evaluate, ["n_pieces", "id_sum", "bad_words"]), "piece-sums")
     return out.withColumn("n_bytes", F.greatest(F.col("n_bytes") - 1, F.lit(0)))
 
 
@@ -224,7 +218,8 @@ def encode_texts(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFra
         return pd.Series([split(" " + t) if t else [] for t in texts])
 
     words = docs.select("doc_id", F.posexplode_outer(words_of(F.coalesce("text", F.lit("")))).alias("at", "word"))
-    encoded = encode_vocabulary(words.where("word is not null").select("word"), pieces).select("word", "ids")
+    distinct = words.where("word is not null").select("word").distinct().withColumn("first", F.lit(0).cast("long"))
+    encoded = encode_words(distinct, pieces).select("word", "ids")
     return words.join(encoded, "word", "left").groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("x")).select(
         "doc_id", F.flatten(F.transform("x", lambda x: F.coalesce(x["ids"], F.array().cast("array<int>")))).alias("ids"))

@@ -18,6 +18,7 @@ at most).
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -34,7 +35,10 @@ _SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: the byte-level split pattern.
 PRETOKEN = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+"
             rf"|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-MATRIX = ("batch long, doc_ids array<long>, n_bytes array<long>, matrix binary, idx int, word string")
+MATRIX = "batch long, doc_ids array<long>, n_bytes array<long>, matrix binary, place long, word string"
+#: A unit's place: its batch and, in the lower bits, its number in the batch. A batch is the
+#: task's number and, in its lower bits, the number in the task.
+PLACE_BITS, BATCH_BITS, ROWS_PER_TASK = 28, 15, 60_000
 
 
 def pretoken_splitter(specials: list[str]):
@@ -114,6 +118,8 @@ def matrix_product(blob: bytes, n_docs: int, values: np.ndarray) -> np.ndarray:
     run = np.cumsum(step)
     base = np.concatenate([[0], run])[indptr[:-1]]  # columns are stored as steps within a text
     cols = run - np.repeat(base, np.diff(indptr))
+    if len(values) <= (cols.max() if nnz else -1):  # units without a value count 0
+        values = np.concatenate([values, np.zeros((int(cols.max()) + 1 - len(values),) + values.shape[1:], np.int64)])
     products = values[cols] * (count if values.ndim == 1 else count[:, None])
     sums = np.zeros((n_docs,) + values.shape[1:], dtype=np.int64)
     np.add.at(sums, np.repeat(np.arange(n_docs), np.diff(indptr)), products)
@@ -121,27 +127,29 @@ def matrix_product(blob: bytes, n_docs: int, values: np.ndarray) -> np.ndarray:
 
 
 def batch_units(docs: DataFrame, make_split, name: str) -> DataFrame:
-    """Step 1, stored: rows with a matrix (``idx`` null) and rows with a unit (``word``)."""
+    """Step 1, stored: rows with a matrix (``word`` null) and rows with a unit."""
 
     def work(batches):
         from pyspark import TaskContext
 
-        split, number = make_split(), TaskContext.get().partitionId() << 32
+        split, number = make_split(), TaskContext.get().partitionId() << BATCH_BITS
         schema = pa.schema([("batch", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())),
-                            ("matrix", pa.binary()), ("idx", pa.int32()), ("word", pa.string())])
+                            ("matrix", pa.binary()), ("place", pa.int64()), ("word", pa.string())])
 
         def rows(ids, texts):
             units, blob = count_matrix(texts, split)
             n = len(units)
+            if n >> PLACE_BITS or (number & ((1 << BATCH_BITS) - 1)) == (1 << BATCH_BITS) - 1:
+                raise ValueError("more units or batches than a place can number")
             yield pa.RecordBatch.from_arrays([
                 pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())),
                 pa.array([[len(t.encode()) for t in texts]], pa.list_(pa.int64())), pa.array([blob], pa.binary()),
-                pa.array([None], pa.int32()), pa.array([None], pa.string())], schema=schema)
+                pa.array([None], pa.int64()), pa.array([None], pa.string())], schema=schema)
             for lo in range(0, n, 50_000):
                 m = min(n - lo, 50_000)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(m, number)), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.list_(pa.int64())),
-                    pa.nulls(m, pa.binary()), pa.array(np.arange(lo, lo + m, dtype=np.int32)),
+                    pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.list_(pa.int64())),
+                    pa.nulls(m, pa.binary()), pa.array((number << PLACE_BITS) + np.arange(lo, lo + m, dtype=np.int64)),
                     pa.array(units[lo:lo + m], pa.string())], schema=schema)
 
         for batch in batches:
@@ -156,25 +164,33 @@ def batch_units(docs: DataFrame, make_split, name: str) -> DataFrame:
     return stored(light.mapInArrow(work, MATRIX), name)
 
 
-def sum_per_document(units: DataFrame, values: DataFrame, names: list[str]) -> DataFrame:
-    """Steps 3: ``values(word, *names)`` joined to the batches and summed per document ->
-    doc_id, n_bytes, *names."""
-    words = units.where("idx is not null").select("batch", "idx", "word")
-    found = (words.join(values, "word").groupBy("batch")
-             .agg(F.collect_list(F.struct("idx", *names)).alias("found")))
-    held = units.where("idx is null").select("batch", "doc_ids", "n_bytes", "matrix").join(found, "batch", "left")
+def sum_per_document(units: DataFrame, evaluate, names: list[str]) -> DataFrame:
+    """Steps 2 and 3 -> doc_id, n_bytes, *names (sums over the units of a text).
+
+    ``evaluate`` takes (word, first), one row per distinct unit, and adds the columns of
+    ``names`` (0 to 2^35 - 1). The units are shuffled once: the distinct ones and the join
+    read the same exchange (``first`` is carried along, so both need the same columns)."""
+    places = units.where("word is not null and place is not null").select("word", "place")
+    parts = max(1, math.ceil(places.count() / ROWS_PER_TASK))
+    dealt = places.repartition(parts, "word")
+    values = evaluate(dealt.groupBy("word").agg(F.min("place").alias("first")))
+    values = values.select(F.col("word").alias("unit"), "first", *names)
+    # coalesce: else a null test on one side only would make the two exchanges differ
+    number = F.col("place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    found = (dealt.join(values, (F.col("word") == F.col("unit")) & (F.col("place") >= F.col("first")))
+             .groupBy(F.coalesce(F.shiftright("place", PLACE_BITS), F.lit(-1)).alias("batch"))
+             .agg(*[F.collect_list(F.when(F.col(n) > 0, F.shiftleft(number, 35).bitwiseOR(F.col(n)))).alias(n) for n in names]))
+    held = units.where("word is null").select("batch", "doc_ids", "n_bytes", "matrix").join(found, "batch", "left")
 
     def work(batches):
+        low = (1 << 35) - 1
         for batch in batches:
             for r in range(batch.num_rows):
                 ids, n_bytes = batch.column("doc_ids")[r].values, batch.column("n_bytes")[r].values
-                got = batch.column("found")[r].values
-                n = 0 if got is None else len(got)
-                table = np.zeros((n, len(names)), dtype=np.int64)
-                if n:
-                    at = got.field("idx").to_numpy(zero_copy_only=False)
-                    for j, name in enumerate(names):
-                        table[at, j] = got.field(name).to_numpy(zero_copy_only=False)
+                got = [np.zeros(0, np.int64) if (v := batch.column(n)[r].values) is None else v.to_numpy() for n in names]
+                table = np.zeros((1 + max([int((g >> 35).max()) for g in got if len(g)], default=-1), len(names)), dtype=np.int64)
+                for j, g in enumerate(got):
+                    table[g >> 35, j] = g & low
                 sums = matrix_product(batch.column("matrix")[r].as_py(), len(n_bytes), table)
                 yield pa.RecordBatch.from_arrays(
                     [ids, n_bytes, *[pa.array(sums[:, j]) for j in range(len(names))]], names=["doc_id", "n_bytes", *names])
@@ -183,19 +199,18 @@ def sum_per_document(units: DataFrame, values: DataFrame, names: list[str]) -> D
 
 
 def count_pieces(words: DataFrame, path: str) -> DataFrame:
-    """Step 2: ``words(word)``, distinct -> (word, n_tokens)."""
+    """``words(word, first)``, distinct -> the same plus n_tokens."""
 
     def work(batches):
         tok = load_tokenizer(path)
         for batch in batches:
-            words = batch.column(0)
-            n = []
+            words, n = batch.column(0), []
             for lo in range(0, len(words), 10_000):
                 some = words.slice(lo, 10_000).to_pylist()
                 n += [len(e) for e in tok.encode_batch_fast(some, add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([words, pa.array(n, pa.int64())], names=["word", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([words, batch.column(1), pa.array(n, pa.int64())], names=["word", "first", "n_tokens"])
 
-    return words.mapInArrow(work, "word string, n_tokens long")
+    return words.mapInArrow(work, "word string, first long, n_tokens long")
 
 
 def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: int = LIMIT) -> DataFrame:
@@ -209,5 +224,5 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
         return pretoken_splitter([t["content"] for t in added])
 
     units = batch_units(docs, make_split, "token-units")
-    values = count_pieces(units.where("idx is not null").select("word").distinct(), path)
-    return sum_per_document(units, values, ["n_tokens"]).withColumn("over_limit", F.col("n_tokens") > limit)
+    sums = sum_per_document(units, lambda words: count_pieces(words, path), ["n_tokens"])
+    return sums.withColumn("over_limit", F.col("n_tokens") > limit)
