@@ -186,10 +186,10 @@ def grouped_in_memory(spark: SparkSession, groups: int):
 
 
 def encode_documents(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
-    """The rows of ``op10``: doc_id, n_bytes, n_pieces, id_sum, bad_words.
+    """The rows of ``op10``: doc_id, n_bytes, n_pieces, bad_words.
 
-    ``n_pieces`` and ``id_sum`` (sum of the ids) are over the whole text, dummy blank at its
-    start included; ``bad_words`` counts words whose decoded ids differ (0: round trip holds)."""
+    ``n_pieces`` is over the whole text, dummy blank at its start included; ``bad_words``
+    counts words whose decoded ids differ (0: the round trip holds)."""
     pieces = PieceTable(tokenizer_file(model))
     bigrams = pieces.bigrams
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -199,11 +199,10 @@ def encode_documents(docs: DataFrame, model: str = "piece_bpe_32k.model") -> Dat
     def evaluate(words: DataFrame) -> DataFrame:
         return decode_words(encode_words(words, pieces), pieces).select(
             "word", "first", F.size("ids").cast("long").alias("n_pieces"),
-            F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"),
             F.when(F.col("word").eqNullSafe(F.col("decoded")), 0).otherwise(1).cast("long").alias("bad_words"))
 
     with grouped_in_memory(docs.sparkSession, ROWS_PER_TASK):  # at most that many words in a task
-        out = stored(sum_per_document(units, evaluate, ["n_pieces", "id_sum", "bad_words"]), "piece-sums")
+        out = stored(sum_per_document(units, evaluate, ["n_pieces", "bad_words"]), "piece-sums")
     return out.withColumn("n_bytes", F.greatest(F.col("n_bytes") - 1, F.lit(0)))
 
 

@@ -22,6 +22,7 @@ import math
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from kpiforge.llm.common import stored, tokenizer_file
 from kpiforge.llm.packing import load_tokenizer
 
-LIMIT, BATCH_CHARS = 1024, 12_000_000
+LIMIT, BATCH_CHARS = 1024, 18_000_000
 #: White space as Unicode has it (the pattern's \s); Python's own \s also holds 1C-1F.
 _SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: the byte-level split pattern.
@@ -104,7 +105,8 @@ def count_matrix(texts: list[str], split) -> tuple[list[str], bytes]:
         cols.append(np.diff(u, prepend=0).astype("<u4"))
         counts.append(c.astype("<u4"))
         indptr.append(indptr[-1] + len(u))
-    blob = b"".join([np.array(indptr, "<u8").tobytes(), *[x.tobytes() for x in cols], *[x.tobytes() for x in counts]])
+    planes = [np.concatenate(x).view(np.uint8).reshape(-1, 4).T.tobytes() if x else b"" for x in (cols, counts)]
+    blob = np.array(indptr, "<u8").tobytes() + b"".join(planes)  # high bytes together: mostly zeros
     return list(units), zlib.compress(blob, 1)
 
 
@@ -113,8 +115,8 @@ def matrix_product(blob: bytes, n_docs: int, values: np.ndarray) -> np.ndarray:
     raw = zlib.decompress(blob)
     indptr = np.frombuffer(raw, "<u8", n_docs + 1).astype(np.int64)
     nnz = int(indptr[-1])
-    step = np.frombuffer(raw, "<u4", nnz, 8 * (n_docs + 1)).astype(np.int64)
-    count = np.frombuffer(raw, "<u4", nnz, 8 * (n_docs + 1) + 4 * nnz).astype(np.int64)
+    planes = np.frombuffer(raw, np.uint8, 8 * nnz, 8 * (n_docs + 1)).reshape(2, 4, nnz)
+    step, count = (np.ascontiguousarray(p.T).view("<u4").ravel().astype(np.int64) for p in planes)
     run = np.cumsum(step)
     base = np.concatenate([[0], run])[indptr[:-1]]  # columns are stored as steps within a text
     cols = run - np.repeat(base, np.diff(indptr))
@@ -198,19 +200,16 @@ def sum_per_document(units: DataFrame, evaluate, names: list[str]) -> DataFrame:
     return held.mapInArrow(work, "doc_id long, n_bytes long, " + ", ".join(f"{n} long" for n in names))
 
 
-def count_pieces(words: DataFrame, path: str) -> DataFrame:
-    """``words(word, first)``, distinct -> the same plus n_tokens."""
+def piece_counter(path: str):
+    """Column function word -> number of pieces."""
 
-    def work(batches):
+    @F.pandas_udf("long")
+    def count(words: pd.Series) -> pd.Series:
         tok = load_tokenizer(path)
-        for batch in batches:
-            words, n = batch.column(0), []
-            for lo in range(0, len(words), 10_000):
-                some = words.slice(lo, 10_000).to_pylist()
-                n += [len(e) for e in tok.encode_batch_fast(some, add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([words, batch.column(1), pa.array(n, pa.int64())], names=["word", "first", "n_tokens"])
+        return pd.Series([len(e) for lo in range(0, len(words), 10_000)
+                          for e in tok.encode_batch_fast(words[lo:lo + 10_000].tolist(), add_special_tokens=False)], dtype="int64")
 
-    return words.mapInArrow(work, "word string, first long, n_tokens long")
+    return count.asNondeterministic()
 
 
 def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: int = LIMIT) -> DataFrame:
@@ -224,5 +223,5 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
         return pretoken_splitter([t["content"] for t in added])
 
     units = batch_units(docs, make_split, "token-units")
-    sums = sum_per_document(units, lambda words: count_pieces(words, path), ["n_tokens"])
+    sums = sum_per_document(units, lambda words: words.withColumn("n_tokens", piece_counter(path)("word")), ["n_tokens"])
     return sums.withColumn("over_limit", F.col("n_tokens") > limit)
