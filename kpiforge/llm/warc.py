@@ -14,8 +14,8 @@ the first key of every block, without the lines.
 Look-up: a key goes to the range partition that may hold it (binary search over the first key
 of every partition), there to a block (binary search in the partition's directory), and in
 the block to its line (binary search again); only blocks that are hit are unpacked. The
-places found are gathered per archive file - files are bounded by ``FILE_BYTES`` - and cut out
-of it as byte ranges.
+places found are gathered per archive file, about ``FILE_BYTES`` each, and read from it as
+byte ranges.
 
 Edge cases: null html is an empty payload; a null url has the key ""; a null page_id is kept
 as such and never the response while a non-null one exists; rows that share a page_id and
@@ -39,6 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kpiforge.llm.common import stored
 from kpiforge.session import scratch_path
 
 FILE_BYTES, BLOCK_ROWS, RANGE_ROWS = 8_000_000, 500, 20_000
@@ -76,6 +77,7 @@ def records(pages: DataFrame, min_revisit_bytes: int) -> DataFrame:
     # first copies of payloads stored several times: the only keys that need a join
     first = (keys.where(F.col("bytes") >= min_revisit_bytes).groupBy("sha1", "bytes")
              .agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies"))
+    first = stored(first, "warc-first")  # Spark then knows its size when it plans the join
     p = p.join(first, ["sha1", "bytes"], "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     line = lambda name, value: F.concat(F.lit(name + ": "), value, F.lit("\r\n"))
@@ -101,12 +103,15 @@ def _base32(sha1_hex: pd.Series) -> pd.Series:
     return pd.Series([base64.b32encode(bytes.fromhex(x)).decode() for x in sha1_hex], dtype=object)
 
 
-def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, file_bytes: int = FILE_BYTES) -> None:
-    """Archives of about ``file_bytes`` each under ``path`` (a single record may be larger)."""
+def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, file_bytes: int = FILE_BYTES) -> int:
+    """Archives of about ``file_bytes`` each under ``path``; returns the number of records.
+    Tasks write the pages they read; a file ends after the number of records that has that
+    size on average, so very long pages make larger files."""
     total, rows = pages.agg(F.sum(F.octet_length("html")), F.count("*")).first()
-    files = max(1, math.ceil(((total or 0) + 500 * rows) / file_bytes))
-    out = records(pages, min_revisit_bytes)
-    (out.repartition(files).write.option("lineSep", END.decode()).option("encoding", "UTF-8").text(path))
+    per_file = max(1, int(file_bytes * rows / max(1, (total or 0) + 500 * rows)))
+    (records(pages, min_revisit_bytes).write.option("maxRecordsPerFile", per_file)
+     .option("lineSep", END.decode()).option("encoding", "UTF-8").text(path))
+    return rows
 
 
 def read_archives(spark, path: str) -> DataFrame:
@@ -153,10 +158,10 @@ def sort_key(key: str, page_id: int | None) -> str:
     return key + "\x00" + ("" if page_id is None else f"{page_id + (1 << 63):020d}")
 
 
-def write_index(caps: DataFrame, path: str, block_rows: int = BLOCK_ROWS, range_rows: int = RANGE_ROWS) -> None:
+def write_index(caps: DataFrame, rows: int, path: str, block_rows: int = BLOCK_ROWS, range_rows: int = RANGE_ROWS) -> None:
     """Sorted compressed blocks: (part, block, first_key, n, lines)."""
     caps = caps.withColumn("sort", _sort_keys(F.col("key"), F.col("page_id")))
-    ranges = max(1, math.ceil(caps.count() / range_rows))
+    ranges = max(1, math.ceil(rows / range_rows))
 
     def work(batches):
         from pyspark import TaskContext
@@ -233,34 +238,65 @@ def look_up(wanted: DataFrame, index_path: str) -> DataFrame:
     return index.groupBy("part").cogroup(asked.groupBy("part")).applyInPandas(find, "path string, offset long, length long")
 
 
-def read_ranges(archives: DataFrame, places: DataFrame) -> DataFrame:
-    """Cuts the places out of their files and checks every payload against its digest ->
-    page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload."""
-    per_file = places.groupBy("path").agg(F.collect_list(F.struct("offset", "length")).alias("cuts"))
-    joined = archives.join(per_file, "path").select("content", "cuts")
+RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
 
-    def work(batches):
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
-        names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"]
+
+def record_rows(records: list[bytes]) -> pa.RecordBatch:
+    """Fields of whole records; a response's payload is checked against its digest."""
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
+    rows = []
+    for record in records:
+        head, body = parse_header(record, 0)
+        payload = record[body:body + int(head["Content-Length"])]
+        digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
+        again = head["WARC-Type"] == "revisit"
+        if not again and base32_sha1(payload) != digest:
+            raise ValueError(f"payload of {head['WARC-Record-ID']} doesn't match its digest")
+        rows.append((page_number(head["WARC-Record-ID"]), int(head["WARC-Payload-Length"]) if again else len(payload), digest,
+                     head["WARC-Type"], page_number(head.get("WARC-Refers-To")), head.get("WARC-Target-URI")))
+    cols = list(zip(*rows)) or [[]] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[f.split()[0] for f in RECORD.split(", ")])
+
+
+def open_store(uri: str):
+    """(file system, path) of a file in a store that Arrow can open."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
+
+
+def arrow_opens(uri: str) -> bool:
+    try:
+        system, path = open_store(uri)
+        return system.get_file_info(path).type.name != "NotFound"
+    except (ValueError, OSError, NotImplementedError):
+        return False
+
+
+def read_ranges(archives: DataFrame, places: DataFrame, base: str) -> DataFrame:
+    """Reads the places' byte ranges, file by file, and parses the records ->
+    page_id, payload_bytes, payload_digest, record_type, refers_to, url.
+
+    Where Arrow can open the store of ``base``, tasks seek in the files; elsewhere the places
+    are joined to the contents Spark has read."""
+    per_file = places.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("cuts"))
+
+    def seek(batches):
         for batch in batches:
             for r in range(batch.num_rows):
-                data, cuts, rows = batch.column(0)[r].as_buffer(), batch.column(1)[r].as_py(), []
-                view = memoryview(data)
-                for cut in cuts:
-                    record = bytes(view[cut["offset"]:cut["offset"] + cut["length"]])
-                    head, body = parse_header(record, 0)
-                    payload = record[body:body + int(head["Content-Length"])]
-                    digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
-                    again = head["WARC-Type"] == "revisit"
-                    if not again and base32_sha1(payload) != digest:
-                        raise ValueError(f"payload of {head['WARC-Record-ID']} doesn't match its digest")
-                    size = int(head["WARC-Payload-Length"]) if again else len(payload)
-                    rows.append((page_number(head["WARC-Record-ID"]), size, digest, head["WARC-Type"],
-                                 page_number(head.get("WARC-Refers-To")), head.get("WARC-Target-URI")))
-                cols = list(zip(*rows)) or [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
-
-    return joined.mapInArrow(work, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
+                system, path = open_store(batch.column(0)[r].as_py())
+                with system.open_input_file(path) as f:
+                    yield record_rows([f.read_at(c["length"], c["offset"]) for c in batch.column(1)[r].as_py()])
+
+    def cut(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                view = memoryview(batch.column(0)[r].as_buffer())
+                yield record_rows([bytes(view[c["offset"]:c["offset"] + c["length"]]) for c in batch.column(1)[r].as_py()])
+
+    if arrow_opens(base):
+        return per_file.mapInArrow(seek, RECORD)
+    return archives.join(per_file, "path").select("content", "cuts").mapInArrow(cut, RECORD)
 
 
 def round_trip(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
@@ -268,8 +304,8 @@ def round_trip(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     up through the index and read back by byte range."""
     spark = pages.sparkSession
     base = scratch_path(spark, "warc")
-    write_archives(pages, base + "/archive", min_revisit_bytes)
+    rows = write_archives(pages, base + "/archive", min_revisit_bytes)
     archives = read_archives(spark, base + "/archive")
-    write_index(captures(archives), base + "/index")
+    write_index(captures(archives), rows, base + "/index")
     places = look_up(pages.select("url", F.col("page_id").cast("long").alias("page_id")), base + "/index")
-    return read_ranges(archives, places).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+    return read_ranges(archives, places, base).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")

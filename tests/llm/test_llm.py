@@ -281,6 +281,12 @@ def test_warc(spark, folder):
     match(run(spark, "op7_warc", folder), want)
 
 
+def test_warc_without_seek(spark, monkeypatch):
+    seek = run(spark, "op7_warc", SF)
+    monkeypatch.setattr(warc, "arrow_opens", lambda uri: False)
+    match(run(spark, "op7_warc", SF), seek)
+
+
 def test_capture_keys():
     assert warc.reversed_host_key("http://www.A.example.com:80/P/?q=1#f") == "com,example,a)/p?q=1"
     assert warc.sort_key("k", -5) < warc.sort_key("k", 3) < warc.sort_key("k", 20) and warc.reversed_host_key(None) == ""
