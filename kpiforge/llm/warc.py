@@ -295,6 +295,8 @@ def read_ranges(archives: DataFrame, places: DataFrame, base: str) -> DataFrame:
                 yield record_rows([bytes(view[c["offset"]:c["offset"] + c["length"]]) for c in batch.column(1)[r].as_py()])
 
     if arrow_opens(base):
+        files = archives.select("path").count()  # a listing; else few small rows would mean few tasks
+        per_file = per_file.repartition(max(1, files), "path")
         return per_file.mapInArrow(seek, RECORD)
     return archives.join(per_file, "path").select("content", "cuts").mapInArrow(cut, RECORD)
 
