@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from kpiforge.llm.common import stored, tokenizer_file
 from kpiforge.llm.packing import load_tokenizer
 
-LIMIT, BATCH_CHARS = 1024, 18_000_000
+LIMIT, BATCH_CHARS = 1024, 10_000_000
 #: White space as Unicode has it (the pattern's \s); Python's own \s also holds 1C-1F.
 _SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: the byte-level split pattern.
