@@ -142,12 +142,12 @@ def parse_date_formats(c: ColLike, spark_formats: Iterable[str], stripped: bool
     fmts = list(spark_formats)
     parsed = F.coalesce(*[F.when(t.rlike(format_shape(f)), F.to_date(F.try_to_timestamp(t, F.lit(f))))
                           for f in fmts])
-    # one cheap test first: three parts split by - / or space, the last of 2-4 digits
+    # one cheap test first: three parts split by - / or space, the last of 1-4 digits
     return F.when(t.rlike(DATE_LIKE), parsed)
 
 
-# every supported format has three parts separated by '-', '/' or ' ' and ends in a 2-4 digit year
-DATE_LIKE = r"^[0-9A-Za-z]{1,9}[-/ ][0-9A-Za-z]{1,9}[-/ ][0-9]{2,4}$"
+# every supported format has three parts separated by '-', '/' or ' ' and ends in a day or a year
+DATE_LIKE = r"^[0-9A-Za-z]{1,9}[-/ ][0-9A-Za-z]{1,9}[-/ ][0-9]{1,4}$"
 
 
 def ordered_formats(best: str | None) -> list:

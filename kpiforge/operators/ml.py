@@ -14,10 +14,11 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 from typing import List, Optional, Sequence, Tuple
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -94,7 +95,9 @@ def iforest_scores(df: DataFrame, c: str, trees: int = 100, sub: int = 256, seed
     n = x.count()
     want = trees * sub
     frac = min(1.0, 1.5 * want / max(n, 1))
-    sample = np.asarray([r[0] for r in x.sample(False, frac, seed).limit(want).collect()], dtype=float)
+    # the `want` rows with the smallest random numbers: every part of the table can be drawn
+    drawn = x.sample(False, min(1.0, 2 * frac), seed).withColumn("__r", F.rand(seed)).orderBy("__r").limit(want)
+    sample = np.asarray([r[0] for r in drawn.select("__x").collect()], dtype=float)
     if len(sample) == 0:
         return df.withColumn("iforest_score", F.lit(None).cast("double"))
     breaks, scores = isolation_steps(sample, trees, sub, seed)
@@ -108,7 +111,7 @@ def iforest_scores(df: DataFrame, c: str, trees: int = 100, sub: int = 256, seed
 
 
 def iforest_outliers(df: DataFrame, cols: Sequence[str], contamination: float = K.OUTLIER_CONTAMINATION
-                     ) -> DataFrame:
+      ) -> DataFrame:
     """det_outlier_iforest: (column_name, n, threshold, ml_count): rows whose score is at or
     above the (1 - contamination) quantile of the scores."""
     spark = df.sparkSession
@@ -131,6 +134,11 @@ def outlier_consensus(iqr_z: DataFrame, ml: DataFrame) -> DataFrame:
 
 
 # ----------------------------------------------------------------- forest imputation
+def any_null(cols: Sequence[Column]) -> Column:
+    """True where one of the columns is NULL (false for no columns)."""
+    return reduce(lambda a, c: a | c.isNull(), cols, F.lit(False))
+
+
 def impute_forest(df: DataFrame, target: str, context: Optional[Sequence[str]] = None, trees: int = 50,
                   depth: int = 10, seed: int = 42) -> DataFrame:
     """Fill a categorical column with a random-forest classifier over other categorical
@@ -148,8 +156,7 @@ def impute_forest(df: DataFrame, target: str, context: Optional[Sequence[str]] =
                    if c != target and dict(df.dtypes)[c] == "string" and stats[f"nn_{i}"] > K.CONTEXT_FILLED_MIN * n
                    and stats[f"d_{i}"] <= 1000]
     context = list(context)
-    train = df.where(F.col(target).isNotNull() & F.greatest(*[F.col(c).isNull() for c in context] or [F.lit(False)])
-                     .__invert__())
+    train = df.where(F.col(target).isNotNull() & ~any_null([F.col(c) for c in context]))
     if len(context) < K.ML_MIN_CONTEXT_FEATURES or train.limit(K.ML_MIN_TRAINING_SAMPLES).count() < \
             K.ML_MIN_TRAINING_SAMPLES:
         fill = modes(df, [target]).get(target)
@@ -164,7 +171,7 @@ def impute_forest(df: DataFrame, target: str, context: Optional[Sequence[str]] =
     model = Pipeline(stages=idx + [label, vec, rf]).fit(train)
     labels = model.stages[len(context)].labels
     missing = df.where(F.col(target).isNull())
-    complete_ctx = ~F.greatest(*[F.col(c).isNull() for c in context])
+    complete_ctx = ~any_null([F.col(c) for c in context])
     to_pred = missing.where(complete_ctx)
     pred = model.transform(to_pred)
     pred = IndexToString(inputCol="prediction", outputCol="__pred", labels=labels).transform(pred)
@@ -174,8 +181,7 @@ def impute_forest(df: DataFrame, target: str, context: Optional[Sequence[str]] =
 
 
 # ----------------------------------------------------------------- KNN imputation
-def impute_knn(df: DataFrame, target: str, features: Sequence[str], k: int = 5, cell: float = 0.5,
-               max_rounds: int = 12) -> DataFrame:
+def impute_knn(df: DataFrame, target: str, features: Sequence[str], k: int = 5, cell: float = 0.5) -> DataFrame:
     """Exact distance-weighted mean of the k nearest complete rows (standardised features).
 
     Complete rows are grouped by their exact feature vector (count, sum of target)
@@ -192,7 +198,7 @@ def impute_knn(df: DataFrame, target: str, features: Sequence[str], k: int = 5,
     base = df.withColumn("__rid", F.monotonically_increasing_id())
     base = cut_lineage(base.select("*", *[z[f].alias("__z_" + f) for f in feats]))
     zc = [F.col("__z_" + f) for f in feats]
-    has_f = F.greatest(*[c.isNull() for c in zc]).__invert__()
+    has_f = ~any_null(zc)
     cellc = [F.floor(c / cell).cast("long").alias("__c_" + f) for c, f in zip(zc, feats)]
     points = (base.where(F.col(target).isNotNull() & has_f)
               .groupBy(*cellc, *[c.alias("__p_" + f) for c, f in zip(zc, feats)])
@@ -207,7 +213,7 @@ def impute_knn(df: DataFrame, target: str, features: Sequence[str], k: int = 5,
                      for i in range(len(feats))) + 1
     answers = None
     r = 1
-    for _ in range(max_rounds):
+    while True:  # ends when no row is open or the ring covers every complete row
         if queries.limit(1).count() == 0:
             break
         last = r >= extent      # the ring now covers every complete row: the answer is final

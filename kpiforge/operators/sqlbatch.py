@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Dict, Optional, Sequence
 
 from pyspark.errors import PySparkException
@@ -10,26 +11,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kpiforge.operators import measures as M
+from kpiforge.session import scratch_path
 
 
-def sql_batch(spark: SparkSession, items: Sequence[Dict[str, str]], sample_rows: int = 5) -> DataFrame:
-    """Run each ``{question, sql}`` on its own; a failing query yields an ``error``
-    row instead of failing the batch. Each result is summarised as its row count,
-    its column names and its first rows (ordered by all columns, as JSON)."""
-    rows = []
+def sql_batch(spark: SparkSession, items: Sequence[Dict[str, str]]) -> DataFrame:
+    """Run each ``{question, sql}`` on its own: (position, question, error, row_order, row).
+
+    Every result is written once to the shared folder and returned whole, a row as JSON;
+    ``row_order`` ascends in the order the query gave. A query that Spark rejects, or that
+    fails while it runs, yields one ``error`` row instead of failing the batch."""
+    parts = []
     for pos, it in enumerate(items):
         q, sql = it.get("question", ""), it.get("sql", "")
+        head = [F.lit(pos).alias("position"), F.lit(q).alias("question")]
         try:
             df = spark.sql(sql)
-            cols = df.columns
-            n = df.count()
-            head = [r[0] for r in df.orderBy(*cols).limit(sample_rows)
-                    .select(F.to_json(F.struct(*cols))).collect()]
-            rows.append((pos, q, None, n, cols, head))
-        except (PySparkException, Exception) as e:  # noqa: BLE001 - report any failure per query
-            rows.append((pos, q, f"{type(e).__name__}: {str(e).splitlines()[0][:300]}", None, None, None))
-    return spark.createDataFrame(rows, "position int, question string, error string, row_count bigint, "
-                                       "columns array<string>, sample array<string>")
+            path = scratch_path(spark, "sql-batch")
+            row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+            df.select(F.monotonically_increasing_id().alias("row_order"), row.alias("row")).write.parquet(path)
+            parts.append(spark.read.parquet(path).select(*head, F.lit(None).cast("string").alias("error"), "row_order", "row"))
+        except PySparkException as e:
+            text = f"{type(e).__name__}: {str(e).splitlines()[0][:300]}"
+            parts.append(spark.range(1).select(*head, F.lit(text).alias("error"), F.lit(None).cast("long").alias("row_order"),
+                                               F.lit(None).cast("string").alias("row")))
+    if not parts:
+        return spark.createDataFrame([], "position int, question string, error string, row_order bigint, row string")
+    return reduce(DataFrame.unionByName, parts)
 
 
 @dataclass

@@ -73,10 +73,9 @@ def val_schema(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
                                          for i, r in enumerate(rules)])))
 
 
-def failing_values(df: DataFrame, rule: Rule, cap: int = 50) -> List:
-    """Up to ``cap`` distinct failing values (smallest first; distributed top-n)."""
-    return [r[0] for r in df.where(~rule.predicate).select(F.col(rule.column).cast("string").alias("v"))
-            .distinct().orderBy("v").limit(cap).collect()]
+def failing_values(df: DataFrame, rule: Rule) -> DataFrame:
+    """(value, n): every distinct failing value and how often it fails."""
+    return df.where(~rule.predicate).groupBy(F.col(rule.column).cast("string").alias("value")).agg(F.count("*").alias("n"))
 
 
 def val_basic(df: DataFrame, smap: Dict[str, dict]) -> DataFrame:

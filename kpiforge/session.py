@@ -51,6 +51,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     # Unset: local runs and tests only.
     local = tempfile.mkdtemp(prefix="kpiforge-ckpt-", dir="/tmp")
     sc.setCheckpointDir(local)

@@ -15,18 +15,16 @@ CSV_EXACT = {"header": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTraili
              "multiLine": "true", "escape": '"'}
 
 
-def read_csv_typed(spark: SparkSession, path: str, infer_rows: int = 10_000) -> DataFrame:
-    """Typed CSV read: types inferred from the first ``infer_rows`` records, then the
-    whole file is read with that schema in PERMISSIVE mode (cells that do not fit
-    the type become NULL)."""
-    schema = _infer_head(spark, path, infer_rows)
+def read_csv_typed(spark: SparkSession, path: str) -> DataFrame:
+    """Typed CSV read: a column gets the narrowest type that fits all its cells (one pass
+    over the whole file), so no cell is lost; then the file is read with that schema."""
+    schema = _infer_types(spark, path)
     return spark.read.options(**CSV_EXACT).option("mode", "PERMISSIVE").schema(schema).csv(path)
 
 
-def _infer_head(spark: SparkSession, path: str, infer_rows: int):
-    """Schema inferred from the first ``infer_rows`` data records (bounded work)."""
+def _infer_types(spark: SparkSession, path: str):
+    """Schema from counts of the cells that can be cast, over all records."""
     raw = spark.read.options(**CSV_EXACT).csv(path)           # all string
-    first = raw.limit(infer_rows)
     casts = []
     for c in raw.columns:
         x = F.col(c)
@@ -35,7 +33,7 @@ def _infer_head(spark: SparkSession, path: str, infer_rows: int):
             F.count(x.try_cast("int")).alias("i"),
             F.count(x.try_cast("bigint")).alias("l"),
             F.count(x.try_cast("double")).alias("d")).alias(c))
-    r = first.agg(*casts).first()
+    r = raw.agg(*casts).first()
     from pyspark.sql.types import (DoubleType, IntegerType, LongType, StringType, StructField,
                                    StructType)
     fields = []
@@ -140,21 +138,22 @@ def preview(df: DataFrame, order_by: Sequence[str], n: int = 10) -> DataFrame:
 
 def clean_name(name: str) -> str:
     n = name.strip().lower()
-    n = re.sub(r"[^0-9a-z]+", "_", n)
+    n = re.sub(r"[^0-9a-z]", "_", n)
     return n.strip("_")
 
 
 def normalise_names(df: DataFrame) -> DataFrame:
-    """trim, lower, non-alphanumeric runs -> '_', strip '_'; a suffix is added on collision."""
-    seen: Dict[str, int] = {}
+    """trim, lower, every other symbol -> '_', strip '_'; on collision the
+    smallest free number is added."""
+    taken: set = set()
     names: List[str] = []
     for c in df.columns:
         n = clean_name(c) or "column"
-        if n in seen:
-            seen[n] += 1
-            n = f"{n}_{seen[n]}"
-        else:
-            seen[n] = 0
+        base, i = n, 0
+        while n in taken:
+            i += 1
+            n = f"{base}_{i}"
+        taken.add(n)
         names.append(n)
     return df.toDF(*names)
 
