@@ -128,7 +128,7 @@ def matrix_product(blob: bytes, n_docs: int, values: np.ndarray) -> np.ndarray:
     return sums
 
 
-def batch_units(docs: DataFrame, make_split, name: str) -> DataFrame:
+def batch_units(docs: DataFrame, make_split, name: str, batch_chars: int = BATCH_CHARS) -> DataFrame:
     """Step 1, stored: rows with a matrix (``word`` null) and rows with a unit."""
 
     def work(batches):
@@ -158,7 +158,7 @@ def batch_units(docs: DataFrame, make_split, name: str) -> DataFrame:
             ids, texts, size, lo = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0, 0
             for i, t in enumerate(texts):
                 size += len(t)
-                if size >= BATCH_CHARS or i == len(texts) - 1:
+                if size >= batch_chars or i == len(texts) - 1:
                     yield from rows(ids[lo:i + 1], texts[lo:i + 1])
                     number, size, lo = number + 1, 0, i + 1
 
@@ -222,6 +222,6 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
         added = json.loads(load_tokenizer(path).to_str())["added_tokens"]
         return pretoken_splitter([t["content"] for t in added])
 
-    units = batch_units(docs, make_split, "token-units")
+    units = batch_units(docs, make_split, "token-units", 2 * BATCH_CHARS)
     sums = sum_per_document(units, lambda words: words.withColumn("n_tokens", piece_counter(path)("word")), ["n_tokens"])
     return sums.withColumn("over_limit", F.col("n_tokens") > limit)
