@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from kpiforge.llm.common import tokenizer_file
 
-WINDOW, END_ID, CACHE_LIMIT = 2048, 1, 400_000
+WINDOW, END_ID, CACHE_LIMIT = 2048, 1, 800_000
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
 _TOKENIZERS: dict = {}
@@ -45,28 +45,89 @@ def load_tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
+class PartTable(dict):
+    """Distinct parts -> numbers; the ids of number n are ``flat[starts[n]:starts[n] + sizes[n]]``.
+    Size -1 marks a part whose blank is no boundary. New numbers wait in ``new``."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+        self.flat, self.used = np.zeros(1 << 16, "<u4"), 0
+        self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+
+    def __missing__(self, part: str) -> int:
+        n = self[part] = len(self)
+        self.new.append(part)
+        return n
+
+    def learn(self, tok) -> None:
+        """Encodes the parts in ``new``."""
+        at = len(self) - len(self.new)
+        for lo in range(0, len(self.new), 4096):
+            for ids in encode_parts(self.new[lo:lo + 4096], tok):
+                size = -1 if ids is None else len(ids)
+                if at == len(self.starts):
+                    self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+                while self.used + size > len(self.flat):
+                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+                self.starts[at], self.sizes[at] = self.used, size
+                if size > 0:
+                    self.flat[self.used:self.used + size] = ids
+                    self.used += size
+                at += 1
+        self.new = []
+
+
+def encode_parts(parts: list[str], tok) -> list:
+    """Ids of " " + part, None where white space at an end means the cut is no boundary.
+
+    Parts without a line feed or an added special string are encoded in one go, a line feed
+    between them: before a blank and a sign that is no white space it is a token of its own."""
+    out: list = [None] * len(parts)
+    good = [i for i, p in enumerate(parts) if p and not (p[0].isspace() or p[-1].isspace())]
+    added = [t.content for t in tok.get_added_tokens_decoder().values()]
+    line = [i for i in good if "\n" not in parts[i] and not any(a in parts[i] for a in added)]
+    feed = tok.encode("\n", add_special_tokens=False).ids
+    if line and len(feed) == 1:
+        ids = np.array(tok.encode("\n".join([" " + parts[i] for i in line]), add_special_tokens=False).ids, dtype="<u4")
+        ends = np.append(np.nonzero(ids == feed[0])[0], len(ids))
+        if len(ends) == len(line):
+            lo = 0
+            for i, hi in zip(line, ends.tolist()):
+                out[i] = ids[lo:hi]
+                lo = hi + 1
+    single = [i for i in good if out[i] is None]
+    if single:
+        for i, enc in zip(single, tok.encode_batch_fast([" " + parts[i] for i in single], add_special_tokens=False)):
+            out[i] = np.array(enc.ids, dtype="<u4")
+    return out
+
+
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """Ids of every text as little-endian unsigned 32-bit numbers, without special tokens
     added. The same ids as ``Tokenizer.encode``; see the module text for the shortcut."""
-    tok, known = load_tokenizer(path), _PARTS.setdefault(path, {})
-    split = [t.split(" ") for t in texts]
-    if len(known) > CACHE_LIMIT:
-        known.clear()
-    new = list({p for parts in split for p in parts[1:] if p not in known})
-    for i in range(0, len(new), 20_000):
-        some = new[i:i + 20_000]
-        for part, enc in zip(some, tok.encode_batch_fast([" " + p for p in some], add_special_tokens=False)):
-            # an empty part or white space at its ends means the cut was no boundary
-            edge = not part or part[0].isspace() or part[-1].isspace()
-            known[part] = None if edge else np.array(enc.ids, dtype="<u4").tobytes()
-    first = tok.encode_batch_fast([parts[0] for parts in split], add_special_tokens=False)
+    tok = load_tokenizer(path)
+    known = _PARTS.pop(path, None)  # back when complete: a failed task leaves no half-filled table
+    if known is None or len(known) > CACHE_LIMIT:
+        known = PartTable()
+    heads, numbers = [], []
+    for t in texts:
+        parts = t.split(" ")
+        heads.append(parts[0])
+        numbers.append(np.fromiter(map(known.__getitem__, parts[1:]), np.int64, len(parts) - 1))
+    known.learn(tok)
+    _PARTS[path] = known
+    first = tok.encode_batch_fast(heads, add_special_tokens=False)
     out = []
-    for text, parts, enc in zip(texts, split, first):
-        head = parts[0]
-        ids = [np.array(enc.ids, dtype="<u4").tobytes(), *[known[p] for p in parts[1:]]]
-        if len(parts) > 1 and (not head or head[-1].isspace()) or None in ids:
-            ids = [np.array(tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()]
-        out.append(b"".join(ids))
+    for text, head, at, enc in zip(texts, heads, numbers, first):
+        sizes = known.sizes[at]
+        if len(at) and (not head or head[-1].isspace() or sizes.min() < 0):
+            out.append(np.array(tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes())
+            continue
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(at) else 0
+        place = np.repeat(known.starts[at] - ends + sizes, sizes) + np.arange(total)
+        out.append(np.array(enc.ids, dtype="<u4").tobytes() + known.flat[place].tobytes())
     return out
 
 

@@ -314,6 +314,15 @@ def test_packing(spark, folder, tok):
         assert at == 2048 or (at < 2048 and at & (at - 1) == 0)  # powers of two are not padded
 
 
+def test_packing_ids_equal_the_library(tok):
+    signs = [*"ab Z1.,'\n\t\r  \x1c\x85\u00a0\u3000éß中😀", "'s", "<|endoftext|>", " \n ", "\n\n"]
+    draw = np.random.default_rng(3)
+    texts = ["".join(draw.choice(signs, n)) for n in draw.integers(0, 40, 3000)] + [t or "" for t in EDGE_TEXTS]
+    got = packing.encode_texts(texts, public_tokenizers.path("byte_bpe_50k.json"))
+    want = [np.array(tok.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert got == want
+
+
 def test_sum_of_squares_choice():
     p = packing.Packer(10, 0)
     sizes = [6, 4, 7, 3, 5, 5]
