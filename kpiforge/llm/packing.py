@@ -60,47 +60,51 @@ class PartTable(dict):
         self.new.append(part)
         return n
 
+    def put(self, numbers: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """``ids`` holds those of all ``numbers``, one after the other."""
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used:self.used + len(ids)] = ids
+        self.starts[numbers] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[numbers] = sizes
+        self.used += len(ids)
+
     def learn(self, tok) -> None:
-        """Encodes the parts in ``new``."""
-        at = len(self) - len(self.new)
-        for lo in range(0, len(self.new), 4096):
-            for ids in encode_parts(self.new[lo:lo + 4096], tok):
-                size = -1 if ids is None else len(ids)
-                if at == len(self.starts):
-                    self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-                while self.used + size > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-                self.starts[at], self.sizes[at] = self.used, size
-                if size > 0:
-                    self.flat[self.used:self.used + size] = ids
-                    self.used += size
-                at += 1
+        """Encodes the parts in ``new``; white space at an end of one means its blank is no boundary."""
+        first = len(self) - len(self.new)
+        while len(self) > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+        self.sizes[first:len(self)] = -1
+        good = [i for i, p in enumerate(self.new) if p and not (p[0].isspace() or p[-1].isspace())]
+        lines = [i for i in good if "\n" in self.new[i]]
+        plain = [i for i in good if "\n" not in self.new[i]]
+        for group, encode in ((plain, encode_joined), (lines, encode_single)):
+            for lo in range(0, len(group), 4096):
+                some = group[lo:lo + 4096]
+                parts = [self.new[i] for i in some]
+                self.put(np.array(some) + first, *(encode(parts, tok) or encode_single(parts, tok)))
         self.new = []
 
 
-def encode_parts(parts: list[str], tok) -> list:
-    """Ids of " " + part, None where white space at an end means the cut is no boundary.
-
-    Parts without a line feed or an added special string are encoded in one go, a line feed
-    between them: before a blank and a sign that is no white space it is a token of its own."""
-    out: list = [None] * len(parts)
-    good = [i for i, p in enumerate(parts) if p and not (p[0].isspace() or p[-1].isspace())]
-    added = [t.content for t in tok.get_added_tokens_decoder().values()]
-    line = [i for i in good if "\n" not in parts[i] and not any(a in parts[i] for a in added)]
+def encode_joined(parts: list[str], tok) -> tuple[np.ndarray, np.ndarray] | None:
+    """Sizes and ids of " " + part for all parts, none with a line feed, encoded in one go with
+    one between them: before a blank and a sign that is no white space it is a token of its
+    own. None if that is not so for this tokenizer, or a part holds an added special string."""
+    text = " " + "\n ".join(parts)
     feed = tok.encode("\n", add_special_tokens=False).ids
-    if line and len(feed) == 1:
-        ids = np.array(tok.encode("\n".join([" " + parts[i] for i in line]), add_special_tokens=False).ids, dtype="<u4")
-        ends = np.append(np.nonzero(ids == feed[0])[0], len(ids))
-        if len(ends) == len(line):
-            lo = 0
-            for i, hi in zip(line, ends.tolist()):
-                out[i] = ids[lo:hi]
-                lo = hi + 1
-    single = [i for i in good if out[i] is None]
-    if single:
-        for i, enc in zip(single, tok.encode_batch_fast([" " + parts[i] for i in single], add_special_tokens=False)):
-            out[i] = np.array(enc.ids, dtype="<u4")
-    return out
+    if len(feed) != 1 or any(t.content in text for t in tok.get_added_tokens_decoder().values()):
+        return None
+    ids = np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+    ends = np.append(np.nonzero(ids == feed[0])[0], len(ids))
+    if len(ends) != len(parts):
+        return None
+    return np.diff(ends, prepend=-1) - 1, ids[ids != feed[0]]
+
+
+def encode_single(parts: list[str], tok) -> tuple[np.ndarray, np.ndarray]:
+    """The same, part by part."""
+    got = [e.ids for e in tok.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
+    return np.array([len(x) for x in got]), np.array([i for x in got for i in x], dtype="<u4")
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
