@@ -3,12 +3,13 @@
 1. ``markup_lines`` (a small helper, row by row) strips markup and returns one line per
    block with the number of its characters that are no link text. Blocks that say what they
    are (navigation, page header and footer, sidebar, form, script, advert or comment
-   classes ...) become ``BLOCK`` empty lines, as does the edge of an article.
+   classes ...) become ``BLOCK`` empty lines, as does the edge of an article; inside an
+   article they only go.
 2. Spark's higher-order functions do the rest: sums over sliding windows of ``BLOCK`` lines,
    surge points (a window with text after empty ones) and dive points (an empty window after
    text), and the text between them. A stretch counts if its highest window reaches
-   ``min(min_chars, half the page's highest window)``. Where the page marks an article, only
-   lines inside it count, and every stretch in it does.
+   ``min(min_chars, half the page's highest window)``. <article> and <main> are a weight, no
+   choice: the lines inside count more by the share of the page's text that is inside.
 
 Edge cases: null, empty or text-free html gives ""; unclosed and stray tags, cut-off
 entities and quotes are read leniently; the columns page_id and url may be null or repeated.
@@ -82,10 +83,10 @@ def markup_lines(page: str) -> list[dict]:
     def leave(tag: str, was_boiler: bool):
         nonlocal boiler, inside
         end_line()
-        if was_boiler or tag in ("article", "main"):
-            lines.extend(gap)
         boiler -= was_boiler
         inside -= tag in ("article", "main")
+        if (was_boiler or tag in ("article", "main")) and not inside:
+            lines.extend(gap)
 
     at, n = 0, len(page)
     while at < n:
@@ -132,7 +133,7 @@ def markup_lines(page: str) -> list[dict]:
                     stack and stack[-1][0] == "p" and tag in BLOCKS):
                 leave(*stack.pop())
             end_line()
-            if marks or tag in ("article", "main"):
+            if (marks or tag in ("article", "main")) and not inside:
                 lines.extend(gap)
             stack.append((tag, marks))
             boiler += marks
@@ -151,16 +152,18 @@ def main_text(html: Column | str, page_columns: DataFrame, min_chars: int = MIN_
     col = F.col(html) if isinstance(html, str) else html
     out = page_columns.withColumn("__lb_lines", _lines.asNondeterministic()(F.coalesce(col.cast("string"), F.lit(""))))
     lines = F.col("__lb_lines")
-    marked = F.exists(lines, lambda x: x["inside"] & (F.length(x["text"]) > 0))
+    size = lambda x: F.length(x["text"])
+    total = F.aggregate(lines, F.lit(0), lambda a, x: a + size(x))
+    marked = F.aggregate(lines, F.lit(0), lambda a, x: a + F.when(x["inside"], size(x)).otherwise(0))
+    out = out.withColumn("__lb_share", F.coalesce(F.try_divide(marked, total), F.lit(0.0)))
     out = out.withColumn("__lb_lines", F.transform(lines, lambda x: F.struct(
-        x["text"].alias("text"), x["inside"].alias("inside"),
-        F.when(marked & ~x["inside"], 0).when(x["inside"], F.greatest(x["n"], F.length(x["text"])))
-        .otherwise(x["n"]).alias("n"))))
+        x["text"].alias("text"),
+        (x["n"] + F.when(x["inside"], F.ceil(F.col("__lb_share") * size(x)).cast("int")).otherwise(0)).alias("n"))))
     sums = F.transform(lines, lambda x, i: F.aggregate(
         F.slice(lines, i + 1, BLOCK), F.lit(0), lambda a, y: a + y["n"]))
     out = out.withColumn("__lb_sums", sums)
     peak = F.coalesce(F.array_max("__lb_sums"), F.lit(0))
-    out = out.withColumn("__lb_need", F.when(marked, 1).otherwise(F.greatest(F.lit(1), F.least(F.lit(min_chars), (peak / 2).cast("int")))))
+    out = out.withColumn("__lb_need", F.greatest(F.lit(1), F.least(F.lit(min_chars), (peak / 2).cast("int"))))
     stretch = "struct<surge:int,dive:int,peak:int>"
     start = F.struct(F.array().cast(f"array<{stretch}>").alias("done"),
                      F.lit(None).cast(stretch).alias("cur"), F.lit(0).alias("i"))
@@ -177,9 +180,9 @@ def main_text(html: Column | str, page_columns: DataFrame, min_chars: int = MIN_
     out = out.withColumn("__lb_found", F.filter(found, lambda x: x["peak"] >= F.col("__lb_need")))
     # a window starts up to BLOCK - 1 lines before its first text; those lines carry none
     kept = F.flatten(F.transform("__lb_found", lambda r: F.slice(lines, r["surge"] + 1, r["dive"] - r["surge"] + 1)))
-    kept = F.filter(kept, lambda x: (F.length(x["text"]) > 0) & ~(marked & ~x["inside"]))
+    kept = F.filter(kept, lambda x: size(x) > 0)
     out = out.withColumn("text", F.array_join(F.transform(kept, lambda x: x["text"]), "\n\n"))
-    return out.drop("__lb_lines", "__lb_sums", "__lb_need", "__lb_found")
+    return out.drop("__lb_lines", "__lb_share", "__lb_sums", "__lb_need", "__lb_found")
 
 
 def extract_pages(pages: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:

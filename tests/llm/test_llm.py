@@ -392,6 +392,26 @@ def test_html_without_article(spark):
     assert got[2] == "" and got[3] == "plain" and got[4] == "a\n\nb &am"
 
 
+LONG = ["First paragraph of the body, which is clearly longer than any teaser or card on this page.",
+        "Second paragraph of the body, again with enough text to be what the reader came for.", "A short one.",
+        "Last paragraph of the body, with some words more so that the windows stay high enough."]
+
+
+def test_html_article_is_a_weight(spark):
+    """A body in plain <div>s stays whole beside an <article> card or a <main> around a part."""
+    body = "".join(f"<div>{t}</div>" for t in LONG)
+    pages = [(1, f"<body><div>{body}</div><article><a href=x>Related: a card</a></article></body>"),
+             (2, f"<body><div>{body}</div><main><p>Only this part is in main, and it has enough text to be kept as well, see.</p></main></body>"),
+             (3, f"<body><article><h1>Head</h1><aside>no</aside>{body}</article><div>Short junk</div></body>"),
+             (4, "<body><article><a href=x>All linked</a></article></body>")]
+    got = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(
+        [(i, "u", h) for i, h in pages], "page_id long, url string, html string")).collect()}
+    whole = "\n\n".join(LONG)
+    assert got[1] == whole
+    assert got[2] == whole + "\n\nOnly this part is in main, and it has enough text to be kept as well, see."
+    assert got[3] == "Head\n\n" + whole and got[4] == "All linked"
+
+
 def test_pipeline(spark, sf):
     for folder in (SF, sf):
         docs = spark.read.parquet(f"{folder}/documents.parquet")
