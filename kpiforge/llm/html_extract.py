@@ -32,7 +32,7 @@ LINES = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.Struc
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+(?:>|\Z))""",
     re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?(?=[\s/>]|\Z)""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 BLOCKS = frozenset((
     "address article aside blockquote body caption dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td "
@@ -44,24 +44,33 @@ BOILER_WORDS = frozenset((
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav "
     "navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices comment comments "
     "disqus reply replies respond share sharing social related recommended newsletter subscribe popup modal overlay "
-    "widget toolbar pagination pager masthead skip contentinfo complementary search alert").split())
-HEADER_WORDS = frozenset(("header", "topbar"))
-
-
-def is_boiler(tag: str, attrs: str, inside: bool) -> bool:
+    "widget toolbar pagination pager masthead skip contentinfo complementary search alert "
+    "cookie-notice cookie-banner cookie-consent main-nav main-menu nav-bar site-nav site-footer page-footer side-bar "
+    "comment-list comments-area related-posts related-articles share-buttons social-share social-links skip-link "
+    "search-form newsletter-signup ad-slot ad-container").split())
+HEADER_WORDS = frozenset(("header", "topbar", "site-header", "page-header"))
+COMMENT_WORDS = frozenset(("comment", "comments", "comment-body"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+def is_boiler(tag: str, attrs: str, inside: bool, article: bool) -> bool:
+    """Whole class and role names count, and whole ids outside articles that are no heading's
+    (ids are often made from titles: "related-work", "search")."""
     if tag in BOILER_TAGS or (tag == "header" and not inside):
         return True
-    if tag in ("article", "main", "body", "html") or len(attrs) < 3:
-        words = frozenset()
-        if tag == "article" and "comment" in attrs.lower():
-            return True
-    else:
-        found = ATTRIBUTE.findall(attrs)
-        if any(k.lower() == "hidden" or (k.lower() == "aria-hidden" and (a or b or c).lower() == "true")
-               for k, a, b, c in found):
-            return True
-        words = frozenset(w for k, a, b, c in found for w in re.findall(r"[a-z]+", (a or b or c).lower()))
-    return bool(words & BOILER_WORDS) or (not inside and bool(words & HEADER_WORDS))
+    if tag in ("main", "body", "html") or len(attrs) < 3:
+        return False
+    found = {}
+    for k, a, b, c in ATTRIBUTE.findall(attrs):
+        found.setdefault(k.lower(), (a or b or c).lower())
+    names = frozenset(found.get("class", "").split() + found.get("role", "").split())
+    if tag == "article":
+        return bool(names & COMMENT_WORDS)
+    if "hidden" in found or found.get("aria-hidden") == "true":
+        return True
+    if not article and tag not in HEADINGS:
+        names |= {found.get("id", "").strip()}
+    return bool(names & BOILER_WORDS) or (not inside and bool(names & HEADER_WORDS))
 
 
 def markup_lines(page: str) -> list[dict]:
@@ -70,7 +79,7 @@ def markup_lines(page: str) -> list[dict]:
     parts: list[str] = []
     plain = links = 0
     stack: list[tuple[str, bool]] = []  # open blocks and boilerplate: (tag, boiler)
-    boiler = inside = 0
+    boiler = inside = articles = 0
     gap = [{"text": "", "n": 0, "inside": False}] * BLOCK
 
     def end_line():
@@ -81,10 +90,11 @@ def markup_lines(page: str) -> list[dict]:
         parts, plain = [], 0
 
     def leave(tag: str, was_boiler: bool):
-        nonlocal boiler, inside
+        nonlocal boiler, inside, articles
         end_line()
         boiler -= was_boiler
         inside -= tag in ("article", "main")
+        articles -= tag == "article"
         if (was_boiler or tag in ("article", "main")) and not inside:
             lines.extend(gap)
 
@@ -127,7 +137,7 @@ def markup_lines(page: str) -> list[dict]:
             continue
         if tag == "a":
             links = 1
-        marks = is_boiler(tag, attrs, inside > 0)
+        marks = is_boiler(tag, attrs, inside > 0, articles > 0)
         if tag in BLOCKS or marks:
             if stack and stack[-1][0] == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option") or (
                     stack and stack[-1][0] == "p" and tag in BLOCKS):
@@ -138,6 +148,7 @@ def markup_lines(page: str) -> list[dict]:
             stack.append((tag, marks))
             boiler += marks
             inside += tag in ("article", "main")
+            articles += tag == "article"
     end_line()
     return lines
 

@@ -412,6 +412,16 @@ def test_html_article_is_a_weight(spark):
     assert got[3] == "Head\n\n" + whole and got[4] == "All linked"
 
 
+def test_html_generated_ids_are_no_boilerplate():
+    """Only whole class and role names cut; ids made from titles do not, nor other attributes."""
+    text = lambda h: [x["text"] for x in html_extract.markup_lines(h) if x["text"]]
+    for h in ('<article><h2 id="related-work">A</h2><section id="search-results"><p>B</p></section><div id="social">C</div></article>',
+              '<h2 id="search">A</h2><section id="related-work"><p>B</p></section><div class="notice-of-intent">C</div>',
+              '<article id="comment-on-law"><p data-id="menu">A</p><p title="the hidden menu">B</p><p data-role="alert">C</p></article>'):
+        assert text(h) == ["A", "B", "C"]
+    assert text('<div class="x ad">A</div><div role=search>B</div><div id=nav>C</div><article class="comment">D</article><p hidden>E</p>F') == ["F"]
+
+
 def test_pipeline(spark, sf):
     for folder in (SF, sf):
         docs = spark.read.parquet(f"{folder}/documents.parquet")
