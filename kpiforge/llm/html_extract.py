@@ -166,10 +166,12 @@ def main_text(html: Column | str, page_columns: DataFrame, min_chars: int = MIN_
     size = lambda x: F.length(x["text"])
     total = F.aggregate(lines, F.lit(0), lambda a, x: a + size(x))
     marked = F.aggregate(lines, F.lit(0), lambda a, x: a + F.when(x["inside"], size(x)).otherwise(0))
-    out = out.withColumn("__lb_share", F.coalesce(F.try_divide(marked, total), F.lit(0.0)))
-    out = out.withColumn("__lb_lines", F.transform(lines, lambda x: F.struct(
+    share = F.coalesce(F.try_divide(marked, total), F.lit(0.0))
+    # one-element array: the share is computed once a page, not once a line
+    weighed = F.transform(F.array(share), lambda w: F.transform(lines, lambda x: F.struct(
         x["text"].alias("text"),
-        (x["n"] + F.when(x["inside"], F.ceil(F.col("__lb_share") * size(x)).cast("int")).otherwise(0)).alias("n"))))
+        (x["n"] + F.when(x["inside"], F.ceil(w * size(x)).cast("int")).otherwise(0)).alias("n"))))
+    out = out.withColumn("__lb_lines", F.get(weighed, F.lit(0)))
     sums = F.transform(lines, lambda x, i: F.aggregate(
         F.slice(lines, i + 1, BLOCK), F.lit(0), lambda a, y: a + y["n"]))
     out = out.withColumn("__lb_sums", sums)
@@ -193,7 +195,7 @@ def main_text(html: Column | str, page_columns: DataFrame, min_chars: int = MIN_
     kept = F.flatten(F.transform("__lb_found", lambda r: F.slice(lines, r["surge"] + 1, r["dive"] - r["surge"] + 1)))
     kept = F.filter(kept, lambda x: size(x) > 0)
     out = out.withColumn("text", F.array_join(F.transform(kept, lambda x: x["text"]), "\n\n"))
-    return out.drop("__lb_lines", "__lb_share", "__lb_sums", "__lb_need", "__lb_found")
+    return out.drop("__lb_lines", "__lb_sums", "__lb_need", "__lb_found")
 
 
 def extract_pages(pages: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
