@@ -4,8 +4,9 @@
    numbers, summed by Spark).
 2. Restoration: a token that mixes letters with look-alike signs, stretches a letter, or is
    spelled with gaps becomes a lattice of what each sign may stand for; Viterbi decoding
-   under the language model picks the likeliest letters. Other tokens stay as they are.
-3. Evidence: words and word beginnings (4 to 8 letters) of the restored text. Their counts in
+   under the language model picks the likeliest letters. Single letters with white space
+   between them are one such token, each gap nothing or a word break. Other tokens stay.
+3. Evidence: words and word beginnings (4 to 8 letters) of the restored text, every word of it. Their counts in
    toxic and clean training texts give a weight, the lower confidence bound of the log odds.
 4. A logistic regression on a text's strongest weights gives the score. For the training
    texts the weights leave the text itself out, so rare words don't look better than they are.
@@ -43,7 +44,11 @@ LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7":
 GAPS = ".-_*~'/\\"
 ENDS = ".,;:!?\"'()[]{}<>|*#%&~^=-_/\\"
 SUSPECT = re.compile(r"[0-9@$!|+€]|([^\W\d_])\1\1|[^\W\d_][.\-_*~'/\\][^\W\d_]")
-SPACED = re.compile(r"(?<!\S)[^\W_](?: [^\W_@$!]|[ ][@$!]){3,}(?!\S)")
+#: Three or more single signs with any white space between them.
+SPACED = re.compile(r"(?<![^\s\"'(\[{])(?:[^\W_]|[@$])(?:\s+(?:[^\W_]|[@$!€])){2,}(?=[.,;:!?\"')\]}]*(?:\s|\Z))")
+#: Log probabilities of a word break in a spaced run: rare, as likely as none, frequent. How
+#: often words are spelled out in a row isn't known, so the words of all three readings count.
+BREAKS = (-2.0, -0.3, 1.7)
 MAX_TOKEN = 40  # longer tokens are no obfuscated word and stay as they are
 
 
@@ -94,7 +99,7 @@ def log_model(counts: np.ndarray) -> np.ndarray:
     return np.log(tri).astype(np.float32)
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
+def lattice(token: str, word_break: float = BREAKS[0]) -> list[list[tuple[str, float]]]:
     """Per observed sign what it may stand for, with the channel's log probability."""
     out, i = [], 0
     while i < len(token):
@@ -106,6 +111,8 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
                 out.append([(x, p - 0.3) for x, p in letters] + [(x + x, 2 * p - 0.6) for x, p in letters])
             else:
                 out += [letters] * run
+        elif ch == " ":  # between the letters of a spaced run
+            out.append([("", -0.3), (" ", word_break)])
         elif ch in GAPS:
             out.append([("", -0.3), (" ", -2.0)])
         else:
@@ -114,11 +121,11 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def decode(token: str, model: np.ndarray) -> str:
+def decode(token: str, model: np.ndarray, word_break: float = BREAKS[0]) -> str:
     """The likeliest letters of a lower-case token: Viterbi over the last two classes."""
     best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     cls: dict[str, int] = {}
-    for options in [*lattice(token), [(" ", 0.0)]]:
+    for options in [*lattice(token, word_break), [(" ", 0.0)]]:
         nxt: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (score, text) in best.items():
             for letters, p in options:
@@ -135,12 +142,12 @@ def decode(token: str, model: np.ndarray) -> str:
     return max(best.values())[1].strip()
 
 
-def restored(token: str, model: np.ndarray) -> str:
+def restored(token: str, model: np.ndarray, word_break: float = BREAKS[0]) -> str:
     """Word of a lower-case token: ends trimmed, obfuscation undone."""
     core = token.strip(ENDS)
     trimmed = re.sub(r"[@$+]{3,}\Z", "", core) or core
-    if len(trimmed) <= MAX_TOKEN and SUSPECT.search(trimmed) and any(ch.isalpha() for ch in trimmed):
-        return decode(trimmed, model)
+    if len(trimmed) <= MAX_TOKEN and (" " in trimmed or SUSPECT.search(trimmed)) and any(ch.isalpha() for ch in trimmed):
+        return decode(trimmed, model, word_break)
     return trimmed
 
 
@@ -148,12 +155,23 @@ def evidence(word: str) -> list[str]:
     return [word + "$", *["^" + word[:k] for k in PREFIXES if k <= len(word)]] if len(word) > 2 else []
 
 
+def token_words(token: str, model: np.ndarray) -> list[str]:
+    """Distinct words of a token after restoration."""
+    breaks = BREAKS if " " in token else BREAKS[:1]
+    return list(dict.fromkeys(w for b in breaks for w in restored(token, model, b).split()))
+
+
+def token_evidence(token: str, model: np.ndarray) -> list[list[str]]:
+    """Evidence of every word of a token."""
+    return [e for w in token_words(token, model) if (e := evidence(w))]
+
+
 def document_tokens(text: str) -> set[str]:
+    """Tokens between white space, and spaced runs with one blank for each gap."""
     low = text.lower()
     found = set(low.split())
-    if " " in low:
-        for m in SPACED.finditer(low):
-            found.add(m.group().replace(" ", ""))
+    for m in SPACED.finditer(low):
+        found.add(" ".join(m.group().split()))
     return found
 
 
@@ -176,9 +194,7 @@ def _feature_counts(rows: DataFrame, model, wanted) -> DataFrame:
                 for tok in document_tokens(text):
                     fs = memo.get(tok)
                     if fs is None:
-                        fs = evidence(restored(tok, lm))
-                        if keep is not None:
-                            fs = [f for f in fs if f in keep]
+                        fs = [f for e in token_evidence(tok, lm) for f in e if keep is None or f in keep]
                         if len(memo) > MEMO_LIMIT:
                             memo.clear()
                         memo[tok] = fs
@@ -205,19 +221,19 @@ def summary(weights: list[float]) -> list[float]:
 
 
 def _summaries(texts, lm, table: dict, column: int) -> list[list[float]]:
-    memo: dict[str, float] = {}
+    memo: dict[str, list[float]] = {}  # per token its words' weights
     out = []
     for text in texts:
         got = []
         for tok in document_tokens(text):
-            w = memo.get(tok)
-            if w is None:
-                w = max([table[f][column] for f in evidence(restored(tok, lm)) if f in table], default=0.0)
+            ws = memo.get(tok)
+            if ws is None:
+                ws = [max([table[f][column] for f in e if f in table], default=0.0) for e in token_evidence(tok, lm)]
+                ws = [w for w in ws if w > 0]
                 if len(memo) > MEMO_LIMIT:
                     memo.clear()
-                memo[tok] = w
-            if w > 0:
-                got.append(w)
+                memo[tok] = ws
+            got += ws
         out.append(summary(got))
     return out
 

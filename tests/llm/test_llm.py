@@ -236,6 +236,26 @@ def test_restoration():
     assert "idiot" in {toxicity.restored(t, lm) for t in toxicity.document_tokens("you i d i o t there")}
 
 
+def language_model(text):
+    c = toxicity.classes(" " + text)
+    return toxicity.log_model(np.bincount((c[:-2] * 64 + c[1:-1]) * 64 + c[2:], minlength=64 ** 3))
+
+
+INSULTS = "you are a stupid idiot and i said that i know the clown was a loser and i am a moron or a pig at the end nice " * 400
+
+
+def words_in(text):
+    lm = language_model(INSULTS)
+    return {e[0][:-1] for t in toxicity.document_tokens(text) for e in toxicity.token_evidence(t, lm)}
+
+
+def test_spaced_words():
+    """Neighbouring one-letter words and spaced words stay apart, whatever the white space."""
+    for text in ("you are a i d i o t", "I i d i o t", "so i  d\ti\no t!", "m o r o n i d i o t", "(i d i o t)"):
+        assert "idiot" in words_in(text), text
+    assert "moron" in words_in("m o r o n i d i o t") and "pig" in words_in("a p i g")
+
+
 def test_fingerprints(spark, folder):
     rows = sorted(docs_of(spark, folder), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
     want = []
