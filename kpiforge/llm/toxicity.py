@@ -46,6 +46,8 @@ ENDS = ".,;:!?\"'()[]{}<>|*#%&~^=-_/\\"
 SUSPECT = re.compile(r"[0-9@$!|+€]|([^\W\d_])\1\1|[^\W\d_][.\-_*~'/\\][^\W\d_]")
 #: Three or more single signs with any white space between them.
 SPACED = re.compile(r"(?<![^\s\"'(\[{])(?:[^\W_]|[@$])(?:\s+(?:[^\W_]|[@$!€])){2,}(?=[.,;:!?\"')\]}]*(?:\s|\Z))")
+#: What parts words: in a restored token any sign, in a raw one those that stand for no letter.
+INNER, APART = re.compile(r"[\W\d_]+"), re.compile(r"[^\w@$!|+€]+|_+")
 #: Log probabilities of a word break in a spaced run: rare, as likely as none, frequent. How
 #: often words are spelled out in a row isn't known, so the words of all three readings count.
 BREAKS = (-2.0, -0.3, 1.7)
@@ -156,9 +158,17 @@ def evidence(word: str) -> list[str]:
 
 
 def token_words(token: str, model: np.ndarray) -> list[str]:
-    """Distinct words of a token after restoration."""
-    breaks = BREAKS if " " in token else BREAKS[:1]
-    return list(dict.fromkeys(w for b in breaks for w in restored(token, model, b).split()))
+    """Distinct words of a token after restoration: the whole, what blanks and other signs
+    part in it, and the parts of the token as it was written, each restored."""
+    whole = restored(token, model)
+    if whole.isalpha() and whole == token:
+        return [whole]
+    found = [w for b in BREAKS for w in restored(token, model, b).split()] if " " in token else whole.split()
+    found += [w for part in found if not part.isalpha() for w in INNER.split(part)]
+    parts = [p for p in APART.split(token) if len(p) > 2]
+    if parts != [token]:
+        found += [w for p in parts for w in restored(p, model).split()]
+    return list(dict.fromkeys(w for w in found if w))
 
 
 def token_evidence(token: str, model: np.ndarray) -> list[list[str]]:

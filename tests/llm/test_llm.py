@@ -256,6 +256,12 @@ def test_spaced_words():
     assert "moron" in words_in("m o r o n i d i o t") and "pig" in words_in("a p i g")
 
 
+def test_words_inside_a_token():
+    for text in ("nice,idiot", "you/idiot", "the End.Idiot", "nice,1d10t;pig", "clown_idiot", "know…idiot!"):
+        assert "idiot" in words_in(text), text
+    assert words_in("idiot") == {"idiot"} and "moron" in words_in("m.o.r.o.n")
+
+
 def test_fingerprints(spark, folder):
     rows = sorted(docs_of(spark, folder), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
     want = []
