@@ -51,7 +51,6 @@ INNER, APART = re.compile(r"[\W\d_]+"), re.compile(r"[^\w@$!|+€]+|_+")
 #: Log probabilities of a word break in a spaced run: rare, as likely as none, frequent. How
 #: often words are spelled out in a row isn't known, so the words of all three readings count.
 BREAKS = (-2.0, -0.3, 1.7)
-MAX_TOKEN = 40  # longer tokens are no obfuscated word and stay as they are
 
 
 def class_table() -> np.ndarray:
@@ -106,7 +105,9 @@ def lattice(token: str, word_break: float = BREAKS[0]) -> list[list[tuple[str, f
     out, i = [], 0
     while i < len(token):
         ch = token[i]
-        run = len(token[i:]) - len(token[i:].lstrip(ch))
+        run = 1
+        while token[i + run:i + run + 1] == ch:
+            run += 1
         if ch.isalpha() or ch in LOOKALIKES:
             letters = [(ch, 0.0)] if ch.isalpha() else [(x, -0.7) for x in LOOKALIKES[ch]]
             if run >= 3 or (run == 2 and not ch.isalpha()):
@@ -124,31 +125,40 @@ def lattice(token: str, word_break: float = BREAKS[0]) -> list[list[tuple[str, f
 
 
 def decode(token: str, model: np.ndarray, word_break: float = BREAKS[0]) -> str:
-    """The likeliest letters of a lower-case token: Viterbi over the last two classes."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The likeliest letters of a lower-case token of any length: Viterbi over the last two classes."""
+    best: dict[tuple[int, int], float] = {(0, 0): 0.0}
+    back: list[dict] = []  # per step: state -> (state before, letters); linear in the length
     cls: dict[str, int] = {}
     for options in [*lattice(token, word_break), [(" ", 0.0)]]:
-        nxt: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in best.items():
+        nxt: dict[tuple[int, int], float] = {}
+        came: dict[tuple[int, int], tuple] = {}
+        for before, score in best.items():
             for letters, p in options:
-                x, y, s = a, b, score + p
+                (x, y), s = before, score + p
                 for ch in letters:
                     k = cls.get(ch)
                     if k is None:
                         k = cls[ch] = int(classes(ch)[0])
                     s += float(model[x, y, k])
                     x, y = y, k
-                if (x, y) not in nxt or s > nxt[x, y][0]:
-                    nxt[x, y] = (s, text + letters)
+                if (x, y) not in nxt or s > nxt[x, y]:
+                    nxt[x, y], came[x, y] = s, (before, letters)
         best = nxt
-    return max(best.values())[1].strip()
+        back.append(came)
+    at, out = max(best, key=best.get), []
+    for came in reversed(back):
+        at, letters = came[at]
+        out.append(letters)
+    return "".join(reversed(out)).strip()
 
 
 def restored(token: str, model: np.ndarray, word_break: float = BREAKS[0]) -> str:
     """Word of a lower-case token: ends trimmed, obfuscation undone."""
     core = token.strip(ENDS)
-    trimmed = re.sub(r"[@$+]{3,}\Z", "", core) or core
-    if len(trimmed) <= MAX_TOKEN and (" " in trimmed or SUSPECT.search(trimmed)) and any(ch.isalpha() for ch in trimmed):
+    trimmed = core.rstrip("@$+")
+    if not trimmed or len(core) - len(trimmed) < 3:
+        trimmed = core
+    if (" " in trimmed or SUSPECT.search(trimmed)) and any(ch.isalpha() for ch in trimmed):
         return decode(trimmed, model, word_break)
     return trimmed
 

@@ -262,6 +262,11 @@ def test_words_inside_a_token():
     assert words_in("idiot") == {"idiot"} and "moron" in words_in("m.o.r.o.n")
 
 
+def test_long_tokens_are_restored():
+    for text in ("id" + "i" * 60 + "ot", "m" * 30 + "oron-" + "i.d.i.o.t", "/".join(["nice", "1d10t", "clown"] * 9), "x1" * 3000 + ",1d10t"):
+        assert "idiot" in words_in(text), text[:80]
+
+
 def test_fingerprints(spark, folder):
     rows = sorted(docs_of(spark, folder), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
     want = []
