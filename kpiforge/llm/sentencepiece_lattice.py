@@ -9,7 +9,8 @@ the lattice can cross. Encoding works once per distinct word of the corpus:
    characters that are no piece stay as unknown edges,
 3. group the edges by word and fold them in order of their end with ``aggregate``: for every
    position the best score and its ids (Viterbi). At equal scores the edge that starts
-   earlier wins. Unknown characters cost the lowest score minus 10 and become byte pieces.
+   earlier wins. Unknown characters cost the lowest score minus 10 and become byte pieces,
+4. join the words' ids to the places of the words in the texts: the ids of each text in order.
 
 Decoding explodes the ids with their positions, joins them with the piece table and puts the
 bytes together again.
@@ -25,6 +26,7 @@ recurrence in a linear-time helper, as growing arrays would cost their square.
 
 from __future__ import annotations
 
+import math
 from contextlib import contextmanager
 
 import pandas as pd
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kpiforge.llm.common import stored, tokenizer_file
-from kpiforge.llm.token_counts import ROWS_PER_TASK, batch_units, sum_per_document
+from kpiforge.llm.token_counts import ROWS_PER_TASK
 
 UNKNOWN_PENALTY, LONG_WORD = 10.0, 256
 BLANK = "▁"
@@ -185,50 +187,74 @@ def grouped_in_memory(spark: SparkSession, groups: int):
         spark.conf.set(name, before)
 
 
-def encode_documents(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
-    """The rows of ``op10``: doc_id, n_bytes, n_pieces, bad_words.
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, text)`` -> (row, doc_id, text), stored, so that ``row`` stays the same."""
+    return stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id",
+                              F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text")), "piece-rows")
 
-    ``n_pieces`` is over the whole text, dummy blank at its start included; ``bad_words``
-    counts words whose decoded ids differ (0: the round trip holds)."""
-    pieces = PieceTable(tokenizer_file(model))
+
+def encode_rows(rows: DataFrame, pieces: PieceTable) -> DataFrame:
+    """``rows(row, text)`` -> (row, ids, bad_words): ids in text order, and the number of words
+    whose ids do not decode to the word."""
     bigrams = pieces.bigrams
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    led = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.when(F.length(text) > 0, F.concat(F.lit(" "), text)).otherwise("").alias("text"))
-    units = batch_units(led, lambda: word_splitter(bigrams), "piece-units")
 
-    def evaluate(words: DataFrame) -> DataFrame:
-        return decode_words(encode_words(words, pieces), pieces).select(
-            "word", "first", F.size("ids").cast("long").alias("n_pieces"),
-            F.when(F.col("word").eqNullSafe(F.col("decoded")), 0).otherwise(1).cast("long").alias("bad_words"))
+    @F.pandas_udf("array<struct<word: string, places: array<int>>>")
+    def words_of(texts: pd.Series) -> pd.Series:
+        split, out = word_splitter(bigrams), []
+        for t in texts:
+            places: dict[str, list[int]] = {}
+            for i, w in enumerate(split(" " + t) if t else []):
+                places.setdefault(w, []).append(i)
+            out.append([{"word": w, "places": at} for w, at in places.items()])
+        return pd.Series(out)
+
+    words = rows.select("row", F.explode_outer(words_of("text")).alias("w")).select("row", "w.word", "w.places")
+    distinct = stored(words.where("word is not null").select("word").distinct(), "piece-words")
+    parts = max(1, math.ceil(distinct.count() / ROWS_PER_TASK))
+    distinct = distinct.repartition(parts, "word").withColumn("first", F.lit(0).cast("long"))
+    with grouped_in_memory(rows.sparkSession, ROWS_PER_TASK):  # at most about that many words in a task
+        encoded = stored(decode_words(encode_words(distinct, pieces), pieces).select(
+            "word", "ids", (~F.col("word").eqNullSafe(F.col("decoded"))).cast("long").alias("bad")), "piece-ids")
+    no_ids = F.array().cast("array<int>")
+    found = words.join(encoded, "word", "left").groupBy("row").agg(
+        F.collect_list(F.struct("places", "ids")).alias("x"),
+        F.coalesce(F.sum(F.col("bad") * F.size("places")), F.lit(0)).cast("long").alias("bad_words"))
+    placed = F.array_sort(F.flatten(F.transform("x", lambda x: F.transform(
+        F.coalesce(x["places"], no_ids), lambda at: F.struct(at.alias("at"), x["ids"].alias("ids"))))))
+    return found.select("row", F.flatten(F.transform(placed, lambda p: p["ids"])).alias("ids"), "bad_words")
+
+
+def decode_rows(encoded: DataFrame, pieces: PieceTable) -> DataFrame:
+    """``encoded(row, ids)`` -> (row, decoded): the text the ids stand for, without its dummy blank."""
+    table = F.broadcast(pieces.decode_frame(encoded.sparkSession))  # bounded by the vocabulary file
+    parts = encoded.select("row", F.posexplode_outer("ids").alias("at", "id")).join(table, "id", "left")
+    raw = parts.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("hex", F.lit("")).alias("hex")))).alias("x"))
+    text = F.decode(F.unhex(F.array_join(F.transform("x", lambda x: x["hex"]), "")), "UTF-8")
+    return raw.select("row", F.regexp_replace(F.replace(text, F.lit(BLANK), F.lit(" ")), "^ ", "").alias("decoded"))
 
-    with grouped_in_memory(docs.sparkSession, ROWS_PER_TASK):  # at most that many words in a task
-        out = stored(sum_per_document(units, evaluate, ["n_pieces", "bad_words"]), "piece-sums")
-    return out.withColumn("n_bytes", F.greatest(F.col("n_bytes") - 1, F.lit(0)))
 
+def encode_documents(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
+    """The rows of ``op10``: doc_id, n_bytes, n_pieces, bad_words, ids, same_text.
 
-def encode_texts(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
-    """General form: ``docs(doc_id, text)`` -> (doc_id, ids) with the ids in text order.
-    Every word occurrence is a row; doc_id must be unique and non-null here."""
+    ``ids`` are those of the whole text in order, dummy blank at its start included;
+    ``bad_words`` counts words whose ids decode to something else; ``same_text`` tells whether
+    the decoded ids of the whole text are the text."""
     pieces = PieceTable(tokenizer_file(model))
-    split = word_splitter(pieces.bigrams)
+    rows = keyed_rows(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"))
+    encoded = stored(encode_rows(rows, pieces), "piece-texts")
+    return rows.join(encoded, "row").join(decode_rows(encoded, pieces), "row").select(
+        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.size("ids").cast("long").alias("n_pieces"),
+        "bad_words", "ids", F.col("text").eqNullSafe(F.col("decoded")).alias("same_text"))
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def words_of(texts: pd.Series) -> pd.Series:
-        return pd.Series([split(" " + t) if t else [] for t in texts])
 
-    words = docs.select("doc_id", F.posexplode_outer(words_of(F.coalesce("text", F.lit("")))).alias("at", "word"))
-    distinct = words.where("word is not null").select("word").distinct().withColumn("first", F.lit(0).cast("long"))
-    encoded = encode_words(distinct, pieces).select("word", "ids")
-    return words.join(encoded, "word", "left").groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("x")).select(
-        "doc_id", F.flatten(F.transform("x", lambda x: F.coalesce(x["ids"], F.array().cast("array<int>")))).alias("ids"))
+def encode_texts(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
+    """General form: ``docs(doc_id, text)`` -> (row, doc_id, ids) with the ids in text order;
+    ``row`` is a key of its own, so doc_id may be null or repeated."""
+    rows = keyed_rows(docs)
+    return rows.select("row", "doc_id").join(encode_rows(rows, PieceTable(tokenizer_file(model))).select("row", "ids"), "row")
 
 
 def decode_texts(encoded: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
-    """``encoded(doc_id, ids)`` -> (doc_id, text)."""
-    pieces = PieceTable(tokenizer_file(model))
-    table = F.broadcast(pieces.decode_frame(encoded.sparkSession))
-    parts = encoded.select("doc_id", F.posexplode_outer("ids").alias("at", "id")).join(table, "id", "left")
-    raw = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("hex", F.lit("")).alias("hex")))).alias("x"))
-    text = F.decode(F.unhex(F.array_join(F.transform("x", lambda x: x["hex"]), "")), "UTF-8")
-    return raw.select("doc_id", F.regexp_replace(F.replace(text, F.lit(BLANK), F.lit(" ")), "^ ", "").alias("text"))
+    """``encoded(row, doc_id, ids)`` -> (row, doc_id, text)."""
+    decoded = decode_rows(encoded, PieceTable(tokenizer_file(model)))
+    return encoded.select("row", "doc_id").join(decoded, "row").select("row", "doc_id", F.col("decoded").alias("text"))

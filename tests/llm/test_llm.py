@@ -423,6 +423,18 @@ def test_html_without_article(spark):
     assert got[2] == "" and got[3] == "plain" and got[4] == "a\n\nb &am"
 
 
+def test_sentencepiece_whole_texts(spark, sf):
+    """Every row's ids and decoded text, with null and repeated doc_ids."""
+    p = sentencepiece_lattice.PieceTable(public_tokenizers.path("piece_bpe_32k.model"))
+    table = {s: (i, x) for i, s, x in p.rows}
+    docs = docs_of(spark, sf)
+    want = [{"doc_id": d, "ids": brute_viterbi(("▁" + t.replace(" ", "▁")) if t else "", table, p), "same_text": True} for d, t in docs]
+    match(run(spark, "op10_sentencepiece", sf), want)
+    enc = sentencepiece_lattice.encode_texts(spark.read.parquet(f"{sf}/documents.parquet")).localCheckpoint()
+    back = [(r.doc_id, r.text) for r in sentencepiece_lattice.decode_texts(enc).collect()]
+    assert sorted(map(repr, back)) == sorted(map(repr, docs))
+
+
 LONG = ["First paragraph of the body, which is clearly longer than any teaser or card on this page.",
         "Second paragraph of the body, again with enough text to be what the reader came for.", "A short one.",
         "Last paragraph of the body, with some words more so that the windows stay high enough."]
