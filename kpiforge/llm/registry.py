@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kpiforge.llm import (bpe_pairs, fingerprints, html_extract, packing, quality_rules, secrets_scan, sentencepiece_lattice,
+from kpiforge.llm import (bpe_pairs, filter_audit, fingerprints, html_extract, packing, quality_rules, secrets_scan, sentencepiece_lattice,
                           simhash, token_counts, toxicity, warc)
 from kpiforge.llm.common import read_table
 
@@ -47,14 +47,18 @@ def op10_sentencepiece(spark, sf_dir):
     return sentencepiece_lattice.encode_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark, sf_dir):
+    return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op12_bpe(spark, sf_dir):
     return bpe_pairs.round_trip(read_table(spark, sf_dir, "documents"))
 
 
 def queries():
     return {f.__name__: f for f in (op1_html_extraction, op2_secret_scan, op3_simhash, op4_toxicity, op5_fingerprints,
-                                    op6_token_counts, op7_warc, op8_quality_rules, op9_packing, op10_sentencepiece, op12_bpe)}
+                                    op6_token_counts, op7_warc, op8_quality_rules, op9_packing, op10_sentencepiece, op11_filter_audit, op12_bpe)}
 
 
 def oracle_sql():
-    return {}
+    return {"op11_filter_audit": filter_audit.AUDIT_SQL}
