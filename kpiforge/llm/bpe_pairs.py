@@ -38,7 +38,8 @@ from pyspark.sql import functions as F
 from kpiforge.llm.common import tokenizer_file
 from kpiforge.llm.token_counts import _SPACE, pretoken_splitter
 
-BATCH_CHARS, TABLE_LIMIT = 24_000_000, 600_000
+BATCH_CHARS, TABLE_LIMIT = 8_000_000, 1_000_000
+SEPARATOR = "\v"  # between parts that are cut into pre-tokens together; a part that holds it is cut alone
 END, DEAD = -1, -2  # symbols of the place after the last one, and of merged-away places
 _TABLES: dict = {}
 _KNOWN: dict = {}
@@ -195,14 +196,16 @@ class Store:
     def units_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """Numbers of the units of all texts, how many each text has, and the distinct units."""
         units: dict[str, int] = {}
-        plain = [i for i, t in enumerate(texts) if "\n" not in t and t[:1] == " " and t[1:2] not in SPACES and t[-1] not in SPACES]
+        plain = [i for i, t in enumerate(texts) if SEPARATOR not in t and t[:1] == " " and t[1:2] not in SPACES and t[-1] not in SPACES]
         others = sorted(set(range(len(texts))) - set(plain))
         counts, found = np.zeros(len(texts), np.int64), []
         pieces: list[np.ndarray] = []
-        if plain:  # a line feed before a blank and a sign is a unit of its own
-            found = self.split("\n".join([texts[i] for i in plain]))
-            numbers = np.fromiter((units.setdefault(u, len(units)) for u in found), np.int64, len(found))
-            feed = numbers == units.get("\n", -1)
+        if plain:  # white space between a sign and a blank before a sign is a unit of its own
+            found = self.split(SEPARATOR.join([texts[i] for i in plain]))
+            units = dict.fromkeys(found)
+            units = dict(zip(units, range(len(units))))
+            numbers = np.fromiter(map(units.__getitem__, found), np.int64, len(found))
+            feed = numbers == units.get(SEPARATOR, -1)
             bounds = np.append(np.flatnonzero(feed), len(numbers))
             counts[plain] = np.diff(bounds, prepend=-1) - 1
             pieces.append(numbers[~feed])
@@ -269,15 +272,14 @@ def encode_batch(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     store = _KNOWN.pop(path, None)  # back when complete: a failed task leaves no half-filled store
     if store is None or store.count > TABLE_LIMIT:
         store = Store(merge_table(path))
-    cut = [np.array(cut_at_blanks(t, store), np.int64) for t in texts]
+    cut = [np.array(cut_at_blanks(t, store), np.int32) for t in texts]
     store.learn()
     _KNOWN[path] = store
-    out, counts = [], np.zeros(len(texts), np.int64)
-    for i, at in enumerate(cut):
-        sizes = store.sizes[at]
-        out.append(store.flat[spread(store.starts[at], sizes)])
-        counts[i] = len(out[-1])
-    return np.concatenate(out) if out else np.zeros(0, np.int32), counts
+    per_text = np.fromiter(map(len, cut), np.int64, len(cut))
+    at = np.concatenate(cut) if cut else np.zeros(0, np.int32)
+    sizes = store.sizes[at]
+    ends, reached = np.cumsum(per_text), np.append(0, np.cumsum(sizes))
+    return store.flat[spread(store.starts[at], sizes)], reached[ends] - reached[ends - per_text]
 
 
 def slices(texts: list[str], limit: int = BATCH_CHARS):
@@ -290,41 +292,49 @@ def slices(texts: list[str], limit: int = BATCH_CHARS):
             lo, size = i + 1, 0
 
 
-def encode(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
-    """``docs(doc_id, text)`` -> (doc_id, ids array<int>), one row per row."""
+def texts_of(ids: pa.ListArray, table: list[bytes]) -> pa.Array:
+    """The texts that lists of ids stand for; bytes that are no UTF-8 become U+FFFD."""
+    return pa.array([b"".join(map(table.__getitem__, x.values.tolist() if x.is_valid else [])).decode("utf-8", "replace") for x in ids],
+                    pa.string())
+
+
+def encode(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", decoded: bool = False) -> DataFrame:
+    """``docs(doc_id, text)`` -> (doc_id, ids array<int>), one row per row. With ``decoded``
+    also the text the ids stand for, made in the same pass."""
     path = tokenizer_file(tokenizer)
+    names = ["doc_id", "ids", *["text"] * decoded]
 
     def work(batches):
         for batch in batches:
-            doc_ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for lo, hi in slices(texts):
-                ids, counts = encode_batch(texts[lo:hi], path)
-                ends = pa.array(np.append(0, np.cumsum(counts)), pa.int32())
-                yield pa.RecordBatch.from_arrays([doc_ids.slice(lo, hi - lo), pa.ListArray.from_arrays(ends, pa.array(ids, pa.int32()))],
-                                                 names=["doc_id", "ids"])
+            doc_ids, texts = batch.column(0), batch.column(1)
+            for low in range(0, batch.num_rows, 1024):
+                some = texts.slice(low, 1024).to_pylist()
+                for lo, hi in slices(some):
+                    ids, counts = encode_batch(some[lo:hi], path)
+                    ends = pa.array(np.append(0, np.cumsum(counts)), pa.int32())
+                    lists = pa.ListArray.from_arrays(ends, pa.array(ids, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([doc_ids.slice(low + lo, hi - lo), lists, *[
+                        texts_of(lists, merge_table(path).bytes) for _ in names[2:]]], names=names)
 
     light = docs.select(docs["doc_id"].cast("long"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-    return light.mapInArrow(work, "doc_id long, ids array<int>")
+    return light.mapInArrow(work, "doc_id long, ids array<int>" + ", text string" * decoded)
 
 
 def decode(encoded: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
-    """``encoded(doc_id, ids)`` -> the same plus text: the bytes of the ids, special tokens
-    kept; bytes that are no UTF-8 become U+FFFD."""
+    """``encoded(doc_id, ids)`` -> the same plus text: special tokens are kept, null ids give ''."""
     path = tokenizer_file(tokenizer)
 
     def work(batches):
-        table = merge_table(path).bytes
         for batch in batches:
-            texts = [b"".join([table[i] for i in ids]).decode("utf-8", "replace") for ids in
-                     (x.values.to_numpy() if x.is_valid else [] for x in batch.column(1))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts_of(batch.column(1), merge_table(path).bytes)],
+                                             names=["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(work, "doc_id long, ids array<int>, text string")
 
 
 def round_trip(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
     """The rows of ``op12``: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    both = decode(encode(docs, tokenizer), tokenizer)
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-                       F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    return encode(docs, tokenizer, decoded=True).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
