@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kpiforge.llm import (bpe_pairs, filter_audit, fingerprints, html_extract, packing, quality_rules, secrets_scan, sentencepiece_lattice,
+from kpiforge.llm import (bpe_pairs, filter_audit, fingerprints, html_extract, lexical_search, packing, quality_rules, secrets_scan, sentencepiece_lattice,
                           simhash, token_counts, toxicity, warc)
 from kpiforge.llm.common import read_table
 
@@ -55,10 +55,15 @@ def op12_bpe(spark, sf_dir):
     return bpe_pairs.round_trip(read_table(spark, sf_dir, "documents"))
 
 
+def op13_lexical_search(spark, sf_dir):
+    return lexical_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def queries():
     return {f.__name__: f for f in (op1_html_extraction, op2_secret_scan, op3_simhash, op4_toxicity, op5_fingerprints,
-                                    op6_token_counts, op7_warc, op8_quality_rules, op9_packing, op10_sentencepiece, op11_filter_audit, op12_bpe)}
+                                    op6_token_counts, op7_warc, op8_quality_rules, op9_packing, op10_sentencepiece, op11_filter_audit, op12_bpe,
+                                    op13_lexical_search)}
 
 
 def oracle_sql():
-    return {"op11_filter_audit": filter_audit.AUDIT_SQL}
+    return {"op11_filter_audit": filter_audit.AUDIT_SQL, "op13_lexical_search": lexical_search.SEARCH_SQL}
