@@ -105,9 +105,7 @@ CONTEXT_FILLED_MIN = 0.80
 IQR_FACTOR = 1.5
 Z_CUT = 3.0
 CORRELATION_KEEP = 0.7
-FUZZY_MAX_CARDINALITY = 50
 FUZZY_SIMILARITY = 0.82
-AUTO_CATEGORICAL_DISTINCT = 100
 AUTO_CATEGORICAL_RATIO = 0.20
 FORMULA_TOL_DETECT = 0.01
 FORMULA_TOL_VALIDATE = 0.02

@@ -18,8 +18,6 @@ from kpiforge import constants as K
 from kpiforge.functions import scalars as S
 from kpiforge.functions.stats import exact_quantiles, medians, modes
 
-# Mapping tables up to this many rows are broadcast; larger ones are shuffled.
-BROADCAST_ROW_LIMIT = 1_000_000
 
 
 def string_columns(df: DataFrame) -> list:
@@ -201,11 +199,9 @@ def trim_text(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def _join_mapping(df: DataFrame, c: str, mapping: DataFrame, from_col: str, to_col: str) -> DataFrame:
-    """Left-join a (from, to) mapping on column ``c``; broadcast when its size is checked small."""
-    n = mapping.count()
+    """Left-join a (from, to) mapping on column ``c``. The join is adaptive: a mapping that turns out
+    small in bytes is broadcast, else skewed values are split."""
     m = mapping.select(F.col(from_col).alias("__from"), F.col(to_col).alias("__to"))
-    if n <= BROADCAST_ROW_LIMIT:
-        m = F.broadcast(m)
     j = df.join(m, F.col(c) == F.col("__from"), "left")
     return j.select(*[F.coalesce(F.col("__to"), F.col(c)).alias(c) if x == c else F.col(x)
                       for x in df.columns])

@@ -1473,36 +1473,61 @@ def q_impute_knn(spark, sf_dir):
     return ML.impute_knn(ty, "quantity", ["total_spent", "price_per_unit"], k=5)
 
 
-@register("canon_pick")
+def _pick_sql():
+    """Categorical by type (names and values of the two columns), or under 20 % distinct values."""
+    rates = " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS d, count(*) AS n FROM nl" for c in TEXT)
+    return ST.sql_nulled() + (f" SELECT column_name FROM ({rates}) WHERE column_name IN ('category', 'payment_method') "
+                              f"OR d < {K.AUTO_CATEGORICAL_RATIO} * n")
+
+
+@register("canon_pick", _pick_sql())
 def q_canon_pick(spark, sf_dir):
     nl = ST.nulled(spark, sf_dir)
     cols = CN.canon_pick(nl, SEM.semantic_map(ST.raw(spark, sf_dir)))
     return spark.createDataFrame([(c,) for c in cols], "column_name string")
 
 
-@register("canon_initials")
+SPELLED = ["category", "item", "payment_method"]
+
+
+def _abbreviation_ctes():
+    """(column_name, from_value, to_value): short initials or leading words -> commonest longer spelling."""
+    base = "trim(regexp_replace(regexp_replace(lower(trim(orig)), '[^a-z0-9 ]', '', 'g'), '\\s+', ' ', 'g'))"
+    values = " UNION ALL ".join(f"SELECT '{c}' AS column_name, {c} AS orig, count(*) AS n FROM nl WHERE {c} IS NOT NULL GROUP BY {c}" for c in SPELLED)
+    return ST.sql_nulled() + f""", v AS (SELECT column_name, orig, n, {base} AS base FROM ({values})),
+        b AS (SELECT column_name, base, sum(n) AS bn, first(orig ORDER BY n DESC, orig) AS canon,
+                     array_to_string(list_transform(string_split(base, ' '), lambda w: w[1]), '') AS initials FROM v GROUP BY column_name, base),
+        j AS (SELECT s.column_name, s.base AS short, d.canon, row_number() OVER (PARTITION BY s.column_name, s.base ORDER BY d.bn DESC, d.base) AS r
+              FROM b s JOIN b d ON s.column_name = d.column_name AND s.base <> d.base
+               AND ((length(s.base) <= 4 AND s.base = d.initials) OR starts_with(d.base, s.base || ' '))),
+        am AS (SELECT v.column_name, v.orig AS from_value, j.canon AS to_value FROM v JOIN j ON v.column_name = j.column_name
+               AND v.base = j.short AND j.r = 1 WHERE v.orig <> j.canon)"""
+
+
+@register("canon_initials", _abbreviation_ctes() + " SELECT * FROM am")
 def q_canon_initials(spark, sf_dir):
-    return CN.abbreviation_mapping(ST.nulled(spark, sf_dir), "payment_method")
+    return CN.abbreviation_mappings(CN.value_tables(ST.nulled(spark, sf_dir), SPELLED))
 
 
-@register("canon_prefix")
+@register("canon_prefix", _abbreviation_ctes() + """ SELECT v.column_name, coalesce(am.to_value, v.orig) AS spelling, sum(v.n)::BIGINT AS n
+    FROM v LEFT JOIN am ON v.column_name = am.column_name AND v.orig = am.from_value GROUP BY ALL""")
 def q_canon_prefix(spark, sf_dir):
-    nl = ST.nulled(spark, sf_dir)
-    out = CN.canon_abbreviations(nl.select("payment_method"), ["payment_method"])
-    return out.groupBy("payment_method").agg(F.count(F.lit(1)).alias("n"))
+    """The mapping applied to the rows of every column."""
+    out = CN.canon_abbreviations(ST.nulled(spark, sf_dir).select(*SPELLED), SPELLED)
+    long = out.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("spelling")) for c in SPELLED])))
+    return long.where("spelling is not null").groupBy("column_name", "spelling").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("fuzzy_pairs")
 def q_fuzzy_pairs(spark, sf_dir):
-    nl = R.trim_text(ST.nulled(spark, sf_dir), ["category", "payment_method"])
-    return CN.fuzzy_pairs(nl, ["category", "payment_method"]).select(
-        "column_name", "a", "b", "overlap", F.round("similarity", 4).alias("similarity"))
+    nl = R.trim_text(ST.nulled(spark, sf_dir), SPELLED)
+    return CN.fuzzy_pairs(nl, SPELLED).select("column_name", "a", "b", "overlap", F.round("similarity", 4).alias("similarity"))
 
 
 @register("canon_fuzzy")
 def q_canon_fuzzy(spark, sf_dir):
-    nl = R.trim_text(ST.nulled(spark, sf_dir), ["category", "payment_method"])
-    return CN.fuzzy_mapping(nl, ["category", "payment_method"])
+    nl = R.trim_text(ST.nulled(spark, sf_dir), SPELLED)
+    return CN.fuzzy_mapping(nl, SPELLED)
 
 
 # =========================================================== streaming by-product (rows-only)

@@ -2,9 +2,7 @@
 import math
 
 import numpy as np
-from pyspark.sql import functions as F
 
-from kpiforge.operators import canon as C
 from kpiforge.operators import ml as ML
 
 
@@ -32,20 +30,3 @@ def test_isolation_steps_flag_extremes(spark):
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     scored = {r.x: r.iforest_score for r in ML.iforest_scores(df, "x").collect()}
     assert scored[5000.0] > scored[500.0] and scored[-4000.0] > scored[500.0]
-
-
-def test_similarities():
-    assert C.ratio("cash", "csh") > 80
-    assert C.token_set_ratio("digital wallet", "wallet digital") == 100
-    assert C.partial_ratio("cash", "cash payment") == 100
-
-
-def test_fuzzy_and_abbreviations(spark):
-    rows = [("Cash",)] * 10 + [("Csh",)] * 2 + [("Digital Wallet",)] * 8 + [("DW",)] * 2 + [("Digital",)] + \
-        [("New York",)] * 3 + [("New Jersey",)] * 3
-    df = spark.createDataFrame(rows, "p string")
-    fm = {(r.from_value, r.to_value) for r in C.fuzzy_mapping(df, ["p"]).collect()}
-    assert ("Csh", "Cash") in fm
-    assert not any(a in ("New York", "New Jersey") for a, _ in fm)
-    am = {(r.from_value, r.to_value) for r in C.abbreviation_mapping(df, "p").collect()}
-    assert ("DW", "Digital Wallet") in am and ("Digital", "Digital Wallet") in am

@@ -48,10 +48,8 @@ def test_entry_smoke(spark):
 
 #: Queries without SQL -> (test module, what it calls), and those that still have no test.
 UNIT_TESTS = {
-    "canon_fuzzy": ("test_models.py", "test_fuzzy_and_abbreviations"),
-    "canon_initials": ("test_models.py", "test_fuzzy_and_abbreviations"),
-    "canon_prefix": ("test_models.py", "test_fuzzy_and_abbreviations"),
-    "fuzzy_pairs": ("test_models.py", "test_similarities"),
+    "canon_fuzzy": ("test_canon.py", "C.fuzzy_mapping"),
+    "fuzzy_pairs": ("test_canon.py", "C.fuzzy_pairs"),
     "det_outlier_iforest": ("test_models.py", "iforest_scores"),
     "impute_forest": ("test_whole_results.py", "ml.impute_forest"),
     "impute_knn": ("test_models.py", "test_knn_matches_brute_force"),
@@ -65,7 +63,7 @@ UNIT_TESTS = {
     "sink_report": ("test_files.py", "files.write_report"),
     "sink_bundle": ("test_files.py", "files.write_bundle"),
 }
-UNTESTED = {"canon_pick", "cat_tables", "det_outlier_consensus", "fs_forest", "report_summary", "run_log", "stream_clean"}
+UNTESTED = {"cat_tables", "det_outlier_consensus", "fs_forest", "report_summary", "run_log", "stream_clean"}
 
 
 def test_every_query_has_oracle_or_unit_test():
