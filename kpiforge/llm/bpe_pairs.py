@@ -32,13 +32,14 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kpiforge.llm.common import tokenizer_file
 from kpiforge.llm.token_counts import _SPACE, pretoken_splitter
 
-BATCH_CHARS, TABLE_LIMIT = 8_000_000, 1_000_000
+BATCH_CHARS, TABLE_LIMIT = 8_000_000, 1_300_000
 SEPARATOR = "\v"  # between parts that are cut into pre-tokens together; a part that holds it is cut alone
 END, DEAD = -1, -2  # symbols of the place after the last one, and of merged-away places
 _TABLES: dict = {}
@@ -258,13 +259,34 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-def cut_at_blanks(text: str, store: Store) -> list[int]:
-    """Numbers of the text's parts. A blank between two white spaces is no cut, nor is any
-    blank of a text with special strings."""
-    if any(s in text for s in store.table.specials):
-        return [store.heads[text]]
-    head, *rest = CUT.split(text) if UNCUT.search(text) else text.split(" ")
-    return [store.heads[head], *map(store.parts.__getitem__, rest)]
+def cut_at_blanks(texts: list[str], store: Store) -> list[np.ndarray]:
+    """Numbers of every text's parts. A blank between two white spaces is no cut, nor is any blank
+    of a text with special strings; all other texts are cut together, and each part that
+    occurs among them is looked up once."""
+    out: list = [None] * len(texts)
+    plain = []
+    for i, text in enumerate(texts):
+        if any(s in text for s in store.table.specials):
+            out[i] = np.array([store.heads[text]])
+        elif UNCUT.search(text):
+            head, *rest = CUT.split(text)
+            out[i] = np.array([store.heads[head], *map(store.parts.__getitem__, rest)])
+        else:
+            plain.append(i)
+    if plain:
+        cut = pc.split_pattern(pa.array([texts[i] for i in plain], pa.string()), " ")
+        bounds, parts = cut.offsets.to_numpy(), cut.values
+        head = np.zeros(len(parts), bool)
+        head[bounds[:-1]] = True
+        known = parts.filter(pa.array(~head)).dictionary_encode()
+        words = known.dictionary.to_pylist()
+        numbers = np.empty(len(parts), np.int64)
+        numbers[~head] = np.fromiter(map(store.parts.__getitem__, words), np.int64, len(words))[known.indices.to_numpy()]
+        firsts = parts.filter(pa.array(head)).to_pylist()
+        numbers[head] = np.fromiter(map(store.heads.__getitem__, firsts), np.int64, len(firsts))
+        for i, lo, hi in zip(plain, bounds[:-1].tolist(), bounds[1:].tolist()):
+            out[i] = numbers[lo:hi]
+    return out
 
 
 def encode_batch(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -272,11 +294,11 @@ def encode_batch(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     store = _KNOWN.pop(path, None)  # back when complete: a failed task leaves no half-filled store
     if store is None or store.count > TABLE_LIMIT:
         store = Store(merge_table(path))
-    cut = [np.array(cut_at_blanks(t, store), np.int32) for t in texts]
+    cut = cut_at_blanks(texts, store)
     store.learn()
     _KNOWN[path] = store
     per_text = np.fromiter(map(len, cut), np.int64, len(cut))
-    at = np.concatenate(cut) if cut else np.zeros(0, np.int32)
+    at = np.concatenate(cut) if cut else np.zeros(0, np.int64)
     sizes = store.sizes[at]
     ends, reached = np.cumsum(per_text), np.append(0, np.cumsum(sizes))
     return store.flat[spread(store.starts[at], sizes)], reached[ends] - reached[ends - per_text]
