@@ -1,17 +1,19 @@
 """Distributed exact order statistics (quantiles, medians, modes).
 
 Spark's ``percentile`` keeps every distinct value of a group in one buffer, and
-for a table-wide median that group is the whole column in one task. Here the
-work is split instead:
-
-1. pre-aggregate to a value-frequency table ``(column, x, n)`` (map-side combine);
-2. range-partition it on ``(column, x)`` and sort inside partitions;
-3. each partition computes running counts with pandas (bounded by partition size);
-4. the partitions' totals (at most partitions x columns rows) give offsets, and
-   only the few rows holding the wanted ranks are fetched.
-
-Results are exact and equal to linear interpolation (numpy / Spark
-``percentile`` semantics). ``approx=True`` swaps in ``percentile_approx``.
+for a table-wide median that group is the whole column in one task. Here the wanted
+ranks are found by radix selection instead, with built-in functions only:
+
+1. one aggregate counts the rows per coarse bin (steps of the logarithm's size), with
+   the smallest and largest value of each bin;
+2. the bins that hold a wanted rank are known from the counts. A bin with a single value
+   gives the answer; the others become segments;
+3. the rows inside the segments are counted again in ``SPLIT`` finer bins, and so on. A
+   round narrows a segment by that factor, so a handful of rounds reaches single values.
+
+Nothing is sorted or shuffled but partial counts: a round's result has at most
+``SPLIT`` rows a segment. Results are exact and equal to linear interpolation (numpy /
+Spark ``percentile`` semantics). ``approx=True`` swaps in ``percentile_approx``.
 """
 
 from __future__ import annotations
@@ -19,21 +21,12 @@ from __future__ import annotations
 import math
 from typing import Dict, List, Sequence
 
-import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from kpiforge.session import ensure_checkpoint_dir
-
-_FREQ_SCHEMA = T.StructType([
-    T.StructField("k", T.StringType()),
-    T.StructField("x", T.DoubleType()),
-    T.StructField("n", T.LongType()),
-    T.StructField("pid", T.IntegerType()),
-    T.StructField("cum", T.LongType()),
-])
+#: Bins of the first round per unit of the natural logarithm (at most 45,000 over all doubles), and
+#: of a segment in the later rounds.
+COARSE, SPLIT = 32, 2048
 
 
 def to_long(df: DataFrame, cols: Sequence[str], value_type: str = "double") -> DataFrame:
@@ -47,21 +40,35 @@ def to_long(df: DataFrame, cols: Sequence[str], value_type: str = "double") -> D
     return out.where(cond)
 
 
-def _running_counts(batches):
-    from pyspark import TaskContext
+def _first_bins(long: DataFrame):
+    x = F.col("x")
+    key = F.floor(F.signum(x) * F.log1p(F.abs(x)) * COARSE)  # rises with x
+    return long.groupBy("k", key.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+
 
-    pid = TaskContext.get().partitionId()
-    carry: Dict[str, int] = {}
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        cum = pdf.groupby("k", sort=False)["n"].cumsum()
-        base = pdf["k"].map(lambda key: carry.get(key, 0)).astype("int64")
-        pdf = pdf.assign(pid=pid, cum=(cum + base).astype("int64"))
-        last = pdf.groupby("k", sort=False)["cum"].max()
-        for key, v in last.items():
-            carry[key] = int(v)
-        yield pdf[["k", "x", "n", "pid", "cum"]]
+def _split_segments(df: DataFrame, segments: Dict[str, list]):
+    """Counts of the segments' rows in finer bins; ``segments``: column -> [(lo, hi), ...]."""
+    rows = [(c, i, lo, hi) for c, found in segments.items() for i, (lo, hi) in enumerate(found)]
+    # as many rows as wanted ranks at most
+    table = F.broadcast(df.sparkSession.createDataFrame(rows, "c string, seg int, lo double, hi double"))
+    x = F.col("x")
+    inside = to_long(df, list(segments)).join(table, (F.col("k") == F.col("c")) & (x >= F.col("lo")) & (x <= F.col("hi")))
+    key = F.floor((x - F.col("lo")) / (F.col("hi") - F.col("lo")) * SPLIT)
+    return inside.groupBy("k", "seg", key.alias("b")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+
+
+def _locate(bins: list, base: int, ranks: set, found: dict) -> List[tuple]:
+    """Ranks inside single-valued bins go to ``found``; the rest come back as (lo, hi, base, ranks)."""
+    rest = []
+    for r in sorted(bins, key=lambda r: r["lo"]):
+        mine = {k for k in ranks if base <= k < base + r["n"]}
+        if mine and r["lo"] == r["hi"]:
+            found.update(dict.fromkeys(mine, r["lo"]))
+        elif mine:
+            rest.append((r["lo"], r["hi"], base, mine))
+        base += r["n"]
+    return rest
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
@@ -76,68 +83,28 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                        for c in cols]).first()
         return {c: [float(v) if v is not None else math.nan for v in (row[c] or [None] * len(probs))]
                 for c in cols}
-
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    freq = to_long(df, cols).groupBy("k", "x").agg(F.count(F.lit(1)).alias("n"))
-    nparts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # Persisted, not checkpointed: a lost partition is recomputed identically (the
-    # range bounds are fixed for the execution and (k, x) rows are unique and sorted).
-    ranked = (freq.repartitionByRange(nparts, "k", "x")
-              .sortWithinPartitions("k", "x")
-              .mapInPandas(_running_counts, _FREQ_SCHEMA)
-              .persist(StorageLevel.MEMORY_AND_DISK))
-    totals = (ranked.groupBy("k", "pid").agg(F.max("cum").alias("t")).collect())
-    per_col: Dict[str, List] = {}
-    for r in totals:
-        per_col.setdefault(r["k"], []).append((r["pid"], r["t"]))
-    # offsets: running total over partitions in range order
-    wanted = []  # (k, pid, rank)
-    plan = {}
-    for k, parts in per_col.items():
-        parts.sort()
-        offs, acc = {}, 0
-        for pid, t in parts:
-            offs[pid] = (acc, acc + t)
-            acc += t
-        n = acc
-        plan[k] = (n, offs)
-        for p in probs:
-            pos = p * (n - 1)
-            for r in {int(math.floor(pos)), int(math.ceil(pos))}:
-                for pid, (lo, hi) in offs.items():
-                    if lo <= r < hi:
-                        wanted.append((k, pid, r - lo))
-    values: Dict[tuple, float] = {}
-    if wanted:
-        w = spark.createDataFrame(wanted, "k string, pid int, r long")
-        hits = (ranked.join(F.broadcast(w), ["k", "pid"])
-                .where((F.col("cum") - F.col("n") <= F.col("r")) & (F.col("r") < F.col("cum")))
-                .select("k", "pid", "r", "x").collect())
-        for h in hits:
-            values[(h["k"], h["pid"], h["r"])] = h["x"]
-    ranked.unpersist()
-    out: Dict[str, List[float]] = {}
+    bins: Dict[str, list] = {c: [] for c in cols}
+    for r in _first_bins(to_long(df, cols)):
+        bins[r["k"]].append(r)
+    total = {c: sum(r["n"] for r in bins[c]) for c in cols}
+    at = {c: [p * (total[c] - 1) for p in probs] for c in cols}
+    found: Dict[str, dict] = {c: {} for c in cols}
+    open_ = {}
     for c in cols:
-        if c not in plan:
-            out[c] = [math.nan] * len(probs)
-            continue
-        n, offs = plan[c]
-
-        def at(rank):
-            for pid, (lo, hi) in offs.items():
-                if lo <= rank < hi:
-                    return values[(c, pid, rank - lo)]
-            raise KeyError(rank)
-
-        res = []
-        for p in probs:
-            pos = p * (n - 1)
-            lo, hi = int(math.floor(pos)), int(math.ceil(pos))
-            a, b = at(lo), at(hi)
-            res.append(a + (b - a) * (pos - lo))
-        out[c] = res
-    return out
+        ranks = {f(x) for x in at[c] for f in (math.floor, math.ceil)} if total[c] else set()
+        open_[c] = _locate(bins[c], 0, ranks, found[c])
+    while open_ := {c: v for c, v in open_.items() if v}:
+        parts: Dict[tuple, list] = {}
+        for r in _split_segments(df, {c: [(lo, hi) for lo, hi, _, _ in v] for c, v in open_.items()}):
+            parts.setdefault((r["k"], r["seg"]), []).append(r)
+        open_ = {c: [x for i, (_, _, base, ranks) in enumerate(v) for x in _locate(parts[c, i], base, ranks, found[c])]
+                 for c, v in open_.items()}
+
+    def value(c, x):
+        lo, hi = found[c][math.floor(x)], found[c][math.ceil(x)]
+        return lo + (hi - lo) * (x - math.floor(x)) if hi != lo else lo
+
+    return {c: [value(c, x) for x in at[c]] if total[c] else [math.nan] * len(probs) for c in cols}
 
 
 def medians(df: DataFrame, cols: Sequence[str], approx: bool = False) -> Dict[str, float]:

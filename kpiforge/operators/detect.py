@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from kpiforge import constants as K
 from kpiforge.functions import scalars as S
 from kpiforge.functions.stats import exact_quantiles
+from kpiforge.operators.profile import value_counts
 
 PROBLEM_SCHEMA = ("category string, column_name string, issue string, count bigint, pct double, "
                   "severity string")
@@ -70,14 +71,20 @@ def det_dup_rows(df: DataFrame) -> DataFrame:
     return _long(row, [("duplicates", "*", "exact_duplicates", "d", "HIGH")])
 
 
+def _by_column(counts: DataFrame, category: str, issues: Dict[str, tuple]) -> DataFrame:
+    """``counts``: a row per column_name with ``__n`` and the columns of ``issues`` -> problem rows."""
+    structs = [F.struct(F.lit(category).alias("category"), F.col("column_name"), F.lit(issue).alias("issue"),
+                        F.col(c).cast("bigint").alias("count"), _pct2(c, "__n").alias("pct"), F.lit(level).alias("severity"))
+               for c, (issue, level) in issues.items()]
+    return counts.select(F.inline(F.array(*structs))).where(F.col("count") > 0)
+
+
 def det_dup_ids(df: DataFrame, id_cols: Sequence[str]) -> DataFrame:
     """Rows beyond the first per id value (NULL counts as one value)."""
-    aggs = [F.count(F.lit(1)).alias("__n")]
-    for i, c in enumerate(id_cols):
-        distinct = F.count_distinct(F.col(c)) + F.max(F.when(F.col(c).isNull(), 1).otherwise(0))
-        aggs.append((F.count(F.lit(1)) - distinct).alias(f"d{i}"))
-    row = df.agg(*aggs)
-    return _long(row, [("duplicates", c, "duplicate_ids", f"d{i}", "MEDIUM") for i, c in enumerate(id_cols)])
+    if not id_cols:
+        return df.sparkSession.createDataFrame([], PROBLEM_SCHEMA)
+    counts = value_counts(df, id_cols).groupBy("column_name").agg(F.sum("n").alias("__n"), (F.sum("n") - F.count(F.lit(1))).alias("extra"))
+    return _by_column(counts, "duplicates", {"extra": ("duplicate_ids", "MEDIUM")})
 
 
 def det_invalid(df: DataFrame, negative_cols: Sequence[str] = (), zero_cols: Sequence[str] = (),
@@ -99,14 +106,14 @@ def det_invalid(df: DataFrame, negative_cols: Sequence[str] = (), zero_cols: Seq
 
 def det_inconsistent(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Case/space variants (distinct raw minus distinct lower+trim) and padded values."""
-    aggs = [F.count(F.lit(1)).alias("__n")]
-    items = []
-    for i, c in enumerate(cols):
-        aggs.append((F.count_distinct(F.col(c)) - F.count_distinct(F.lower(S.strip_ws(F.col(c))))).alias(f"v{i}"))
-        aggs.append(F.count_if(F.col(c).rlike(r"^\s+|\s+$")).alias(f"w{i}"))
-        items.append(("inconsistencies", c, "case_inconsistency", f"v{i}", "LOW"))
-        items.append(("inconsistencies", c, "whitespace", f"w{i}", "LOW"))
-    return _long(df.agg(*aggs), items)
+    if not cols:
+        return df.sparkSession.createDataFrame([], PROBLEM_SCHEMA)
+    text = F.col("s")
+    keys = value_counts(df, cols).groupBy("column_name", F.lower(S.strip_ws(text)).alias("key")).agg(
+        F.sum("n").alias("n"), F.count("s").alias("spellings"), F.sum(F.when(text.rlike(r"^\s+|\s+$"), F.col("n")).otherwise(0)).alias("padded"))
+    counts = keys.groupBy("column_name").agg(F.sum("n").alias("__n"), (F.sum("spellings") - F.count("key")).alias("variants"),
+                                             F.sum("padded").alias("padded"))
+    return _by_column(counts, "inconsistencies", {"variants": ("case_inconsistency", "LOW"), "padded": ("whitespace", "LOW")})
 
 
 def det_formula(df: DataFrame, cols: Sequence[str], tol: float = K.FORMULA_TOL_DETECT) -> DataFrame:

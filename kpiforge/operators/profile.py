@@ -8,15 +8,17 @@ Exact order statistics come from :mod:`kpiforge.functions.stats`.
 
 from __future__ import annotations
 
+import math
 from typing import Dict, List, Optional, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiforge import constants as K
 from kpiforge.functions import scalars as S
-from kpiforge.functions.stats import exact_quantiles
+from kpiforge.functions.stats import exact_quantiles, to_long
 
+SAMPLES = 5
 NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
@@ -49,8 +51,14 @@ def long_values(df: DataFrame, cols: Optional[Sequence[str]] = None) -> DataFram
     return df.select(F.inline(parts))
 
 
-def _typed_parts(long: DataFrame) -> DataFrame:
-    """Per value: clean text (no-data words removed), number, date.
+def value_counts(df: DataFrame, cols: Optional[Sequence[str]] = None) -> DataFrame:
+    """(column_name, dtype, s, n): every distinct value of every column with its number of rows,
+    NULL included. Combined before the shuffle, so a frequent value is one row per task."""
+    return long_values(df, cols).groupBy("column_name", "dtype", "s").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _typed_parts(values: DataFrame) -> DataFrame:
+    """Per distinct value: clean text (no-data words removed), number, date.
 
     Split into two projections so each costly sub-expression is computed once
     (the optimizer keeps non-cheap expressions from being inlined twice).
@@ -59,8 +67,8 @@ def _typed_parts(long: DataFrame) -> DataFrame:
     s = F.col("s")
     is_text = dtype == "string"
     sent = is_text & S.is_null_word(s)
-    step1 = long.select("column_name", "dtype", s.alias("raw"), sent.alias("sent"),
-                        F.when(sent, F.lit(None)).otherwise(s).alias("v"))
+    step1 = values.select("column_name", "dtype", "n", s.alias("raw"), sent.alias("sent"),
+                          F.when(sent, F.lit(None)).otherwise(s).alias("v"))
     v = F.col("v")
     step2 = step1.select("*", S.strip_ws(v).alias("t"))
     is_num = dtype.isin(*NUMERIC_TYPES) | dtype.startswith("decimal")
@@ -68,41 +76,49 @@ def _typed_parts(long: DataFrame) -> DataFrame:
     num = F.when(is_num, F.col("raw").try_cast("double")).when(is_text, S.num_parse(F.col("t")))
     dat = F.when(is_date, F.col("raw").try_cast("timestamp").cast("date")).when(
         is_text, S.parse_date_formats(F.col("t"), [sp for _, sp in K.DATE_FORMATS], stripped=True))
-    return step2.select("column_name", "dtype", "raw", "v", num.alias("num"), dat.alias("dat"), "sent")
+    return step2.select("column_name", "dtype", "n", "raw", "v", num.alias("num"), dat.alias("dat"), "sent")
 
 
-def wide_profile(df: DataFrame, cols: Optional[Sequence[str]] = None, approx_distinct: bool = False) -> DataFrame:
-    """One row per column: counts and parse rates from a single scan.
+def wide_profile(df: DataFrame, cols: Optional[Sequence[str]] = None, samples: bool = False) -> DataFrame:
+    """One row per column: counts and parse rates, every distinct value parsed once.
 
     Columns: column_name, dtype, n_rows, null_count, sentinel_count, n_clean,
     num_count, whole_count, date_count, non_bool_count, distinct_nonnull,
-    num_min, num_max, num_mean, num_std. The shuffle is one partial-aggregated
-    row per (task, column), plus the (column, value) pairs for exact distinct
-    counts (``approx_distinct=True`` uses a sketch instead).
+    num_min, num_max, num_mean; with ``samples`` also the five smallest distinct
+    values (text order). The value counts are shuffled once; what follows is one
+    partially aggregated row per (task, column).
     """
-    cols = list(cols or df.columns)
-    t = _typed_parts(long_values(df, cols))
-    num = F.col("num")
-    dist = F.approx_count_distinct("raw") if approx_distinct else F.count_distinct("raw")
+    counts = value_counts(df, cols)
+    t = _typed_parts(counts)
+    n, num = F.col("n"), F.col("num")
+
+    def rows(cond):
+        return F.coalesce(F.sum(F.when(cond, n)), F.lit(0))
+
     g = t.groupBy("column_name", "dtype").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count_if(F.col("raw").isNull()).alias("null_count"),
-        F.count_if(F.col("sent")).alias("sentinel_count"),
-        F.count("v").alias("n_clean"),
-        F.count(num).alias("num_count"),
-        F.count_if(num == F.floor(num)).alias("whole_count"),
-        F.count("dat").alias("date_count"),
-        F.count_if(F.col("v").isNotNull() & ~F.lower(F.col("v")).isin(list(K.BOOL_WORDS))).alias("non_bool_count"),
-        dist.alias("distinct_nonnull"),
+        F.sum("n").alias("n_rows"),
+        rows(F.col("raw").isNull()).alias("null_count"),
+        rows(F.col("sent")).alias("sentinel_count"),
+        rows(F.col("v").isNotNull()).alias("n_clean"),
+        rows(num.isNotNull()).alias("num_count"),
+        rows(num == F.floor(num)).alias("whole_count"),
+        rows(F.col("dat").isNotNull()).alias("date_count"),
+        rows(F.col("v").isNotNull() & ~F.lower(F.col("v")).isin(list(K.BOOL_WORDS))).alias("non_bool_count"),
+        F.count("raw").alias("distinct_nonnull"),
         F.min(num).alias("num_min"), F.max(num).alias("num_max"),
-        F.avg(num).alias("num_mean"), F.stddev_samp(num).alias("num_std"))
-    return g
+        (F.sum(num * n) / rows(num.isNotNull())).alias("num_mean"))
+    if not samples:
+        return g
+    # the row limit of the window is applied in every task before its shuffle
+    smallest = Window.partitionBy("column_name").orderBy("s")
+    few = counts.where("s is not null").withColumn("r", F.row_number().over(smallest)).where(F.col("r") <= SAMPLES)
+    lists = few.groupBy(F.col("column_name").alias("c")).agg(F.array_sort(F.collect_list("s")).alias("samples"))
+    return g.join(lists, F.col("column_name") == F.col("c"), "left").drop("c")
 
 
 def distinct_counts(df: DataFrame, cols: Sequence[str]) -> Dict[str, tuple]:
-    """{column: (rows, distinct non-null values)} from one unpivot + groupBy (no parsing)."""
-    long = long_values(df, cols)
-    r = long.groupBy("column_name").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("s").alias("d")).collect()
+    """{column: (rows, distinct non-null values)} from the value counts (no parsing)."""
+    r = value_counts(df, cols).groupBy("column_name").agg(F.sum("n").alias("n"), F.count("s").alias("d")).collect()
     return {x["column_name"]: (x["n"], x["d"]) for x in r}
 
 
@@ -142,8 +158,8 @@ def basic_stats(df: DataFrame) -> DataFrame:
 
 
 def column_profile(df: DataFrame, cols: Optional[Sequence[str]] = None) -> DataFrame:
-    """prof_columns: dtype, logical type, nulls, distinct (NULL counted as a value)."""
-    wp = wide_profile(df, cols)
+    """prof_columns: dtype, logical type, nulls, distinct (NULL counted as a value), five smallest values."""
+    wp = wide_profile(df, cols, samples=True)
     return wp.select(
         "column_name", "dtype", logical_type_expr().alias("logical_type"),
         F.col("null_count"),
@@ -151,14 +167,10 @@ def column_profile(df: DataFrame, cols: Optional[Sequence[str]] = None) -> DataF
         (F.col("distinct_nonnull") + F.when(F.col("null_count") > 0, 1).otherwise(0)).alias("unique_count"),
         F.round((F.col("distinct_nonnull") + F.when(F.col("null_count") > 0, 1).otherwise(0)) * 100.0
                 / F.col("n_rows"), 2).alias("unique_pct"),
+        F.array_join(F.coalesce("samples", F.array()), " | ").alias("samples"),
     )
 
 
-def column_samples(df: DataFrame, c: str, order_by: Sequence[str], n: int = 5) -> list:
-    """First ``n`` non-null values by an explicit order (distributed top-n)."""
-    return [r[0] for r in df.where(F.col(c).isNotNull()).orderBy(*order_by).select(c).limit(n).collect()]
-
-
 def numeric_columns(df: DataFrame) -> List[str]:
     return [r["column_name"] for r in column_types(df).collect()
             if r["logical_type"] in ("integer", "float")]
@@ -176,10 +188,9 @@ def numeric_profile(df: DataFrame, cols: Optional[Sequence[str]] = None,
                          else F.col(c).cast("double").alias(c) for c in cols])
     med = exact_quantiles(parsed, cols, [0.5])
     med_df = spark.createDataFrame([(c, float(med[c][0])) for c in cols], "column_name string, median double")
-    wp = wide_profile(parsed, cols).select(
-        "column_name", F.col("num_min").alias("min"), F.col("num_max").alias("max"),
-        F.col("num_mean").alias("mean"), F.col("num_std").alias("std"))
-    return wp.join(F.broadcast(med_df), "column_name").select(
+    wp = to_long(parsed, cols).groupBy(F.col("k").alias("column_name")).agg(
+        F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"))
+    return med_df.join(wp, "column_name", "left").select(
         "column_name", "min", "max", "mean", F.nanvl("median", F.lit(None).cast("double")).alias("median"), "std")
 
 
@@ -190,19 +201,16 @@ def distribution_profile(df: DataFrame, cols: Optional[Sequence[str]] = None) ->
     spark = df.sparkSession
     parsed = df.select(*[(S.num_parse(c) if types[c] == "string" else F.col(c).cast("double")).alias(c)
                          for c in cols])
-    counts = parsed.agg(*[F.count(c).alias(c) for c in cols]).first()
-    cols = [c for c in cols if counts[c] > 0]
+    q = exact_quantiles(parsed, cols, [0.25, 0.5, 0.75])
+    cols = [c for c in cols if not math.isnan(q[c][0])]
     if not cols:
         return spark.createDataFrame([], "column_name string, skewness double, kurtosis double, "
                                          "q25 double, q50 double, q75 double")
-    q = exact_quantiles(parsed, cols, [0.25, 0.5, 0.75])
     qdf = spark.createDataFrame([(c, *map(float, q[c])) for c in cols],
                                 "column_name string, q25 double, q50 double, q75 double")
-    mom = parsed.agg(*[x for c in cols for x in (F.skewness(c).alias("s_" + c), F.kurtosis(c).alias("k_" + c))])
-    long = mom.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"),
-                                                  F.col("s_" + c).alias("skewness"),
-                                                  F.col("k_" + c).alias("kurtosis")) for c in cols])))
-    return long.join(F.broadcast(qdf), "column_name")
+    mom = to_long(parsed, cols).groupBy(F.col("k").alias("column_name")).agg(
+        F.skewness("x").alias("skewness"), F.kurtosis("x").alias("kurtosis"))
+    return mom.join(qdf, "column_name")
 
 
 def quality_metrics(df: DataFrame) -> DataFrame:
@@ -223,8 +231,9 @@ def quality_metrics(df: DataFrame) -> DataFrame:
 
 
 def light_profile(df: DataFrame) -> DataFrame:
-    """prof_light: dtype, distinct (NULL excluded), missing, min/max/mean of numeric columns."""
-    wp = wide_profile(df)
+    """prof_light: dtype, distinct (NULL excluded), missing, min/max/mean of numeric columns, five
+    smallest values of text columns."""
+    wp = wide_profile(df, samples=True)
     types = dict(df.dtypes)
     numeric = [c for c in df.columns if is_numeric_dtype(types[c])]
     return wp.select(
@@ -233,7 +242,8 @@ def light_profile(df: DataFrame) -> DataFrame:
         F.col("null_count").alias("missing"),
         F.when(F.col("column_name").isin(numeric), F.col("num_min")).alias("min"),
         F.when(F.col("column_name").isin(numeric), F.col("num_max")).alias("max"),
-        F.when(F.col("column_name").isin(numeric), F.col("num_mean")).alias("mean"))
+        F.when(F.col("column_name").isin(numeric), F.col("num_mean")).alias("mean"),
+        F.when(F.col("dtype") == "string", F.array_join(F.coalesce("samples", F.array()), " | ")).alias("samples"))
 
 
 DATE_NAME_WORDS = ("date", "time", "day", "month", "year", "period", "created", "updated")
@@ -291,30 +301,23 @@ PROBE_DATE_FORMATS = (("%Y-%m-%d", "yyyy-M-d"), ("%d-%m-%Y", "d-M-yyyy"), ("%d/%
 def type_probe(df: DataFrame, cols: Optional[Sequence[str]] = None) -> DataFrame:
     """Second type probe on text: currency/comma/space stripped > 85 % numeric ->
     integer/float; one of five date formats > 80 % -> datetime; boolean words ->
-    boolean; else categorical (empty when no value)."""
-    cols = list(cols or df.columns)
-    aggs = []
-    for i, c in enumerate(cols):
-        s = S.as_text(c)
-        num = S.num_parse(F.regexp_replace(s, r"[₹$£€,\s]", ""))
-        aggs += [F.count(c).alias(f"nn{i}"), F.count(num).alias(f"num{i}"),
-                 F.count_if(num.isNotNull() & (num != F.floor(num))).alias(f"frac{i}"),
-                 F.count_if(F.col(c).isNotNull() & ~F.lower(s).isin(list(K.BOOL_WORDS))).alias(f"nb{i}")]
-        for j, (_, sp) in enumerate(PROBE_DATE_FORMATS):
-            aggs.append(F.count(S.parse_date_formats(s, [sp])).alias(f"d{i}_{j}"))
-    row = df.agg(*aggs)
-    out = []
-    for i, c in enumerate(cols):
-        nn = F.col(f"nn{i}")
-        date_ok = None
-        for j in range(len(PROBE_DATE_FORMATS)):
-            t = F.col(f"d{i}_{j}") / nn > 0.8
-            date_ok = t if date_ok is None else (date_ok | t)
-        kind = (F.when(nn == 0, "empty")
-                .when(F.col(f"num{i}") / nn > 0.85, F.when(F.col(f"frac{i}") == 0, "integer").otherwise("float"))
-                .when(date_ok, "datetime").when(F.col(f"nb{i}") == 0, "boolean").otherwise("categorical"))
-        out.append(F.struct(F.lit(c).alias("column_name"), kind.alias("probe_type")))
-    return row.select(F.inline(F.array(*out)))
+    boolean; else categorical (empty when no value). Every distinct value is probed once."""
+    s, n = F.col("s"), F.col("n")
+    num = S.num_parse(F.regexp_replace(s, r"[₹$£€,\s]", ""))
+    values = value_counts(df, cols).where("s is not null")
+    parsed = values.select("column_name", "n", num.alias("num"), (~F.lower(s).isin(list(K.BOOL_WORDS))).alias("odd"),
+                           *[S.parse_date_formats(s, [sp]).isNotNull().alias(f"d{j}") for j, (_, sp) in enumerate(PROBE_DATE_FORMATS)])
+
+    def share(cond):
+        return F.coalesce(F.sum(F.when(cond, n)), F.lit(0)) / F.sum("n")
+
+    kind = (F.when(share(F.col("num").isNotNull()) > 0.85, F.when(share(F.col("num") != F.floor("num")) == 0, "integer").otherwise("float"))
+            .when(F.greatest(*[share(F.col(f"d{j}")) for j in range(len(PROBE_DATE_FORMATS))]) > 0.8, "datetime")
+            .when(share(F.col("odd")) == 0, "boolean").otherwise("categorical"))
+    found = parsed.groupBy("column_name").agg(kind.alias("kind"))
+    names = df.sparkSession.createDataFrame([(c,) for c in cols or df.columns], "c string")  # also columns without values
+    return names.join(found, F.col("c") == F.col("column_name"), "left").select(
+        F.col("c").alias("column_name"), F.coalesce("kind", F.lit("empty")).alias("probe_type"))
 
 
 TYPE_CONVERT_NUMBER = r"^[\$€£\s]*[\d,]+(\.\d+)?\s*$"

@@ -165,6 +165,12 @@ def _prof_sql_one(c: str, dtype: str, src: str) -> str:
             f"FROM (SELECT {c}, {v} AS v, {num} AS num, {dat} AS dat FROM {src})")
 
 
+def _samples_sql(c: str, src: str) -> str:
+    """The five smallest distinct values, joined."""
+    return (f"(SELECT coalesce(string_agg(v, ' | ' ORDER BY v), '') FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM {src} "
+            f"WHERE {c} IS NOT NULL ORDER BY 1 LIMIT 5))")
+
+
 def _wide_sql(src: str, cols_types) -> str:
     return " UNION ALL ".join(_prof_sql_one(c, t, src) for c, t in cols_types)
 
@@ -182,13 +188,15 @@ RAW_TYPES = [(c, "string") for c in TEXT] + [("customer_rating", "int")]
 @register("prof_columns", ST.sql_raw() + f", w AS ({_wide_sql('ds', RAW_TYPES)}) SELECT column_name, dtype, "
           f"{_LADDER} AS logical_type, null_count, {sql_pct2('null_count', 'n_rows')} AS null_pct, "
           "distinct_nonnull + CASE WHEN null_count > 0 THEN 1 ELSE 0 END AS unique_count, "
-          f"{sql_pct2('distinct_nonnull + CASE WHEN null_count > 0 THEN 1 ELSE 0 END', 'n_rows')} AS unique_pct FROM w")
+          f"{sql_pct2('distinct_nonnull + CASE WHEN null_count > 0 THEN 1 ELSE 0 END', 'n_rows')} AS unique_pct, CASE column_name "
+          + " ".join(f"WHEN '{c}' THEN {_samples_sql(c, 'ds')}" for c, _ in RAW_TYPES) + " END AS samples FROM w")
 def q_prof_columns(spark, sf_dir):
-    wp = P.wide_profile(ST.raw(spark, sf_dir))
+    wp = P.wide_profile(ST.raw(spark, sf_dir), samples=True)
     uniq = "(distinct_nonnull + CASE WHEN null_count > 0 THEN 1 ELSE 0 END)"
     return wp.select("column_name", "dtype", P.logical_type_expr().alias("logical_type"), "null_count",
                      pct2("null_count", "n_rows").alias("null_pct"),
-                     F.expr(uniq).alias("unique_count"), pct2(uniq, "n_rows").alias("unique_pct"))
+                     F.expr(uniq).alias("unique_count"), pct2(uniq, "n_rows").alias("unique_pct"),
+                     F.array_join(F.coalesce("samples", F.array()), " | ").alias("samples"))
 
 
 @register("type_detect", ST.sql_raw() + f", w AS ({_wide_sql('ds', RAW_TYPES)}) SELECT column_name, "
@@ -1116,18 +1124,19 @@ def _light_sql():
     for c, t, num in cols:
         mm = (f"min(CAST({c} AS DOUBLE)), max(CAST({c} AS DOUBLE)), avg(CAST({c} AS DOUBLE))" if num
               else "CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)")
+        few = _samples_sql(c, "orders") if t == "string" else "CAST(NULL AS VARCHAR)"
         parts.append(f"SELECT '{c}' AS column_name, '{t}' AS dtype, count(DISTINCT {c}) AS unique, "
-                     f"count_if({c} IS NULL) AS missing, {mm} FROM orders")
-    return ("WITH p(column_name, dtype, \"unique\", missing, mn, mx, av) AS (" + " UNION ALL ".join(parts) + ") "
+                     f"count_if({c} IS NULL) AS missing, {mm}, {few} FROM orders")
+    return ("WITH p(column_name, dtype, \"unique\", missing, mn, mx, av, samples) AS (" + " UNION ALL ".join(parts) + ") "
             "SELECT column_name, dtype, \"unique\", missing, round(mn, 4) AS min, round(mx, 4) AS max, "
-            "round(av, 4) AS mean FROM p")
+            "round(av, 4) AS mean, samples FROM p")
 
 
 @register("prof_light", _light_sql())
 def q_prof_light(spark, sf_dir):
     out = P.light_profile(table(spark, sf_dir, "orders"))
     return out.select("column_name", "dtype", "unique", "missing", F.round("min", 4).alias("min"),
-                      F.round("max", 4).alias("max"), F.round("mean", 4).alias("mean"))
+                      F.round("max", 4).alias("max"), F.round("mean", 4).alias("mean"), "samples")
 
 
 _DASH_LABEL = ("CASE WHEN (lower(column_name) LIKE '%date%' OR lower(column_name) LIKE '%time%' OR lower(column_name) LIKE '%day%' "

@@ -27,3 +27,17 @@ def test_quantiles_hot_value(spark):
 def test_mode_ties_smallest(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), ("a",), ("c",), (None,)], "v string")
     assert modes(df, ["v"]) == {"v": "a"}
+
+
+def test_quantiles_of_odd_values_and_many_rounds(spark):
+    """Signed zeros, infinities, neighbouring doubles and a range over all sizes."""
+    near = [1e6 + i * 1e-9 for i in range(5000)]
+    wide = [s * 10.0 ** e for e in range(-300, 300, 7) for s in (-1, 1)] + [0.0, -0.0, float("inf")]
+    rows = [(near[i], wide[i % len(wide)], None, float("nan")) for i in range(5000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    probs = [0.0, 0.1, 0.37, 0.5, 0.9]
+    q = exact_quantiles(df, ["a", "b", "c", "d"], probs)
+    assert np.allclose(q["a"], np.percentile(near, [100 * p for p in probs]), rtol=0, atol=1e-12)
+    assert np.allclose(q["b"], np.percentile([r[1] for r in rows], [100 * p for p in probs]))
+    assert all(np.isnan(q["c"])) and all(np.isnan(q["d"]))
+    assert np.isnan(exact_quantiles(df.where("a < 0"), ["a"], [0.5])["a"][0])
