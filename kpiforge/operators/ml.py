@@ -7,8 +7,7 @@
   ``Bucketizer`` (binary search) + ``element_at`` - no Python on the rows.
 * Forest imputation: Spark ML ``RandomForestClassifier`` over label-indexed
   context columns; trained and applied as distributed jobs.
-* KNN imputation: exact k nearest complete rows via a grid equi-join that grows
-  the searched ring until the k-th distance is provably final.
+* KNN imputation is in :mod:`kpiforge.operators.knn`.
 """
 
 from __future__ import annotations
@@ -20,11 +19,10 @@ from typing import List, Optional, Sequence, Tuple
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from kpiforge import constants as K
 from kpiforge.functions.stats import exact_quantiles, modes
-from kpiforge.session import cut_lineage
+from kpiforge.operators.knn import impute_knn  # noqa: F401
 
 # ----------------------------------------------------------------- isolation forest
 
@@ -178,84 +176,3 @@ def impute_forest(df: DataFrame, target: str, context: Optional[Sequence[str]] =
     filled = pred.select(*[F.col("__pred").alias(target) if c == target else F.col(c) for c in df.columns])
     keep_null = missing.where(~complete_ctx)
     return df.where(F.col(target).isNotNull()).unionByName(filled).unionByName(keep_null)
-
-
-# ----------------------------------------------------------------- KNN imputation
-def impute_knn(df: DataFrame, target: str, features: Sequence[str], k: int = 5, cell: float = 0.5) -> DataFrame:
-    """Exact distance-weighted mean of the k nearest complete rows (standardised features).
-
-    Complete rows are grouped by their exact feature vector (count, sum of target)
-    and placed on a grid of width ``cell``. A row to fill looks at the cells
-    within ring r; once its k-th nearest candidate is no farther than r*cell,
-    nothing outside the ring can be closer and the answer is final. Rows not yet
-    final retry with the ring doubled. Rows with a NULL feature keep the median.
-    Weights are 1/distance; candidates at distance 0 take all the weight.
-    """
-    feats = list(features)
-    spark = df.sparkSession
-    mom = df.agg(*[x for f in feats for x in (F.avg(f).alias("m_" + f), F.stddev_pop(f).alias("s_" + f))]).first()
-    z = {f: (F.col(f).cast("double") - F.lit(mom["m_" + f])) / F.lit(mom["s_" + f] or 1.0) for f in feats}
-    base = df.withColumn("__rid", F.monotonically_increasing_id())
-    base = cut_lineage(base.select("*", *[z[f].alias("__z_" + f) for f in feats]))
-    zc = [F.col("__z_" + f) for f in feats]
-    has_f = ~any_null(zc)
-    cellc = [F.floor(c / cell).cast("long").alias("__c_" + f) for c, f in zip(zc, feats)]
-    points = (base.where(F.col(target).isNotNull() & has_f)
-              .groupBy(*cellc, *[c.alias("__p_" + f) for c, f in zip(zc, feats)])
-              .agg(F.count(F.lit(1)).alias("__cnt"), F.sum(F.col(target).cast("double")).alias("__sum")))
-    points = cut_lineage(points)
-    queries = base.where(F.col(target).isNull() & has_f).select("__rid", *zc, *cellc)
-    ext_row = points.agg(*[x for f in feats for x in (F.min("__c_" + f), F.max("__c_" + f))]).first()
-    q_ext = queries.agg(*[x for f in feats for x in (F.min("__c_" + f), F.max("__c_" + f))]).first()
-    extent = 1
-    if ext_row[0] is not None and q_ext[0] is not None:
-        extent = max(max(ext_row[2 * i + 1], q_ext[2 * i + 1]) - min(ext_row[2 * i], q_ext[2 * i])
-                     for i in range(len(feats))) + 1
-    answers = None
-    r = 1
-    while True:  # ends when no row is open or the ring covers every complete row
-        if queries.limit(1).count() == 0:
-            break
-        last = r >= extent      # the ring now covers every complete row: the answer is final
-        offs = F.sequence(F.lit(-r), F.lit(r))
-        q = queries
-        for f in feats:
-            q = q.withColumn("__o_" + f, F.explode(offs))
-        cond = [F.col("__c_" + f) + F.col("__o_" + f) == F.col("p.__c_" + f) for f in feats]
-        qa = q.alias("q")
-        pa = points.alias("p")
-        j = qa.join(pa, on=[F.col("q.__c_" + f) + F.col("q.__o_" + f) == F.col("p.__c_" + f) for f in feats])
-        dist = F.sqrt(sum((F.col("q.__z_" + f) - F.col("p.__p_" + f)) ** 2 for f in feats))
-        cand = j.select(F.col("q.__rid").alias("__rid"), dist.alias("__d"), F.col("p.__cnt").alias("__cnt"),
-                        F.col("p.__sum").alias("__sum"))
-        w = Window.partitionBy("__rid").orderBy("__d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        cand = cand.withColumn("__cum", F.sum("__cnt").over(w))
-        # rows taken from each candidate point: up to k in total, nearest first
-        take = F.least(F.col("__cnt"), F.greatest(F.lit(0), F.lit(k) - (F.col("__cum") - F.col("__cnt"))))
-        cand = cand.withColumn("__take", take).where(F.col("__take") > 0)
-        agg = cand.groupBy("__rid").agg(
-            F.sum("__take").alias("__n"), F.max("__d").alias("__kd"),
-            F.sum(F.when(F.col("__d") == 0, F.col("__take"))).alias("__n0"),
-            F.sum(F.when(F.col("__d") == 0, F.col("__take") * F.col("__sum") / F.col("__cnt"))).alias("__s0"),
-            F.sum(F.when(F.col("__d") > 0, F.col("__take") * F.col("__sum") / F.col("__cnt") / F.col("__d")))
-            .alias("__ws"),
-            F.sum(F.when(F.col("__d") > 0, F.col("__take") / F.col("__d"))).alias("__w"))
-        value = F.when(F.col("__n0") > 0, F.col("__s0") / F.col("__n0")).otherwise(F.col("__ws") / F.col("__w"))
-        done = F.lit(True) if last else ((F.col("__n") >= k) & (F.col("__kd") <= F.lit(r * cell)))
-        final = agg.where(done).select("__rid", value.alias("__v"))
-        final = cut_lineage(final)
-        answers = final if answers is None else answers.unionByName(final)
-        done_ids = final.select(F.col("__rid").alias("__did"))
-        queries = cut_lineage(queries.join(done_ids, queries["__rid"] == done_ids["__did"], "left_anti"))
-        if last:
-            break
-        r = min(r * 2, extent)
-    med = exact_quantiles(df.select(F.col(target).cast("double").alias(target)), [target], [0.5])[target][0]
-    if answers is not None:
-        # fresh column names on the answer side: both sides descend from checkpointed plans
-        ans = answers.select(F.col("__rid").alias("__arid"), F.col("__v").alias("__av"))
-        out = base.join(ans, base["__rid"] == ans["__arid"], "left").withColumnRenamed("__av", "__v")
-    else:
-        out = base.withColumn("__v", F.lit(None).cast("double"))
-    fill = F.coalesce(F.col(target).cast("double"), F.col("__v"), F.lit(med))
-    return out.select(*[fill.alias(c) if c == target else F.col(c) for c in df.columns])
