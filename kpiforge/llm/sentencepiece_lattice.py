@@ -4,16 +4,19 @@ Texts become words: blanks are written U+2581, and a text is cut between two cha
 no piece of the vocabulary holds together (a letter and a blank, for one), where no edge of
 the lattice can cross. Encoding works once per distinct word of the corpus:
 
-1. explode every substring of at most the longest piece's length (start, end, text),
-2. equi-join with the piece table (bounded by the vocabulary file, hence broadcast); single
+1. every batch of texts (bounded by its size) becomes one stored row with the texts as sequences
+   of word numbers, and one row per distinct word; only these are shuffled, once;
+2. explode the substrings of a distinct word (start, size; sizes that a piece with the same first
+   characters has),
+3. equi-join with the piece table (bounded by the vocabulary file, hence broadcast); single
    characters that are no piece stay as unknown edges,
-3. group the edges by word and fold them in order of their end with ``aggregate``: for every
+4. group the edges by word and fold them in order of their end with ``aggregate``: for every
    position the best score and its ids (Viterbi). At equal scores the edge that starts
    earlier wins. Unknown characters cost the lowest score minus 10 and become byte pieces,
-4. join the words' ids to the places of the words in the texts: the ids of each text in order.
+5. join the words' ids to the batches that hold the words; a batch's row puts the ids of its
+   texts together.
 
-Decoding explodes the ids with their positions, joins them with the piece table and puts the
-bytes together again.
+Decoding looks the bytes of every id up in the piece table, text by text, without a shuffle.
 
 The segmentation is the one with the highest sum of piece scores (the tests compare with
 brute force). A vocabulary that was made for merging, like piece_bpe_32k.model, is cut
@@ -26,26 +29,32 @@ recurrence in a linear-time helper, as growing arrays would cost their square.
 
 from __future__ import annotations
 
+import hashlib
 import math
+import zlib
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kpiforge.llm.bpe_pairs import slices, spread
 from kpiforge.llm.common import stored, tokenizer_file
-from kpiforge.llm.token_counts import ROWS_PER_TASK
+from kpiforge.llm.token_counts import BATCH_BITS, PLACE_BITS, ROWS_PER_TASK
 
-UNKNOWN_PENALTY, LONG_WORD = 10.0, 256
+UNKNOWN_PENALTY, LONG_WORD, BATCH_CHARS, BATCH_TEXTS = 10.0, 256, 8_000_000, 2500
 BLANK = "▁"
+UNITS = "batch long, doc_ids array<long>, n_bytes array<long>, digests binary, sizes array<int>, words binary, place long, word string"
 
 
 def word_splitter(bigrams: frozenset):
-    """Function text -> words: cut wherever no piece holds the two neighbours together."""
+    """Function text (blanks written) -> words: cut wherever no piece holds the two neighbours together."""
 
-    def split(text: str) -> list[str]:
-        t = text.replace(" ", BLANK)
+    def split(t: str) -> list[str]:
         cuts = [i for i, (a, b) in enumerate(zip(t, t[1:]), 1) if a + b not in bigrams]
         return [t[i:j] for i, j in zip([0, *cuts], [*cuts, len(t)])] if t else []
 
@@ -72,21 +81,25 @@ class PieceTable:
         return spark.createDataFrame(self.rows, "id int, piece string, score double")
 
     def starts_frame(self, spark: SparkSession) -> DataFrame:
-        """First three characters of the longer pieces -> the longest such piece."""
-        longest: dict[str, int] = {}
+        """First three characters of the longer pieces -> the sizes of such pieces, 1 and 2 included."""
+        sizes: dict[str, set] = {}
         for _, p, _ in self.rows:
             if len(p) > 2:
-                longest[p[:3]] = max(longest.get(p[:3], 0), len(p))
-        return spark.createDataFrame(list(longest.items()), "start string, longest int")
+                sizes.setdefault(p[:3], {1, 2}).add(len(p))
+        return spark.createDataFrame([(k, sorted(v)) for k, v in sizes.items()], "start string, sizes array<int>")
 
-    def decode_frame(self, spark: SparkSession) -> DataFrame:
-        rows = [(i, p.encode().hex()) for i, p, _ in self.rows]
-        rows += [(i, f"{b:02x}") for b, i in enumerate(self.byte_ids)]
-        return spark.createDataFrame(rows, "id int, hex string")
+    def piece_bytes(self) -> list[bytes]:
+        """id -> the bytes it stands for, with blanks."""
+        out = [b""] * (1 + max([i for i, _, _ in self.rows] + self.byte_ids))
+        for b, i in enumerate(self.byte_ids):
+            out[i] = bytes([b])
+        for i, piece, _ in self.rows:
+            out[i] = piece.replace(BLANK, " ").encode()
+        return out
 
 
 def lattice_edges(words: DataFrame, pieces: PieceTable) -> DataFrame:
-    """Steps 1 and 2: ``words(word, first)`` -> (word, first, e, s, score, id): id null for
+    """Steps 1 and 2: ``words(word, first)`` -> (word, first, e, s, score, id): id -1 - s for
     unknown. ``first`` only passes through."""
     n = F.length("word")
     spans = words.select("word", "first", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
@@ -94,12 +107,13 @@ def lattice_edges(words: DataFrame, pieces: PieceTable) -> DataFrame:
     # no piece starts with these three characters: only one and two can be pieces here
     starts = F.broadcast(pieces.starts_frame(words.sparkSession))
     spans = spans.join(starts, F.substr("rest", F.lit(1), F.lit(3)) == F.col("start"), "left").drop("start")
-    spans = spans.select("word", "first", "s", "rest", F.explode(F.sequence(F.lit(1), F.least(
-        F.coalesce("longest", F.lit(2)), F.length("rest")))).alias("size"))
+    spans = spans.select("word", "first", "s", "rest", F.explode(F.coalesce("sizes", F.array(F.lit(1), F.lit(2)))).alias("size")).where(
+        F.col("size") <= F.length("rest"))
     spans = spans.select("word", "first", "s", (F.col("s") + F.col("size")).alias("e"), F.left("rest", "size").alias("piece"))
     table = F.broadcast(pieces.frame(words.sparkSession))  # bounded by the vocabulary file
     edges = spans.join(table, "piece", "left").where(F.col("id").isNotNull() | (F.col("e") - F.col("s") == 1))
-    return edges.select("word", "first", "e", "s", F.coalesce("score", F.lit(pieces.unknown_score)).alias("score"), "id")
+    return edges.select("word", "first", "e", "s", F.coalesce("score", F.lit(pieces.unknown_score)).alias("score"),
+                        F.coalesce("id", -1 - F.col("s")).alias("id"))
 
 
 def byte_pieces(word: Column, s: Column, byte_ids: Column) -> Column:
@@ -109,69 +123,63 @@ def byte_pieces(word: Column, s: Column, byte_ids: Column) -> Column:
         byte_ids, F.conv(F.substr(raw, i * 2 + 1, F.lit(2)), 16, 10).cast("int")))
 
 
-def viterbi(edges: Column) -> Column:
-    """Fold of the sorted edges array<struct<e,s,score,ids>> to the best ids of the word.
+def viterbi(edges: Column, length: Column) -> Column:
+    """Fold of the edges array<struct<e,s,score,id>> over the positions: array<struct<score,neg,id>>, the best
+    edge that ends at each position (``neg``: minus its start), from position 0 on."""
+    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("neg"), F.lit(0).alias("id")))
 
-    ``acc[p]`` is the best path to position p. Edges come by end, so only the last entry can
-    still change."""
-    start = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ids")))
+    def step(acc: Column, k: Column) -> Column:
+        ending = F.transform(F.filter(edges, lambda x: x["e"] == k), lambda x: F.struct(
+            (F.get(acc, x["s"])["score"] + x["score"]).alias("score"), (-x["s"]).alias("neg"), x["id"].alias("id")))
+        return F.concat(acc, F.array(F.array_max(ending)))
 
-    def step(acc: Column, x: Column) -> Column:
-        before = F.get(acc, x["s"])
-        score = before["score"] + x["score"]
-        path = F.array(F.struct(score.alias("score"), F.concat(before["ids"], x["ids"]).alias("ids")))
-        return (F.when(F.size(acc) <= x["e"], F.concat(acc, path))
-                .when(score > F.get(acc, x["e"])["score"], F.concat(F.slice(acc, 1, F.size(acc) - 1), path))
-                .otherwise(acc))
+    return F.aggregate(F.sequence(F.lit(1), length), start, step)
 
-    return F.aggregate(edges, start, step, lambda acc: F.element_at(acc, -1)["ids"])
+
+def best_path(best: Column, length: Column) -> Column:
+    """Ids along the best edges, from the word's end back to its start."""
+    start = F.struct(length.alias("at"), F.array().cast("array<int>").alias("ids"))
+
+    def step(acc: Column, k: Column) -> Column:
+        edge = F.get(best, k)
+        return F.when(acc["at"] == k, F.struct((-edge["neg"]).alias("at"), F.concat(F.array(edge["id"]), acc["ids"]).alias("ids"))).otherwise(acc)
+
+    return F.aggregate(F.sequence(length, F.lit(1), F.lit(-1)), start, step, lambda acc: acc["ids"])
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def viterbi_long(edges: pd.Series) -> pd.Series:
-    """The same recurrence with back pointers, for very long words (null: not asked for)."""
+    """The same recurrence with back pointers, for very long words (no edges: not asked for)."""
     out = []
     for row in edges:
-        if row is None:
+        if not len(row):
             out.append(None)
             continue
-        best = {0: (0.0, 0, ())}
-        for x in row:
+        best = {0: (0.0, 0, 0)}
+        for x in sorted(row, key=lambda x: (x["e"], x["s"])):
             score = best[x["s"]][0] + x["score"]
             if x["e"] not in best or score > best[x["e"]][0]:
-                best[x["e"]] = (score, x["s"], tuple(x["ids"]))
+                best[x["e"]] = (score, x["s"], x["id"])
         parts = []
         last = max(best)
         while last:
             parts.append(best[last][2])
             last = best[last][1]
-        out.append([i for p in reversed(parts) for i in p])
+        out.append(parts[::-1])
     return pd.Series(out)
 
 
 def encode_words(words: DataFrame, pieces: PieceTable) -> DataFrame:
     """``words(word, first)``, distinct -> (word, first, ids)."""
     byte_ids = F.array(*[F.lit(i) for i in pieces.byte_ids])
-
-    grouped = lattice_edges(words, pieces).groupBy("word", "first").agg(
-        F.array_sort(F.collect_list(F.struct("e", "s", "score", "id"))).alias("x"))
-    edges = F.transform("x", lambda x: F.struct(
-        x["e"].alias("e"), x["s"].alias("s"), x["score"].alias("score"),
-        F.when(x["id"].isNotNull(), F.array(x["id"])).otherwise(byte_pieces(F.col("word"), x["s"], byte_ids)).alias("ids")))
-    long = F.length("word") > LONG_WORD
-    grouped = grouped.select("word", "first", edges.alias("x")).withColumn("far", viterbi_long(F.when(long, F.col("x"))))
-    return grouped.select("word", "first", F.when(long, F.col("far")).otherwise(viterbi(F.col("x"))).alias("ids"))
-
-
-def decode_words(encoded: DataFrame, pieces: PieceTable) -> DataFrame:
-    """``encoded(word, first, ids)`` -> the same plus decoded: the text the ids stand for."""
-    parts = encoded.select("word", "first", F.posexplode("ids").alias("at", "id"))
-    table = F.broadcast(pieces.decode_frame(encoded.sparkSession))  # bounded by the vocabulary file
-    joined = parts.join(table, "id").groupBy("word", "first").agg(
-        F.array_sort(F.collect_list(F.struct("at", "id", "hex"))).alias("x"))
-    raw = F.unhex(F.array_join(F.transform("x", lambda x: x["hex"]), ""))
-    return joined.select("word", "first", F.transform("x", lambda x: x["id"]).alias("ids"),
-                         F.decode(raw, "UTF-8").alias("decoded"))
+    length, long = F.length("word"), F.length("word") > LONG_WORD
+    grouped = lattice_edges(words, pieces).groupBy("word", "first").agg(F.collect_list(F.struct("e", "s", "score", "id")).alias("x"))
+    grouped = grouped.withColumn("far", viterbi_long(F.filter("x", lambda e: long)))
+    folded = grouped.select("word", "first", "far", F.when(~long, viterbi(F.col("x"), length)).alias("best"))
+    traced = folded.select("word", "first", F.coalesce("far", best_path(F.col("best"), length)).alias("ids"))
+    # an unknown character's edge carries -1 - its place
+    spelled = F.flatten(F.transform("ids", lambda i: F.when(i >= 0, F.array(i)).otherwise(byte_pieces(F.col("word"), -1 - i, byte_ids))))
+    return traced.select("word", "first", F.when(F.exists("ids", lambda i: i < 0), spelled).otherwise(F.col("ids")).alias("ids"))
 
 
 @contextmanager
@@ -187,74 +195,154 @@ def grouped_in_memory(spark: SparkSession, groups: int):
         spark.conf.set(name, before)
 
 
-def keyed_rows(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` -> (row, doc_id, text), stored, so that ``row`` stays the same."""
-    return stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id",
-                              F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text")), "piece-rows")
+def batch_words(texts: list[str], split) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct words of the texts, the frequent ones first; numbers of the words of all texts,
+    one text after the other, and how many each text has. Texts begin with the dummy blank."""
+    flat, lengths = [], []
+    # a single blank between other characters is a cut: no piece holds a blank behind another one
+    plain = [i for i, t in enumerate(texts) if t and "  " not in t and t[0] != " " and t[-1] != " " and BLANK not in t]
+    known: dict[str, int] = {}
+    which: list = [np.zeros(0, np.int64)] * len(texts)
+    if plain:
+        cut = pc.split_pattern(pa.array([texts[i] for i in plain], pa.string()), " ")
+        coded = cut.values.dictionary_encode()
+        numbers = np.fromiter((known.setdefault(BLANK + p, len(known)) for p in coded.dictionary.to_pylist()), np.int64)[coded.indices.to_numpy()]
+        bounds = cut.offsets.to_numpy()
+        for i, lo, hi in zip(plain, bounds[:-1].tolist(), bounds[1:].tolist()):
+            which[i] = numbers[lo:hi]
+    for i in set(range(len(texts))) - set(plain):
+        if texts[i]:
+            which[i] = np.array([known.setdefault(BLANK + texts[i].replace(" ", BLANK), len(known))], np.int64)
+    words: dict[str, int] = {}
+    for part in known:
+        found = split(part)
+        lengths.append(len(found))
+        flat.extend([words.setdefault(w, len(words)) for w in found])
+    lengths, flat = np.array(lengths, np.int64), np.array(flat, np.int64)
+    starts = np.cumsum(lengths) - lengths
+    at = np.concatenate(which) if which else np.zeros(0, np.int64)
+    counts = np.array([int(lengths[w].sum()) for w in which], np.int64)
+    sequence = flat[spread(starts[at], lengths[at])]
+    order = np.argsort(-np.bincount(sequence, minlength=len(words)), kind="stable")
+    rank = np.empty(len(words), np.int64)
+    rank[order] = np.arange(len(words))
+    names = list(words)
+    return [names[i] for i in order.tolist()], rank[sequence], counts
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Low bytes together, then the higher ones: mostly small numbers."""
+    return zlib.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode(), digest_size=16).digest()
+
+
+def batch_rows(docs: DataFrame, pieces: PieceTable) -> DataFrame:
+    """Step 1, stored: a row per batch (``word`` null) and a row per word and batch, in order of the words."""
+    bigrams = pieces.bigrams
+    if any(b[1] == BLANK and b[0] != BLANK for b in bigrams):
+        raise ValueError("a piece holds a blank behind another character")
+    schema = pa.schema([("batch", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("digests", pa.binary()),
+                        ("sizes", pa.list_(pa.int32())), ("words", pa.binary()), ("place", pa.int64()), ("word", pa.string())])
+
+    def work(batches):
+        from pyspark import TaskContext
+
+        split, number = word_splitter(bigrams), TaskContext.get().partitionId() << BATCH_BITS
+        def rows(ids, texts):
+            words, sequence, counts = batch_words(texts, split)
+            if len(words) >> PLACE_BITS or (number & ((1 << BATCH_BITS) - 1)) == (1 << BATCH_BITS) - 1:
+                raise ValueError("more words or batches than a place can number")
+            one = [[number], [ids], [[len(t.encode()) for t in texts]], [b"".join(map(digest, texts))], [counts], [packed(sequence)], [None], [None]]
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(one, schema)], schema=schema)
+            order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+            for at in range(0, len(words), 50_000):
+                mine = order[at:at + 50_000]
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(len(mine), f.type) for f in schema][:6], pa.array((number << PLACE_BITS) + mine),
+                                                  pa.array([words[i] for i in mine.tolist()], pa.string())], schema=schema)
+
+        for batch in batches:
+            for low in range(0, batch.num_rows, BATCH_TEXTS):
+                ids, texts = (batch.column(c).slice(low, BATCH_TEXTS).to_pylist() for c in (0, 1))
+                for lo, hi in slices(texts, BATCH_CHARS):
+                    yield from rows(ids[lo:hi], texts[lo:hi])
+                    number += 1
+
+    light = docs.select(docs["doc_id"].cast("long"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+    return stored(light.mapInArrow(work, UNITS), "piece-units")
 
 
-def encode_rows(rows: DataFrame, pieces: PieceTable) -> DataFrame:
-    """``rows(row, text)`` -> (row, ids, bad_words): ids in text order, and the number of words
-    whose ids do not decode to the word."""
-    bigrams = pieces.bigrams
+def encode_texts(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
+    """``docs(doc_id, text)`` -> (doc_id, n_bytes, digest, ids): the ids of every whole text in order, a
+    row per row; ``digest`` is the text's, to compare with a decoded one."""
+    pieces = PieceTable(tokenizer_file(model))
+    units = batch_rows(docs, pieces)
+    places = units.where("word is not null and place is not null").select("word", "place")
+    parts = max(1, math.ceil(places.count() / ROWS_PER_TASK))
+    dealt = places.repartition(parts, "word")
+    with grouped_in_memory(docs.sparkSession, ROWS_PER_TASK):  # at most about that many words in a task
+        encoded = encode_words(dealt.groupBy("word").agg(F.min("place").alias("first")), pieces).select(
+            F.col("word").alias("unit"), "first", "ids")
+        number = F.col("place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+        # coalesce, first: as in token_counts, so that both sides read one exchange
+        found = (dealt.join(encoded, (F.col("word") == F.col("unit")) & (F.col("place") >= F.col("first")))
+                 .groupBy(F.coalesce(F.shiftright("place", PLACE_BITS), F.lit(-1)).alias("batch"))
+                 .agg(F.collect_list(F.concat(F.array(number), "ids")).alias("x")))
+        held = units.where("word is null").select("batch", "doc_ids", "n_bytes", "digests", "sizes", "words").join(found, "batch", "left")
+
+    def work(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                cell = {c: batch.column(c)[r] for c in ("doc_ids", "n_bytes", "sizes")}
+                n = len(cell["doc_ids"])
+                lists = batch.column("x")[r].values  # [word number, id, id, ...]
+                flat, ends = (lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64)) if lists is not None and len(lists) else (
+                    np.zeros(0, np.int32), np.zeros(1, np.int64))
+                starts, sizes = np.zeros(len(ends) - 1, np.int64), np.zeros(len(ends) - 1, np.int64)
+                words = flat[ends[:-1]] if len(ends) > 1 else np.zeros(0, np.int64)
+                starts[words], sizes[words] = ends[:-1] + 1, np.diff(ends) - 1
+                sequence = unpacked(batch.column("words")[r].as_py())
+                digests = batch.column("digests")[r].as_py()
+                per_text = cell["sizes"].values.to_numpy().astype(np.int64)
+                bounds = np.append(0, np.cumsum(per_text))
+                for lo in range(0, n, 256):
+                    hi = min(lo + 256, n)
+                    at = sequence[bounds[lo]:bounds[hi]]
+                    reached = np.append(0, np.cumsum(sizes[at]))[bounds[lo:hi + 1] - bounds[lo]]
+                    ids = pa.ListArray.from_arrays(pa.array(reached, pa.int32()), pa.array(flat[spread(starts[at], sizes[at])], pa.int32()))
+                    yield pa.RecordBatch.from_arrays(
+                        [cell["doc_ids"].values.slice(lo, hi - lo), cell["n_bytes"].values.slice(lo, hi - lo),
+                         pa.array([digests[16 * k:16 * k + 16] for k in range(lo, hi)], pa.binary()), ids], names=["doc_id", "n_bytes", "digest", "ids"])
+
+    return held.mapInArrow(work, "doc_id long, n_bytes long, digest binary, ids array<int>")
 
-    @F.pandas_udf("array<struct<word: string, places: array<int>>>")
-    def words_of(texts: pd.Series) -> pd.Series:
-        split, out = word_splitter(bigrams), []
-        for t in texts:
-            places: dict[str, list[int]] = {}
-            for i, w in enumerate(split(" " + t) if t else []):
-                places.setdefault(w, []).append(i)
-            out.append([{"word": w, "places": at} for w, at in places.items()])
-        return pd.Series(out)
-
-    words = rows.select("row", F.explode_outer(words_of("text")).alias("w")).select("row", "w.word", "w.places")
-    distinct = stored(words.where("word is not null").select("word").distinct(), "piece-words")
-    parts = max(1, math.ceil(distinct.count() / ROWS_PER_TASK))
-    distinct = distinct.repartition(parts, "word").withColumn("first", F.lit(0).cast("long"))
-    with grouped_in_memory(rows.sparkSession, ROWS_PER_TASK):  # at most about that many words in a task
-        encoded = stored(decode_words(encode_words(distinct, pieces), pieces).select(
-            "word", "ids", (~F.col("word").eqNullSafe(F.col("decoded"))).cast("long").alias("bad")), "piece-ids")
-    no_ids = F.array().cast("array<int>")
-    found = words.join(encoded, "word", "left").groupBy("row").agg(
-        F.collect_list(F.struct("places", "ids")).alias("x"),
-        F.coalesce(F.sum(F.col("bad") * F.size("places")), F.lit(0)).cast("long").alias("bad_words"))
-    placed = F.array_sort(F.flatten(F.transform("x", lambda x: F.transform(
-        F.coalesce(x["places"], no_ids), lambda at: F.struct(at.alias("at"), x["ids"].alias("ids"))))))
-    return found.select("row", F.flatten(F.transform(placed, lambda p: p["ids"])).alias("ids"), "bad_words")
-
-
-def decode_rows(encoded: DataFrame, pieces: PieceTable) -> DataFrame:
-    """``encoded(row, ids)`` -> (row, decoded): the text the ids stand for, without its dummy blank."""
-    table = F.broadcast(pieces.decode_frame(encoded.sparkSession))  # bounded by the vocabulary file
-    parts = encoded.select("row", F.posexplode_outer("ids").alias("at", "id")).join(table, "id", "left")
-    raw = parts.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("hex", F.lit("")).alias("hex")))).alias("x"))
-    text = F.decode(F.unhex(F.array_join(F.transform("x", lambda x: x["hex"]), "")), "UTF-8")
-    return raw.select("row", F.regexp_replace(F.replace(text, F.lit(BLANK), F.lit(" ")), "^ ", "").alias("decoded"))
 
+def decode_texts(encoded: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
+    """``encoded`` plus text: what the ids stand for, without the dummy blank."""
+    table = PieceTable(tokenizer_file(model)).piece_bytes()
 
-def encode_documents(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
-    """The rows of ``op10``: doc_id, n_bytes, n_pieces, bad_words, ids, same_text.
+    @F.pandas_udf("string")
+    def text_of(ids: pd.Series) -> pd.Series:
+        return pd.Series([b"".join(map(table.__getitem__, x.tolist())).decode("utf-8", "replace").removeprefix(" ") for x in ids])
 
-    ``ids`` are those of the whole text in order, dummy blank at its start included;
-    ``bad_words`` counts words whose ids decode to something else; ``same_text`` tells whether
-    the decoded ids of the whole text are the text."""
-    pieces = PieceTable(tokenizer_file(model))
-    rows = keyed_rows(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"))
-    encoded = stored(encode_rows(rows, pieces), "piece-texts")
-    return rows.join(encoded, "row").join(decode_rows(encoded, pieces), "row").select(
-        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.size("ids").cast("long").alias("n_pieces"),
-        "bad_words", "ids", F.col("text").eqNullSafe(F.col("decoded")).alias("same_text"))
+    return encoded.withColumn("text", text_of("ids"))
 
 
-def encode_texts(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
-    """General form: ``docs(doc_id, text)`` -> (row, doc_id, ids) with the ids in text order;
-    ``row`` is a key of its own, so doc_id may be null or repeated."""
-    rows = keyed_rows(docs)
-    return rows.select("row", "doc_id").join(encode_rows(rows, PieceTable(tokenizer_file(model))).select("row", "ids"), "row")
+def encode_documents(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
+    """The rows of ``op10``: doc_id, n_bytes, n_pieces, ids, same_text.
 
+    ``ids`` are those of the whole text in order, dummy blank at its start included; ``same_text``
+    tells whether the text decoded from them is the text."""
+    @F.pandas_udf("binary")
+    def digest_of(texts: pd.Series) -> pd.Series:
+        return texts.map(digest)
 
-def decode_texts(encoded: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
-    """``encoded(row, doc_id, ids)`` -> (row, doc_id, text)."""
-    decoded = decode_rows(encoded, PieceTable(tokenizer_file(model)))
-    return encoded.select("row", "doc_id").join(decoded, "row").select("row", "doc_id", F.col("decoded").alias("text"))
+    decoded = decode_texts(encode_texts(docs, model), model)
+    return decoded.select("doc_id", "n_bytes", F.size("ids").cast("long").alias("n_pieces"), "ids",
+                          (digest_of("text") == F.col("digest")).alias("same_text"))
