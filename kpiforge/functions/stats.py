@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 #: Bins of the first round per unit of the natural logarithm (at most 45,000 over all doubles), and
 #: of a segment in the later rounds.
 COARSE, SPLIT = 32, 2048
+#: Columns of a block of correlations.
+BLOCK = 128
 
 
 def to_long(df: DataFrame, cols: Sequence[str], value_type: str = "double") -> DataFrame:
@@ -112,6 +114,61 @@ def medians(df: DataFrame, cols: Sequence[str], approx: bool = False) -> Dict[st
     return {c: v[0] for c, v in q.items()}
 
 
+def pair_correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(col1, col2, n, correlation) of every pair of columns, earlier column first; rows that lack
+    either value are left out of the pair; no correlation without spread.
+
+    Every task adds up the products of its rows, all columns at once (values around the columns'
+    means, presence masks for missing ones), and hands its sums on in blocks of ``BLOCK`` x
+    ``BLOCK`` columns; a block's sums of all tasks are added where the block is dealt to."""
+    import numpy as np
+    import pyarrow as pa
+
+    cols = list(cols)
+    k = len(cols)
+    means = {r["k"]: r["m"] for r in to_long(df, cols).groupBy("k").agg(F.avg("x").alias("m")).collect()}
+    middle = np.array([means.get(c) or 0.0 for c in cols])
+    starts = list(range(0, k, BLOCK))
+
+    def sums(batches):
+        parts = np.zeros((4, k, k))  # rows with both; sum of a, of a * a where b is there; sum of a * b
+        for batch in batches:
+            flat = batch.column(0).flatten()
+            x = flat.to_numpy(zero_copy_only=False).reshape(-1, k) - middle
+            there = np.isfinite(x)
+            x = np.where(there, x, 0.0)
+            mask = there.astype(float)
+            parts += np.stack([mask.T @ mask, x.T @ mask, (x * x).T @ mask, x.T @ x])
+        rows = [(a, b, parts[:, a:a + BLOCK, b:b + BLOCK].tobytes(), parts[:, b:b + BLOCK, a:a + BLOCK].tobytes())
+                for i, a in enumerate(starts) for b in starts[i:]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["a", "b", "ab", "ba"])
+
+    def added(batches):
+        total: dict = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                na, nb = min(BLOCK, k - r["a"]), min(BLOCK, k - r["b"])
+                ab = np.frombuffer(r["ab"]).reshape(4, na, nb)
+                ba = np.frombuffer(r["ba"]).reshape(4, nb, na).transpose(0, 2, 1)
+                both = np.concatenate([ab, ba[1:3]])
+                total[r["a"], r["b"]] = total.get((r["a"], r["b"]), 0) + both
+        for (a, b), (n, sa, qa, sab, sb, qb) in total.items():
+            with np.errstate(all="ignore"):
+                va, vb, c = qa - sa * sa / n, qb - sb * sb / n, sab - sa * sb / n
+                r = c / np.sqrt(va * vb)
+                r[(va <= 1e-14 * qa) | (vb <= 1e-14 * qb)] = np.nan
+            i, j = np.nonzero(np.arange(a, a + r.shape[0])[:, None] < np.arange(b, b + r.shape[1])[None, :])
+            value = r[i, j]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([cols[x] for x in (a + i).tolist()], pa.string()), pa.array([cols[x] for x in (b + j).tolist()], pa.string()),
+                 pa.array(n[i, j].astype(np.int64)), pa.array(np.clip(value, -1, 1), mask=~np.isfinite(value))], names=["col1", "col2", "n", "correlation"])
+
+    one = df.select(F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
+    parts = one.mapInArrow(sums, "a long, b long, ab binary, ba binary")
+    blocks = len(starts) * (len(starts) + 1) // 2
+    return parts.repartition(min(blocks, 256), "a", "b").mapInArrow(added, "col1 string, col2 string, n long, correlation double")
+
+
 def modes_frame(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Most frequent non-null value per column; ties -> smallest.
 

@@ -1046,8 +1046,7 @@ def q_fs_mutual_info(spark, sf_dir):
 
 @register("fs_collinear")
 def q_fs_collinear(spark, sf_dir):
-    drop = SEL.collinear_drop(_fs_table(spark, sf_dir), FS_NUM)
-    return spark.createDataFrame([(c,) for c in drop], "dropped_column string")
+    return SEL.collinear_columns(_fs_table(spark, sf_dir), FS_NUM)
 
 
 @register("fs_forest")

@@ -41,3 +41,34 @@ def test_quantiles_of_odd_values_and_many_rounds(spark):
     assert np.allclose(q["b"], np.percentile([r[1] for r in rows], [100 * p for p in probs]))
     assert all(np.isnan(q["c"])) and all(np.isnan(q["d"]))
     assert np.isnan(exact_quantiles(df.where("a < 0"), ["a"], [0.5])["a"][0])
+
+
+def test_pair_correlations(spark, monkeypatch):
+    """Missing values, constant columns, several blocks; large offsets lose no digits."""
+    from kpiforge.functions import stats
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (500, 7))
+    x[:, 1] = x[:, 0] * 2 + rng.normal(0, 0.1, 500)
+    x[:, 2] += 1e9
+    x[:, 3] = 5.0
+    x[rng.random((500, 7)) < 0.2] = np.nan
+    x[:, 6] = np.nan
+    cols = [f"c{i}" for i in range(7)]
+    df = spark.createDataFrame([[None if np.isnan(v) else float(v) for v in r] for r in x], ", ".join(f"{c} double" for c in cols)).repartition(3)
+    for block in (128, 3):
+        monkeypatch.setattr(stats, "BLOCK", block)
+        got = {(r.col1, r.col2): (r.n, r.correlation) for r in stats.pair_correlations(df, cols).collect()}
+        assert len(got) == 21
+        for (a, b), (n, r) in got.items():
+            both = x[~np.isnan(x[:, int(a[1])]) & ~np.isnan(x[:, int(b[1])])][:, [int(a[1]), int(b[1])]]
+            assert n == len(both)
+            if {"c3", "c6"} & {a, b}:
+                assert r is None
+            else:
+                assert abs(r - np.corrcoef(both.T)[0, 1]) < 1e-6, (a, b)
+
+
+def test_pair_correlations_of_a_thousand_columns(spark):
+    df = spark.range(60).selectExpr(*[f"rand({i}) AS c{i}" for i in range(1000)])
+    from kpiforge.functions.stats import pair_correlations
+    assert pair_correlations(df, df.columns).count() == 1000 * 999 // 2
