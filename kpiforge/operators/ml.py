@@ -5,9 +5,8 @@
   one dimension the average path length is a step function of x, so the whole
   forest becomes (break points, score) arrays. Every row is scored JVM-side by
   ``Bucketizer`` (binary search) + ``element_at`` - no Python on the rows.
-* Forest imputation: Spark ML ``RandomForestClassifier`` over label-indexed
-  context columns; trained and applied as distributed jobs.
-* KNN imputation is in :mod:`kpiforge.operators.knn`.
+* Forest imputation is in :mod:`kpiforge.operators.forest`, KNN imputation 
+  :mod:`kpiforge.operators.knn`.
 """
 
 from __future__ import annotations
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 
 from kpiforge import constants as K
 from kpiforge.functions.stats import exact_quantiles, modes
+from kpiforge.operators.forest import impute_forest  # noqa: F401
 from kpiforge.operators.knn import impute_knn  # noqa: F401
 
 # ----------------------------------------------------------------- isolation forest
@@ -129,50 +129,3 @@ def outlier_consensus(iqr_z: DataFrame, ml: DataFrame) -> DataFrame:
     return j.select("column_name", "iqr_count", "z_count", F.coalesce("ml_count", F.lit(0)).alias("ml_count"),
                     cons.alias("consensus_count"), F.round(cons * 100.0 / F.col("n"), 2).alias("pct"),
                     "lower", "upper").where(F.col("consensus_count") > 0)
-
-
-# ----------------------------------------------------------------- forest imputation
-def any_null(cols: Sequence[Column]) -> Column:
-    """True where one of the columns is NULL (false for no columns)."""
-    return reduce(lambda a, c: a | c.isNull(), cols, F.lit(False))
-
-
-def impute_forest(df: DataFrame, target: str, context: Optional[Sequence[str]] = None, trees: int = 50,
-                  depth: int = 10, seed: int = 42) -> DataFrame:
-    """Fill a categorical column with a random-forest classifier over other categorical
-    columns that are >= 80 % filled. Rows whose context has a NULL stay NULL; if the
-    model cannot be trained the column's mode is used."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
-
-    n = df.count()
-    if context is None:
-        stats = df.agg(*[F.count(c).alias(f"nn_{i}") for i, c in enumerate(df.columns)],
-                       *[F.approx_count_distinct(c).alias(f"d_{i}") for i, c in enumerate(df.columns)]).first()
-        context = [c for i, c in enumerate(df.columns)
-                   if c != target and dict(df.dtypes)[c] == "string" and stats[f"nn_{i}"] > K.CONTEXT_FILLED_MIN * n
-                   and stats[f"d_{i}"] <= 1000]
-    context = list(context)
-    train = df.where(F.col(target).isNotNull() & ~any_null([F.col(c) for c in context]))
-    if len(context) < K.ML_MIN_CONTEXT_FEATURES or train.limit(K.ML_MIN_TRAINING_SAMPLES).count() < \
-            K.ML_MIN_TRAINING_SAMPLES:
-        fill = modes(df, [target]).get(target)
-        return df.withColumn(target, F.coalesce(F.col(target), F.lit(fill)))
-    card = df.agg(*[F.count_distinct(c).alias(c) for c in context]).first()
-    idx = [StringIndexer(inputCol=c, outputCol=c + "__i", handleInvalid="keep") for c in context]
-    # "keep": rows to fill have a NULL label at predict time and must not be dropped
-    label = StringIndexer(inputCol=target, outputCol="__label", handleInvalid="keep")
-    vec = VectorAssembler(inputCols=[c + "__i" for c in context], outputCol="__f")
-    rf = RandomForestClassifier(featuresCol="__f", labelCol="__label", numTrees=trees, maxDepth=depth,
-                                minInstancesPerNode=2, seed=seed, maxBins=max(32, max(card[c] for c in context) + 2))
-    model = Pipeline(stages=idx + [label, vec, rf]).fit(train)
-    labels = model.stages[len(context)].labels
-    missing = df.where(F.col(target).isNull())
-    complete_ctx = ~any_null([F.col(c) for c in context])
-    to_pred = missing.where(complete_ctx)
-    pred = model.transform(to_pred)
-    pred = IndexToString(inputCol="prediction", outputCol="__pred", labels=labels).transform(pred)
-    filled = pred.select(*[F.col("__pred").alias(target) if c == target else F.col(c) for c in df.columns])
-    keep_null = missing.where(~complete_ctx)
-    return df.where(F.col(target).isNotNull()).unionByName(filled).unionByName(keep_null)

@@ -169,22 +169,29 @@ def dedup_rows(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
-def dedup_key(df: DataFrame, key: str, order_by: Optional[Sequence[str]] = None) -> DataFrame:
-    """Keep the first row per non-empty key; rows with an empty key are all kept.
+def dedup_key(df: DataFrame, key: str, order_by: Optional[Sequence[str]] = None, copies: bool = True) -> DataFrame:
+    """Keep the first row per non-empty key; rows with an empty key are all kept, or with
+    ``copies=False`` once each.
 
     "First" is the smallest row by ``order_by`` (default: all columns, NULLs
-    first). Implemented as ``min(struct)`` per key: partial aggregation runs on
-    the map side, so a key holding a third of all rows is reduced before the
-    shuffle instead of landing whole in one task (a ``row_number`` window would).
+    first). One aggregate over one scan: a row without a key is its own group, counted, and comes
+    back as often. ``min(struct)`` combines on the map side, so a key holding a third of all rows
+    is reduced before the shuffle instead of landing whole in one task (a ``row_number`` window
+    would).
     """
     others = [c for c in df.columns if c != key]
     order = list(order_by or others)
     rest = [c for c in others if c not in order]
-    has_key = F.col(key).isNotNull() & (S.strip_ws(S.as_text(key)) != "") & (F.lower(S.as_text(key)) != "nan")
-    keyed = df.where(has_key)
-    firsts = keyed.groupBy(key).agg(F.min(F.struct(*[F.col(c) for c in order + rest])).alias("__r"))
-    firsts = firsts.select(*[F.col(key) if c == key else F.col("__r." + c).alias(c) for c in df.columns])
-    return firsts.unionByName(df.where(~has_key | has_key.isNull()))
+    has_key = F.coalesce(F.col(key).isNotNull() & (S.strip_ws(S.as_text(key)) != "") & (F.lower(S.as_text(key)) != "nan"), F.lit(False))
+    row = F.struct(*[F.col(c) for c in [*order, *rest, key]])
+    own = F.when(~has_key, row)
+    firsts = df.groupBy(F.when(has_key, F.col(key)).alias("__key"), own.alias("__own")).agg(
+        F.min(F.when(has_key, row)).alias("__first"), F.count(F.lit(1)).alias("__n"))
+    firsts = firsts.select(F.coalesce("__first", "__own").alias("__r"), F.col("__own").isNotNull().alias("__single"), "__n")
+    if copies:
+        times = F.when(F.col("__single"), F.col("__n")).otherwise(1)
+        firsts = firsts.select("__r", F.explode(F.sequence(F.lit(1).cast("long"), times)))
+    return firsts.select(*[F.col("__r")[c].alias(c) for c in df.columns])
 
 
 def union_parts(df: DataFrame, key: str) -> DataFrame:

@@ -18,6 +18,7 @@ from kpiforge.functions import scalars as S
 from kpiforge.operators import measures as M
 from kpiforge.operators import profile as P
 from kpiforge.operators import repair as R
+from kpiforge.plans import cleaning as CL
 from kpiforge.sources.tables import table
 from kpiforge.suite import sqlparts as Q
 from kpiforge.suite import stages as ST
@@ -1186,38 +1187,41 @@ def q_impute_identifier(spark, sf_dir):
     return out.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
 
 
+SEM_TYPED = {"transaction_id": "TransactionID", "customer_id": "CustomerID", "item": "ProductName", "category": "Category",
+             "quantity": "Quantity", "price_per_unit": "Price", "total_spent": "Unknown", "discount_applied": "Discount",
+             "transaction_date": "Unknown", "payment_method": "PaymentMethod", "customer_rating": "CustomerID"}
+
+
 def _strategy_sql():
-    sem = {"transaction_id": "TransactionID", "customer_id": "CustomerID", "item": "ProductName", "category": "Category",
-           "quantity": "Quantity", "price_per_unit": "Price", "total_spent": "Unknown", "discount_applied": "Discount",
-           "transaction_date": "Unknown", "payment_method": "PaymentMethod", "customer_rating": "CustomerID"}
-    numeric = {"quantity", "price_per_unit", "total_spent", "customer_rating"}
-    parts = []
+    """The ladder over facts measured in SQL: missing share, filled context columns, correlated columns."""
+    facts = []
     for c in TYPED_COLS:
-        pct = f"count_if({c} IS NULL) * 100.0 / count(*)"
-        ident = "true" if R.is_identity_name(c) else "false"
-        parts.append(
-            f"SELECT '{c}' AS column_name, CASE WHEN {pct} = 0 THEN 'none' WHEN {pct} > 80 THEN 'skip' "
-            f"WHEN '{c}' = 'total_spent' THEN 'calculate' WHEN '{sem[c]}' = 'Discount' THEN 'business_false' "
-            f"WHEN {ident} OR '{sem[c]}' IN ('CustomerID', 'ProductID', 'TransactionID') THEN 'identifier' "
-            f"WHEN {'true' if c in numeric else 'false'} THEN 'median' ELSE 'mode' END AS strategy FROM ty")
-    return ST.sql_typed() + " " + " UNION ALL ".join(parts)
+        is_num = c in NUMERIC_TYPED
+        filled = {x: f"(count({x}) * 1.0 / count(*) > 0.8)::INTEGER" for x in TYPED_COLS}
+        context = " + ".join(filled[x] for x in ("category", "price_per_unit")) if SEM_TYPED[c] == "ProductName" else "0"
+        near = " + ".join(f"(coalesce(abs(corr({c}, {x})), 0) > 0.7)::INTEGER * {filled[x]}" for x in NUMERIC_TYPED if x != c) if is_num else "0"
+        ratio = f"count(DISTINCT {c}) * 1.0 / count(*)" if c in TEXT and c not in ("quantity", "price_per_unit", "total_spent",
+                                                                                  "discount_applied", "transaction_date") else "0.0"
+        facts.append(f"SELECT '{c}' AS column_name, '{SEM_TYPED[c]}' AS sem, {'true' if is_num else 'false'} AS num, "
+                     f"{'true' if CL.is_identity(c, SEM_TYPED[c]) else 'false'} AS ident, count_if({c} IS NULL) * 100.0 / count(*) AS pct, "
+                     f"count({c}) AS available, {context} AS context, {near} AS near, {ratio} AS ratio FROM ty")
+    return ST.sql_typed() + ", fa AS (" + " UNION ALL ".join(facts) + """)
+        SELECT column_name, CASE WHEN pct = 0 THEN 'none' WHEN pct > 80 THEN 'skip' WHEN ident THEN 'skip_identity'
+          WHEN column_name = 'total_spent' OR sem = 'TotalAmount' THEN 'calculate'
+          WHEN pct < 5 AND num THEN 'median'
+          WHEN pct >= 5 AND sem IN ('ProductID', 'ProductName', 'CustomerID') AND context >= 2 AND available >= 50 AND pct <= 40 THEN 'random_forest'
+          WHEN pct >= 5 AND num AND near >= 2 AND available >= 50 AND pct <= 40 THEN 'knn'
+          WHEN num THEN 'median_fallback' WHEN sem = 'Discount' THEN 'business_false' WHEN ratio > 0.5 THEN 'identifier_unknown'
+          WHEN pct < 5 THEN 'mode' ELSE 'mode_fallback' END AS strategy FROM fa"""
 
 
 @register("impute_select", _strategy_sql())
 def q_impute_select(spark, sf_dir):
-    from kpiforge.plans.cleaning import select_strategy
     ty = ST.typed(spark, sf_dir)
     smap = SEM.semantic_map(ST.raw(spark, sf_dir))
     rel = SEM.multiplication_columns(ty, smap)
-    row = ty.agg(F.count(F.lit(1)).alias("__n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in ty.columns]).first()
-    types = dict(ty.dtypes)
-    rows = []
-    for c in ty.columns:
-        pct = row[c] * 100.0 / row["__n"]
-        s, _ = select_strategy(c, pct, P.is_numeric_dtype(types[c]), smap[c]["semantic_type"],
-                               bool(rel) and c == rel[2], R.is_identity_name(c))
-        rows.append((c, s))
-    return spark.createDataFrame(rows, "column_name string, strategy string")
+    facts = CL.column_facts(ty, smap, rel[2] if rel else None)
+    return spark.createDataFrame([(c, CL.select_strategy(f).name) for c, f in facts.items()], "column_name string, strategy string")
 
 
 @register("fix_negative", ST.sql_typed() + " SELECT transaction_id, abs(quantity) AS quantity, "
@@ -1411,46 +1415,115 @@ def q_val_score(spark, sf_dir):
 
 
 # =========================================================== end-to-end cleaning (rows-only checks)
-from kpiforge.plans import cleaning as CL  # noqa: E402
-
-
 @register("clean_table")
 def q_clean_table(spark, sf_dir):
     out, _ = CL.fit_and_clean(ST.raw(spark, sf_dir), ST.AS_OF)
     return out
 
 
-@register("report_summary")
+def _clean_rules_sql():
+    """The whole order without models and fuzzy groups, step by step."""
+    spelled = ["customer_id", "item", "category", "payment_method"]
+    med = lambda c, src, cond="true": f"(SELECT quantile_cont(CAST({c} AS DOUBLE), 0.5) FROM {src} WHERE {cond})"
+    mode = lambda c: f"(SELECT {c} FROM ty WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)"
+    as_of = f"DATE '{ST.AS_OF.isoformat()}'"
+    base = "trim(regexp_replace(regexp_replace(lower(trim(orig)), '[^a-z0-9 ]', '', 'g'), '\\s+', ' ', 'g'))"
+    values = " UNION ALL ".join(f"SELECT '{c}' AS column_name, {c} AS orig, count(*) AS n FROM tr WHERE {c} IS NOT NULL GROUP BY {c}" for c in spelled)
+    spell = lambda c: f"coalesce((SELECT to_value FROM sp WHERE sp.column_name = '{c}' AND sp.from_value = tr.{c}), tr.{c}) AS {c}"
+    cap = lambda c, lo: f"""CASE WHEN {c} < b_{c}.lo THEN b_{c}.lo WHEN {c} > b_{c}.hi THEN b_{c}.hi ELSE CAST({c} AS DOUBLE) END AS {c}"""
+    bound = lambda c, lo: (f"b_{c} AS (SELECT {lo.format(x='q1 - 1.5 * (q3 - q1)')} AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM (SELECT "
+                           f"quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q3 FROM rt))")
+    others = [c for c in TYPED_COLS if c != "transaction_id"]
+    return ST.sql_typed() + f""",
+    im AS (SELECT transaction_id, customer_id, coalesce(item, {mode('item')}) AS item, coalesce(category, {mode('category')}) AS category,
+             coalesce(quantity, {med('quantity', 'ty')}) AS quantity, coalesce(price_per_unit, {med('price_per_unit', 'ty')}) AS price_per_unit,
+             total_spent, coalesce(discount_applied, false) AS discount_applied, coalesce(transaction_date, {mode('transaction_date')}) AS transaction_date,
+             payment_method, customer_rating FROM ty),
+    iv AS (SELECT * REPLACE (CASE WHEN quantity = 0 THEN 1.0 ELSE abs(quantity) END AS quantity,
+             CASE WHEN price_per_unit < 0 THEN {med('price_per_unit', 'im', 'price_per_unit >= 0')} ELSE price_per_unit END AS price_per_unit,
+             CASE WHEN total_spent < 0 THEN {med('total_spent', 'im', 'total_spent >= 0')} ELSE total_spent END AS total_spent,
+             CASE WHEN transaction_date > {as_of} THEN {as_of} ELSE transaction_date END AS transaction_date) FROM im),
+    dd AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY transaction_id ORDER BY {_typed_order_sql(others)}) AS rn FROM iv) WHERE rn = 1),
+    tr AS (SELECT * REPLACE ({', '.join(f"{Q.strip(c)} AS {c}" for c in spelled)}) FROM dd),
+    v0 AS ({values}),
+    ca AS (SELECT column_name, orig, n, first_value(orig) OVER (PARTITION BY column_name, lower({Q.strip('orig')}) ORDER BY n DESC, orig) AS cased FROM v0),
+    v1 AS (SELECT column_name, cased AS orig, sum(n) AS n, any_value({base.replace('orig', 'cased')}) AS base FROM ca GROUP BY column_name, cased),
+    ba AS (SELECT column_name, base, sum(n) AS bn, first(orig ORDER BY n DESC, orig) AS canon,
+             array_to_string(list_transform(string_split(base, ' '), lambda w: w[1]), '') AS initials FROM v1 GROUP BY column_name, base),
+    ab AS (SELECT s.column_name, s.base, d.canon, row_number() OVER (PARTITION BY s.column_name, s.base ORDER BY d.bn DESC, d.base) AS r
+           FROM ba s JOIN ba d ON s.column_name = d.column_name AND s.base <> d.base
+            AND ((length(s.base) <= 4 AND s.base = d.initials) OR starts_with(d.base, s.base || ' '))),
+    sp AS (SELECT ca.column_name, ca.orig AS from_value, coalesce(ab.canon, ca.cased) AS to_value FROM ca
+           JOIN v1 ON ca.column_name = v1.column_name AND ca.cased = v1.orig LEFT JOIN ab ON v1.column_name = ab.column_name AND v1.base = ab.base AND ab.r = 1),
+    sd AS (SELECT * REPLACE ({', '.join(spell(c) for c in spelled)}) FROM tr),
+    rt AS (SELECT * REPLACE (CASE WHEN customer_rating > 5 THEN {med('customer_rating', 'sd', 'customer_rating <= 5')}
+             ELSE CAST(customer_rating AS DOUBLE) END AS customer_rating) FROM sd),
+    {bound('quantity', 'greatest({x}, 0.0)')}, {bound('price_per_unit', 'greatest({x}, 0.0)')}, {bound('customer_rating', '{x}')},
+    cp AS (SELECT rt.* REPLACE ({cap('quantity', 0)}, {cap('price_per_unit', 0)}, {cap('customer_rating', None)})
+           FROM rt, b_quantity, b_price_per_unit, b_customer_rating)
+    SELECT transaction_id, customer_id, item, category, CAST(trunc(quantity) AS BIGINT) AS quantity, round(price_per_unit, 2) AS price_per_unit,
+      round(greatest(round(coalesce(quantity, 0) * coalesce(price_per_unit, 0), 2), 0.0), 2) AS total_spent, discount_applied,
+      CASE WHEN year(transaction_date) BETWEEN 1990 AND {ST.AS_OF.year + 1} THEN transaction_date END AS transaction_date, payment_method, customer_rating
+    FROM cp"""
+
+
+@register("clean_table_rules", _clean_rules_sql())
+def q_clean_table_rules(spark, sf_dir):
+    """clean_table without models and fuzzy groups: every step has SQL."""
+    out, _ = CL.fit_and_clean(ST.raw(spark, sf_dir), ST.AS_OF, use_fuzzy=False, models=False)
+    return out
+
+
+_FITTED: dict = {}
+
+
+def _fitted(spark, sf_dir, **how):
+    """(cleaned table, plan), fitted and stored once per session, folder and way."""
+    import os
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), tuple(sorted(how.items())))
+    if key not in _FITTED:
+        out, plan = CL.fit_and_clean(ST.raw(spark, sf_dir), ST.AS_OF, **how)
+        path = scratch_path(spark, "cleaned")
+        out.write.parquet(path)
+        _FITTED[key] = (path, out.schema, plan)
+    path, schema, plan = _FITTED[key]
+    return spark.read.schema(schema).parquet(path), plan
+
+
+_REPORT_SQL = ST.sql_typed() + """, m AS (SELECT count(*) AS n, count(DISTINCT transaction_id) AS ids, """ + " + ".join(
+    f"count_if({c} IS NULL)" for c in ("item", "category", "quantity", "price_per_unit", "discount_applied", "transaction_date")) + """ AS filled FROM ty),
+    d AS (SELECT count(*) AS n FROM (""" + " UNION ALL ".join(
+    f"SELECT 1 FROM ds HAVING count_if({c} IS NULL OR {Q.is_null_word(c)}) > 0" if c in TEXT else f"SELECT 1 FROM ds HAVING count_if({c} IS NULL) > 0" for c in DS) + """)),
+    i AS (SELECT (count(*) > count(DISTINCT transaction_id))::INTEGER AS dup FROM ds)
+    SELECT 'rows_before' AS metric, n::DOUBLE AS value FROM m UNION ALL SELECT 'rows_after', ids FROM m UNION ALL SELECT 'rows_removed', n - ids FROM m
+    UNION ALL SELECT 'problems', d.n + i.dup FROM d, i UNION ALL SELECT 'cells_filled', filled FROM m"""
+
+
+@register("report_summary", _REPORT_SQL)
 def q_report_summary(spark, sf_dir):
-    """Rows before/after, problems found, repairs made, cells filled, rows removed."""
+    """Rows before and after, columns with missing or duplicate values, cells filled; from the fitted plan and one count."""
     raw_df = ST.raw(spark, sf_dir)
-    out, plan = CL.fit_and_clean(raw_df, ST.AS_OF)
-    smap = SEM.semantic_map(raw_df)
-    problems = D.det_missing(raw_df, smap).unionByName(D.det_dup_ids(raw_df, ["transaction_id"]))
-    n_before, n_after = raw_df.count(), out.count()
-    filled = CL.R.null_sentinels(raw_df).agg(*[F.count_if(F.col(c).isNull()) for c in plan.fills]).first() \
-        if plan.fills else [0]
-    rows = [("rows_before", float(n_before)), ("rows_after", float(n_after)),
-            ("rows_removed", float(n_before - n_after)), ("problems", float(problems.count())),
-            ("actions", float(CL.plan_table(spark, plan).count())), ("cells_filled", float(sum(filled))),
-            ("columns_capped", float(len(plan.cap_bounds)))]
+    out, plan = _fitted(spark, sf_dir, use_fuzzy=False, models=False)
+    problems = D.det_missing(raw_df, SEM.semantic_map(raw_df)).unionByName(D.det_dup_ids(raw_df, [plan.key_col]))
+    n_after = out.count()
+    rows = [("rows_before", float(plan.rows_in)), ("rows_after", float(n_after)), ("rows_removed", float(plan.rows_in - n_after)),
+            ("problems", float(problems.count())), ("cells_filled", float(sum(plan.nulls[c] for c in plan.fills)))]
     return spark.createDataFrame(rows, "metric string, value double")
 
 
 @register("run_log")
 def q_run_log(spark, sf_dir):
-    """Step log with row counts gathered by ``observe`` while the cleaned table is written once."""
+    """Every step of the plan with status and confidence, and row counts gathered by ``observe`` while
+    the cleaned table is written once more."""
     from pyspark.sql import Observation
-    out, plan = CL.fit_and_clean(ST.raw(spark, sf_dir), ST.AS_OF)
+    out, plan = _fitted(spark, sf_dir)
     obs = Observation("clean_run")
     observed = out.observe(obs, F.count(F.lit(1)).alias("rows_written"),
                            F.count_if(F.col("total_spent") == 0).alias("zero_totals"))
     observed.write.mode("overwrite").parquet(scratch_path(spark, "clean_run"))
-    metrics = obs.get
-    steps = CL.plan_table(spark, plan)
-    extra = spark.createDataFrame([("run", k, "observed", str(v)) for k, v in sorted(metrics.items())],
-                                  "step string, column_name string, method string, value string")
-    return steps.unionByName(extra)
+    extra = spark.createDataFrame([("run", k, "observed", str(v), "done", 1.0) for k, v in sorted(obs.get.items())],
+                                  "step string, column_name string, method string, value string, status string, confidence double")
+    return CL.plan_table(spark, plan).unionByName(extra)
 
 
 # =========================================================== model-backed operators (rows-only checks)
@@ -1471,14 +1544,16 @@ def q_det_outlier_consensus(spark, sf_dir):
 
 @register("impute_forest")
 def q_impute_forest(spark, sf_dir):
-    nl = ST.nulled(spark, sf_dir).select("transaction_id", "item", "category", "payment_method", "customer_id")
-    return ML.impute_forest(nl, "item", ["category", "payment_method"], trees=50, depth=10)
+    """Context columns are chosen by the target's type."""
+    smap = SEM.semantic_map(ST.raw(spark, sf_dir))
+    return ML.impute_forest(ST.typed(spark, sf_dir), "item", semantic_type=smap["item"]["semantic_type"])
 
 
 @register("impute_knn")
 def q_impute_knn(spark, sf_dir):
-    ty = ST.typed(spark, sf_dir).select("transaction_id", "quantity", "price_per_unit", "total_spent")
-    return ML.impute_knn(ty, "quantity", ["total_spent", "price_per_unit"], k=5)
+    """Neighbours by all other numeric columns, which may be missing as well."""
+    ty = ST.typed(spark, sf_dir)
+    return ML.impute_knn(ty, "quantity", [c for c in NUMERIC_TYPED if c != "quantity"], k=5)
 
 
 def _pick_sql():
@@ -1541,16 +1616,14 @@ def q_canon_fuzzy(spark, sf_dir):
 # =========================================================== streaming by-product (rows-only)
 @register("stream_clean")
 def q_stream_clean(spark, sf_dir):
-    """Fit the plan on the table, then clean the same rows arriving as a parquet stream."""
-    from kpiforge.streaming.apply import clean_stream, run_once
+    """Fit the whole plan on the table, then clean the same rows arriving as a parquet stream."""
+    from kpiforge.streaming.apply import clean_stream
     raw_df = ST.raw(spark, sf_dir)
-    _, plan = CL.fit_and_clean(raw_df, ST.AS_OF, use_fuzzy=False)
-    src = scratch_path(spark, "stream_src")
+    _, plan = _fitted(spark, sf_dir)
+    src, out_path, ckpt = (scratch_path(spark, f"stream_{x}") for x in ("src", "out", "ckpt"))
     raw_df.write.mode("overwrite").parquet(src)
-    stream = spark.readStream.schema(raw_df.schema).parquet(src)
-    out_path, ckpt = scratch_path(spark, "stream_out"), scratch_path(spark, "stream_ckpt")
-    run_once(clean_stream(stream, plan), out_path, ckpt)
-    return spark.read.parquet(out_path)
+    clean_stream(spark.readStream.schema(raw_df.schema).parquet(src), plan, out_path, ckpt).awaitTermination()
+    return spark.read.parquet(out_path).drop("batch")
 
 
 # =========================================================== late additions with oracle SQL
