@@ -31,3 +31,10 @@ def test_sinks_keep_every_row(spark, tmp_path):
     bundle = files.write_bundle({"raw data": one, "two": two}, str(tmp_path / "bundle"))
     assert rows(files.read_parquet(spark, bundle["raw data"])) == rows(one)
     assert rows(files.read_parquet(spark, bundle["two"])) == rows(two)
+
+
+def test_list_tables(spark):
+    spark.range(3).createOrReplaceTempView("a_view_of_this_test")
+    got = {r.table_name: r.is_temporary for r in files.list_tables(spark).collect()}
+    assert got["a_view_of_this_test"] is True
+    spark.catalog.dropTempView("a_view_of_this_test")

@@ -9,7 +9,8 @@ from conftest import SF_SMALL
 from kpiforge.sources.tables import TABLES
 
 NAMES = ["flagship", "null_sentinels", "prof_columns", "dedup_key", "recalc_total", "impute_median", "kpi_filtered",
-         "det_outlier_iqr", "canon_case", "fs_mutual_info", "val_score", "measure_pack", "chart_time"]
+         "det_outlier_iqr", "canon_case", "fs_mutual_info", "val_score", "measure_pack", "chart_time",
+         "clean_table_rules", "impute_select", "report_summary", "prof_distribution", "prof_light"]
 
 
 def _rows(cols, rows):
@@ -46,30 +47,34 @@ def test_entry_smoke(spark):
     assert out.count() > 0 and out.columns == ["category", "revenue"]
 
 
-#: Queries without SQL -> (test module, what it calls), and those that still have no test.
+#: Queries without SQL -> (test module, what it calls).
 UNIT_TESTS = {
     "canon_fuzzy": ("test_canon.py", "C.fuzzy_mapping"),
     "fuzzy_pairs": ("test_canon.py", "C.fuzzy_pairs"),
     "det_outlier_iforest": ("test_models.py", "iforest_scores"),
-    "impute_forest": ("test_whole_results.py", "ml.impute_forest"),
-    "impute_knn": ("test_models.py", "test_knn_matches_brute_force"),
+    "det_outlier_consensus": ("test_cleaning.py", "ml.outlier_consensus"),
+    "fs_forest": ("test_cleaning.py", "select.forest_importance"),
+    "impute_forest": ("test_cleaning.py", "forest.impute_forest"),
+    "impute_knn": ("test_models.py", "knn.impute_knn"),
     "fs_select": ("test_whole_results.py", "select.select_columns"),
     "sql_batch": ("test_whole_results.py", "sqlbatch.sql_batch"),
-    "clean_table": ("test_repairs.py", "fit_and_clean"),
+    "clean_table": ("test_cleaning.py", "CL.fit_and_clean"),
+    "run_log": ("test_cleaning.py", "CL.plan_table"),
+    "stream_clean": ("test_cleaning.py", "clean_stream"),
     "sem_pattern": ("test_semantic.py", "semantic.semantic_map"),
     "src_csv_encoding": ("test_files.py", "read_csv_any_encoding"),
     "src_json": ("test_files.py", "files.read_json"),
     "sink_csv": ("test_files.py", "files.write_csv"),
     "sink_report": ("test_files.py", "files.write_report"),
     "sink_bundle": ("test_files.py", "files.write_bundle"),
+    "cat_tables": ("test_files.py", "files.list_tables"),
 }
-UNTESTED = {"cat_tables", "det_outlier_consensus", "fs_forest", "report_summary", "run_log", "stream_clean"}
 
 
 def test_every_query_has_oracle_or_unit_test():
     import __spark_entry__ as E
     from kpiforge.suite import catalog
     assert set(E.oracle_sql()) <= set(E.queries())
-    assert set(catalog.queries()) - set(catalog.oracle_sql()) == set(UNIT_TESTS) | UNTESTED
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == set(UNIT_TESTS)
     for module, word in UNIT_TESTS.values():
         assert word in (Path(__file__).parent / module).read_text()
