@@ -33,9 +33,11 @@ TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+(?:>|\Z))""",
     re.S)
 ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+#: A slash of its own at a tag's end, not one of an unquoted value.
+CLOSED = re.compile(r"""(?:^|[\s"'])/>?$""")
 BLOCKS = frozenset((
-    "address article aside blockquote body caption dd details dialog div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td "
+    "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
+    "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td "
     "tfoot th thead title tr ul").split())
 RAW = frozenset("script style textarea title template noscript iframe svg xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -123,7 +125,7 @@ def markup_lines(page: str) -> list[dict]:
                 while len(stack) > held:
                     leave(*stack.pop())
             continue
-        if tag in RAW and not attrs.rstrip(">").endswith("/"):
+        if tag in RAW and not (tag == "svg" and CLOSED.search(attrs)):  # a slash closes no other of these tags
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, at)
             at = end.start() if end else n
             if tag in BLOCKS:
@@ -136,13 +138,14 @@ def markup_lines(page: str) -> list[dict]:
                 parts.append(" " if not boiler else "")
             continue
         if tag == "a":
-            links = 1
+            links = int(any(k.lower() == "href" for k, *_ in ATTRIBUTE.findall(attrs)))
         marks = is_boiler(tag, attrs, inside > 0, articles > 0)
         if tag in BLOCKS or marks:
             if stack and stack[-1][0] == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option") or (
                     stack and stack[-1][0] == "p" and tag in BLOCKS):
                 leave(*stack.pop())
             end_line()
+            links = 0  # an anchor left open ends with its block
             if (marks or tag in ("article", "main")) and not inside:
                 lines.extend(gap)
             stack.append((tag, marks))
