@@ -3,7 +3,8 @@
 Base kinds (``assign``, ``access``, ``hex``) are leftmost non-overlapping matches of their
 pattern; too short ones are dropped. The kind ``guess`` adds values that stand in a wider
 credential context (``pwd``, ``passphrase``, ``auth`` ..., quoted values of any characters)
-and whose guess cost is high: dynamic programming finds the cheapest segmentation of the
+and whose guess cost is high, in all and per character (sentences and addresses
+are left alone): dynamic programming finds the cheapest segmentation of the
 value into dictionary words, dates, repeats, keyboard walks and brute-force characters. Cost
 is the log10 of the guesses, summed, plus a little per segment. Base spans are never removed;
 a guess span never overlaps one.
@@ -37,7 +38,8 @@ CONTEXT = re.compile(
     r"""(?:[:=]|\x20is\x20)\x20*(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"',;]+))""", re.I | re.A)
 HINTS = ("pass", "secret", "token", "api", "pwd", "credential", "auth")
 KINDS = ("assign", "access", "hex", "guess")
-MIN_LOG10, SEGMENT_COST, MAX_WORD = 10.0, 0.3, 24
+MIN_LOG10, MIN_PER_CHAR, SEGMENT_COST, MAX_WORD = 10.0, 0.7, 0.3, 24
+ADDRESS = re.compile(r"(?:[a-z][a-z0-9+.-]*://|www\.|[\w.+-]+@[\w-]+\.)", re.I | re.A)
 #: The rows of a US keyboard.
 KEYBOARD = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans("430157$@!", "aeoistsai")
@@ -116,6 +118,16 @@ def guess_cost(value: str, words: dict[str, float]) -> tuple[float, list[str]]:
     return best[n][0], kinds[::-1]
 
 
+def hard_to_guess(value: str, words: dict[str, float], min_log10: float) -> bool:
+    """The cheapest way to guess it costs enough, in all and per character. Addresses and sentences
+    (three or more parts of letters alone, in any language) are none."""
+    parts = [p for p in re.split(r"[\s_.,;:!?-]+", value) if p]
+    if ADDRESS.match(value) or (len(parts) > 2 and all(map(str.isalpha, parts))):
+        return False
+    cost = guess_cost(value, words)[0]
+    return cost >= min_log10 and cost >= MIN_PER_CHAR * len(value)
+
+
 def find_spans(text: str, words: dict[str, float], min_log10: float) -> list[tuple[str, int, int]]:
     """(kind, start, end) by start, then kind; code points, end exclusive."""
     spans = []
@@ -130,7 +142,7 @@ def find_spans(text: str, words: dict[str, float], min_log10: float) -> list[tup
         base = sorted((a, b) for _, a, b in spans)
         for m in CONTEXT.finditer(text):
             a, b = m.span(m.lastindex)
-            if not any(x < b and a < y for x, y in base) and guess_cost(text[a:b], words)[0] >= min_log10:
+            if not any(x < b and a < y for x, y in base) and hard_to_guess(text[a:b], words, min_log10):
                 spans.append(("guess", a, b))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
