@@ -42,6 +42,9 @@ from pyspark.sql import types as T
 from kpiforge.llm.common import stored
 from kpiforge.session import scratch_path
 
+#: The profile of the format's standard, and the capture date unless one is given.
+REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+CAPTURE_DATE = "2020-01-01T00:00:00Z"
 FILE_BYTES, BLOCK_ROWS, RANGE_ROWS = 8_000_000, 500, 20_000
 END = b"\r\n\r\n"
 HEADER = re.compile(rb"([^:\r\n]+): ?([^\r\n]*)")
@@ -66,8 +69,9 @@ def reversed_host_key(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + ")" + ((path.rstrip("/") or "/") + query)
 
 
-def records(pages: DataFrame, min_revisit_bytes: int) -> DataFrame:
-    """``pages(page_id, url, html)`` -> one row per record: ``record`` (text) and ``size``."""
+def records(pages: DataFrame, min_revisit_bytes: int, date: str = CAPTURE_DATE) -> DataFrame:
+    """``pages(page_id, url, html)`` -> one row per ``record`` (text). ``date`` is every record's capture
+    date; it is an argument, so a record written again after a lost task is the same."""
     p = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"),
                      F.coalesce(pages["html"].cast("string"), F.lit("")).alias("html"))
     p = p.withColumn("bytes", F.octet_length("html")).withColumn("sha1", F.sha1(F.col("html").cast("binary")))
@@ -89,10 +93,9 @@ def records(pages: DataFrame, min_revisit_bytes: int) -> DataFrame:
         F.lit("WARC/1.1\r\n"), line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
         F.when(F.col("page_id").isNotNull(), F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.col("page_id").cast("string"), F.lit(">\r\n")))
         .otherwise("WARC-Record-ID: <urn:page:>\r\n"),
-        maybe("WARC-Target-URI", url), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)),
+        line("WARC-Date", F.lit(date)), maybe("WARC-Target-URI", url), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("first").cast("string"), F.lit(">\r\n"),
-                                 F.lit("WARC-Profile: identical-payload-digest\r\n"),
-                                 line("WARC-Payload-Length", F.col("bytes").cast("string")))).otherwise(""),
+                                 F.lit(f"WARC-Profile: {REVISIT_PROFILE}\r\n"))).otherwise(""),
         F.lit("Content-Type: text/html; charset=utf-8\r\n"), line("Content-Length", F.octet_length(body).cast("string")),
         F.lit("\r\n"))
     return p.select(F.concat(head, body).alias("record"))
@@ -252,7 +255,7 @@ def record_rows(records: list[bytes]) -> pa.RecordBatch:
         again = head["WARC-Type"] == "revisit"
         if not again and base32_sha1(payload) != digest:
             raise ValueError(f"payload of {head['WARC-Record-ID']} doesn't match its digest")
-        rows.append((page_number(head["WARC-Record-ID"]), int(head["WARC-Payload-Length"]) if again else len(payload), digest,
+        rows.append((page_number(head["WARC-Record-ID"]), None if again else len(payload), digest,
                      head["WARC-Type"], page_number(head.get("WARC-Refers-To")), head.get("WARC-Target-URI")))
     cols = list(zip(*rows)) or [[]] * 6
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[f.split()[0] for f in RECORD.split(", ")])
@@ -310,4 +313,15 @@ def round_trip(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     archives = read_archives(spark, base + "/archive")
     write_index(captures(archives), rows, base + "/index")
     places = look_up(pages.select("url", F.col("page_id").cast("long").alias("page_id")), base + "/index")
-    return read_ranges(archives, places, base).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+    return with_lengths(read_ranges(archives, places, base)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+def with_lengths(rows: DataFrame) -> DataFrame:
+    """A revisit has no payload of its own: its length is that of the response it names."""
+    rows = stored(rows, "warc-rows")
+    named = rows.where("record_type = 'revisit'").select(F.col("refers_to").alias("named"), F.col("payload_digest").alias("same")).distinct()
+    found = rows.where("record_type = 'response'").select("page_id", "payload_digest", F.col("payload_bytes").alias("full")).join(
+        named, (F.col("page_id") == F.col("named")) & (F.col("payload_digest") == F.col("same"))).groupBy("named", "same").agg(F.max("full").alias("full"))
+    found = stored(found, "warc-lengths")  # Spark then knows its size when it plans the join
+    out = rows.join(found, (F.col("refers_to") == F.col("named")) & (F.col("payload_digest") == F.col("same")), "left")
+    return out.withColumn("payload_bytes", F.coalesce("payload_bytes", "full")).drop("named", "same", "full")

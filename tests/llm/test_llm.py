@@ -469,3 +469,85 @@ def test_pipeline(spark, sf):
             out = stage(spark, docs, folder)
             assert out.columns == docs.columns and out.count() <= docs.count(), name
         assert corpus_pipeline.run(spark, folder).columns[:3] == ["doc_id", "start", "length"]
+
+
+def test_html_anchors_and_scripts():
+    """Only <a href> is a link and ends with its block; a slash closes no script."""
+    text = "A paragraph with enough words to be the text of this page, and then some more words to be sure of it."
+    df_rows = {"<body><a name=top><p>%s</p><p>%s</p>" % (text, text): [text, text],
+               "<body><a name=top>x<p>%s</p>" % text: ["x", text],
+               "<body><script src=/js/>var leak=1;</script><p>%s</p>" % text: [text],
+               '<body><script src="a.js" />var leak=1;</script><p>%s</p>' % text: [text],
+               "<body><p>%s</p><style media=a/>.x{}</style>" % text: [text],
+               '<body><svg viewBox="0 0 1 1"/><p>%s</p>' % text: [text],
+               "<body><p><a href=x>open link<p>%s</p>" % text: ["open link", text]}
+    for page, want in df_rows.items():
+        lines = [x for x in html_extract.markup_lines(page) if x["text"]]
+        assert [x["text"] for x in lines] == want, page
+        assert all(x["n"] > 0 for x in lines if x["text"] == text)
+    assert [x["n"] for x in html_extract.markup_lines("<p><a href=x>open link<p>" + text) if x["text"]][0] == 0
+    assert [x["text"] for x in html_extract.markup_lines("<center>a</center>b") if x["text"]] == ["a", "b"]
+
+
+def test_stray_anchor_keeps_the_article(spark):
+    page = "<body><article><a name=top><h1>T</h1>" + "".join(f"<p>{t}</p>" for t in LONG) + "</article></body>"
+    got = html_extract.extract_pages(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).first()
+    assert got.text == "T\n\n" + "\n\n".join(LONG)
+
+
+def test_guess_spans_leave_prose_alone():
+    words = secrets_scan.dictionary(public_tokenizers.path("byte_bpe_50k.json"))
+    guess = lambda t: [t[a:b] for k, a, b in secrets_scan.find_spans(t, words, secrets_scan.MIN_LOG10) if k == "guess"]
+    for prose in ('the secret: "we will meet at the old bridge tonight"', 'token is "a small coin used in games"',
+                  "Authorization is required-for-all-visitors", "the secret is https://example.com/recipes/bread",
+                  "credentials is someone@example.com", "password is unknown"):
+        assert guess(prose) == [], prose
+    assert guess('pwd: "xK9!vq#72LmZ"') == ["xK9!vq#72LmZ"] and guess("passphrase is qT7$hWz!92pRv") == ["qT7$hWz!92pRv"]
+
+
+def all_costs(value, words):
+    """Cost of every segmentation, by recursion over the same kinds of segments."""
+    def whole(part):
+        low = part.lower()
+        costs = []
+        for bent, w in ((0, low), (1, low.translate(secrets_scan.LEET))):
+            if len(part) >= 3 and w in words and not (bent and low in words):
+                upper = sum(c.isupper() for c in part)
+                costs.append(words[w] + (0.3 if upper in (1, len(part)) else 0.3 * min(upper, len(part) - upper)) * (upper > 0) + 0.6 * bent)
+        return min(costs, default=None)
+
+    def parts(rest, before):
+        if not rest:
+            yield 0.0
+            return
+        for tail in parts(rest[1:], "brute"):
+            yield 1.0 + (before != "brute") * secrets_scan.SEGMENT_COST + tail
+        for n in range(3, len(rest) + 1):
+            cost = whole(rest[:n])
+            if cost is not None:
+                for tail in parts(rest[n:], "word"):
+                    yield cost + secrets_scan.SEGMENT_COST + tail
+
+    return min(parts(value, ""))
+
+
+def test_guess_cost_is_the_cheapest_segmentation():
+    """Values without dates, repeats and walks, against every way to cut them."""
+    words = {"cat": 1.0, "dog": 1.5, "catalog": 2.2, "log": 1.1, "alo": 0.9, "pass": 0.7}
+    for value in ("catalog", "catdog", "xcatalogx", "C4talog", "paSSdog", "zqv", "logcatx", "dogalog"):
+        assert secrets_scan.guess_cost(value, words)[0] == pytest.approx(all_costs(value, words)), value
+
+
+def test_warc_records_follow_the_standard(spark, tmp_path):
+    """Mandatory fields, a profile that is a URI, no private field; revisits get their length from the response."""
+    pages = spark.createDataFrame([(3, "http://a.example/", "same"), (1, "http://b.example/", "same"), (2, "http://c.example/\tx", "other")],
+                                  "page_id long, url string, html string")
+    heads = [r.record.split("\r\n\r\n")[0].split("\r\n") for r in warc.records(pages, 0).collect()]
+    for first, *fields in heads:
+        names = [f.split(": ")[0] for f in fields]
+        assert first == "WARC/1.1" and {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= set(names)
+        assert "WARC-Payload-Length" not in names and f"WARC-Date: {warc.CAPTURE_DATE}" in fields
+        if "WARC-Type: revisit" in fields:
+            assert f"WARC-Profile: {warc.REVISIT_PROFILE}" in fields and warc.REVISIT_PROFILE.startswith("http")
+    got = {r.page_id: (r.record_type, r.payload_bytes, r.refers_to) for r in warc.round_trip(pages).collect()}
+    assert got == {1: ("response", 4, None), 2: ("response", 5, None), 3: ("revisit", 4, 1)}
