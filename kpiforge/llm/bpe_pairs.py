@@ -197,7 +197,8 @@ class Store:
     def units_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """Numbers of the units of all texts, how many each text has, and the distinct units."""
         units: dict[str, int] = {}
-        plain = [i for i, t in enumerate(texts) if SEPARATOR not in t and t[:1] == " " and t[1:2] not in SPACES and t[-1] not in SPACES]
+        apart = [SEPARATOR, *self.table.specials]
+        plain = [i for i, t in enumerate(texts) if t[:1] == " " and t[1:2] not in SPACES and t[-1] not in SPACES and not any(x in t for x in apart)]
         others = sorted(set(range(len(texts))) - set(plain))
         counts, found = np.zeros(len(texts), np.int64), []
         pieces: list[np.ndarray] = []

@@ -74,7 +74,7 @@ def folder(request, sf):
     return SF if request.param == "small" else sf
 
 
-@pytest.mark.parametrize("name", list(registry.queries()))
+@pytest.mark.parametrize("name", [n for n in registry.queries() if int(n[2:].split("_")[0]) <= 10])
 def test_empty_tables(spark, empty, name):
     assert registry.queries()[name](spark, empty).collect() == []
 
