@@ -1061,6 +1061,44 @@ def q_fs_select(spark, sf_dir):
     return SEL.select_columns(_fs_table(spark, sf_dir), requirements="revenue by return flag", use_forest=True)
 
 
+def _fs_select_sql():
+    """The ranked rules over measured scores, forest off; name scores are those of quantity and discount (volume, 0.9),
+    price and tax (money, 1.0), the flag (status, 0.8) and the two-valued status (0.75)."""
+    named = {"l_quantity": (0.9, "Volume Metric"), "l_extendedprice": (1.0, "Financial KPI"), "l_discount": (0.9, "Volume Metric"),
+             "l_tax": (1.0, "Numeric Measure"), "total_revenue": (1.0, "Financial KPI"), "l_returnflag": (0.8, "Status / Segment Flag"),
+             "l_linestatus": (0.75, "Status / Segment Flag")}
+    cols = [*FS_NUM, "l_returnflag", "l_linestatus"]
+    w_var = K.FUSE_WEIGHTS["variance"] + K.FUSE_WEIGHTS["forest"] * 0.4
+    w_uni = K.FUSE_WEIGHTS["univariate"] + K.FUSE_WEIGHTS["forest"] * 0.6
+    facts = " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, {named[c][0]} AS dom, '{named[c][1]}' AS label, '{'categorical' if c.endswith(('flag', 'status')) else ''}' AS kind, "
+        f"count(DISTINCT {c}) AS u, round(count_if({c} IS NULL) * 100.0 / count(*), 2) AS null_pct, "
+        + ("bool_and(" + f"{c} = floor({c}))" if c in FS_NUM else "NULL::BOOLEAN") + " AS whole, "
+        + (f"abs(corr({c}, total_revenue))" if c in FS_NUM[:-1] else "0.0") + " AS pr FROM ft" for c in cols)
+    return (FS_SQL + f""", fa AS ({facts}), mi AS (SELECT column_name, family, mi FROM ({_fs_mi_raw_sql()})),
+        vs AS (SELECT * FROM ({_fs_variance_sql()})), dr AS (SELECT * FROM ({_collinear_sql()})),
+        ra AS (SELECT column_name, family, mi + CASE WHEN family = 'numeric' THEN coalesce(pr, 0) ELSE 0 END AS raw FROM mi JOIN fa USING (column_name)),
+        un AS (SELECT column_name, round(CASE WHEN max(raw) OVER (PARTITION BY family) > 0 THEN least(1.0, raw / max(raw) OVER (PARTITION BY family)) ELSE 0 END, 3) AS uni
+               FROM ra UNION ALL SELECT 'total_revenue', 1.0),
+        fu AS (SELECT fa.*, dr.dropped_column IS NOT NULL AS red, dom * {K.FUSE_WEIGHTS['domain']} + coalesce(variance_score, 0.5) * {w_var} + coalesce(uni, 0) * {w_uni} AS f
+               FROM fa LEFT JOIN vs USING (column_name) LEFT JOIN un USING (column_name) LEFT JOIN dr ON dr.dropped_column = fa.column_name),
+        sc AS (SELECT *, CASE WHEN column_name = 'total_revenue' THEN 1.0 WHEN u = 1 THEN 0.0 WHEN null_pct > 70 THEN 0.05 WHEN red THEN 0.2
+                 WHEN dom >= 0.85 THEN greatest(f, 0.5) ELSE f END AS score FROM fu)
+        SELECT column_name, CASE WHEN kind <> '' THEN kind WHEN whole THEN 'integer' ELSE 'float' END AS data_type, u AS unique_count, null_pct,
+          round(round(score, 9), 2) AS relevance_score, CASE WHEN column_name = 'total_revenue' THEN 'Force-Included' WHEN u = 1 THEN 'Constant'
+            WHEN null_pct > 70 THEN 'Mostly Null' WHEN red THEN 'Redundant (Collinear)' ELSE label END AS role, round(score, 9) >= 0.5 AS relevant FROM sc""")
+
+
+def _fs_mi_raw_sql():
+    """fs_mutual_info before rounding."""
+    return _fs_mi_sql().replace("round(mi, 6) AS mi", "mi")
+
+
+def q_fs_select_rules(spark, sf_dir):
+    """fs_select with the forest off: every score has SQL."""
+    return SEL.select_columns(_fs_table(spark, sf_dir), requirements="revenue, by return flag.", use_forest=False)
+
+
 def _fs_fuse_sql():
     # expected name scores: quantity/discount read as volume words (0.9), price/tax as money words (1.0)
     dom = {"l_quantity": 0.9, "l_extendedprice": 1.0, "l_discount": 0.9, "l_tax": 1.0}
@@ -1648,3 +1686,5 @@ ORACLE["cat_describe"] = (
     "WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' "
     "ELSE lower(data_type) END AS data_type FROM information_schema.columns "
     "WHERE table_name IN ('orders', 'lineitem', 'customer')")
+
+register("fs_select_rules", _fs_select_sql())(q_fs_select_rules)

@@ -10,7 +10,7 @@ from kpiforge.sources.tables import TABLES
 
 NAMES = ["flagship", "null_sentinels", "prof_columns", "dedup_key", "recalc_total", "impute_median", "kpi_filtered",
          "det_outlier_iqr", "canon_case", "fs_mutual_info", "val_score", "measure_pack", "chart_time",
-         "clean_table_rules", "impute_select", "report_summary", "prof_distribution", "prof_light"]
+         "clean_table_rules", "impute_select", "report_summary", "prof_distribution", "prof_light", "fs_select_rules"]
 
 
 def _rows(cols, rows):
