@@ -155,7 +155,7 @@ def fingerprint_documents(docs: DataFrame, rows_per_range: int = ROWS_PER_RANGE)
 
     # by range: own rows by id (null ids last) and text, then the guest
     order = ["range", "guest", F.col("doc_id").asc_nulls_last(), "text"]
-    n = max(len(filled), 1)
-    return (dealt.repartition(n, "range").sortWithinPartitions(*order)
+    # dealt by the range's number, not its hash: a task per range
+    return (dealt.repartitionById(len(borders) + 2, "range").sortWithinPartitions(*order)
             .mapInArrow(work, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
                               "edited_fingerprint string, near_edited double, near_next double"))
