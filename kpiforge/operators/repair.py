@@ -308,6 +308,19 @@ def impute_business(df: DataFrame, discount_cols: Sequence[str]) -> DataFrame:
     return impute_constant(df, discount_cols, False)
 
 
-def impute_identifier(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Identifier / contact columns: NULL -> 'unknown'."""
-    return impute_constant(df, cols, "unknown")
+CONTACT_NAME_WORDS = ("email", "mail", "name", "address", "url", "phone", "mobile")
+
+
+def identifier_columns(df: DataFrame, smap: Dict[str, dict]) -> List[str]:
+    """Text columns that a commonest value would corrupt: over half distinct, an identifier type or a contact name."""
+    from kpiforge.operators.profile import distinct_counts
+
+    text = string_columns(df)
+    found = distinct_counts(df, text) if text else {}
+    return [c for c in text if found[c][1] > 0.5 * found[c][0] or smap.get(c, {}).get("semantic_type") in K.ID_SEMANTIC_TYPES
+            or any(w in c.lower() for w in CONTACT_NAME_WORDS)]
+
+
+def impute_identifier(df: DataFrame, cols: Optional[Sequence[str]] = None, smap: Optional[Dict[str, dict]] = None) -> DataFrame:
+    """Identifier / contact columns: NULL -> 'unknown'; without given columns they are chosen."""
+    return impute_constant(df, identifier_columns(df, smap or {}) if cols is None else cols, "unknown")

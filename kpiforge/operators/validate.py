@@ -73,6 +73,16 @@ def val_schema(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
                                          for i, r in enumerate(rules)])))
 
 
+def all_failing_values(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """(column_name, check, value, n): every distinct failing value of every rule, from one scan."""
+    if not rules:
+        return df.sparkSession.createDataFrame([], "column_name string, check string, value string, n bigint")
+    cells = F.array(*[F.struct(F.lit(r.column).alias("column_name"), F.lit(r.check).alias("check"), F.col(r.column).cast("string").alias("value"),
+                               (~r.predicate).alias("failed")) for r in rules])
+    failed = df.select(F.inline(F.filter(cells, lambda x: x["failed"])))
+    return failed.groupBy("column_name", "check", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def failing_values(df: DataFrame, rule: Rule) -> DataFrame:
     """(value, n): every distinct failing value and how often it fails."""
     return df.where(~rule.predicate).groupBy(F.col(rule.column).cast("string").alias("value")).agg(F.count("*").alias("n"))

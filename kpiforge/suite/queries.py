@@ -1390,6 +1390,15 @@ def q_val_schema(spark, sf_dir):
     return V.val_schema(ty, rules)
 
 
+@register("val_schema_values", ST.sql_typed() + " SELECT column_name, \"check\", value, count(*) AS n FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, '{k}' AS \"check\", CAST({c} AS VARCHAR) AS value FROM ty WHERE {_rule_sql(c, k)}" for c, k in SCHEMA_RULES_SQL)
+    + ") GROUP BY ALL")
+def q_val_schema_values(spark, sf_dir):
+    """Every distinct failing value of every rule."""
+    ty, _, rules = _typed_rules(spark, sf_dir)
+    return V.all_failing_values(ty, rules)
+
+
 @register("val_basic", ST.sql_typed() + " SELECT * FROM (" + " UNION ALL ".join(
     [f"SELECT '{c}' AS column_name, 'nulls_remain' AS check, CAST(count_if({c} IS NULL) AS BIGINT) AS failures FROM ty"
      for c in TYPED_COLS if c != "discount_applied"] +
@@ -1688,3 +1697,25 @@ ORACLE["cat_describe"] = (
     "WHERE table_name IN ('orders', 'lineitem', 'customer')")
 
 register("fs_select_rules", _fs_select_sql())(q_fs_select_rules)
+
+
+_SLUG = "regexp_replace(lower({c}), '\\s+', '_', 'g') AS {c}_key"
+
+
+@register("derive_features", ST.sql_typed() + " SELECT transaction_id, item, category, transaction_date, year(transaction_date) AS transaction_date_Year, "
+          "month(transaction_date) AS transaction_date_Month, quarter(transaction_date) AS transaction_date_Quarter, "
+          + _SLUG.format(c="item") + ", " + _SLUG.format(c="category") + " FROM ty")
+def q_derive_features(spark, sf_dir):
+    """What a requirement asks for: date parts and category keys, no place keys."""
+    ty = ST.typed(spark, sf_dir).select("transaction_id", "item", "category", "transaction_date")
+    return M.derive_features(ty, "monthly revenue by product")
+
+
+@register("impute_identifiers", ST.sql_nulled() + ", w AS (SELECT " + ", ".join(
+    f"CASE WHEN customer_rating > 1 THEN {c} END AS {c}" for c in TEXT) + " FROM nl) SELECT " + ", ".join(
+    f"coalesce({c}, 'unknown') AS {c}" if c in ("transaction_id", "customer_id") else
+    f"coalesce({c}, CASE WHEN (SELECT count(DISTINCT {c}) > 0.5 * count(*) FROM w) THEN 'unknown' END) AS {c}" for c in TEXT) + " FROM w")
+def q_impute_identifiers(spark, sf_dir):
+    """Columns chosen by rule: identifier types, contact names, mostly distinct; others keep their gaps."""
+    gaps = ST.nulled(spark, sf_dir).select(*[F.when(F.col("customer_rating") > 1, F.col(c)).alias(c) for c in TEXT])
+    return R.impute_identifier(gaps, None, SEM.semantic_map(ST.raw(spark, sf_dir)))

@@ -51,3 +51,20 @@ def test_clean_plan_idempotent_null_free(spark):
     assert out.where(F.col("quantity").isNull() | F.col("total_spent").isNull()).count() == 0
     again = CL.apply_plan(df, plan)
     assert {tuple(r) for r in again.collect()} == {tuple(r) for r in out.collect()}
+
+
+def test_identifier_columns(spark):
+    df = spark.createDataFrame([(f"u{i}", "a", f"m{i % 3}", None if i % 2 else "x", f"c{i % 2}") for i in range(40)],
+                               "code string, kind string, contact_email string, note string, client string")
+    assert R.identifier_columns(df, {"client": {"semantic_type": "CustomerID"}}) == ["code", "contact_email", "client"]
+    assert R.impute_identifier(df, ["note"]).where("note = 'unknown'").count() == 20
+
+
+def test_derive_features(spark):
+    from kpiforge.operators import measures as M
+    df = spark.createDataFrame([("3/2/2021", "New  Item", "Big City", "z")] * 3 + [("x", None, None, None)],
+                               "created string, item string, city string, other string")
+    out = M.derive_features(df, "Monthly sales, by product!").where("item IS NOT NULL").first().asDict()
+    assert (out["created_Year"], out["created_Month"], out["created_Quarter"], out["item_key"]) == (2021, 2, 1, "new_item") and "city_key" not in out
+    assert M.derive_features(df, "by region").columns == [*df.columns, "city_key"] and M.derive_features(df, "").columns == df.columns
+    assert M.requirement_flags("margin per client")["profitability_analysis"] and not M.requirement_flags("timely")["time_grouping"]
