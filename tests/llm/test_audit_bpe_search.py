@@ -205,3 +205,32 @@ def test_empty_tables(spark, tmp_path):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
     for name in NAMES:
         assert run(spark, name, str(tmp_path)) == [], name
+
+
+def test_pipeline_stages_do_what_the_operators_say(spark, edge):
+    """Rows and texts of every stage on its own input: rejected rows go, one per group stays, secrets are masked,
+    and the pieces put together are the documents' ids."""
+    import corpus_pipeline
+    from kpiforge.llm import quality_rules, secrets_scan, simhash, toxicity
+    for folder in (SF, edge):
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        labels = spark.read.parquet(f"{folder}/labels.parquet")
+        stages = dict(corpus_pipeline.STAGES)
+        ids = lambda df: sorted(repr(r.doc_id) for r in df.select("doc_id").collect())
+        kept = stages["quality_rules"](spark, docs, folder)
+        assert ids(kept) == ids(quality_rules.quality_report(docs, labels).where("kept"))
+        clean = stages["toxicity"](spark, docs, folder)
+        assert ids(clean) == ids(toxicity.score_documents(docs, labels).where("predicted = 0"))
+        one = stages["simhash_near_duplicates"](spark, docs, folder)
+        if folder == SF:  # elsewhere ids repeat, so a group's smallest id does not name it
+            groups = simhash.simhash_components(docs)
+            assert ids(one) == ids(groups.select(groups["component_id"].alias("doc_id")).distinct())
+        words = secrets_scan.dictionary(public_tokenizers.path("byte_bpe_50k.json"))
+        want = sorted(repr((d, None if t is None else secrets_scan.redact_text(t, secrets_scan.find_spans(t, words, secrets_scan.MIN_LOG10), "[SECRET]")))
+                      for d, t in ((r.doc_id, r.text) for r in docs.collect()))
+        assert sorted(repr((r.doc_id, r.text)) for r in stages["secret_scan"](spark, docs, folder).collect()) == want
+        pieces = stages["packing"](spark, docs, folder).collect()
+        tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+        sizes = sorted(len(tok.encode(t, add_special_tokens=False).ids) + 1 for _, t in docs_of(spark, folder))
+        assert sum(p.length for p in pieces) == sum(sizes)
+        assert sorted(p.doc_tokens for p in pieces if p.start == 0) == sizes
