@@ -39,7 +39,8 @@ from pyspark.sql import functions as F
 from kpiforge.llm.common import tokenizer_file
 from kpiforge.llm.token_counts import _SPACE, pretoken_splitter
 
-BATCH_CHARS, TABLE_LIMIT = 8_000_000, 1_300_000
+BATCH_CHARS, BATCH_ROWS, TABLE_LIMIT = 12_000_000, 4096, 1_300_000
+DECODE_IDS = 500_000
 SEPARATOR = "\v"  # between parts that are cut into pre-tokens together; a part that holds it is cut alone
 END, DEAD = -1, -2  # symbols of the place after the last one, and of merged-away places
 _TABLES: dict = {}
@@ -83,6 +84,9 @@ class MergeTable:
             self.bytes[i] = bytes(byte_of[c] for c in token)
         for token, i in self.specials.items():
             self.bytes[i] = token.encode()
+        self.byte_sizes = np.fromiter(map(len, self.bytes), np.int64, len(self.bytes))
+        self.byte_starts = np.cumsum(self.byte_sizes) - self.byte_sizes
+        self.byte_flat = np.frombuffer(b"".join(self.bytes), np.uint8)
 
     def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 if it has none (also for END and DEAD symbols)."""
@@ -315,10 +319,20 @@ def slices(texts: list[str], limit: int = BATCH_CHARS):
             lo, size = i + 1, 0
 
 
-def texts_of(ids: pa.ListArray, table: list[bytes]) -> pa.Array:
-    """The texts that lists of ids stand for; bytes that are no UTF-8 become U+FFFD."""
-    return pa.array([b"".join(map(table.__getitem__, x.values.tolist() if x.is_valid else [])).decode("utf-8", "replace") for x in ids],
-                    pa.string())
+def texts_of(ids: np.ndarray, counts: np.ndarray, table: MergeTable) -> pa.Array:
+    """The texts that the ids stand for, ``counts`` ids each; bytes that are no UTF-8 become U+FFFD."""
+    out, ends = [], np.cumsum(counts)
+    lo = 0
+    while lo < len(counts):  # stretches of about DECODE_IDS ids, one text at least
+        begin = ends[lo] - counts[lo]
+        hi = max(lo + 1, int(np.searchsorted(ends, begin + DECODE_IDS, side="right")))
+        some = ids[begin:ends[hi - 1]]
+        sizes = table.byte_sizes[some]
+        data = table.byte_flat[spread(table.byte_starts[some], sizes)].tobytes()
+        reached = np.append(0, np.cumsum(sizes))[np.append(0, ends[lo:hi] - begin)].tolist()
+        out += [data[x:y].decode("utf-8", "replace") for x, y in zip(reached, reached[1:])]
+        lo = hi
+    return pa.array(out, pa.string())
 
 
 def encode(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", decoded: bool = False) -> DataFrame:
@@ -330,14 +344,14 @@ def encode(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", decoded: bool
     def work(batches):
         for batch in batches:
             doc_ids, texts = batch.column(0), batch.column(1)
-            for low in range(0, batch.num_rows, 1024):
-                some = texts.slice(low, 1024).to_pylist()
+            for low in range(0, batch.num_rows, BATCH_ROWS):
+                some = texts.slice(low, BATCH_ROWS).to_pylist()
                 for lo, hi in slices(some):
                     ids, counts = encode_batch(some[lo:hi], path)
                     ends = pa.array(np.append(0, np.cumsum(counts)), pa.int32())
                     lists = pa.ListArray.from_arrays(ends, pa.array(ids, pa.int32()))
                     yield pa.RecordBatch.from_arrays([doc_ids.slice(low + lo, hi - lo), lists, *[
-                        texts_of(lists, merge_table(path).bytes) for _ in names[2:]]], names=names)
+                        texts_of(ids, counts, merge_table(path)) for _ in names[2:]]], names=names)
 
     light = docs.select(docs["doc_id"].cast("long"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
     return light.mapInArrow(work, "doc_id long, ids array<int>" + ", text string" * decoded)
@@ -349,8 +363,9 @@ def decode(encoded: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFram
 
     def work(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts_of(batch.column(1), merge_table(path).bytes)],
-                                             names=["doc_id", "ids", "text"])
+            lists = batch.column(1).fill_null([])
+            ids, counts = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts_of(ids, counts, merge_table(path))], names=["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(work, "doc_id long, ids array<int>, text string")
 
