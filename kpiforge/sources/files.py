@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import os
 import re
 from typing import Dict, List, Optional, Sequence
@@ -156,7 +155,3 @@ def normalise_names(df: DataFrame) -> DataFrame:
         taken.add(n)
         names.append(n)
     return df.toDF(*names)
-
-
-def describe_json(df: DataFrame) -> str:
-    return json.dumps({f.name: f.dataType.simpleString() for f in df.schema.fields})
