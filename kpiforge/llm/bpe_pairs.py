@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from kpiforge.llm.common import tokenizer_file
 from kpiforge.llm.token_counts import _SPACE, pretoken_splitter
 
-BATCH_CHARS, BATCH_ROWS, TABLE_LIMIT = 12_000_000, 4096, 1_300_000
+BATCH_CHARS, BATCH_ROWS, TABLE_LIMIT = 8_000_000, 2048, 600_000
 DECODE_IDS = 500_000
 SEPARATOR = "\v"  # between parts that are cut into pre-tokens together; a part that holds it is cut alone
 END, DEAD = -1, -2  # symbols of the place after the last one, and of merged-away places
