@@ -287,7 +287,8 @@ def _fit_spellings(df: DataFrame, smap: Dict[str, dict], plan: CleaningPlan, use
     """One stored mapping for all columns: case and blanks, then fuzzy groups, then abbreviations.
 
     Only the table of distinct spellings moves; each step maps what the one before has left."""
-    plan.case_cols = [c for c in C.canon_pick(df, smap) if c != plan.key_col]
+    # identifiers look alike without being misspelt
+    plan.case_cols = [c for c in C.canon_pick(df, smap) if c != plan.key_col and not is_identity(c, smap[c]["semantic_type"])]
     if not plan.case_cols:
         return
     spark = df.sparkSession
