@@ -51,3 +51,10 @@ def test_date_range_and_epoch(spark):
 
 def test_key_slug(spark):
     assert _one(spark, S.key_slug, ["New  York City", "A\tB"]) == ["new_york_city", "a_b"]
+
+
+def test_dates_of_impossible_days_and_trailing_breaks(spark):
+    formats = ["yyyy-M-d", "d-M-yyyy", "M/d/yyyy", "d-M-yy", "d MMM yyyy"]
+    values = ["31-02-2020", "2020-2-29", "2021-02-29", "12/31/1999", "31/12/1999", "5-6-24", "1 Jan 2020", "31 Feb 2020", "2020-1-1\n", "0-1-2020", None]
+    got = _one(spark, lambda c: S.parse_date_formats(c, formats, stripped=True), values)
+    assert got == [None, dt.date(2020, 2, 29), None, dt.date(1999, 12, 31), None, dt.date(2024, 6, 5), dt.date(2020, 1, 1), None, None, None, None]
