@@ -14,16 +14,36 @@ CSV_EXACT = {"header": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTraili
              "multiLine": "true", "escape": '"'}
 
 
+#: Records per written CSV file: a file whose cells hold line breaks is read by one task.
+CSV_FILE_ROWS = 500_000
+
+# all texts that a cast to double takes (leading and trailing control characters and blanks, sign, digits with point and
+# exponent, a type letter, hexadecimal, the words); any other text would only raise and catch an exception per cell
+DOUBLE_TEXT = (r"^[\x00-\x20]*[+-]?(?:(?i:nan|inf|infinity)|(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|"
+               r"0[xX][0-9a-fA-F]*\.?[0-9a-fA-F]*[pP][+-]?[0-9]+)[fFdD]?)[\x00-\x20]*\z")
+
+
+def _csv_options(spark: SparkSession, path: str) -> Dict[str, str]:
+    """Options of an exact read. Where every line of the files is a whole record - its quotes are even, no carriage return,
+    no blank line - lines are read apart, so that many tasks share a file; else one task reads a whole file."""
+    line = F.col("value")
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    odd = spark.read.option("lineSep", "\n").text(path).where((quotes % 2 != 0) | line.contains("\r") | (F.trim(line) == ""))
+    if odd.limit(1).count() > 0:
+        return CSV_EXACT
+    return {**CSV_EXACT, "multiLine": "false", "lineSep": "\n"}
+
+
 def read_csv_typed(spark: SparkSession, path: str) -> DataFrame:
     """Typed CSV read: a column gets the narrowest type that fits all its cells (one pass
     over the whole file), so no cell is lost; then the file is read with that schema."""
-    schema = _infer_types(spark, path)
-    return spark.read.options(**CSV_EXACT).option("mode", "PERMISSIVE").schema(schema).csv(path)
+    options = _csv_options(spark, path)
+    schema = _infer_types(spark.read.options(**options).csv(path))           # all string
+    return spark.read.options(**options).option("mode", "PERMISSIVE").schema(schema).csv(path)
 
 
-def _infer_types(spark: SparkSession, path: str):
+def _infer_types(raw: DataFrame):
     """Schema from counts of the cells that can be cast, over all records."""
-    raw = spark.read.options(**CSV_EXACT).csv(path)           # all string
     casts = []
     for c in raw.columns:
         x = F.col(c)
@@ -31,7 +51,7 @@ def _infer_types(spark: SparkSession, path: str):
             F.count(x).alias("nn"),
             F.count(x.try_cast("int")).alias("i"),
             F.count(x.try_cast("bigint")).alias("l"),
-            F.count(x.try_cast("double")).alias("d")).alias(c))
+            F.count(F.when(x.rlike(DOUBLE_TEXT), x.try_cast("double"))).alias("d")).alias(c))
     r = raw.agg(*casts).first()
     from pyspark.sql.types import (DoubleType, IntegerType, LongType, StringType, StructField,
                                    StructType)
@@ -54,7 +74,7 @@ def _infer_types(spark: SparkSession, path: str):
 
 def read_csv_strings(spark: SparkSession, path: str) -> DataFrame:
     """Every column as text; only empty cells are NULL."""
-    df = spark.read.options(**CSV_EXACT).option("inferSchema", "false").csv(path)
+    df = spark.read.options(**_csv_options(spark, path)).option("inferSchema", "false").csv(path)
     return df.select(*[F.when(F.col(c) == "", F.lit(None)).otherwise(F.col(c)).alias(c) for c in df.columns])
 
 
@@ -92,7 +112,7 @@ def read_jdbc(spark: SparkSession, url: str, table: str, user: str, password: st
 
 
 def write_csv(df: DataFrame, path: str) -> str:
-    df.write.mode("overwrite").options(**CSV_EXACT).csv(path)
+    df.write.mode("overwrite").options(**CSV_EXACT).option("maxRecordsPerFile", CSV_FILE_ROWS).csv(path)
     return path
 
 

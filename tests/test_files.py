@@ -38,3 +38,28 @@ def test_list_tables(spark):
     got = {r.table_name: r.is_temporary for r in files.list_tables(spark).collect()}
     assert got["a_view_of_this_test"] is True
     spark.catalog.dropTempView("a_view_of_this_test")
+
+
+def test_csv_of_whole_lines_is_shared_by_tasks(spark, tmp_path):
+    """Typed and text reads split a file whose lines are records; a file with line breaks in cells is read whole, equally."""
+    table = [(i, f"v{i}, \"q\" ", "1e3" if i % 2 else "0x1p3", "2020-01-05", 7 if i % 3 else None) for i in range(3000)]
+    df = spark.createDataFrame(table, "id int, s string, x string, d string, n int").coalesce(1)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = files.read_csv_typed(spark, files.write_csv(df, str(tmp_path / "lines")))
+        assert got.rdd.getNumPartitions() > 3
+        assert dict(got.dtypes) == {"id": "int", "s": "string", "x": "double", "d": "string", "n": "int"}
+        assert got.agg({"x": "sum"}).first()[0] == 1500 * 1000.0 + 1500 * 8.0
+        assert rows(got.drop("x")) == rows(df.drop("x"))
+        broken = df.limit(50).selectExpr("id", "concat(s, '\\n', s) as s", "'\\r' as r")
+        assert rows(files.read_csv_typed(spark, files.write_csv(broken, str(tmp_path / "breaks")))) == rows(broken)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_double_text_holds_what_the_cast_takes(spark):
+    texts = ["1", " 1.5 ", "+.5", "5.", ".", "1e5", "1E-5f", "2d", "NaN", "-Infinity", "iNF", "nan ", "0x1.8p3", "0x1p-2d", "1e", "abc", "2020-01-05",
+             "", " ", "1,5", "--1", "\t7\n", "1 2", "infinit", "NaNd", "0x1", "+inf", "１"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("t", "try_cast(t as double) is not null as ok")
+    from pyspark.sql import functions as F
+    assert df.where(F.col("ok") & ~F.col("t").rlike(files.DOUBLE_TEXT)).collect() == []
