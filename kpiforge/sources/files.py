@@ -22,6 +22,9 @@ CSV_FILE_ROWS = 500_000
 DOUBLE_TEXT = (r"^[\x00-\x20]*[+-]?(?:(?i:nan|inf|infinity)|(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|"
                r"0[xX][0-9a-fA-F]*\.?[0-9a-fA-F]*[pP][+-]?[0-9]+)[fFdD]?)[\x00-\x20]*\z")
 
+# a superset of the texts that a cast to int or bigint takes
+WHOLE_TEXT = r"^[^0-9A-Za-z.]*[0-9]+[^0-9A-Za-z]*\z"
+
 
 def _csv_options(spark: SparkSession, path: str) -> Dict[str, str]:
     """Options of an exact read. Where every line of the files is a whole record - its quotes are even, no carriage return,
@@ -49,8 +52,8 @@ def _infer_types(raw: DataFrame):
         x = F.col(c)
         casts.append(F.struct(
             F.count(x).alias("nn"),
-            F.count(x.try_cast("int")).alias("i"),
-            F.count(x.try_cast("bigint")).alias("l"),
+            F.count(F.when(x.rlike(WHOLE_TEXT), x.try_cast("int"))).alias("i"),
+            F.count(F.when(x.rlike(WHOLE_TEXT), x.try_cast("bigint"))).alias("l"),
             F.count(F.when(x.rlike(DOUBLE_TEXT), x.try_cast("double"))).alias("d")).alias(c))
     r = raw.agg(*casts).first()
     from pyspark.sql.types import (DoubleType, IntegerType, LongType, StringType, StructField,

@@ -63,3 +63,11 @@ def test_double_text_holds_what_the_cast_takes(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("t", "try_cast(t as double) is not null as ok")
     from pyspark.sql import functions as F
     assert df.where(F.col("ok") & ~F.col("t").rlike(files.DOUBLE_TEXT)).collect() == []
+
+
+def test_whole_text_holds_what_the_casts_take(spark):
+    texts = ["1", " 12 ", "+5", "-7\n", "1.5", "1.", ".5", ".", "1e3", "abc", "2020-01-05", "", "\x00" + "3\x7f", "\t4\x1f", "99999999999", "1 2", "--1", "\x855",
+             "\u00a06", "1-", "7d", "９"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("t", "try_cast(t as int) is not null or try_cast(t as bigint) is not null as ok")
+    from pyspark.sql import functions as F
+    assert df.where(F.col("ok") & ~F.col("t").rlike(files.WHOLE_TEXT)).collect() == []
