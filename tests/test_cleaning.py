@@ -10,7 +10,7 @@ from kpiforge.operators import forest, ml, select
 from kpiforge.operators import detect as D
 from kpiforge.plans import cleaning as CL
 from kpiforge.plans.cleaning import ColumnFacts, select_strategy
-from kpiforge.streaming.apply import clean_stream
+from kpiforge.streaming.apply import clean_stream, parquet_stream
 
 AS_OF = dt.date(2025, 1, 1)
 
@@ -124,3 +124,16 @@ def test_outlier_consensus(spark):
     both = ml.outlier_consensus(D.outlier_counts(df, ["x", "y"]), ml.iforest_outliers(df, ["x", "y"])).collect()
     got = {r.column_name: r for r in both}
     assert got["x"].iqr_count == got["x"].z_count == 1 and got["x"].consensus_count == max(1, got["x"].ml_count)
+
+
+def test_stream_takes_files_in_bounded_batches(spark, tmp_path):
+    """A key that has come in an earlier micro-batch is dropped; no batch takes more than its bytes, none is left out."""
+    rows = [(f"T{i % 200}", float(i % 200)) for i in range(600)] + [(None, 1.0), (None, 1.0), (" ", 2.0)]
+    df = spark.createDataFrame(rows, "code string, size double")
+    df.repartition(4).write.parquet(str(tmp_path / "src"))
+    plan = CL.CleaningPlan(as_of=AS_OF, key_col="code")
+    clean_stream(parquet_stream(spark, df.schema, str(tmp_path / "src"), 1), plan, str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.select("batch").distinct().count() > 1
+    assert sorted(got.where("code is not null and code <> ' '").select("code", "size").collect()) == sorted((f"T{i}", float(i)) for i in range(200))
+    assert got.where("code is null or code = ' '").count() == 3
