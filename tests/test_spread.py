@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from kpiforge import session
+from kpiforge.operators import select
 from kpiforge.sources import tables
 
 
@@ -20,3 +21,17 @@ def test_cut_table_keeps_rows_and_schema(spark):
     assert out.schema == df.schema
     assert sorted(map(str, out.collect())) == sorted(map(str, df.collect()))
     assert session.cut_table(df.limit(0)).count() == 0 and session.cut_table(df.withColumn("v", F.lit(None))).count() == 3
+
+
+def test_regression_forest_is_grown_by_many_tasks(spark, monkeypatch):
+    from pyspark.ml import Pipeline
+    seen = []
+    fit = Pipeline.fit
+    monkeypatch.setattr(Pipeline, "fit", lambda self, data, params=None: seen.append(data.rdd.getNumPartitions()) or fit(self, data, params))
+    monkeypatch.setattr(select, "FOREST_TASK_ROWS", 100, raising=False)
+    df = spark.range(0, 400, 1, 1).select((F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 3).cast("double").alias("b"),
+                                          (F.col("id") % 7 * 10).cast("double").alias("total"))
+    got = {r["column_name"]: r["forest"] for r in select.forest_importance(df, ["a", "b", "total"], "total", ["a", "b", "total"]).collect()}
+    assert seen == [4]
+    assert got["a"] == 1.0 and got["b"] < 0.2
+    assert select.forest_importance(df.limit(49), ["a", "b", "total"], "total", ["a", "b", "total"]).count() == 0
