@@ -1,9 +1,10 @@
 """Work is dealt to many tasks however few files, row groups or bytes the input has."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from kpiforge import session
-from kpiforge.operators import select
+from kpiforge.operators import forest, select
 from kpiforge.sources import tables
 
 
@@ -35,3 +36,33 @@ def test_regression_forest_is_grown_by_many_tasks(spark, monkeypatch):
     assert seen == [4]
     assert got["a"] == 1.0 and got["b"] < 0.2
     assert select.forest_importance(df.limit(49), ["a", "b", "total"], "total", ["a", "b", "total"]).count() == 0
+
+
+def test_forest_votes_once_a_cell(spark):
+    """Fills equal those of all the trees asked row by row, and cells are fewer than contexts."""
+    rng = np.random.default_rng(5)
+    rows = [(None if i % 4 == 0 else f"item{int(p) // 20}", f"c{int(p) % 3}", float(p)) for i, p in enumerate(rng.integers(0, 100, 800) + rng.random(800))]
+    df = spark.createDataFrame(rows, "item string, category string, price double")
+    model = forest.fit_forest(df, "item", ["category", "price"], trees=12, depth=5)
+    asked = model.with_units(df.where("item is null").distinct())
+    cells = asked.select(F.array(*model.cell()).alias("cell"), model.leaf_ids().alias("leaves"), "category", "price").collect()
+    by_cell = {}
+    for r in cells:
+        by_cell.setdefault(tuple(r["cell"]), set()).add(tuple(r["leaves"]))
+    assert all(len(v) == 1 for v in by_cell.values()) and len(by_cell) < len(cells)
+    votes = {}
+    for r in spark.read.parquet(model.leaves).collect():
+        votes.setdefault((r["tree"], r["leaf"]), []).append((r["label"], r["share"]))
+    want = {}
+    for r in cells:
+        total = {}
+        for tree, leaf in enumerate(r["leaves"]):
+            for label, share in votes.get((tree, leaf), []):
+                total[label] = total.get(label, 0.0) + share
+        want[r["category"], r["price"]] = min((-round(n, 9), label) for label, n in total.items())[1] if total else model.mode
+    got = forest.apply_forest(df, model).collect()
+    known = {(r[1], r[2]): r[0] for r in rows}
+    assert len(got) == len(rows)
+    for r in got:
+        key = (r["category"], r["price"])
+        assert r["item"] == (want[key] if known[key] is None else known[key])
