@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from kpiforge import session
-from kpiforge.operators import forest, select
+from kpiforge.operators import canon, forest, select
 from kpiforge.sources import tables
 
 
@@ -66,3 +66,16 @@ def test_forest_votes_once_a_cell(spark):
     for r in got:
         key = (r["category"], r["price"])
         assert r["item"] == (want[key] if known[key] is None else known[key])
+
+
+def test_fuzzy_pairs_read_the_rows_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        read.add(1)
+        return x
+
+    df = spark.createDataFrame([("digital wallet",), ("digital walet",), ("cash",), ("cash",)], "v string").select(F.udf(seen, "string")("v").alias("v"))
+    got = canon.fuzzy_pairs(df, ["v"]).select("a", "b").collect()
+    assert [tuple(r) for r in got] == [("digital walet", "digital wallet")]
+    assert read.value == 4
