@@ -1,10 +1,11 @@
 """Work is dealt to many tasks however few files, row groups or bytes the input has."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from kpiforge import session
-from kpiforge.operators import canon, forest, select
+from kpiforge.operators import canon, forest, knn, select
 from kpiforge.sources import tables
 
 
@@ -79,3 +80,14 @@ def test_fuzzy_pairs_read_the_rows_once(spark):
     got = canon.fuzzy_pairs(df, ["v"]).select("a", "b").collect()
     assert [tuple(r) for r in got] == [("digital walet", "digital wallet")]
     assert read.value == 4
+
+
+@pytest.mark.parametrize("n,k", [(3, 5), (5, 5), (300, 5), (300, 1)])
+def test_nearest_is_the_sorted_head(n, k):
+    rng = np.random.default_rng(n)
+    y, x = np.round(rng.normal(size=(40, 2)), 1), np.round(rng.normal(size=(n, 2)), 1)
+    x[0] = np.nan
+    full = np.sqrt(((y[:, None, :] - x[None]) ** 2).sum(axis=2))
+    at, col = knn._nearest(knn._distances(y, x), k)
+    keep = np.argsort(full, axis=1, kind="stable")[:, :k]
+    assert (at == np.repeat(np.arange(40), keep.shape[1])).all() and (col == keep.ravel()).all()
