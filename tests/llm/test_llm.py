@@ -354,6 +354,43 @@ def test_packing_ids_equal_the_library(tok):
     assert got == want
 
 
+def test_packing_latin_ids_equal_the_library(tok):
+    """Texts of the first 256 characters are cut into pre-tokens here; those of other characters by the library."""
+    draw = np.random.default_rng(5)
+    signs = [chr(c) for c in range(256)]
+    likely = [*"ab  EÉ19.,'!\n", "'ll", "'ve"]
+    texts = ["".join(draw.choice(signs if i % 2 else likely, n)) for i, n in enumerate(draw.integers(0, 60, 4000))]
+    texts += [" ".join(draw.choice(["ab", "Œu", "\x00", "\x0b", "ÿ!!", "l'eau", "x\n\ny", "<|endoftext|>", "日本"], 9)) for _ in range(500)]
+    want = [np.array(tok.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert packing.encode_texts(texts, path) == want
+    assert packing.encode_texts(texts[::-1], path) == want[::-1]  # with all parts known
+
+
+def test_packing_encodes_each_pretoken_once(tok, monkeypatch):
+    seen = []
+    monkeypatch.setattr(packing.BareModel, "encode", lambda self, units, do=packing.BareModel.encode: seen.extend(units) or do(self, units))
+    table = packing.PartTable(tok)
+    for parts in (["house", "house,", "house.\nThe", "house!!"], ["house;", "The", "house,The"]):
+        numbers = table.numbers(parts)
+        table.learn()
+        for p, n in zip(parts, numbers):
+            assert table.ids(np.array([n])).tolist() == tok.encode(" " + p, add_special_tokens=False).ids
+    assert sorted(seen) == sorted({" house", ",", ".", "\n", "The", "!!", "\v", ";", " The"})
+
+
+def test_packing_by_the_library_for_other_files():
+    """A tokenizer of another kind gets no shortcut by pre-tokens."""
+    from tokenizers import models, normalizers, pre_tokenizers
+
+    other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    other.normalizer = normalizers.Lowercase()
+    assert packing.BareModel.of(other) is None
+    other.normalizer, other.pre_tokenizer = None, pre_tokenizers.ByteLevel(add_prefix_space=True)
+    assert packing.BareModel.of(other) is None
+    assert packing.BareModel.of(Tokenizer(models.WordLevel({"a": 0}, unk_token="a"))) is None
+
+
 def test_sum_of_squares_choice():
     p = packing.Packer(10, 0)
     sizes = [6, 4, 7, 3, 5, 5]
