@@ -431,6 +431,27 @@ def test_sentencepiece(spark, folder):
     assert sorted(map(repr, back)) == sorted(map(repr, docs))
 
 
+def test_sentencepiece_words_told_beforehand_and_joined(spark, monkeypatch):
+    """Usual, rare, unknown and long words over many batches; a batch's word sequences are not shuffled to its ids."""
+    monkeypatch.setattr(sentencepiece_lattice, "USUAL_WORDS", 2)
+    monkeypatch.setattr(sentencepiece_lattice, "BATCH_TEXTS", 3)
+    monkeypatch.setattr(sentencepiece_lattice, "CUT_TEXTS", 2)
+    p = sentencepiece_lattice.PieceTable(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = ["the cat and the dog", "the the", None, "", " ", "  the  end ", "\u2581x \u2581", "日本 the \U0001f600", "the" + "and" * 120, "a\tb\nthe", "dog", "\x00 the"]
+    docs = spark.createDataFrame([(i if i != 10 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    table = {s: (i, x) for i, s, x in p.rows}
+    want = [{"doc_id": i if i != 10 else None, "n_bytes": len((t or "").encode()), "ids": k, "n_pieces": len(k), "same_text": "\u2581" not in (t or "")}
+            for i, t in enumerate(texts) for k in [brute_viterbi(("▁" + t.replace(" ", "▁")) if t else "", table, p)]]
+    got = sentencepiece_lattice.encode_documents(docs)
+    executed = got._jdf.queryExecution().executedPlan().toString()
+    match([r.asDict() for r in got.collect()], want)
+    assert "Bucketed: true" in executed and executed.count("hashpartitioning(batch#") == 1
+    told, ids = sentencepiece_lattice.usual_words(docs, p)
+    assert len(told) == len(ids) == 2 and "▁the" in told.to_pylist()
+    none = sentencepiece_lattice.encode_documents(docs.limit(0))
+    assert none.collect() == [] and none.columns == got.columns
+
+
 def test_sentencepiece_decodes_like_the_library(spark):
     """Ids made by the library, byte pieces and blanks among them, come back as its own decoder has them."""
     from sentencepiece import SentencePieceProcessor
