@@ -6,7 +6,7 @@ the lattice can cross. Encoding works once per distinct word of the corpus:
 
 1. the words that are usual in a sample of the texts are encoded beforehand by steps 2 to 4 and told to every task (a
    bounded list; the sample decides only which way a word goes). Every batch of texts (bounded by its size) becomes one
-   stored row with the texts as sequences of word numbers, and one row per distinct other word; only these are shuffled,
+   stored row with the texts as sequences of word numbers, and one row per distinct other word; only these are shuffled, once;
 2. explode the substrings of a distinct word (start, size; sizes that a piece with the same first
    characters has),
 3. equi-join with the piece table (bounded by the vocabulary file, hence broadcast); single
@@ -51,7 +51,7 @@ from kpiforge.session import scratch_path
 
 UNKNOWN_PENALTY, LONG_WORD, ID_BASE = 10.0, 256, 1 << 30
 #: A batch ends at so many characters or texts; its texts are cut by stretches of so many.
-BATCH_CHARS, BATCH_TEXTS, CUT_CHARS, CUT_TEXTS = 6_000_000, 100_000, 500_000, 256
+BATCH_CHARS, BATCH_TEXTS, CUT_CHARS, CUT_TEXTS = 13_000_000, 100_000, 500_000, 256
 #: Bounds of the words told beforehand; distinct words of a task.
 SAMPLE_TEXTS, USUAL_WORDS, WORDS_PER_TASK = 20_000, 250_000, 40_000
 #: Pairs of more kinds of characters are searched instead of looked up; Spark's own limit of buckets; ids decoded at a time.
@@ -321,8 +321,8 @@ def usual_words(docs: DataFrame, pieces: PieceTable) -> tuple[pa.Array, pa.ListA
     counted = some.mapInArrow(work, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
     words = counted.where(F.length("word") <= LONG_WORD).orderBy(F.desc("n"), "word").limit(USUAL_WORDS).select("word").toArrow().column("word").combine_chunks()
     told = spark.createDataFrame(pa.table({"word": words, "first": pa.array(np.arange(len(words)))}), "word string, first long")
-    with grouped_in_memory(spark, USUAL_WORDS):
-        ids = encode_words(told.repartition(max(1, math.ceil(len(words) / WORDS_PER_TASK)), "word"), pieces, 0).toArrow().sort_by("first").column("ids").combine_chunks()
+    dealt = told.repartition(max(1, math.ceil(len(words) / WORDS_PER_TASK)), "word")
+    ids = encode_words(dealt, pieces, 0).toArrow().sort_by("first").column("ids").combine_chunks()
     return words.cast(pa.large_string()), ids.cast(pa.list_(pa.int32()))
 
 
@@ -389,7 +389,7 @@ def encode_texts(docs: DataFrame, model: str = "piece_bpe_32k.model", read_back:
     if any(b[1] == BLANK and b[0] != BLANK for b in pieces.bigrams):
         raise ValueError("a piece holds a blank behind another character")
     told = docs.sparkSession.sparkContext.broadcast(usual_words(docs, pieces))
-    buckets = min(MOST_BUCKETS, 8 * max(2, docs.rdd.getNumPartitions()))
+    buckets = min(MOST_BUCKETS, 2 * max(4, docs.rdd.getNumPartitions()))
     units = batch_rows(docs, pieces, told, buckets)
     places = units.where("word is not null and place is not null").select("word", "place")
     n, longest = places.agg(F.count("*"), F.max(F.length("word"))).first()
