@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kpiforge.functions import scalars as S
-from kpiforge.operators import ml, select, sqlbatch, validate
+from kpiforge.operators import forest, ml, select, sqlbatch, validate
 from kpiforge.sources import files
 
 
@@ -40,6 +40,22 @@ def test_csv_types_fit_all_rows(spark, tmp_path):
     assert dict(df.dtypes) == {"v": "string", "n": "int"} and df.where("v = 'late text'").count() == 1
 
 
+def test_every_row_trains_the_forest(spark):
+    """Labels of one row each, among many rows, all have their votes, with the share of all rows in the leaf."""
+    n, rare = 120_000, 40
+    label = F.when(F.col("id") < rare, F.concat(F.lit("rare"), F.col("id"))).otherwise(F.lit("usual"))
+    df = spark.range(0, n, 1, 8).select(label.alias("t"), (F.col("id") % 7).alias("a"), (F.col("id") % 11).cast("double").alias("b"))
+    model = forest.fit_forest(df, "t", ["a", "b"], trees=3, depth=1)
+    leaves = spark.read.parquet(model.leaves).collect()
+    for tree, ((i, cut),) in enumerate(model.tests):
+        step = (7, 11)[i]
+        for leaf in (0, 1):
+            ids = [x for x in range(n) if int(x % step > cut) == leaf]
+            want = {f"rare{x}": 1 / len(ids) for x in ids if x < rare}
+            got = {r["label"]: r["share"] for r in leaves if (r["tree"], r["leaf"]) == (tree, leaf) and r["label"] != "usual"}
+            assert got == pytest.approx(want)
+
+
 @pytest.mark.parametrize("context", [[], ["a"]])
 def test_forest_with_few_columns_takes_the_mode(spark, context):
     df = spark.createDataFrame([("x", "p"), ("x", "q"), (None, "q")], "t string, a string")
