@@ -137,3 +137,25 @@ def test_stream_takes_files_in_bounded_batches(spark, tmp_path):
     assert got.select("batch").distinct().count() > 1
     assert sorted(got.where("code is not null and code <> ' '").select("code", "size").collect()) == sorted((f"T{i}", float(i)) for i in range(200))
     assert got.where("code is null or code = ' '").count() == 3
+
+
+def test_a_value_is_parsed_once_however_often_it_comes(spark, monkeypatch):
+    """The probes for numbers, flags and dates see distinct values, not cells, and the input is read once for all of them."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        read.add(1)
+        return x
+
+    rows = [(f"T{i}", "$1,5%d0" % (i % 3), ("Yes", "no", "n/a")[i % 3], ("2020-01-05", "7-3-2020", "UNKNOWN", "2021-02-03")[i % 4], str(1_600_000_000 + i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "`transaction id` string, price string, discount string, `order date` string, `event time` string")
+    told = CL.SEM.value_facts(df.withColumn("price", F.udf(seen, "string")("price")), CL._parse_facts(df))
+    assert read.value == 60
+    assert [told["price"][x] for x in ("n", "d", "filled", "num", "flag", "dx")] == [60, 3, 60, 60, 0, 0]
+    assert [told["discount"][x] for x in ("n", "d", "filled", "num", "flag")] == [60, 3, 40, 0, 40]
+    assert (told["order date"]["filled"], told["order date"]["dates"], told["event time"]["epoch"]) == (45, 3, 60)
+    assert {k: told["order date"][f"format_{i}"] for i, (k, _) in enumerate(CL.K.DATE_FORMATS) if told["order date"][f"format_{i}"]} == {
+        "%d-%m-%Y": 15, "%m-%d-%Y": 15, "%Y-%m-%d": 30}
+    plan = CL.CleaningPlan(AS_OF)
+    CL._fit_parse(df, told, CL.SEM.semantic_map(df, told), plan)
+    assert (plan.rows_in, plan.numeric_cols, plan.bool_cols, plan.date_formats, plan.epoch_cols) == (60, ["price"], ["discount"], {"order date": "yyyy-M-d"}, ["event time"])
